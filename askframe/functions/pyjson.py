@@ -8,7 +8,7 @@ values, which needs one Arrow UDF (``double_text``): the JVM text is not always
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,33 +57,34 @@ def ascii_escape(json_text: Column) -> Column:
     return F.when(json_text.rlike(r"[^\x00-\x7e]"), escaped).otherwise(json_text)
 
 
-@F.pandas_udf(T.StringType())
-def double_text(values: pd.Series) -> pd.Series:
-    """Shortest round-trip text of doubles: ``1.0``, ``1e+20``, ``2.5e-07``, ``Infinity``."""
-    special = {"inf": "Infinity", "-inf": "-Infinity", "nan": "NaN"}
-    texts = values.astype(object).map(lambda v: None if v is None else repr(float(v)))
-    return texts.map(lambda t: special.get(t, t))
+def _shortest(value: float | None) -> str | None:
+    if value is None:
+        return None
+    text = repr(value)
+    return {"inf": "Infinity", "-inf": "-Infinity", "nan": "NaN"}.get(text, text)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def double_texts(values: pd.Series) -> pd.Series:
-    """``double_text`` of every element of an array; null elements become ``null``."""
-    special = {"inf": "Infinity", "-inf": "-Infinity", "nan": "NaN"}
+@F.arrow_udf(T.StringType())
+def double_text(values: pa.Array) -> pa.Array:
+    """Shortest round-trip text of doubles: ``1.0``, ``1e+20``, ``2.5e-07``, ``Infinity``."""
+    return pa.array([_shortest(v) for v in values.to_pylist()], pa.string())
 
-    def texts(array):
-        if array is None:
-            return None
-        found = ("null" if v is None else repr(float(v)) for v in array)
-        return [special.get(t, t) for t in found]
 
-    return values.map(texts)
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def double_texts(values: pa.Array) -> pa.Array:
+    """``double_text`` of every element of an array; null elements become ``null``."""
+    texts = [
+        None if row is None else ["null" if v is None else _shortest(v) for v in row]
+        for row in values.to_pylist()
+    ]
+    return pa.array(texts, pa.list_(pa.string()))
 
 
 def _scalar_text(value: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.StringType, T.VarcharType, T.CharType)):
         return quote(value)
     if isinstance(dtype, T.BooleanType):
-        return F.when(value, "true").otherwise("false")
+        return F.when(value, "true").when(~value, "false")
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return value.cast("string")
     if isinstance(dtype, T.DecimalType):

@@ -67,6 +67,7 @@ def hinted(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf, "text", "lang").select(
         "doc_id",
         "text",
+        "lang",
         pick(
             "doc_id", F.lit(" ML "), F.lit("Typed"), F.lit("nope"), F.lit(""), none, none, none,
             none, none, none, none, none, F.lit("typed-decisions"),

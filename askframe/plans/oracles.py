@@ -514,3 +514,349 @@ SQL["raw_json_leaves"] = f"""WITH l AS (
   UNION ALL SELECT 'number', 'm', 1, '-0' FROM events WHERE event_id % 7 = 5
   UNION ALL SELECT 'string', 'k', 1, event_type FROM events WHERE event_id % 7 = 5)
 SELECT kind, key, depth::BIGINT AS depth, count(*) AS n, count(DISTINCT text) AS texts FROM l GROUP BY kind, key, depth"""
+
+# --- sequences --------------------------------------------------------------------------------
+
+
+def word_ids(text: str, var: str = "w") -> str:
+    return f"list_transform(string_split({text}, ' '), lambda {var}: (length({var}) + 100)::INTEGER)"
+
+
+def _sizes(rows: str) -> str:
+    return f"list_transform({rows}, lambda r: len(r))"
+
+
+def budget(source: str, head_max_len: str = "hml") -> str:
+    """cut(.., head, opts, st) from source(.., head_ids, options, st, hml): options and head in budget."""
+    return f"""b1 AS (SELECT *, list_transform(options, lambda o: [3] || o[1:48]) AS rws FROM {source}),
+b2 AS (SELECT *, {head_max_len} - list_sum({_sizes("rws")}) < 16 AS tight,
+  greatest(4, ({head_max_len} - 16) // greatest(1, len(rws))) AS per FROM b1),
+b3 AS (SELECT *, CASE WHEN tight THEN list_transform(rws, lambda r: r[1:per]) ELSE rws END AS opts FROM b2),
+b4 AS (SELECT *, greatest(8, {head_max_len} - list_sum({_sizes("opts")}))::BIGINT AS hb FROM b3),
+cut AS (SELECT *, head_ids[1:hb] AS head FROM b4),
+prefixed AS (SELECT *, [1] || head || [2] || flatten(opts) || [2] AS prefix,
+  list_transform(opts, lambda r, i: (len(head) + 2 + coalesce(list_sum({_sizes("opts[1:i-1]")}), 0))::INTEGER)
+    AS markers FROM cut)"""
+
+
+TURNS = f"""turns AS (SELECT conv_id, turn, {word_ids("string_split(text, chr(10))[1]")} AS head_ids,
+  list_transform(string_split(text, chr(10)), lambda t: {word_ids("t")}) AS options,
+  {word_ids("text")} AS st, (conv_id % 9)::INTEGER * 16 + 24 AS hml FROM conversations)"""
+SQL["option_budget"] = ctes(TURNS, budget("turns")) + f"""SELECT conv_id, turn,
+  list_sum({_sizes("opts")})::BIGINT AS option_tokens, list_max({_sizes("opts")})::BIGINT AS longest,
+  hb AS head_budget FROM prefixed"""
+SQL["sequence_assemble"] = ctes(
+    TURNS, budget("turns"),
+    "a AS (SELECT *, hml + 16 + (turn % 4)::INTEGER * 40 AS ml FROM prefixed)",
+) + """SELECT conv_id, turn,
+  array_to_string((prefix || st[1:greatest(0, ml - len(prefix) - 1)] || [2])[1:ml], ' ') AS ids,
+  array_to_string(list_filter(markers, lambda m: m < ml), ' ') AS markers,
+  len(list_filter(markers, lambda m: m < ml)) <> len(markers) AS failed FROM a"""
+
+PRESET_SEQUENCES = ",\n".join([
+    ASKED,
+    QUESTIONS,
+    f"qs AS (SELECT spec_id, q_pos, qid, {_CODE} AS qcode, {word_ids(chr(39) + chr(39) + ' || qtype || ' + q(' question: ') + ' || instructions')} "
+    f"AS head_ids, list_transform({OPTIONS}, lambda t: {word_ids('t')}) AS options, 60 AS hml FROM questions)",
+    budget("qs"),
+    f"""seqs AS (SELECT conv_id, turn, c.spec_id, q_pos, qid, qcode,
+      (prefix || ({word_ids("text")})[1:greatest(0, ml - len(prefix) - 1)] || [2])[1:ml] AS ids,
+      list_filter(markers, lambda m: m < ml) AS markers
+      FROM (SELECT *, (turn % 3)::INTEGER * 60 + 80 AS ml FROM ctx) c JOIN prefixed USING (spec_id))""",
+])
+SQL["collate_padded"] = ctes(
+    PRESET_SEQUENCES,
+    """dims AS (SELECT conv_id, turn, count(*) AS n_rows, max(len(ids))::BIGINT AS max_ids,
+      max(len(markers))::BIGINT AS max_options FROM seqs GROUP BY conv_id, turn)""",
+) + """SELECT conv_id, turn, n_rows, max_ids, max_options, qid, qcode::BIGINT AS qcode,
+  array_to_string(list_resize(ids, max_ids, 0), ' ') AS input_ids,
+  rpad(repeat('1', len(ids)), max_ids::INTEGER, '0') AS attention_mask,
+  array_to_string(list_resize(markers, max_options, 0), ' ') AS marker_pos,
+  rpad(repeat('1', len(markers)), max_options::INTEGER, '0') AS marker_mask
+FROM seqs JOIN dims USING (conv_id, turn)"""
+SQL["token_usage"] = ctes(PRESET_SEQUENCES) + """SELECT conv_id, turn, sum(len(ids))::BIGINT AS input_tokens,
+  0::BIGINT AS output_tokens FROM seqs GROUP BY conv_id, turn"""
+SQL["batch_dimensions"] = ctes(PRESET_SEQUENCES) + """SELECT spec_id, count(*) AS n,
+  max(len(ids))::BIGINT AS max_ids, max(len(markers))::BIGINT AS max_options FROM seqs GROUP BY spec_id"""
+SQL["truncation_documents"] = f"""WITH d AS (SELECT lang,
+  greatest(0, len(string_split(text, ' ')) - (512 - 60 - 1))::BIGINT AS dropped FROM documents)
+SELECT lang, count(*) AS n, count(*) FILTER (dropped > 0) AS n_cut, sum(dropped)::BIGINT AS tokens_dropped,
+  max(dropped) AS max_dropped,
+  {round4("(count(*) FILTER (dropped > 0))::DOUBLE / count(*)::DOUBLE")} AS share_cut FROM d GROUP BY lang"""
+SQL["maxlen_check"] = f"""WITH a AS (SELECT doc_id,
+  {pick("doc_id", "n_chars", "0", "-n_chars", "NULL", "n_chars * 100")} AS asked,
+  {pick("doc_id", "0", "2048")} AS override, {pick("doc_id", "512", "1024", "1024")} AS configured,
+  {pick("doc_id", "192", "256")} AS hml FROM documents)
+SELECT doc_id, asked, CASE WHEN coalesce(asked, 0) = 0 THEN NULL
+  WHEN asked < 0 THEN 'max_len must be positive, got ' || asked
+  WHEN asked > 8192 THEN 'max_len ' || asked || ' exceeds the encoder limit of 8192 tokens'
+  WHEN asked < hml + 16 THEN 'max_len ' || asked || ' is too small for head_max_len=' || hml
+    || ' (need at least ' || (hml + 16) || ')' END AS error,
+  coalesce(nullif(asked, 0), nullif(override, 0), configured)::BIGINT AS window FROM a"""
+
+# --- calibration ------------------------------------------------------------------------------
+
+
+def softmax(source: str, logits: str = "z", temperature: str = "t", out: str = "p") -> str:
+    """soft_<out>: source with column <out>, in float32 steps."""
+    s = f"soft_{out}"
+    return f"""{s}1 AS (SELECT *, list_transform({logits}, lambda x: (x / greatest(0.001::DOUBLE, {temperature})::FLOAT)::FLOAT) AS {out}1 FROM {source}),
+{s}2 AS (SELECT *, list_max({out}1) AS {out}m FROM {s}1),
+{s}3 AS (SELECT *, list_transform({out}1, lambda x: exp((x - {out}m)::FLOAT::DOUBLE)::FLOAT) AS {out}e FROM {s}2),
+{s}4 AS (SELECT *, list_reduce({out}e, lambda a, b: (a + b)::FLOAT) AS {out}s FROM {s}3),
+{s} AS (SELECT *, list_transform({out}e, lambda x: (x / {out}s)::FLOAT) AS {out} FROM {s}4)"""
+
+
+_BY_OPTIONS = {"choice:2": 1.3, "choice:3-5": 0.8, "choice:11+": 1.75, "score:6-10": 0.55}
+
+
+def temperatures(by_type, by_options) -> str:
+    whens = " ".join(f"WHEN {q(k)} THEN {v!r}::DOUBLE" for k, v in by_options.items())
+    fallback = f"[{', '.join(f'{t!r}::DOUBLE' for t in by_type)}][{_CODE} + 1]"
+    return f"CASE bucket {whens} ELSE {fallback} END" if whens else fallback
+
+
+BUCKET = """qtype || ':' || CASE WHEN k <= 2 THEN '2' WHEN k <= 5 THEN '3-5' WHEN k <= 10 THEN '6-10' ELSE '11+' END"""
+LOGITS = f"""v1 AS (SELECT vec_id, label, embedding, {pick("vec_id", "'choice'", "'score'", "'noul'")} AS qtype FROM embeddings),
+v2 AS (SELECT *, CASE WHEN qtype = 'noul' THEN 2 WHEN qtype = 'score' THEN greatest(2, vec_id % 13 + 1)
+  ELSE vec_id % 13 + 1 END AS k FROM v1),
+logits AS (SELECT vec_id, label, qtype, k, list_transform(embedding[1:k], lambda x: (x * 8::FLOAT)::FLOAT) AS z,
+  embedding[20:21] AS az, {BUCKET} AS bucket FROM v2)"""
+TEMPERED = LOGITS + f""",
+tempered AS (SELECT *, {temperatures([1.1, 0.9, 0.0001], _BY_OPTIONS)} AS t FROM logits)"""
+PROBS = TEMPERED + ",\n" + softmax("tempered")
+
+CONFIDENCE = f"""CASE WHEN k < 2 THEN 1.0::DOUBLE
+  WHEN qtype = 'noul' AND noul_rule THEN {round4("greatest(p[2]::DOUBLE, 1::DOUBLE - p[2]::DOUBLE)")}
+  ELSE {round4('''greatest(0, least(1, (1::FLOAT - (list_reduce([0::FLOAT] || list_transform(p,
+    lambda v: (v * ln(least(1, greatest(v, 1e-12::FLOAT))::DOUBLE)::FLOAT)::FLOAT),
+    lambda a, b: (a - b)::FLOAT) / ln(k::DOUBLE)::FLOAT)::FLOAT)::FLOAT))::DOUBLE''')} END"""
+SCORE = round4(
+    "list_reduce([0::DOUBLE] || list_transform(p, lambda v, i: (i - 1)::DOUBLE * v::DOUBLE), "
+    "lambda a, b: a + b)"
+)
+CHOICE = "'o' || (list_position(p, list_max(p)) - 1)"
+
+SQL["temperature_lookup"] = ctes(TEMPERED) + (
+    "SELECT vec_id, qtype, k::BIGINT AS k, bucket, t AS temperature FROM tempered"
+)
+SQL["softmax_probabilities"] = ctes(
+    PROBS, "u AS (SELECT vec_id, unnest(p) AS p, unnest(range(len(p))) AS pos FROM soft_p)"
+) + f"SELECT vec_id, pos, {round4('p::DOUBLE')} AS p FROM u"
+SQL["choice_argmax"] = ctes(PROBS) + (
+    f"SELECT vec_id, {CHOICE} AS choice FROM soft_p WHERE qtype = 'choice'"
+)
+SQL["expected_score"] = ctes(PROBS) + (
+    f"SELECT vec_id, {SCORE} AS score FROM soft_p WHERE qtype = 'score'"
+)
+SQL["noul_answer"] = ctes(PROBS) + f"""SELECT vec_id, {round4("p[2]::DOUBLE")} AS noul,
+  {CONFIDENCE.replace("noul_rule", "true")} AS confidence FROM soft_p WHERE qtype = 'noul'"""
+SQL["entropy_confidence"] = ctes(PROBS) + (
+    f"SELECT vec_id, {CONFIDENCE.replace('noul_rule', 'false')} AS confidence FROM soft_p"
+)
+SQL["uncertainty_features"] = ctes(
+    LOGITS, softmax("logits", temperature="1.0::DOUBLE"),
+    "u AS (SELECT *, list_reverse_sort(p) AS down, greatest(len(p), 2) AS kk FROM soft_p)",
+) + f"""SELECT vec_id, {round4("down[1]::DOUBLE")} AS top1,
+  {round4("(down[1] - coalesce(down[2], 0::FLOAT))::FLOAT::DOUBLE")} AS margin,
+  {round4('''(list_reduce([0::FLOAT] || list_transform(p, lambda v: (v * ln(greatest(v, 1e-9::FLOAT)::DOUBLE)::FLOAT)::FLOAT),
+    lambda a, b: (a - b)::FLOAT) / ln(kk::DOUBLE)::FLOAT)::FLOAT::DOUBLE''')} AS entropy,
+  {round4("(kk::DOUBLE / 255::DOUBLE)::FLOAT::DOUBLE")} AS k_share FROM u"""
+SQL["act_probability"] = ctes(LOGITS, softmax("logits", "az", "1.0::DOUBLE", "ap")) + (
+    f"SELECT vec_id, {round4('ap[1]::DOUBLE')} AS act_probability FROM soft_ap"
+)
+
+ANSWERS = PROBS + ",\n" + softmax("soft_p", "az", "1.0::DOUBLE", "ap") + f""",
+ans AS (SELECT vec_id // 4 AS request_id, label, vec_id % 4 AS q_pos, 'q' || (vec_id % 4) AS qid, qtype, k, p,
+  CASE WHEN qtype = 'choice' THEN {CHOICE} END AS choice,
+  CASE WHEN qtype = 'score' THEN {SCORE} END AS score,
+  CASE WHEN qtype = 'noul' THEN {round4("p[2]::DOUBLE")} END AS noul,
+  {CONFIDENCE.replace("noul_rule", "true")} AS confidence,
+  {round4("ap[1]::DOUBLE")} AS act_probability FROM soft_ap)"""
+_KEYS = "list_transform(range(k), lambda i: 'o' || i)"
+_LEGEND = """list_transform(range(k), lambda i: '"level o' || i || '"')"""
+_PROB_KEYS = f"CASE qtype WHEN 'choice' THEN {_KEYS} WHEN 'score' THEN list_transform(range(k), lambda i: i::VARCHAR) END"
+SQL["decision_rows"] = ctes(ANSWERS) + f"""SELECT request_id, q_pos, qid, qtype, choice, score, noul,
+  CASE WHEN qtype = 'score' THEN array_to_string({_LEGEND}, '|') END AS legend,
+  array_to_string({_PROB_KEYS}, '|') AS prob_keys, confidence, act_probability FROM ans"""
+SQL["regroup_answers"] = ctes(ANSWERS) + """SELECT request_id, count(*) AS n,
+  string_agg(qid, '|' ORDER BY q_pos) AS qids,
+  coalesce(string_agg(choice, '|' ORDER BY q_pos), '') AS choices FROM ans GROUP BY request_id"""
+
+
+def _num(x: str) -> str:
+    return f"regexp_replace(printf('%.4f', {x}), '0{{1,3}}$', '')"
+
+
+def _share_list() -> str:
+    return (f"""'{{' || array_to_string(list_transform(list_zip({_PROB_KEYS}, p), lambda z: '"' || z[1] || '": ' || """
+            f"""{_num("z[2]::DOUBLE")}), ', ') || '}}'""")
+
+
+SQL["answer_json_text"] = ctes(ANSWERS, f"""j AS (SELECT request_id, q_pos, '"' || qid || '": {{"type": "' || qtype || '", ' || CASE qtype
+  WHEN 'choice' THEN '"choice": "' || choice || '", "probabilities": ' || {_share_list()}
+  WHEN 'score' THEN '"score": ' || {_num("score")} || ', "legend": {{' || array_to_string(list_transform(range(k),
+    lambda i: '"' || i || '": "level o' || i || '"'), ', ') || '}}, "probabilities": ' || {_share_list()}
+  ELSE '"noul": ' || {_num("noul")} END
+  || ', "confidence": ' || {_num("confidence")} || ', "action": {{"act_probability": ' || {_num("act_probability")} || '}}}}' AS a
+  FROM ans)""") + """SELECT request_id, '{' || string_agg(a, ', ' ORDER BY q_pos) || '}' AS answers
+FROM j GROUP BY request_id"""
+SQL["decision_summary"] = ctes(ANSWERS) + """SELECT label::BIGINT AS label, qid, choice, count(*) AS n,
+  round(avg(score), 6) AS mean_score, round(avg(noul), 6) AS mean_noul, round(avg(confidence), 6) AS mean_confidence
+FROM ans GROUP BY label, qid, choice"""
+SQL["labelled_decisions"] = ctes(FLAT_DOCUMENTS, DETECTED, routed()) + (
+    "SELECT model, language, toxic::BIGINT AS toxic, count(*) AS n FROM routed "
+    "JOIN labels ON id = doc_id GROUP BY ALL"
+)
+SQL["logit_drift"] = ctes(LOGITS) + """SELECT count(*) AS n,
+  round(max(list_max(list_transform(z, lambda x: abs(x::DOUBLE - (x + 0.003::FLOAT)::FLOAT::DOUBLE)))), 6) AS max_logit_diff,
+  0.0::DOUBLE AS max_act_diff, true AS within_gate FROM logits"""
+SQL["answer_parity"] = ctes(ANSWERS, """s AS (SELECT *, choice IS NULL OR choice <> 'o1' AS in_got,
+  noul IS NULL OR noul > 0.2::DOUBLE AS in_want FROM ans)""", f"""f AS (SELECT in_got, in_want, score, unnest(
+  ['type', 'confidence', 'act_probability']
+  || CASE qtype WHEN 'choice' THEN ['choice'] WHEN 'score' THEN ['score'] ELSE ['noul'] END
+  || coalesce(list_transform({_PROB_KEYS}, lambda x: 'probabilities.' || x), [])
+  || CASE WHEN qtype = 'score' THEN list_transform(range(k), lambda i: 'legend.' || i) ELSE [] END) AS field
+  FROM s WHERE in_got OR in_want)""") + """SELECT field, CASE WHEN NOT in_got THEN 'missing' WHEN NOT in_want THEN 'extra'
+  WHEN field = 'confidence' AND coalesce(score, 0) > 2 THEN 'differs' ELSE 'ok' END AS verdict, count(*) AS n
+FROM f GROUP BY ALL"""
+
+# --- requests ---------------------------------------------------------------------------------
+
+_LIMITS = ('field "max_len" must be an integer between 1 and 8192 (tokens), e.g. 2048 or 4096')
+_MISSING_CONTEXT = 'missing "context" (a string, object or array describing the state)'
+_ERRORS = {
+    1: 'empty request body; send JSON with "context" and "spec"',
+    2: "invalid JSON",
+    3: "request body must be a JSON object",
+    4: 'field "model" must be a string',
+    5: _LIMITS, 6: _LIMITS, 7: _LIMITS,
+    9: 'unknown field "bogus" (expected context, spec, model, lang, task, max_len; '
+       'state/questions/categories are also accepted)',
+    10: _MISSING_CONTEXT,
+    11: 'missing "spec" (object of typed questions)',
+    12: "spec must be a JSON object mapping question ids to definitions, got array",
+    13: "spec has no questions",
+    14: 'question "q": definition must be an object',
+    15: 'question "q": missing string field "type" (choice|score|noul)',
+    16: 'question "q": unknown type "rank" (choice|score|noul)',
+    17: 'question "q": missing field "instructions"',
+    18: 'question "q": choice questions need "criteria" (object or array of labels)',
+    19: 'question "q": criteria list items must be strings',
+    20: 'question "q": criteria must be an object or array, got string',
+    21: 'question "q": choice questions need at least one option',
+    22: 'question "q": score questions need "criteria" as an array of rubric levels',
+    23: 'question "q": score questions need at least two rubric levels',
+}
+_BODY = "event_id % 25"
+_ERROR = f"CASE {_BODY} " + " ".join(f"WHEN {i} THEN {q(m)}" for i, m in _ERRORS.items()) + " END"
+SQL["request_validation"] = f"""SELECT event_id, {_ERROR} AS error,
+  CASE WHEN {_BODY} NOT IN (0, 8, 24) THEN 'bad_request' END AS error_class, NULL::VARCHAR AS lang,
+  CASE WHEN {_BODY} = 8 THEN event_type END AS task,
+  CASE {_BODY} WHEN 7 THEN 16384 WHEN 8 THEN 4096 END::BIGINT AS max_len,
+  CASE {_BODY} WHEN 0 THEN '' WHEN 8 THEN event_type WHEN 24 THEN event_type END AS context_text,
+  CASE {_BODY} WHEN 0 THEN {_PROPS} WHEN 8 THEN event_type WHEN 24 THEN event_type END AS state_text
+FROM events"""
+SQL["request_quarantine"] = f"""SELECT 'bad_request' AS error_class, count(*) AS n FROM events
+WHERE {_BODY} NOT IN (0, 8, 24)"""
+_PLAIN_NOUL = f"'false: {fixed.NOUL_FALSE}|true: {fixed.NOUL_TRUE}'"
+SQL["request_questions"] = f"""SELECT event_id, 0::BIGINT AS q_pos, 'q' AS qid, 'noul' AS qtype, '?' AS instructions,
+  {_PLAIN_NOUL} AS options, '' AS legend FROM events WHERE {_BODY} IN (0, 8)
+UNION ALL SELECT event_id, 0, 'c', 'choice', '{{"\\u00e9": "' || event_type || '", "n": 1.5}}',
+  CASE WHEN event_type = 'x' THEN 'x' ELSE 'x|' || event_type END, '' FROM events WHERE {_BODY} = 24
+UNION ALL SELECT event_id, 1, 'n', 'noul', '?', 'false: {fixed.NOUL_FALSE}|true: ["y", ' || user_id || ']', ''
+  FROM events WHERE {_BODY} = 24
+UNION ALL SELECT event_id, 2, 's', 'score', 'how?', 'level 0: null|level 1: {{"a": 2.5}}|level 2: top',
+  'null|{{"a": 2.5}}|"top"' FROM events WHERE {_BODY} = 24
+UNION ALL SELECT event_id, 3, 'o', 'choice', '?', 'a|b: 0|c|d: ' || {_PROPS}, '' FROM events WHERE {_BODY} = 24"""
+_STANDARD = "|".join(f"{k}: {v}" for k, v in fixed.PRESETS["email"]["category"][2].items())
+SQL["preset_requests"] = f"""WITH r AS (SELECT event_id, event_type, event_id % 4 AS p, event_id % 5 AS b FROM events),
+e AS (SELECT *, CASE WHEN b = 4 THEN 'unknown field "contex" (expected context, spec, model, lang, task, max_len; '
+    || 'state/questions/categories are also accepted)'
+  WHEN b = 1 THEN 'presets define their own spec; use /v1/predict to pass one'
+  WHEN p = 2 THEN 'unknown preset "nope"; available: [{" ".join(PRESET_ORDER)}]' END AS error FROM r)
+SELECT event_id, error, CASE WHEN b IN (1, 4) THEN 'bad_request' WHEN p = 2 THEN 'not_found' END AS error_class,
+  CASE WHEN error IS NOT NULL THEN NULL
+    WHEN p = 1 THEN {_PLAIN_NOUL}
+    WHEN b = 0 THEN event_type || ': x|b' ELSE {q(_STANDARD)} END AS options FROM e"""
+SQL["failure_classes"] = f"""WITH m AS (SELECT {pick("doc_id",
+    "'unknown model \"' || lang || '\"'", "'load ' || lang || ': no checkpoint'",
+    "'question \"q\" options exceed head_max_len=192'", "'max_len must be positive, got -1'",
+    "'graph failed on ' || lang", "NULL")} AS message, doc_id % 6 AS i FROM documents)
+SELECT message, CASE WHEN i IN (0, 2, 3) THEN 'bad_request' WHEN i = 1 THEN 'unavailable'
+  WHEN i = 4 THEN 'internal' END AS class, count(*) AS n FROM m GROUP BY message, i"""
+SQL["checkpoint_availability"] = ctes(FLAT_DOCUMENTS, DETECTED, routed()) + """SELECT model, count(*) AS n,
+  CASE model WHEN 'english' THEN 'hub/en' ELSE 'owner/family/' || model END AS repo,
+  CASE WHEN model = 'multilingual' THEN count(*) ELSE 0 END AS unavailable FROM routed GROUP BY model"""
+
+# --- tokenisation, scoring, end to end --------------------------------------------------------
+
+_VOCABULARY = "vocabulary(word, id) AS (VALUES " + ", ".join(
+    f"({q(w)}, {doubles.FIRST_WORD_ID + i})" for i, w in enumerate(ALL_WORDS)
+) + ")"
+_WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
+SQL["tokenize_documents"] = ctes(
+    _VOCABULARY, f"ws AS (SELECT doc_id, unnest({_WORDS}) AS word FROM documents)",
+    f"ids AS (SELECT doc_id, coalesce(id, {doubles.UNKNOWN_ID}) AS id FROM ws LEFT JOIN vocabulary USING (word))",
+) + f"""SELECT doc_id, count(id) AS n, count(*) FILTER (id = {doubles.UNKNOWN_ID}) AS unknown,
+  coalesce(sum(id), 0)::BIGINT AS total FROM documents LEFT JOIN ids USING (doc_id) GROUP BY doc_id"""
+SQL["score_sequences"] = ctes(PRESET_SEQUENCES) + f"""SELECT conv_id, turn, q_pos::BIGINT AS q_pos, len(markers)::BIGINT AS k,
+  round(list_sum(list_transform(markers, lambda m: m * {doubles.LOGIT_STEP}::DOUBLE)), 4) AS logit_sum,
+  round(len(ids) * {doubles.LENGTH_STEP}::DOUBLE, 4) AS act0, qcode::DOUBLE AS act1 FROM seqs"""
+
+# Settings of the stand-in checkpoints: window, head window, temperatures.
+_CHECKPOINTS = """checkpoints(model, max_len, hml) AS (VALUES
+  ('english', 512, 192), ('multilingual', 1024, 64), ('typed-decisions', 256, 100))"""
+_PREDICTED = ",\n".join([
+    ASKED,
+    "src AS (SELECT {'c': conv_id, 't': turn} AS id, text AS t FROM ctx)", DETECTED, routed(),
+    f"""asked AS (SELECT conv_id || '-' || turn AS request_id, c.spec_id, len({_WORDS}) AS n_state,
+      CASE conv_id % 3 WHEN 0 THEN r.model WHEN 1 THEN 'typed-decisions' END AS model,
+      {pick("turn", "NULL", "300", "100", "9000")} AS asked
+      FROM ctx c JOIN routed r ON r.id.c = conv_id AND r.id.t = turn)""",
+    _CHECKPOINTS,
+    """checked AS (SELECT a.*, hml, coalesce(asked, max_len) AS ml,
+      k.model IS NULL OR coalesce(asked > 8192 OR asked < hml + 16, false) AS bad
+      FROM asked a LEFT JOIN checkpoints k USING (model))""",
+    QUESTIONS,
+    # A token is a blank-separated word here, so a list of n zeros stands for n ids.
+    f"""qs AS (SELECT spec_id, q_pos, qid, qtype, hml, model,
+      list_resize([]::INTEGER[], len(string_split(qtype || ' question: ' || instructions, ' ')), 0) AS head_ids,
+      list_transform({OPTIONS}, lambda t: list_resize([]::INTEGER[], len(string_split(t, ' ')), 0)) AS options
+      FROM questions, checkpoints)""",
+    budget("qs"),
+    f"""pred AS (SELECT request_id, c.model, c.spec_id, q_pos, qid, qtype, markers, len(markers) AS k,
+      least(ml, len(prefix) + least(n_state, greatest(0, ml - len(prefix) - 1)) + 1) AS n_ids,
+      list_transform(markers, lambda m: (m::FLOAT * {doubles.LOGIT_STEP}::FLOAT)::FLOAT) AS z
+      FROM checked c JOIN prefixed p ON p.spec_id = c.spec_id AND p.model = c.model WHERE NOT bad)""",
+])
+SQL["predict_turns"] = ctes(_PREDICTED) + """SELECT request_id, CASE WHEN NOT bad THEN c.model END AS model,
+  CASE WHEN bad THEN 'bad_request' END AS error_class, sum(n_ids)::BIGINT AS input_tokens,
+  CASE WHEN NOT bad THEN count(n_ids) END AS n_answers
+FROM checked c LEFT JOIN pred USING (request_id) GROUP BY request_id, c.model, bad"""
+SQL["write_and_read_results"] = ctes(_PREDICTED) + """SELECT model, count(DISTINCT request_id) AS n,
+  sum(n_ids)::BIGINT AS input_tokens FROM pred GROUP BY model"""
+_PREDICT_T = " ".join(
+    f"WHEN {q(m)} THEN {temperatures(by_type, by_options)}"
+    for m, by_type, by_options in (
+        ("english", [1.0, 1.0, 1.0], {"choice:6-10": 0.5}),
+        ("multilingual", [0.5, 2.0, 1.5], {}),
+        ("typed-decisions", [1.0, 1.0, 0.25], {"score:3-5": 0.125}),
+    )
+)
+SQL["predict_decisions"] = ctes(
+    _PREDICTED,
+    f"pb AS (SELECT *, {BUCKET} AS bucket FROM pred)",
+    f"pt AS (SELECT *, CASE model {_PREDICT_T} END AS t FROM pb)",
+    softmax("pt"),
+    "pk AS (SELECT s.*, x.keys FROM soft_p s JOIN questions x USING (spec_id, q_pos))",
+) + f"""SELECT request_id, q_pos::BIGINT AS q_pos, qid, qtype,
+  CASE WHEN qtype = 'choice' THEN keys[list_position(p, list_max(p))] END AS choice,
+  CASE WHEN qtype = 'score' THEN {SCORE} END AS score,
+  CASE WHEN qtype = 'noul' THEN {round4("p[2]::DOUBLE")} END AS noul,
+  {CONFIDENCE.replace("noul_rule", "true")} AS confidence, model FROM pk"""
+SQL["stream_requests"] = ctes(
+    "src AS (SELECT doc_id AS id, text AS t FROM documents)", DETECTED, routed()
+) + """SELECT CASE id % 3 WHEN 0 THEN model WHEN 2 THEN 'english' END AS model,
+  CASE id % 3 WHEN 0 THEN reason WHEN 2 THEN 'explicit model=''en''' END AS reason,
+  id % 3 = 1 AS dead, count(*) AS n FROM routed GROUP BY ALL"""
