@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askframe.functions import fixed
+from askframe.functions.plan import seal
 from askframe.functions.text import char_class, col, first_chars, lower_simple, round4
 
 LATIN = char_class(fixed.LATIN_RANGES)
@@ -52,12 +53,15 @@ def _count_of(foreign: Column, name: str, ranges) -> Column:
 
 
 def with_script_counts(
-    df: DataFrame, text: Column | str, out: str = "script_counts", exact: bool = True
+    df: DataFrame, text: Column | str, out: str = "script_counts"
 ) -> DataFrame:
-    """Add ``out``: array of (n, rank, script) with n > 0; the largest struct is dominant.
+    """Add ``out``: array of (n, rank, script) with n > 0; the largest struct is dominant."""
+    return seal(_script_counts(df, text, out, exact=True), out)
 
-    ``exact=False`` is enough for shares: a text whose letters are all Latin then gets the
-    count 1 for Latin instead of its number of letters.
+
+def _script_counts(df: DataFrame, text: Column | str, out: str, exact: bool) -> DataFrame:
+    """``with_script_counts``; ``exact=False`` is enough for shares: a text whose letters are
+    all Latin then gets the count 1 for Latin instead of its number of letters.
     """
     n_latin = F.length(letters(F.col("_text"))) - F.length("_foreign")
     if not exact:
@@ -122,6 +126,12 @@ def with_latin_language(
 
     ``where`` limits the work to the rows that need a guess.
     """
+    return seal(_latin_language(df, text, out, where), out)
+
+
+def _latin_language(
+    df: DataFrame, text: Column | str, out: str, where: Column | None
+) -> DataFrame:
     window = detection_window(col(text))
     if where is not None:
         window = F.when(where, window)
@@ -179,7 +189,7 @@ def detect(
     counts, total = F.col("_counts"), F.col("_total")
     script = F.col("_script")
     df = df.withColumn("_dtext", detection_window(text))
-    df = with_script_counts(df, "_dtext", "_counts", exact=False)
+    df = _script_counts(df, "_dtext", "_counts", exact=False)
     df = (
         df.withColumn("_total", total_letters(counts))
         .withColumn("_script", F.when(F.col("_dtext").isNotNull(), dominant_script(counts)))
@@ -189,7 +199,7 @@ def detect(
             - F.try_divide(latin_letters(counts).cast("double"), total.cast("double")),
         )
     )
-    df = with_latin_language(df, "_dtext", "_language", where=script == "latin")
+    df = _latin_language(df, "_dtext", "_language", where=script == "latin")
     fraction = F.when(script == "unknown", F.lit(0.0)).otherwise(round4(F.col("_outside")))
     profile = F.map_from_entries(
         F.transform(
@@ -209,6 +219,7 @@ def detect(
         english.alias("is_english"),
         fraction.alias("non_latin_fraction"),
     )
-    return df.withColumn(out, F.when(script.isNotNull(), detection)).drop(
+    df = df.withColumn(out, F.when(script.isNotNull(), detection)).drop(
         "_dtext", "_counts", "_total", "_script", "_outside", "_language"
     )
+    return seal(df, out)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askframe.functions import fixed
+from askframe.functions.plan import seal
 from askframe.functions.text import col, first_chars, ltrim_space, rtrim_space, trim_space
 
 _PATTERN_SPACES = [c for c in fixed.SPACE_CHARS if c != "\u000b"] + list("\x1c\x1d\x1e\x1f")
@@ -123,7 +124,7 @@ def clean_email(
 ) -> DataFrame:
     """Add ``out``: the message itself, without quoted history, signature and disclaimers."""
     text, lines, hits, start = (F.col(c) for c in ("_text", "_lines", "_hits", "_start"))
-    return (
+    df = (
         df.withColumn("_text", normalise_newlines(col(body)))
         .withColumn("_low", F.lower(text))
         .withColumn("_headers", _has_any(F.col("_low"), HEADER_HINTS))
@@ -158,6 +159,7 @@ def clean_email(
             "_text", "_low", "_headers", "_signature", "_disclaimer", "_lines", "_hits", "_start"
         )
     )
+    return seal(df, out)
 
 
 def email_context(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from askframe.functions import fixed
 from askframe.functions.detect import DETECTION_TYPE, detect
+from askframe.functions.plan import seal
 from askframe.functions.text import col, fold_name, percent_text, quote_repr
 from askframe.sources.tables import literal_map
 
@@ -164,11 +165,10 @@ def route(
         F.when(known & ~explicit, wf).alias("workflow"),
         F.when(~known, unknown_model(asked, options)).alias("error"),
     )
-    # One row in, one row out. The generator keeps later joins on the model from unfolding the
-    # whole chain of projections while they are planned, which takes minutes otherwise.
-    helpers = ("_model", "_task", "_lang", "_workflow", "_detection", "_chosen", "_reason", out)
-    kept = [c for c in df.columns if c not in helpers]
-    return df.select(*kept, F.explode(F.array(result)).alias(out))
+    df = df.withColumn(out, result).drop(
+        "_model", "_task", "_lang", "_workflow", "_detection", "_chosen", "_reason"
+    )
+    return seal(df, out)
 
 
 def _canonical(name: str, options: RouterOptions) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from askframe.functions import fixed
 from askframe.functions.calibrate import ANSWER_TYPE, answers, temperature_for
+from askframe.functions.plan import seal
 from askframe.operators.route import RouterOptions, route
 from askframe.operators.score import score, token_ids
 from askframe.operators.sequence import input_tokens, question_prefix, sequences
@@ -160,7 +161,8 @@ def predict(
         here["head_max_len"].cast("string"),
     )
     df = (
-        df.withColumn("error", F.coalesce("error", overflow))
+        seal(df, "error", "sequences")
+        .withColumn("error", F.coalesce("error", overflow))
         .withColumn(
             "error_class",
             F.when(F.col("questions").isNull(), BAD_REQUEST)

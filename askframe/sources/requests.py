@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from askframe.functions import fixed
 from askframe.functions.calibrate import let
+from askframe.functions.plan import seal
 from askframe.functions.pyjson import ascii_escape, quote
 from askframe.functions.text import col
 from askframe.operators.specs import QUESTION_TYPE, with_categories
@@ -303,9 +304,13 @@ def parse_requests(
             "error", F.coalesce(F.col("_body_error"), required, F.col("spec_error"))
         ).withColumn("error_class", F.when(F.col("error").isNotNull(), BAD_REQUEST))
         df = df.drop("spec_error")
-    return df.drop(
+    df = df.drop(
         "invalid", "kind", "canonical", "nodes", "_fields", "_context", "_body_error", "spec_node"
     )
+    return seal(
+        df, "state_text", "context_text", "questions", *fixed.HINT_FIELDS, "max_len", "error",
+        "error_class",
+    )
 
 
 def failure_class(message: Column) -> Column:
