@@ -42,14 +42,33 @@ def foreign_letters(text: Column) -> Column:
     )
 
 
-def _count_of(foreign: Column, name: str, ranges) -> Column:
+def _script_count(name: str, ranges) -> str:
+    """SQL of struct(n, rank, script) of one script in ``_foreign``."""
     body = char_class(ranges)
-    return F.struct(
-        F.length(F.regexp_replace(foreign, f"[^{body}]+", "")).alias("n"),
-        # Ties go to the script seen first, so the negated position is the second sort key.
-        (-F.regexp_instr(foreign, F.lit(f"[{body}]"))).alias("rank"),
-        F.lit(name).alias("script"),
-    )
+    # Ties go to the script seen first, so the negated position is the second sort key.
+    return f"""CASE WHEN _foreign RLIKE r'[{body}]' THEN struct(
+        length(regexp_replace(_foreign, r'[^{body}]+', '')) AS n,
+        -regexp_instr(_foreign, r'[{body}]') AS rank, '{name}' AS script) END"""
+
+
+def _present_scripts() -> str:
+    """SQL of the ARRAY of structs of all scripts that occur in ``_foreign``.
+
+    Six scripts share one test, so a text in one script is not searched for all 24.
+    """
+    groups = [fixed.SCRIPT_RANGES[i : i + 6] for i in range(0, len(fixed.SCRIPT_RANGES), 6)]
+    parts = []
+    for group in groups:
+        anywhere = char_class([r for _, ranges in group for r in ranges])
+        counts = ", ".join(_script_count(name, ranges) for name, ranges in group)
+        parts.append(
+            f"CASE WHEN _foreign RLIKE r'[{anywhere}]' THEN array_compact(array({counts})) "
+            f"ELSE {_NO_COUNTS} END"
+        )
+    return f"concat({', '.join(parts)})"
+
+
+_NO_COUNTS = "cast(array() AS array<struct<n:int,rank:int,script:string>>)"
 
 
 def with_script_counts(
@@ -72,11 +91,7 @@ def _script_counts(df: DataFrame, text: Column | str, out: str, exact: bool) ->
         F.lit(-(2**31) + 1).alias("rank"),  # Latin loses every tie
         F.lit("latin").alias("script"),
     )
-    none = F.array().cast("array<struct<n:int,rank:int,script:string>>")
-    others = F.filter(
-        F.array(*[_count_of(F.col("_foreign"), n, r) for n, r in fixed.SCRIPT_RANGES]),
-        lambda s: s["n"] > 0,
-    )
+    none = F.expr(_NO_COUNTS)
     return (
         df.withColumn("_text", detection_window(col(text)))
         .withColumn("_foreign", foreign_letters(F.col("_text")))
@@ -84,7 +99,7 @@ def _script_counts(df: DataFrame, text: Column | str, out: str, exact: bool) ->
         .withColumn(
             out,
             F.concat(
-                F.when(F.length("_foreign") > 0, others).otherwise(none),
+                F.when(F.length("_foreign") > 0, F.expr(_present_scripts())).otherwise(none),
                 F.when(F.col("_latin")["n"] > 0, F.array("_latin")).otherwise(none),
             ),
         )
@@ -110,8 +125,10 @@ def words(lowered: Column) -> Column:
     return F.regexp_extract_all(lowered, F.lit(fixed.WORD_PATTERN), F.lit(0))
 
 
-def count_members(found: Column, members: list[str]) -> Column:
-    return F.size(F.filter(found, lambda w: w.isin(members)))
+def among(column: str, members: list[str]) -> str:
+    """SQL of the elements of an array column that are in a fixed list (one hash probe each)."""
+    listed = ", ".join(f"'{m}'" for m in members)
+    return f"filter({column}, w -> w IN ({listed}))"
 
 
 def diacritic_count(lowered: Column) -> Column:
@@ -135,7 +152,7 @@ def _latin_language(
     window = detection_window(col(text))
     if where is not None:
         window = F.when(where, window)
-    hits, scores = F.col("_hits"), F.col("_scores")
+    scores = F.col("_scores")
     en, best, rate = scores[0], F.col("_best"), F.col("_rate")
     others = F.slice(scores, 2, len(LANGUAGES) - 1)
     # The first maximum wins, which is "fr" when nothing was found at all.
@@ -156,10 +173,10 @@ def _latin_language(
         .withColumn("_words", words(F.col("_low")))
         .withColumn("_n_words", F.size("_words"))
         # One hash probe per word leaves the few words that any language set contains.
-        .withColumn("_hits", F.filter("_words", lambda w: w.isin(ALL_WORDS)))
+        .withColumn("_hits", F.expr(among("_words", ALL_WORDS)))
         .withColumn(
             "_scores",
-            F.array(*[count_members(hits, WORD_SETS[lang]) for lang in LANGUAGES]),
+            F.array(*[F.expr(f"size({among('_hits', WORD_SETS[x])})") for x in LANGUAGES]),
         )
         .withColumn("_best", F.array_max(others))
         # The diacritic rate only decides when the word lists do not.

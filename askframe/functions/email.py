@@ -18,8 +18,8 @@ from askframe.functions import fixed
 from askframe.functions.plan import seal
 from askframe.functions.text import col, first_chars, ltrim_space, rtrim_space, trim_space
 
-_PATTERN_SPACES = [c for c in fixed.SPACE_CHARS if c != "\u000b"] + list("\x1c\x1d\x1e\x1f")
-_SPACES = list(fixed.SPACE_CHARS)
+# Characters a quote header can start with; white space is more than the patterns allow.
+_HEADER_STARTS = "OoFf-_\x1c\x1d\x1e\x1f" + fixed.SPACE_CHARS
 
 
 def _pattern(text: str) -> str:
@@ -48,6 +48,11 @@ def _has_any(text: Column, parts: list[str]) -> Column:
     return reduce(or_, [F.contains(text, F.lit(p)) for p in parts])
 
 
+def _one_of(characters: str, char: Column) -> Column:
+    """Whether a one-character text is among these; true for the empty text too."""
+    return F.contains(F.lit(characters), char)
+
+
 def normalise_newlines(body: Column) -> Column:
     r"""CRLF, CR and the two-character text ``\n`` become LF."""
     return F.when(
@@ -56,25 +61,26 @@ def normalise_newlines(body: Column) -> Column:
 
 
 def is_quote_header(line: Column) -> Column:
-    starts = list("OoFf-_") + _PATTERN_SPACES
-    return F.substring(line, 1, 1).isin(starts) & line.rlike(QUOTE_HEADER)
+    return _one_of(_HEADER_STARTS, F.substring(line, 1, 1)) & line.rlike(QUOTE_HEADER)
 
 
 def is_quoted(line: Column) -> Column:
     return F.startswith(line, F.lit(">")) | (
-        F.substring(line, 1, 1).isin(_SPACES) & F.startswith(ltrim_space(line), F.lit(">"))
+        _one_of(fixed.SPACE_CHARS, F.substring(line, 1, 1))
+        & F.startswith(ltrim_space(line), F.lit(">"))
     )
 
 
 def is_signature(line: Column) -> Column:
     """Test of a line that has no blanks at its end any more."""
-    indented = F.substring(line, 1, 1).isin(_SPACES)
+    indented = _one_of(fixed.SPACE_CHARS, F.substring(line, 1, 1))
     size = F.octet_length(F.when(indented, ltrim_space(line)).otherwise(line))
     return (size <= fixed.SIGNATURE_BYTES) & line.rlike(SIGNATURE)
 
 
 def trim_line_end(line: Column) -> Column:
-    return F.when(F.substring(line, -1, 1).isin(_SPACES), rtrim_space(line)).otherwise(line)
+    blank = _one_of(fixed.SPACE_CHARS, F.substring(line, -1, 1))
+    return F.when(blank, rtrim_space(line)).otherwise(line)
 
 
 def before_first(lines: Column, hits: Column, start: Column) -> Column:

@@ -32,13 +32,18 @@ def pick(key: Column | str, *values: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    return read_table(spark, sf, "documents", "doc_id", *columns, spread="doc_id")
+    return read_table(spark, sf, "documents", "doc_id", *columns, spread=("doc_id",))
 
 
 def conversations(spark: SparkSession, sf: str) -> DataFrame:
     """Turns as contexts. A turn is a request of its own, however long a conversation is."""
-    df = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
-    return df
+    return read_table(
+        spark, sf, "conversations", "conv_id", "turn", "role", "text", spread=("conv_id", "turn")
+    )
+
+
+def events(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return read_table(spark, sf, "events", "event_id", *columns, spread=("event_id",))
 
 
 def mixed_scripts(spark: SparkSession, sf: str) -> DataFrame:

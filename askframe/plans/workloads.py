@@ -540,7 +540,7 @@ def map_context_sorted(spark: SparkSession, sf: str) -> DataFrame:
 
 def _raw_events(spark: SparkSession, sf: str) -> DataFrame:
     """event_id, doc: JSON texts with repeated keys, literal numbers and some broken ones."""
-    df = read_table(spark, sf, "events", "event_id", "event_type", "value", "user_id", "props")
+    df = inputs.events(spark, sf, "event_type", "value", "user_id", "props")
     kind = F.col("event_type")
     v = F.col("value").cast("decimal(18,2)").cast("string")
     user = F.col("user_id").cast("string")
@@ -915,7 +915,7 @@ def answer_parity(spark: SparkSession, sf: str) -> DataFrame:
 
 def _bodies(spark: SparkSession, sf: str) -> DataFrame:
     """event_id, endpoint, preset, body: events as request bodies, many of them faulty."""
-    df = read_table(spark, sf, "events", "event_id", "event_type", "user_id", "props")
+    df = inputs.events(spark, sf, "event_type", "user_id", "props")
     kind, props = F.col("event_type"), F.col("props")
     noul = '"spec": {"q": {"type": "noul", "instructions": "?"}}'
 
@@ -1011,7 +1011,7 @@ def request_quarantine(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def preset_requests(spark: SparkSession, sf: str) -> DataFrame:
     ship_package(spark)
-    df = read_table(spark, sf, "events", "event_id", "event_type", "props")
+    df = inputs.events(spark, sf, "event_type", "props")
     kind = F.col("event_type")
     preset = inputs.pick("event_id", F.lit("email"), F.lit("guard"), F.lit("nope"), F.lit("email"))
     body = inputs.pick(

@@ -15,13 +15,12 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def read_table(
-    spark: SparkSession, root: str, name: str, *columns: str, spread: str | None = None
+    spark: SparkSession, root: str, name: str, *columns: str, spread: tuple[str, ...] = ()
 ) -> DataFrame:
     """Read ``<root>/<name>.parquet``.
 
-    ``spread`` names a well distributed key: an input that is too small to give every core a
-    row group is hashed over the cores by it. Larger inputs are read as they lie, without a
-    shuffle.
+    ``spread`` names a unique key: an input that is too small to give every core a row group
+    is hashed over the cores by it. Larger inputs are read as they lie, without a shuffle.
     """
     df = spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
     if columns:
@@ -29,7 +28,7 @@ def read_table(
     if spread:
         cores = spark.sparkContext.defaultParallelism
         if estimated_bytes(df) < cores * SMALL_INPUT_BYTES_PER_CORE:
-            df = df.repartition(cores, spread)
+            df = df.repartition(cores, *spread)
     return df
 
 
