@@ -110,7 +110,7 @@ def _json(value: Column, dtype: T.DataType, nested: bool) -> Column:
         for i, field in enumerate(dtype.fields):
             parts.append(F.concat(F.lit(", " if i else ""), quote(F.lit(field.name)), F.lit(": ")))
             parts.append(_json(value[field.name], field.dataType, nested))
-        text = F.concat(F.lit("{"), *parts, F.lit("}"))
+        text = F.when(value.isNotNull(), F.concat(F.lit("{"), *parts, F.lit("}")))
     elif isinstance(dtype, T.ArrayType):
         if isinstance(dtype.elementType, (T.DoubleType, T.FloatType)) and not nested:
             items = double_texts(value.cast("array<double>"))

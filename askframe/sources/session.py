@@ -28,11 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     Taken from ``spark.checkpoint.dir``. Only a local session without that setting gets a
     temporary folder of its own.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_askframe_dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="askframe-shared-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    sc._askframe_dir = tempfile.mkdtemp(prefix="askframe-shared-")
+    return sc._askframe_dir
