@@ -34,7 +34,13 @@ def golden_answers(golden: DataFrame) -> DataFrame:
     """Recorded answers in the decisions layout, ready for ``answer_parity``."""
     rows = golden.select("model", "case", F.explode("result.answers").alias("qid", "a"))
     shares = F.map_entries("a.probabilities")
-    legend = F.array_sort(F.map_entries("a.legend"))
+    # Levels are keyed by their number as text: "10" comes after "2".
+    legend = F.array_sort(
+        F.transform(
+            F.map_entries("a.legend"),
+            lambda e: F.struct(e["key"].cast("int").alias("level"), e["value"].alias("value")),
+        )
+    )
     return rows.select(
         "model",
         "case",
