@@ -25,17 +25,24 @@ from askframe.operators.specs import (
 )
 from askframe.sources.catalog import effective_max_len, max_len_error, with_checkpoint
 from askframe.sources.requests import BAD_REQUEST, UNAVAILABLE, failure_class
-from askframe.sources.tables import lookup_join
+from askframe.sources.tables import BROADCAST_BYTES, estimated_bytes, lookup_join, stored
 
 
-def intern_specs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+# Prefixes hold the ids of every question for three checkpoints: a multiple of the texts.
+PREFIX_GROWTH = 16
+
+
+def intern_specs(df: DataFrame, store: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Requests that bring their own questions: (requests with spec_id, distinct specs).
 
-    Equal specs meet in the map-side aggregate already, however many requests share one.
+    Equal specs meet in the map-side aggregate already, however many requests share one. With
+    ``store`` the distinct specs are written there, so that ``predict`` knows their size and
+    broadcasts them where they are few.
     """
     keyed = df.withColumn("spec_id", F.sha2(F.to_json(F.struct("questions")), 256))
     specs = keyed.select("spec_id", "questions").filter(F.col("questions").isNotNull())
-    return keyed.drop("questions"), specs.dropDuplicates(["spec_id"])
+    specs = specs.dropDuplicates(["spec_id"])
+    return keyed.drop("questions"), stored(specs, store) if store else specs
 
 
 def spec_prefixes(
@@ -120,7 +127,9 @@ def predict(
         requests = _hint(requests, name)
     requests = _hint(requests, "max_len", "int")
     prepared = spec_prefixes(specs, catalog, encode)
-    df = lookup_join(requests, prepared, "spec_id", bounded=bounded_specs)
+    # The estimate of a joined table is the product of its sides: judge by the specs alone.
+    few = bounded_specs or estimated_bytes(specs) * PREFIX_GROWTH <= BROADCAST_BYTES
+    df = lookup_join(requests, prepared, "spec_id", bounded=few)
     df = route(df, "context_text", "model", "task", "lang", "workflow", options=options)
     df = df.withColumnRenamed("max_len", "_asked").drop("model", "task", "lang", "workflow")
     df = with_checkpoint(df.withColumn("model", F.col("route.model")), catalog)

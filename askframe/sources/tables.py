@@ -45,17 +45,27 @@ def lookup_join(
 
     A table that is bounded by construction, or small by the optimizer's estimate, is
     broadcast. A larger one is copied once per salt and shuffled together with the rows on
-    (key, salt), so that a key with a third of all rows is spread over ``salts`` tasks.
+    (key, salt), so that a key with a third of all rows is spread over ``salts`` tasks. The
+    salt is a hash of the row, so a task that is run again gives its rows the same one.
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup_join keeps the rows: left or inner")
     if bounded or estimated_bytes(table) <= max_broadcast:
         return rows.join(F.broadcast(table), key, how)
-    salted_rows = rows.withColumn("_salt", (F.rand(seed=7) * salts).cast("int"))
+    hashed = [f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
+    salted_rows = rows.withColumn(
+        "_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")
+    )
     salted_table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_rows.join(salted_table, [key, "_salt"], how).drop("_salt")
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Write a table and read it back: its lineage is cut and its size is known."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A fixed table from the code, e.g. the presets."""
     return spark.createDataFrame(rows, schema)

@@ -115,14 +115,18 @@ def test_batching_does_not_change_answers(spark, root):
     assert sorted(run(1).collect()) == sorted(run(10**6).collect())
 
 
-def test_requests_with_their_own_specs(spark, root):
+@pytest.mark.parametrize("store", [False, True])
+def test_requests_with_their_own_specs(spark, root, tmp_path, store):
     spec = {"team": {"type": "choice", "instructions": "who?", "criteria": ["a", "b"]},
             "late": {"type": "score", "instructions": {"q": 1}, "criteria": ["no", 2]}}
     bodies = [(str(i), json.dumps({"context": {"n": i, "t": "hello my friend"}, "spec": spec})) for i in range(20)]
     df = parse_requests(spark.createDataFrame(bodies, "request_id string, body string"))
-    keyed, distinct = intern_specs(df.drop("error", "error_class"))
+    folder = str(tmp_path / "specs") if store else None
+    keyed, distinct = intern_specs(df.drop("error", "error_class"), folder)
     assert distinct.count() == 1
     out = predict(keyed, distinct, catalog.read_catalog(spark, root), TokenizerFiles(root), OnnxFiles(root))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert ("_salt" in plan) is not store  # a stored table is small by its size, so it is broadcast
     got = out.collect()
     assert len(got) == 20
     assert all([a["qid"] for a in r["answers"]] == ["team", "late"] for r in got)
