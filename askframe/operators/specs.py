@@ -143,6 +143,52 @@ def head_text(q, mask: Column | str = fixed.DEFAULT_MASK) -> Column:
     return F.concat(q["qtype"], F.lit(" question: "), strip_mask(q["instructions"], mask))
 
 
+def _json_object(keys: Column, values: Column) -> Column:
+    pairs = F.zip_with(keys, values, lambda k, v: F.concat(quote(k), F.lit(": "), v))
+    return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
+
+
+def spec_json(questions: Column | str) -> Column:
+    """The spec object of ARRAY<question> as JSON text, questions and labels in order.
+
+    Labels without a description are written as null; a yes/no question only has criteria
+    where it describes a side.
+    """
+
+    def described(text: Column) -> Column:
+        return F.coalesce(quote(text), F.lit("null"))
+
+    def definition(q: Column) -> Column:
+        sides = F.map_filter(
+            F.create_map(
+                F.lit("true"), quote(q["noul_true"]), F.lit("false"), quote(q["noul_false"])
+            ),
+            lambda _, v: v.isNotNull(),
+        )
+        criteria = (
+            F.when(
+                q["qtype"] == "choice",
+                _json_object(q["keys"], F.transform(q["descs"], described)),
+            )
+            .when(
+                q["qtype"] == "score",
+                F.concat(F.lit("["), F.array_join(q["legend"], ", "), F.lit("]")),
+            )
+            .when(F.size(sides) > 0, _json_object(F.map_keys(sides), F.map_values(sides)))
+        )
+        return F.concat(
+            F.lit('{"type": '),
+            quote(q["qtype"]),
+            F.lit(', "instructions": '),
+            quote(q["instructions"]),
+            F.coalesce(F.concat(F.lit(', "criteria": '), criteria), F.lit("")),
+            F.lit("}"),
+        )
+
+    rows = col(questions)
+    return _json_object(rows["qid"], F.transform(rows, definition))
+
+
 def question_ids(questions: Column | str) -> Column:
     return col(questions)["qid"]
 

@@ -427,6 +427,16 @@ SQL["preset_options"] = ctes(
     "unnest(range(len(os))) AS pos FROM o)",
 ) + """SELECT spec_id, qid, count(*) AS n, k, pos, option FROM u JOIN ctx USING (spec_id)
 GROUP BY spec_id, qid, k, pos, option"""
+_DEFINITION = f"""'"' || qid || '": {{"type": "' || qtype || '", "instructions": "' || instructions || '"' || CASE
+  WHEN qtype = 'choice' THEN ', "criteria": {{' || array_to_string(list_transform(list_zip(keys, descs),
+    lambda z: '"' || z[1] || '": ' || coalesce('"' || z[2] || '"', 'null')), ', ') || '}}'
+  WHEN qtype = 'score' THEN ', "criteria": ["' || array_to_string(levels, '", "') || '"]'
+  WHEN noul_true IS NOT NULL THEN ', "criteria": {{"true": "' || noul_true || '", "false": "' || noul_false || '"}}'
+  ELSE '' END || '}}'"""
+SQL["preset_spec_json"] = ctes(
+    ASKED, QUESTIONS, f"j AS (SELECT spec_id, '{{' || string_agg({_DEFINITION}, ', ' ORDER BY q_pos) || '}}' AS spec "
+    "FROM questions GROUP BY spec_id)",
+) + "SELECT spec_id, count(*) AS n, spec FROM ctx JOIN j USING (spec_id) GROUP BY spec_id, spec"
 _CODE = "CASE qtype WHEN 'choice' THEN 0 WHEN 'score' THEN 1 ELSE 2 END"
 SQL["question_heads"] = ctes(ASKED, QUESTIONS) + f"""SELECT conv_id, turn, q_pos::BIGINT AS q_pos, qid,
   ({_CODE})::BIGINT AS qcode,
@@ -475,6 +485,12 @@ SQL["json_numbers"] = f"""SELECT c_custkey, '{{"key": ' || c_custkey || ', "bala
   || ', ' || {_number("c_acctbal / 1e9::DOUBLE")} || ', null], "more": {{"zero": '
   || {_number("c_acctbal * 0::DOUBLE")} || ', "minus": ' || {_number("-c_acctbal")} || '}}}}' AS state
 FROM customer"""
+SQL["typed_request_rows"] = ctes(
+    "src AS (SELECT {'c': conv_id, 't': turn} AS id, role || ' ' || text || ' ok' AS t FROM conversations)",
+    DETECTED, routed(),
+) + f"""SELECT conv_id, turn, '{{"role": ' || {quoted("role")} || ', "parts": [' || {quoted("text")}
+  || ', "ok"], "turn": ' || turn || '}}' AS state_text, model, language
+FROM conversations JOIN routed ON id.c = conv_id AND id.t = turn"""
 SQL["context_text_flatten"] = """SELECT conv_id, turn, substr(replace(text, chr(10), ' ') || ' ' || turn || ' '
   || role || ' ' || role || ' five five', 1, 4000) AS flat FROM conversations"""
 SQL["map_context_sorted"] = """SELECT p_partkey, '{' || array_to_string(list_transform(list_sort(
@@ -834,6 +850,11 @@ SQL["predict_turns"] = ctes(_PREDICTED) + """SELECT request_id, CASE WHEN NOT ba
   CASE WHEN bad THEN 'bad_request' END AS error_class, sum(n_ids)::BIGINT AS input_tokens,
   CASE WHEN NOT bad THEN count(n_ids) END AS n_answers
 FROM checked c LEFT JOIN pred USING (request_id) GROUP BY request_id, c.model, bad"""
+SQL["result_json_text"] = ctes(_PREDICTED) + """SELECT request_id, p.model, sum(n_ids)::BIGINT AS input_tokens,
+  CASE WHEN hint THEN NULL ELSE script END AS script,
+  CASE WHEN hint THEN 'explicit model=''typed''' ELSE reason END AS reason, count(*) AS n_answers
+FROM pred p JOIN (SELECT id.c || '-' || id.t AS request_id, id.c % 3 = 1 AS hint, script, reason FROM routed)
+  USING (request_id) GROUP BY ALL"""
 SQL["write_and_read_results"] = ctes(_PREDICTED) + """SELECT model, count(DISTINCT request_id) AS n,
   sum(n_ids)::BIGINT AS input_tokens FROM pred GROUP BY model"""
 _PREDICT_T = " ".join(

@@ -394,6 +394,14 @@ def preset_options(spark: SparkSession, sf: str) -> DataFrame:
     ).select("spec_id", "qid", "n", "k", long("pos").alias("pos"), "option")
 
 
+@query
+def preset_spec_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The spec of every preset in use as JSON, with the number of its contexts."""
+    used = inputs.preset_contexts(spark, sf).groupBy("spec_id").agg(F.count(F.lit(1)).alias("n"))
+    df = lookup_join(used, specs.presets(spark), "spec_id", bounded=True)
+    return df.select("spec_id", "n", specs.spec_json("questions").alias("spec"))
+
+
 @query
 def question_heads(spark: SparkSession, sf: str) -> DataFrame:
     """Every question over every context: heads, with the mask token kept out."""
@@ -518,6 +526,16 @@ def _nested_context(df: DataFrame) -> DataFrame:
     return df.withColumn("context", context)
 
 
+@query
+def typed_request_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversation turns as typed requests, routed on their context."""
+    df = inputs.conversations(spark, sf)
+    context = F.struct("role", F.array("text", F.lit("ok")).alias("parts"), "turn")
+    df = requests.typed_requests(df.withColumn("context", context))
+    df = route(df, "context_text")
+    return df.select("conv_id", "turn", "state_text", "route.model", "route.detection.language")
+
+
 @query
 def context_text_flatten(spark: SparkSession, sf: str) -> DataFrame:
     df = _nested_context(inputs.conversations(spark, sf))
@@ -1138,6 +1156,21 @@ def _predicted(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def result_json_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole results as JSON, with the parts that identify them taken out of the text again."""
+    df = sinks.result_json(_predicted(spark, sf).filter(F.col("error").isNull()))
+    answers = F.get_json_object("result", "$.answers")
+    return df.select(
+        "request_id",
+        F.get_json_object("result", "$.model").alias("model"),
+        F.get_json_object("result", "$.usage.input_tokens").cast("bigint").alias("input_tokens"),
+        F.get_json_object("result", "$.routing.detection.script").alias("script"),
+        F.get_json_object("result", "$.routing.reason").alias("reason"),
+        long(F.size(F.json_object_keys(answers))).alias("n_answers"),
+    )
+
+
 @query
 def predict_turns(spark: SparkSession, sf: str) -> DataFrame:
     """Routing, tokenisation, scoring and calibration of every turn, end to end."""

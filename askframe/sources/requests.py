@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from askframe.functions import fixed
 from askframe.functions.calibrate import let
 from askframe.functions.plan import seal
-from askframe.functions.pyjson import ascii_escape, quote
+from askframe.functions.pyjson import ascii_escape, context_text, quote, state_text
 from askframe.functions.text import col
 from askframe.operators.specs import QUESTION_TYPE, with_categories
 from askframe.sources.raw_json import (
@@ -232,6 +232,17 @@ def with_spec(df: DataFrame) -> DataFrame:
 # --- requests ---------------------------------------------------------------------------------
 
 
+def typed_requests(df: DataFrame, context: str = "context") -> DataFrame:
+    """Request columns of a table whose context is typed: adds context_text and state_text.
+
+    The context may be a string, struct, array or map column; nothing is parsed.
+    """
+    dtype = df.schema[context].dataType
+    return df.withColumn("context_text", context_text(context, dtype)).withColumn(
+        "state_text", state_text(context, dtype)
+    )
+
+
 def parse_requests(
     df: DataFrame,
     body: str = "body",

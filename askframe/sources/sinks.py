@@ -77,8 +77,19 @@ def answers_json(answers: Column | str) -> Column:
     )
 
 
+def routing_json(route: Column | str) -> Column:
+    """JSON of a routing decision; what is unknown is written as null."""
+    r = col(route)
+    fields = F.struct(*[r[f].alias(f) for f in ("model", "repo", "reason", "detection", "workflow")])
+    return F.to_json(fields, {"ignoreNullFields": "false"})
+
+
 def result_json(df: DataFrame, out: str = "result") -> DataFrame:
-    """Add the whole result of a request as JSON: model, answers, usage."""
+    """Add the whole result of a request as JSON: model, answers, usage and, where the rows
+    carry a ``route``, the routing decision. Rows with an error get null."""
+    routing = F.lit("")
+    if "route" in df.columns:
+        routing = F.concat(F.lit(', "routing": '), routing_json("route"))
     return df.withColumn(
         out,
         F.concat(
@@ -88,7 +99,9 @@ def result_json(df: DataFrame, out: str = "result") -> DataFrame:
             answers_json("answers"),
             F.lit(', "usage": {"input_tokens": '),
             F.col("input_tokens").cast("string"),
-            F.lit(', "output_tokens": 0}}'),
+            F.lit(', "output_tokens": 0}'),
+            routing,
+            F.lit("}"),
         ),
     )
 

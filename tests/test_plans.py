@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 PYTHON = {
     "json_numbers", "raw_json_documents", "raw_json_leaves", "request_validation", "request_questions",
     "request_quarantine", "preset_requests", "tokenize_documents", "score_sequences",
-    "predict_turns", "predict_decisions",
+    "predict_turns", "predict_decisions", "result_json_text",
 }
 RUN_JOBS = {"write_and_read_results", "stream_requests"}
 

@@ -101,7 +101,13 @@ def test_predict_from_files(spark, root):
     assert got["a"]["input_tokens"] > sum(heads)
     long = decisions(df).filter("request_id = 'a'").orderBy("q_pos").collect()
     assert [r["q_pos"] for r in long] == [0, 1, 2, 3, 4]
-    result = json.loads(sinks.result_json(df.filter("request_id = 'a'")).first()["result"])
+    results = {r["request_id"]: r["result"] for r in sinks.result_json(df).collect()}
+    assert results["c"] is None
+    result = json.loads(results["a"])
+    assert result["routing"]["detection"] == {
+        "script": "latin", "script_profile": {"latin": 1.0}, "language": "en", "is_english": True,
+        "non_latin_fraction": 0.0}
+    assert result["routing"]["workflow"] is None
     assert list(result["answers"]) == list(fixed.PRESETS["triage"])
     assert result["usage"] == {"input_tokens": got["a"]["input_tokens"], "output_tokens": 0}
 
