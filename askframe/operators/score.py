@@ -11,7 +11,6 @@ import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,14 +59,19 @@ class TokenizerFiles:
 def token_ids(load_encoder: Callable[[str], Encoder]) -> Callable[[Column, Column], Column]:
     """UDF (text, model) -> ids without special tokens; null text or model gives null."""
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(texts: pd.Series, models: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-        wanted = texts.notna() & models.notna()
-        for model, group in texts[wanted].groupby(models[wanted]):
-            ids = load_encoder(model)(group.tolist())
-            out.loc[group.index] = pd.Series(ids, index=group.index, dtype=object)
-        return out
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode(texts: pa.Array, models: pa.Array) -> pa.Array:
+        rows: dict[str, list[int]] = {}
+        given = texts.to_pylist()
+        for i, (text, model) in enumerate(zip(given, models.to_pylist())):
+            if text is not None and model is not None:
+                rows.setdefault(model, []).append(i)
+        out: list = [None] * len(given)
+        for model, wanted in rows.items():
+            found = load_encoder(model)([given[i] for i in wanted])
+            for i, ids in zip(wanted, found):
+                out[i] = ids
+        return pa.array(out, pa.list_(pa.int32()))
 
     return encode
 

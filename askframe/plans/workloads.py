@@ -1227,13 +1227,11 @@ def stream_requests(spark: SparkSession, sf: str) -> DataFrame:
                                               F.lit("en")))
     )
 
-    def transform(rows: DataFrame) -> DataFrame:
-        return route(rows, "text", "model_hint").select(
-            "doc_id", "route.model", "route.reason", "route.error"
-        )
-
+    rows = route(stream, "text", "model_hint").select(
+        "doc_id", "route.model", "route.reason", "route.error"
+    )
     write_stream(
-        stream, transform, f"{base}/routed", f"{base}/checkpoint", f"{base}/quarantine"
+        rows, f"{base}/routed", f"{base}/checkpoint", f"{base}/quarantine"
     ).awaitTermination()
     routed = spark.read.parquet(f"{base}/routed")
     dead = spark.read.parquet(f"{base}/quarantine")

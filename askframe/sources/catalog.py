@@ -75,9 +75,15 @@ def read_catalog(spark: SparkSession, root: str, files: str = "*_config.json") -
         .option("multiLine", True)
         .json(f"{root.rstrip('/')}/*/{files}")
     )
-    path = F.split(F.col("_metadata.file_path"), "/")
-    named = raw.withColumn("model", F.element_at(path, -2))
-    return fill_defaults(named).filter(F.col("model").isin(fixed.MODEL_NAMES))
+    path = F.col("_metadata.file_path")
+    named = raw.select(
+        F.element_at(F.split(path, "/"), -2).alias("model"),
+        path.alias("path"),
+        F.struct(*CONFIG_NAMES).alias("config"),
+    ).filter(F.col("model").isin(fixed.MODEL_NAMES))
+    # One row per checkpoint, whatever the glob finds: joins rely on it.
+    one = named.groupBy("model").agg(F.min_by("config", "path").alias("config"))
+    return fill_defaults(one.select("model", "config.*"))
 
 
 def catalog_listing(catalog: DataFrame, max_len: int = 0) -> DataFrame:

@@ -7,8 +7,6 @@ replaces its own files, which makes both sinks exactly-once.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -16,20 +14,19 @@ from askframe.sources.requests import split_valid
 
 
 def write_stream(
-    stream: DataFrame,
-    transform: Callable[[DataFrame], DataFrame],
+    rows: DataFrame,
     target: str,
     checkpoint: str,
     quarantine: str | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Run ``transform`` on every micro-batch and write the result to ``target``.
+    """Write transformed streaming rows to ``target``.
 
-    With ``quarantine``, rows whose ``error`` is set go there instead.
+    ``rows`` is the stream after parsing, routing or prediction, so its plan is built once and
+    not in every micro-batch. With ``quarantine``, rows whose ``error`` is set go there instead.
     """
 
-    def write(rows: DataFrame, batch_id: int) -> None:
-        out = transform(rows)
+    def write(out: DataFrame, batch_id: int) -> None:
         if quarantine is None:
             _replace(out, target, batch_id)
             return
@@ -39,9 +36,7 @@ def write_stream(
         _replace(invalid, quarantine, batch_id)
         out.unpersist()
 
-    writer = stream.writeStream.foreachBatch(write).option(
-        "checkpointLocation", f"{checkpoint}/progress"
-    )
+    writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()

@@ -26,7 +26,7 @@ def test_stream_equals_batch_and_keeps_dead_letters(spark, tmp_path):
     def run():
         stream = spark.readStream.text(str(source)).withColumn("body", F.col("value"))
         query = write_stream(
-            stream, answer, str(target / "ok"), str(target / "state"), str(target / "dead")
+            answer(stream), str(target / "ok"), str(target / "state"), str(target / "dead")
         )
         query.awaitTermination()
 
