@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askframe.functions import fixed
-from askframe.functions.plan import seal
+from askframe.functions.plan import check_free, seal
 from askframe.functions.text import char_class, col, first_chars, lower_simple, round4
 
 LATIN = char_class(fixed.LATIN_RANGES)
@@ -75,12 +75,17 @@ def with_script_counts(
     df: DataFrame, text: Column | str, out: str = "script_counts"
 ) -> DataFrame:
     """Add ``out``: array of (n, rank, script) with n > 0; the largest struct is dominant."""
-    return seal(_script_counts(df, text, out, exact=True), out)
+    check_free(df, _SCRIPT_HELPERS)
+    df = _script_counts(df.withColumn("_text", detection_window(col(text))), out, exact=True)
+    return seal(df, out, drop=_SCRIPT_HELPERS)
 
 
-def _script_counts(df: DataFrame, text: Column | str, out: str, exact: bool) -> DataFrame:
-    """``with_script_counts``; ``exact=False`` is enough for shares: a text whose letters are
-    all Latin then gets the count 1 for Latin instead of its number of letters.
+_SCRIPT_HELPERS = ("_text", "_foreign", "_latin")
+
+
+def _script_counts(df: DataFrame, out: str, exact: bool) -> DataFrame:
+    """Script counts of ``_text``; ``exact=False`` is enough for shares: a text whose letters
+    are all Latin then gets the count 1 for Latin instead of its number of letters.
     """
     n_latin = F.length(letters(F.col("_text"))) - F.length("_foreign")
     if not exact:
@@ -93,8 +98,7 @@ def _script_counts(df: DataFrame, text: Column | str, out: str, exact: bool) ->
     )
     none = F.expr(_NO_COUNTS)
     return (
-        df.withColumn("_text", detection_window(col(text)))
-        .withColumn("_foreign", foreign_letters(F.col("_text")))
+        df.withColumn("_foreign", foreign_letters(F.col("_text")))
         .withColumn("_latin", latin)
         .withColumn(
             out,
@@ -103,7 +107,6 @@ def _script_counts(df: DataFrame, text: Column | str, out: str, exact: bool) ->
                 F.when(F.col("_latin")["n"] > 0, F.array("_latin")).otherwise(none),
             ),
         )
-        .drop("_text", "_foreign", "_latin")
     )
 
 
@@ -136,22 +139,18 @@ def diacritic_count(lowered: Column) -> Column:
     return F.when(F.octet_length(lowered) == F.length(lowered), 0).otherwise(found)
 
 
-def with_latin_language(
-    df: DataFrame, text: Column | str, out: str = "language", where: Column | None = None
-) -> DataFrame:
-    """Add ``out``: best-effort language code of Latin-script text, or null.
+def with_latin_language(df: DataFrame, text: Column | str, out: str = "language") -> DataFrame:
+    """Add ``out``: best-effort language code of Latin-script text, or null."""
+    check_free(df, _LANGUAGE_HELPERS)
+    df = _latin_language(df, detection_window(col(text)), out)
+    return seal(df, out, drop=_LANGUAGE_HELPERS)
 
-    ``where`` limits the work to the rows that need a guess.
-    """
-    return seal(_latin_language(df, text, out, where), out)
 
+_LANGUAGE_HELPERS = ("_low", "_words", "_n_words", "_hits", "_scores", "_best", "_rate")
 
-def _latin_language(
-    df: DataFrame, text: Column | str, out: str, where: Column | None
-) -> DataFrame:
-    window = detection_window(col(text))
-    if where is not None:
-        window = F.when(where, window)
+
+def _latin_language(df: DataFrame, window: Column, out: str) -> DataFrame:
+    """Language of a detection window; a null window gives null and costs nothing."""
     scores = F.col("_scores")
     en, best, rate = scores[0], F.col("_best"), F.col("_rate")
     others = F.slice(scores, 2, len(LANGUAGES) - 1)
@@ -171,9 +170,8 @@ def _latin_language(
     return (
         df.withColumn("_low", lower_simple(window))
         .withColumn("_words", words(F.col("_low")))
-        .withColumn("_n_words", F.size("_words"))
         # One hash probe per word leaves the few words that any language set contains.
-        .withColumn("_hits", F.expr(among("_words", ALL_WORDS)))
+        .withColumns({"_n_words": F.size("_words"), "_hits": F.expr(among("_words", ALL_WORDS))})
         .withColumn(
             "_scores",
             F.array(*[F.expr(f"size({among('_hits', WORD_SETS[x])})") for x in LANGUAGES]),
@@ -189,7 +187,6 @@ def _latin_language(
             ).otherwise(F.lit(0.0)),
         )
         .withColumn(out, guess)
-        .drop("_low", "_words", "_n_words", "_hits", "_scores", "_best", "_rate")
     )
 
 
@@ -200,23 +197,25 @@ def detect(
 
     Rows where ``where`` is not true get a null detection and cost nothing.
     """
+    helpers = (*_SCRIPT_HELPERS, "_counts", "_total", "_script", "_outside", "_language",
+               *_LANGUAGE_HELPERS)
+    check_free(df, helpers)
     text = col(text)
     if where is not None:
         text = F.when(where, text)
     counts, total = F.col("_counts"), F.col("_total")
     script = F.col("_script")
-    df = df.withColumn("_dtext", detection_window(text))
-    df = _script_counts(df, "_dtext", "_counts", exact=False)
-    df = (
-        df.withColumn("_total", total_letters(counts))
-        .withColumn("_script", F.when(F.col("_dtext").isNotNull(), dominant_script(counts)))
-        .withColumn(
-            "_outside",
-            F.lit(1.0)
-            - F.try_divide(latin_letters(counts).cast("double"), total.cast("double")),
-        )
+    df = _script_counts(df.withColumn("_text", detection_window(text)), "_counts", exact=False)
+    df = df.withColumns(
+        {
+            "_total": total_letters(counts),
+            "_script": F.when(F.col("_text").isNotNull(), dominant_script(counts)),
+        }
+    ).withColumn(
+        "_outside",
+        F.lit(1.0) - F.try_divide(latin_letters(counts).cast("double"), total.cast("double")),
     )
-    df = _latin_language(df, "_dtext", "_language", where=script == "latin")
+    df = _latin_language(df, F.when(script == "latin", F.col("_text")), "_language")
     fraction = F.when(script == "unknown", F.lit(0.0)).otherwise(round4(F.col("_outside")))
     profile = F.map_from_entries(
         F.transform(
@@ -236,7 +235,4 @@ def detect(
         english.alias("is_english"),
         fraction.alias("non_latin_fraction"),
     )
-    df = df.withColumn(out, F.when(script.isNotNull(), detection)).drop(
-        "_dtext", "_counts", "_total", "_script", "_outside", "_language"
-    )
-    return seal(df, out)
+    return seal(df.withColumn(out, F.when(script.isNotNull(), detection)), out, drop=helpers)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askframe.functions import fixed
-from askframe.functions.plan import seal
+from askframe.functions.plan import check_free, seal
 from askframe.functions.text import col, first_chars, ltrim_space, rtrim_space, trim_space
 
 # Characters a quote header can start with; white space is more than the patterns allow.
@@ -129,14 +129,20 @@ def clean_email(
     df: DataFrame, body: Column | str, out: str = "clean_body", max_chars: int = fixed.EMAIL_CHARS
 ) -> DataFrame:
     """Add ``out``: the message itself, without quoted history, signature and disclaimers."""
+    helpers = ("_text", "_low", "_headers", "_signature", "_disclaimer", "_lines", "_hits", "_start")
+    check_free(df, helpers)
     text, lines, hits, start = (F.col(c) for c in ("_text", "_lines", "_hits", "_start"))
     df = (
         df.withColumn("_text", normalise_newlines(col(body)))
         .withColumn("_low", F.lower(text))
-        .withColumn("_headers", _has_any(F.col("_low"), HEADER_HINTS))
-        .withColumn("_signature", _has_any(F.col("_low"), SIGNATURE_HINTS))
-        .withColumn("_disclaimer", _has_any(F.col("_low"), DISCLAIMER_HINTS))
-        .withColumn("_lines", F.split(text, "\n", -1))
+        .withColumns(
+            {
+                "_headers": _has_any(F.col("_low"), HEADER_HINTS),
+                "_signature": _has_any(F.col("_low"), SIGNATURE_HINTS),
+                "_disclaimer": _has_any(F.col("_low"), DISCLAIMER_HINTS),
+                "_lines": F.split(text, "\n", -1),
+            }
+        )
         .withColumn(
             "_lines",
             F.when(F.contains(text, F.lit(">")), F.filter(lines, lambda x: ~is_quoted(x))).otherwise(
@@ -161,11 +167,8 @@ def clean_email(
             ),
         )
         .withColumn(out, first_chars(_collapse_blanks(text), max_chars))
-        .drop(
-            "_text", "_low", "_headers", "_signature", "_disclaimer", "_lines", "_hits", "_start"
-        )
     )
-    return seal(df, out)
+    return seal(df, out, drop=helpers)
 
 
 def email_context(

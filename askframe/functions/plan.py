@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def seal(df: DataFrame, *names: str) -> DataFrame:
-    """Make ``names`` columns that later steps read instead of computing them again.
+def seal(df: DataFrame, *names: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Make ``names`` columns that later steps read instead of computing them again; leave out
+    the helper columns ``drop``.
 
     The optimizer moves filters below projections by putting the computation into the
     condition, and a chain of projections unfolds into a huge expression that way: a filter on
@@ -15,5 +16,12 @@ def seal(df: DataFrame, *names: str) -> DataFrame:
     a routed model would take minutes to plan. One generated row per row stops both, at the
     cost of a row copy inside the same stage.
     """
-    rest = [c for c in df.columns if c not in names]
+    rest = [c for c in df.columns if c not in names and c not in drop]
     return df.select(*rest, F.inline(F.array(F.struct(*names))))
+
+
+def check_free(df: DataFrame, helpers: tuple[str, ...]) -> None:
+    """Refuse a table that has a column under the name of a helper column."""
+    taken = sorted(set(df.columns) & set(helpers))
+    if taken:
+        raise ValueError(f"columns {taken} have the names of helper columns; rename them")

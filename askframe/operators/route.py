@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from askframe.functions import fixed
 from askframe.functions.detect import DETECTION_TYPE, detect
-from askframe.functions.plan import seal
+from askframe.functions.plan import check_free, seal
 from askframe.functions.text import col, fold_name, percent_text, quote_repr
 from askframe.sources.tables import literal_map
 
@@ -88,13 +88,17 @@ def route(
     script and language, default. Empty hints count as absent. ``workflow`` is the spec's
     ``workflow_of``; ``repos`` an optional MAP from checkpoint name to repo from a catalog.
     """
+    helpers = ("_model", "_task", "_lang", "_workflow", "_detection", "_chosen", "_reason")
+    check_free(df, helpers)
     default = _canonical(options.default, options)
     m, t, lg, wf = (F.col(c) for c in ("_model", "_task", "_lang", "_workflow"))
-    df = (
-        df.withColumn("_model", _present(model))
-        .withColumn("_task", _present(task))
-        .withColumn("_lang", _present(lang))
-        .withColumn("_workflow", _present(workflow))
+    df = df.withColumns(
+        {
+            "_model": _present(model),
+            "_task": _present(task),
+            "_lang": _present(lang),
+            "_workflow": _present(workflow),
+        }
     )
     by_workflow = wf.isNotNull() if options.auto_task else F.lit(False)
     by_detection = m.isNull() & t.isNull() & lg.isNull() & ~by_workflow
@@ -150,7 +154,7 @@ def route(
     )
     # The name that failed to resolve: the task is checked after its own spelling is mapped.
     asked = F.coalesce(m, task_name)
-    df = df.withColumn("_chosen", chosen).withColumn("_reason", reason)
+    df = df.withColumns({"_chosen": chosen, "_reason": reason})
     model_col = F.col("_chosen")
     repo = default_repo(model_col, options)
     if repos is not None:
@@ -165,10 +169,7 @@ def route(
         F.when(known & ~explicit, wf).alias("workflow"),
         F.when(~known, unknown_model(asked, options)).alias("error"),
     )
-    df = df.withColumn(out, result).drop(
-        "_model", "_task", "_lang", "_workflow", "_detection", "_chosen", "_reason"
-    )
-    return seal(df, out)
+    return seal(df.withColumn(out, result), out, drop=helpers)
 
 
 def _canonical(name: str, options: RouterOptions) -> str:

@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -104,11 +105,18 @@ def test_reasons(spark):
     df = spark.createDataFrame(rows, "l string, want string").withColumn("t", F.lit("x"))
     for r in route(df, "t", lang="l").select("want", "route.reason").collect():
         assert r["reason"] == r["want"]
-    # 1 letter in 8 is not Latin: 12.5 % is written as 12, 37.5 % as 38.
-    rows = [("абвгдежabcde" + "αβγδ" * 0 + "x", None)]
-    df = texts(spark, ["абвгд" + "abc", "абвгдежз" * 2 + "a" * 9])
+    # Ties go to the even number: 62.5 % is written as 62, 87.5 % as 88.
+    df = texts(spark, ["абвгд" + "abc", "абвгдеж" + "a"])
     got = [r["reason"] for r in route(df, "t").select("id", "route.reason").orderBy("id").collect()]
     assert got[0] == "non-Latin script (cyrillic, 62% of letters); the English checkpoint cannot read it"
+    assert got[1] == "non-Latin script (cyrillic, 88% of letters); the English checkpoint cannot read it"
+
+
+def test_helper_names_are_refused(spark):
+    df = texts(spark, ["x"]).withColumn("_text", F.col("t"))
+    for operator in (lambda: detect(df, "t"), lambda: with_script_counts(df, "t")):
+        with pytest.raises(ValueError, match="_text"):
+            operator()
 
 
 def test_workflow_only_on_request(spark):
