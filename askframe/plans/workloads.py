@@ -6,6 +6,9 @@ matching SQL under the same name.
 
 from __future__ import annotations
 
+import uuid
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,12 +37,20 @@ from askframe.plans.predict import decisions, intern_specs, predict
 from askframe.sources import catalog, raw_json, requests, sinks
 from askframe.sources.session import ship_package, shared_dir
 from askframe.sources.tables import lookup_join, read_table, small_table
+from askframe.streaming.requests import write_stream
 
 QUERIES = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
+    """Register a query; its Python workers find this package wherever the driver runs."""
+
+    @wraps(fn)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, sf)
+
+    QUERIES[fn.__name__] = run
     return fn
 
 
@@ -580,7 +591,6 @@ def _raw_events(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def raw_json_documents(spark: SparkSession, sf: str) -> DataFrame:
-    ship_package(spark)
     df = raw_json.parse_json(_raw_events(spark, sf), "doc")
     root = F.try_element_at("nodes", F.lit(1))
     return df.select(
@@ -596,7 +606,6 @@ def raw_json_documents(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def raw_json_leaves(spark: SparkSession, sf: str) -> DataFrame:
     """Leaves of the JSON documents, counted by kind, key and depth."""
-    ship_package(spark)
     leaves = raw_json.leaf_rows(raw_json.parse_json(_raw_events(spark, sf), "doc"))
     return leaves.groupBy("kind", "key", long("depth").alias("depth")).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("texts")
@@ -982,7 +991,6 @@ def _bodies(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def request_validation(spark: SparkSession, sf: str) -> DataFrame:
-    ship_package(spark)
     df = requests.parse_requests(_bodies(spark, sf))
     # Decoder messages differ between JSON libraries; the class of the error does not.
     message = F.when(F.startswith("error", F.lit("invalid JSON")), "invalid JSON").otherwise(
@@ -1003,7 +1011,6 @@ def request_validation(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def request_questions(spark: SparkSession, sf: str) -> DataFrame:
     """Questions of the valid requests, normalised and rendered."""
-    ship_package(spark)
     df, _ = requests.split_valid(requests.parse_requests(_bodies(spark, sf)))
     rows = specs.question_rows(df.select("event_id", "questions"))
     q = {c: F.col(c) for c in ("qtype", "keys", "descs", "levels", "noul_false", "noul_true")}
@@ -1021,14 +1028,12 @@ def request_questions(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def request_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     """Dead letters per class and kind of problem."""
-    ship_package(spark)
     _, bad = requests.split_valid(requests.parse_requests(_bodies(spark, sf)))
     return bad.groupBy("error_class").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def preset_requests(spark: SparkSession, sf: str) -> DataFrame:
-    ship_package(spark)
     df = inputs.events(spark, sf, "event_type", "props")
     kind = F.col("event_type")
     preset = inputs.pick("event_id", F.lit("email"), F.lit("guard"), F.lit("nope"), F.lit("email"))
@@ -1099,7 +1104,6 @@ def checkpoint_availability(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def tokenize_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of whole documents with a stand-in vocabulary."""
-    ship_package(spark)
     encode = token_ids(doubles.WordTokenizer())
     df = inputs.documents(spark, sf, "text")
     df = df.withColumn("ids", encode(F.col("text"), F.lit("english")))
@@ -1114,7 +1118,6 @@ def tokenize_documents(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def score_sequences(spark: SparkSession, sf: str) -> DataFrame:
     """A forward pass of a stand-in graph over the sequences of all turns."""
-    ship_package(spark)
     df = _preset_sequences(spark, sf).select("conv_id", "turn", "sequences")
     model = inputs.pick("conv_id", F.lit("english"), F.lit("multilingual"))
     df = df.withColumn("model", model).withColumn("pad_id", F.lit(0))
@@ -1134,7 +1137,6 @@ def score_sequences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _predicted(spark: SparkSession, sf: str) -> DataFrame:
-    ship_package(spark)
     df = inputs.preset_contexts(spark, sf)
     model = inputs.pick("conv_id", F.lit(None).cast("string"), F.lit("typed"), F.lit("nope"))
     max_len = inputs.pick("turn", F.lit(None).cast("int"), F.lit(300), F.lit(100), F.lit(9000))
@@ -1196,8 +1198,6 @@ def predict_decisions(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def write_and_read_results(spark: SparkSession, sf: str) -> DataFrame:
     """Results written by model and read back."""
-    import uuid
-
     path = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
     done = _predicted(spark, sf).filter(F.col("error").isNull())
     sinks.write_results(done.select("request_id", "model", "answers", "input_tokens"), path)
@@ -1210,10 +1210,6 @@ def write_and_read_results(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as a stream of requests: routed rows, with dead letters set apart."""
-    import uuid
-
-    from askframe.streaming.requests import write_stream
-
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = T.StructType(
         [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
