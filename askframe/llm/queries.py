@@ -4,11 +4,42 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from askframe.llm import bpe
+from askframe.llm import bpe, ledger, shards
 from askframe.llm.common import table
 
 
+def op2_hilbert_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    """16 shards of equal row counts along the curve over source, language and size."""
+    docs = table(spark, sf, "documents").select(
+        "doc_id", "source", "lang",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+    )
+    dimensions = {
+        "source": shards.name_class(F.col("source"), 5),
+        "lang": shards.name_class(F.col("lang"), 5),
+        "size": shards.size_class(F.col("size"), 5),
+    }
+    light = docs.select("doc_id", "size", "text_crc32", *[
+        c.alias(f"class_{name}") for name, c in dimensions.items()])
+    cut = shards.hilbert_shards(
+        light, {name: F.col(f"class_{name}") for name in dimensions},
+        ties=["doc_id", "text_crc32", "size"], shards=16, bits=5)
+    return cut.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op6_quality_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Measurements, failure bits and the verdict of policy 2 for every text."""
+    rows = ledger.verdicts(ledger.ledger(table(spark, sf, "documents")), "2")
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "failures", "policy")
+
+
 def op10_byte_level_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of every text and the bytes they decode to, as digests."""
     return bpe.token_digests(
@@ -17,5 +48,7 @@ def op10_byte_level_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_hilbert_sharding": op2_hilbert_sharding,
+    "op6_quality_ledger": op6_quality_ledger,
     "op10_byte_level_bpe": op10_byte_level_bpe,
 }
