@@ -6,9 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askframe.llm import bpe, ledger, shards
+from askframe.llm import aliases, bpe, chat, ledger, mixing, shards
 from askframe.llm.common import table
 
+URL_RULES = [
+    aliases.Rule("allow", "org/"),
+    aliases.Rule("block", "example.org/es/"),
+    aliases.Rule("block", "example.org/en/1"),
+    aliases.Rule("allow", "com/fr/"),
+    aliases.Rule("block", "com/de/"),
+]
+
+
+def op1_redirect_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts on all pages, by rule or by their aliases."""
+    return aliases.judge(table(spark, sf, "pages"), URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict", "inherited")
+
 
 def op2_hilbert_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """16 shards of equal row counts along the curve over source, language and size."""
@@ -32,6 +46,17 @@ def op2_hilbert_sharding(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op5_event_log_chat(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations and one of control strings, streamed as events, folded and rendered."""
+    probe = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame(
+        [(-1, 0, "user", probe), (-1, 1, "assistant", probe)],
+        "conv_id long, turn long, role string, text string")
+    events = chat.as_events(rows.unionByName(more))
+    return chat.digests(chat.read_back(chat.render(chat.messages(events))))
+
+
 def op6_quality_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """Measurements, failure bits and the verdict of policy 2 for every text."""
     rows = ledger.verdicts(ledger.ledger(table(spark, sf, "documents")), "2")
@@ -40,6 +65,12 @@ def op6_quality_ledger(spark: SparkSession, sf: str) -> DataFrame:
         "base_failed", "kept", "failures", "policy")
 
 
+def op7_min_cost_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mixing.mix_documents(
+        table(spark, sf, "documents"), mixing.Mix(weights=(3, 1, 2), share=1.5, repeats=2, seed=42))
+
+
 def op10_byte_level_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of every text and the bytes they decode to, as digests."""
     return bpe.token_digests(
@@ -48,7 +79,10 @@ def op10_byte_level_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_redirect_filter": op1_redirect_filter,
     "op2_hilbert_sharding": op2_hilbert_sharding,
+    "op5_event_log_chat": op5_event_log_chat,
     "op6_quality_ledger": op6_quality_ledger,
+    "op7_min_cost_mix": op7_min_cost_mix,
     "op10_byte_level_bpe": op10_byte_level_bpe,
 }
