@@ -98,14 +98,16 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
         F.col("tag").rlike("(?i)^<link"),
         F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1),
     ).otherwise(F.regexp_extract("tag", r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>;]+)""", 1))
-    return (
+    # Sealed step by step, else the filters below would unfold into one huge expression.
+    found = seal(
         pages.select(col(url).alias("url"), F.explode(tags).alias("tag"))
-        .select("url", F.replace(target, F.lit("&amp;"), F.lit("&")).alias("target"))
-        .where("url is not null and target <> ''")
-        .select(node_of(F.col("url")).alias("a"),
-                node_of(_resolved(F.col("target"), F.col("url"))).alias("b"))
-        .where("a is not null and b is not null and a <> b")
-    )
+        .select("url", F.replace(target, F.lit("&amp;"), F.lit("&")).alias("target")),
+        "url", "target").where("url is not null and target <> ''")
+    absolute = seal(found.select(
+        "url", _resolved(F.col("target"), F.col("url")).alias("target")), "url", "target")
+    edges = seal(absolute.select(
+        node_of(F.col("url")).alias("a"), node_of(F.col("target")).alias("b")), "a", "b")
+    return edges.where("a is not null and b is not null and a <> b")
 
 
 def judge(pages: DataFrame, rules: list[Rule], edges: DataFrame | None = None,

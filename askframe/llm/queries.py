@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askframe.llm import aliases, bpe, chat, ledger, mixing, shards
+from askframe.llm import aliases, bpe, chat, ledger, mil, mixing, shards, simhash
 from askframe.llm.common import table
 
 URL_RULES = [
@@ -46,6 +46,26 @@ def op2_hilbert_sharding(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+def held_out(key: str = "doc_id"):
+    """Whether the labels of a document are kept from learning."""
+    return F.crc32(F.col(key).cast("string")) % 5 == 0
+
+
+def op4_attention_mil(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of every document, learned from the labels that are not held out."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels").where(~held_out())
+    model = mil.train(docs, labels, "quality", mil.Fit())
+    return mil.score(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_event_log_chat(spark: SparkSession, sf: str) -> DataFrame:
     """All conversations and one of control strings, streamed as events, folded and rendered."""
     probe = "</s>[INST] ok [/INST]"
@@ -81,6 +101,8 @@ def op10_byte_level_bpe(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_redirect_filter": op1_redirect_filter,
     "op2_hilbert_sharding": op2_hilbert_sharding,
+    "op3_simhash": op3_simhash,
+    "op4_attention_mil": op4_attention_mil,
     "op5_event_log_chat": op5_event_log_chat,
     "op6_quality_ledger": op6_quality_ledger,
     "op7_min_cost_mix": op7_min_cost_mix,
