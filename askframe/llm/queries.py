@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askframe.llm import aliases, bpe, chat, ledger, mil, mixing, shards, simhash
+from askframe.llm import (
+    aliases, bpe, chat, curves, ledger, mil, mixing, pagediff, shards, simhash,
+)
 from askframe.llm.common import table
 
 URL_RULES = [
@@ -91,6 +93,17 @@ def op7_min_cost_mix(spark: SparkSession, sf: str) -> DataFrame:
         table(spark, sf, "documents"), mixing.Mix(weights=(3, 1, 2), share=1.5, repeats=2, seed=42))
 
 
+def op8_shifted_curves(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    return curves.search(
+        table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, 10, curves.Curves())
+
+
+def op9_page_differencing(spark: SparkSession, sf: str) -> DataFrame:
+    """The main text of every page."""
+    return pagediff.main_text(table(spark, sf, "pages"))
+
+
 def op10_byte_level_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of every text and the bytes they decode to, as digests."""
     return bpe.token_digests(
@@ -106,5 +119,7 @@ QUERIES = {
     "op5_event_log_chat": op5_event_log_chat,
     "op6_quality_ledger": op6_quality_ledger,
     "op7_min_cost_mix": op7_min_cost_mix,
+    "op8_shifted_curves": op8_shifted_curves,
+    "op9_page_differencing": op9_page_differencing,
     "op10_byte_level_bpe": op10_byte_level_bpe,
 }
