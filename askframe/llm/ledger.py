@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askframe.llm.common import SPACES, col, words
+from askframe.llm.common import SPACES, col, fresh, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -108,6 +108,15 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
             "n_shouts")
 
 
+def _flat(m: Column) -> dict[str, Column]:
+    """The columns of the ledger from the struct of ``measured``."""
+    return {
+        "n_words": m.w.n_words, "word_chars": m.word_chars, "n_symbols": m.n_symbols,
+        "n_dup_lines": m.l.n_dup_lines, "n_repeat_words": m.w.n_repeat_words,
+        "n_lines": m.l.n_lines, "n_shouts": m.n_shouts,
+    }
+
+
 def ledger(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, the measurements, and ``failures``: bit i is set where rule i fails.
 
@@ -118,17 +127,11 @@ def ledger(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     clash = {*MEASURES, "failures"} & {c.lower() for c in keep}
     if clash:
         raise ValueError(f"columns {sorted(clash)} are measurements; rename them")
-    m = F.col("_m")
-    found = (
-        df.select(*[col(c) for c in keep], F.inline(F.array(F.struct(measured(col(text)).alias("_m")))))
-        .select(
-            *[col(c) for c in keep],
-            m.w.n_words.alias("n_words"), m.word_chars.alias("word_chars"),
-            m.n_symbols.alias("n_symbols"), m.l.n_dup_lines.alias("n_dup_lines"),
-            m.w.n_repeat_words.alias("n_repeat_words"), m.l.n_lines.alias("n_lines"),
-            m.n_shouts.alias("n_shouts"),
-        )
-    )
+    m, = fresh(df, "measured")
+    rows = df.select(
+        *[col(c) for c in keep], F.inline(F.array(F.struct(measured(col(text)).alias(m)))))
+    found = rows.select(
+        *[col(c) for c in keep], *[c.alias(name) for name, c in _flat(col(m)).items()])
     bits = [f"if({rule}, {1 << i}L, 0L)" for i, rule in enumerate(RULES.values())]
     return found.withColumn("failures", F.expr(" | ".join(bits)))
 
@@ -167,3 +170,15 @@ def ablations(rows: DataFrame, policy: str = "2") -> DataFrame:
                 failures.bitwiseAND(F.lit(bit[name])) != 0, failures)), F.lit(0)).alias("also"),
         ) for name in names
     ]).alias("rules")).select(F.inline("rules"))
+
+
+def kept_documents(df: DataFrame, policy: str = "2", text: str = "text") -> DataFrame:
+    """The rows of ``df`` that a policy keeps, with their columns as they are.
+
+    The ledger is made beside the row and dropped after the verdict: no shuffle, and no column of
+    ``df`` can clash with a measurement.
+    """
+    row, = fresh(df, "row")
+    whole = df.select(F.struct(*[col(c) for c in df.columns]).alias(row), col(text).alias("text"))
+    judged = verdicts(ledger(whole, "text", (row,)), policy)
+    return judged.where("kept").select(f"`{row}`.*")

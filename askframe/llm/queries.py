@@ -111,6 +111,13 @@ def op10_byte_level_bpe(spark: SparkSession, sf: str) -> DataFrame:
         public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """All stages of the corpus pipeline, one after the other."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
+
+
 QUERIES = {
     "op1_redirect_filter": op1_redirect_filter,
     "op2_hilbert_sharding": op2_hilbert_sharding,
@@ -122,4 +129,5 @@ QUERIES = {
     "op8_shifted_curves": op8_shifted_curves,
     "op9_page_differencing": op9_page_differencing,
     "op10_byte_level_bpe": op10_byte_level_bpe,
+    "pipeline": pipeline,
 }
