@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askframe.functions import fixed
-from askframe.functions.plan import check_free, seal
+from askframe.functions.plan import aside, seal
 from askframe.functions.text import char_class, col, first_chars, lower_simple, round4
 
 LATIN = char_class(fixed.LATIN_RANGES)
@@ -75,9 +75,9 @@ def with_script_counts(
     df: DataFrame, text: Column | str, out: str = "script_counts"
 ) -> DataFrame:
     """Add ``out``: array of (n, rank, script) with n > 0; the largest struct is dominant."""
-    check_free(df, _SCRIPT_HELPERS)
-    df = _script_counts(df.withColumn("_text", detection_window(col(text))), out, exact=True)
-    return seal(df, out, drop=_SCRIPT_HELPERS)
+    df, (text,), back = aside(df, _SCRIPT_HELPERS, col(text))
+    df = _script_counts(df.withColumn("_text", detection_window(text)), out, exact=True)
+    return back(seal(df, out, drop=_SCRIPT_HELPERS))
 
 
 _SCRIPT_HELPERS = ("_text", "_foreign", "_latin")
@@ -141,9 +141,9 @@ def diacritic_count(lowered: Column) -> Column:
 
 def with_latin_language(df: DataFrame, text: Column | str, out: str = "language") -> DataFrame:
     """Add ``out``: best-effort language code of Latin-script text, or null."""
-    check_free(df, _LANGUAGE_HELPERS)
-    df = _latin_language(df, detection_window(col(text)), out)
-    return seal(df, out, drop=_LANGUAGE_HELPERS)
+    df, (text,), back = aside(df, _LANGUAGE_HELPERS, col(text))
+    df = _latin_language(df, detection_window(text), out)
+    return back(seal(df, out, drop=_LANGUAGE_HELPERS))
 
 
 _LANGUAGE_HELPERS = ("_low", "_words", "_n_words", "_hits", "_scores", "_best", "_rate")
@@ -199,10 +199,8 @@ def detect(
     """
     helpers = (*_SCRIPT_HELPERS, "_counts", "_total", "_script", "_outside", "_language",
                *_LANGUAGE_HELPERS)
-    check_free(df, helpers)
-    text = col(text)
-    if where is not None:
-        text = F.when(where, text)
+    text = col(text) if where is None else F.when(where, col(text))
+    df, (text,), back = aside(df, helpers, text)
     counts, total = F.col("_counts"), F.col("_total")
     script = F.col("_script")
     df = _script_counts(df.withColumn("_text", detection_window(text)), "_counts", exact=False)
@@ -235,4 +233,4 @@ def detect(
         english.alias("is_english"),
         fraction.alias("non_latin_fraction"),
     )
-    return seal(df.withColumn(out, F.when(script.isNotNull(), detection)), out, drop=helpers)
+    return back(seal(df.withColumn(out, F.when(script.isNotNull(), detection)), out, drop=helpers))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askframe.functions import fixed
-from askframe.functions.plan import check_free, seal
+from askframe.functions.plan import aside, seal
 from askframe.functions.text import col, first_chars, ltrim_space, rtrim_space, trim_space
 
 # Characters a quote header can start with; white space is more than the patterns allow.
@@ -130,10 +130,10 @@ def clean_email(
 ) -> DataFrame:
     """Add ``out``: the message itself, without quoted history, signature and disclaimers."""
     helpers = ("_text", "_low", "_headers", "_signature", "_disclaimer", "_lines", "_hits", "_start")
-    check_free(df, helpers)
+    df, (body,), back = aside(df, helpers, col(body))
     text, lines, hits, start = (F.col(c) for c in ("_text", "_lines", "_hits", "_start"))
     df = (
-        df.withColumn("_text", normalise_newlines(col(body)))
+        df.withColumn("_text", normalise_newlines(body))
         .withColumn("_low", F.lower(text))
         .withColumns(
             {
@@ -168,7 +168,7 @@ def clean_email(
         )
         .withColumn(out, first_chars(_collapse_blanks(text), max_chars))
     )
-    return seal(df, out, drop=helpers)
+    return back(seal(df, out, drop=helpers))
 
 
 def email_context(
@@ -176,10 +176,13 @@ def email_context(
 ) -> Column:
     """Fields of an email context in order: ARRAY<STRUCT<key, val>>, absent ones left out.
 
-    ``body`` is expected to be cleaned already where cleaning is wanted; ``extra`` maps names
+    Subject and body are always there, empty where null. ``body`` is expected to be cleaned already where cleaning is wanted; ``extra`` maps names
     to string columns.
     """
-    fields = [("subject", trim_space(col(subject))), ("body", col(body))]
+    fields = [
+        ("subject", F.coalesce(trim_space(col(subject)), F.lit(""))),
+        ("body", F.coalesce(col(body), F.lit(""))),
+    ]
     if sender is not None:
         fields.append(("from", F.nullif(col(sender), F.lit(""))))
     fields += [(name, col(c)) for name, c in (extra or {}).items()]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from askframe.functions import fixed
 from askframe.functions.detect import DETECTION_TYPE, detect
-from askframe.functions.plan import check_free, seal
+from askframe.functions.plan import aside, seal
 from askframe.functions.text import col, fold_name, percent_text, quote_repr
 from askframe.sources.tables import literal_map
 
@@ -89,15 +89,16 @@ def route(
     ``workflow_of``; ``repos`` an optional MAP from checkpoint name to repo from a catalog.
     """
     helpers = ("_model", "_task", "_lang", "_workflow", "_detection", "_chosen", "_reason")
-    check_free(df, helpers)
+    given = [_present(model), _present(task), _present(lang), _present(workflow), col(text)]
+    df, (model, task, lang, workflow, text), back = aside(df, helpers, *given)
     default = _canonical(options.default, options)
     m, t, lg, wf = (F.col(c) for c in ("_model", "_task", "_lang", "_workflow"))
     df = df.withColumns(
         {
-            "_model": _present(model),
-            "_task": _present(task),
-            "_lang": _present(lang),
-            "_workflow": _present(workflow),
+            "_model": model,
+            "_task": task,
+            "_lang": lang,
+            "_workflow": workflow,
         }
     )
     by_workflow = wf.isNotNull() if options.auto_task else F.lit(False)
@@ -169,7 +170,7 @@ def route(
         F.when(known & ~explicit, wf).alias("workflow"),
         F.when(~known, unknown_model(asked, options)).alias("error"),
     )
-    return seal(df.withColumn(out, result), out, drop=helpers)
+    return back(seal(df.withColumn(out, result), out, drop=helpers))
 
 
 def _canonical(name: str, options: RouterOptions) -> str:

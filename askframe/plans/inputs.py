@@ -32,18 +32,16 @@ def pick(key: Column | str, *values: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    return read_table(spark, sf, "documents", "doc_id", *columns, spread=("doc_id",))
+    return read_table(spark, sf, "documents", "doc_id", *columns)
 
 
 def conversations(spark: SparkSession, sf: str) -> DataFrame:
     """Turns as contexts. A turn is a request of its own, however long a conversation is."""
-    return read_table(
-        spark, sf, "conversations", "conv_id", "turn", "role", "text", spread=("conv_id", "turn")
-    )
+    return read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
 
 
 def events(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    return read_table(spark, sf, "events", "event_id", *columns, spread=("event_id",))
+    return read_table(spark, sf, "events", "event_id", *columns)
 
 
 def mixed_scripts(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,23 +128,32 @@ def word_ids(text: Column) -> Column:
 
 
 def logits(spark: SparkSession, sf: str) -> DataFrame:
-    """vec_id, label, qtype, k, logits, act_logits: slices of embeddings as stand-in logits."""
+    """vec_id, label, qtype, k, logits, act_logits: whole embeddings as stand-in logits.
+
+    A vector is cut into questions of 1 to 13 options, by its number; every value is an option of
+    one question, and a last question of one option is a choice. ``vec_id`` numbers the questions:
+    64 times that of the vector (which has 64 values) plus the place of the question in it.
+    """
     df = read_table(spark, sf, "embeddings", "vec_id", "embedding", "label")
     qtype = pick("vec_id", *[F.lit(t) for t in fixed.QTYPES])
-    k = F.when(qtype == "noul", 2).otherwise((F.pmod("vec_id", F.lit(13)) + 1).cast("int"))
-    k = F.when((qtype == "score") & (k < 2), 2).otherwise(k)
-    return (
-        df.withColumn("qtype", qtype)
-        .withColumn("k", k)
-        .withColumn(
-            "logits",
-            F.transform(
-                F.slice("embedding", F.lit(1), F.col("k")),
-                lambda x: (x * F.lit(8.0).cast("float")).cast("float"),
-            ),
-        )
-        .withColumn("act_logits", F.slice("embedding", F.lit(20), F.lit(2)))
-        .drop("embedding")
+    width = (F.pmod("vec_id", F.lit(13)) + 1).cast("int")
+    width = F.when(qtype == "noul", 2).when(qtype == "score", F.greatest(width, F.lit(2))).otherwise(width)
+    cut = df.withColumn("qtype", qtype).withColumn("width", width).withColumn(
+        "part", F.explode(F.expr(
+            "sequence(0, cast((size(embedding) + width - 1) div width as int) - 1)")))
+    values = F.slice("embedding", F.col("part") * F.col("width") + 1, F.col("width"))
+    k = F.least(F.col("width"), F.size("embedding") - F.col("part") * F.col("width"))
+    eight = F.lit(8.0).cast("float")
+    return cut.select(
+        (F.col("vec_id") * 64 + F.col("part")).alias("vec_id"),
+        "label",
+        F.when(k < 2, "choice").otherwise(F.col("qtype")).alias("qtype"),
+        k.alias("k"),
+        F.transform(values, lambda x: (x * eight).cast("float")).alias("logits"),
+        F.array(
+            F.element_at("embedding", F.col("part") + 1),
+            F.element_at("embedding", F.size("embedding") - F.col("part")),
+        ).alias("act_logits"),
     )
 
 

@@ -633,11 +633,15 @@ def temperatures(by_type, by_options) -> str:
 
 
 BUCKET = """qtype || ':' || CASE WHEN k <= 2 THEN '2' WHEN k <= 5 THEN '3-5' WHEN k <= 10 THEN '6-10' ELSE '11+' END"""
-LOGITS = f"""v1 AS (SELECT vec_id, label, embedding, {pick("vec_id", "'choice'", "'score'", "'noul'")} AS qtype FROM embeddings),
-v2 AS (SELECT *, CASE WHEN qtype = 'noul' THEN 2 WHEN qtype = 'score' THEN greatest(2, vec_id % 13 + 1)
-  ELSE vec_id % 13 + 1 END AS k FROM v1),
-logits AS (SELECT vec_id, label, qtype, k, list_transform(embedding[1:k], lambda x: (x * 8::FLOAT)::FLOAT) AS z,
-  embedding[20:21] AS az, {BUCKET} AS bucket FROM v2)"""
+LOGITS = f"""v1 AS (SELECT vec_id, label, embedding, {pick("vec_id", "'choice'", "'score'", "'noul'")} AS form FROM embeddings),
+v2 AS (SELECT *, CASE WHEN form = 'noul' THEN 2 WHEN form = 'score' THEN greatest(2, vec_id % 13 + 1)
+  ELSE vec_id % 13 + 1 END AS width FROM v1),
+v3 AS (SELECT *, unnest(range((len(embedding) + width - 1) // width)) AS part FROM v2),
+v4 AS (SELECT *, least(width, len(embedding) - part * width) AS k FROM v3),
+v5 AS (SELECT vec_id * 64 + part AS vec_id, label, CASE WHEN k < 2 THEN 'choice' ELSE form END AS qtype, k,
+  list_transform(embedding[part * width + 1:part * width + width], lambda x: (x * 8::FLOAT)::FLOAT) AS z,
+  [embedding[part + 1], embedding[len(embedding) - part]] AS az FROM v4),
+logits AS (SELECT *, {BUCKET} AS bucket FROM v5)"""
 TEMPERED = LOGITS + f""",
 tempered AS (SELECT *, {temperatures([1.1, 0.9, 0.0001], _BY_OPTIONS)} AS t FROM logits)"""
 PROBS = TEMPERED + ",\n" + softmax("tempered")

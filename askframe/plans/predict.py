@@ -25,11 +25,7 @@ from askframe.operators.specs import (
 )
 from askframe.sources.catalog import effective_max_len, max_len_error, with_checkpoint
 from askframe.sources.requests import BAD_REQUEST, UNAVAILABLE, failure_class
-from askframe.sources.tables import BROADCAST_BYTES, estimated_bytes, lookup_join, stored
-
-
-# Prefixes hold the ids of every question for three checkpoints: a multiple of the texts.
-PREFIX_GROWTH = 16
+from askframe.sources.tables import lookup_join, stored
 
 
 def intern_specs(df: DataFrame, store: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -48,7 +44,7 @@ def intern_specs(df: DataFrame, store: str | None = None) -> tuple[DataFrame, Da
 def spec_prefixes(
     specs: DataFrame, catalog: DataFrame, encode: Callable[[Column, Column], Column]
 ) -> DataFrame:
-    """Specs with ``workflow`` and ``prefixes``: model -> ARRAY of question prefixes.
+    """spec_id, model, ``prefixes``: the question prefixes of a spec for each checkpoint.
 
     Runs once per question and checkpoint, independent of the number of requests.
     """
@@ -89,65 +85,96 @@ def spec_prefixes(
     entry = F.struct(
         "q_pos", "qid", type_code("qtype").alias("qcode"), "prefix", "markers"
     )
-    by_model = rows.groupBy("spec_id", "model").agg(
+    return rows.groupBy("spec_id", "model").agg(
         F.sort_array(F.collect_list(entry)).alias("prefixes")
     )
-    by_spec = by_model.groupBy("spec_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("model", "prefixes"))).alias("prefixes")
-    )
-    return specs.withColumn("workflow", workflow_of(question_ids("questions"))).join(
-        by_spec, "spec_id", "left"
-    )
 
 
 def _hint(df: DataFrame, name: str, dtype: str = "string") -> DataFrame:
     return df if name in df.columns else df.withColumn(name, F.lit(None).cast(dtype))
 
 
-def predict(
+def admit(
     requests: DataFrame,
     specs: DataFrame,
     catalog: DataFrame,
-    load_encoder,
-    load_scorer,
     options: RouterOptions = RouterOptions(),
     max_len: int = 0,
-    max_tokens: int = 16384,
     bounded_specs: bool = False,
 ) -> DataFrame:
-    """Answer every question of every request.
+    """Route every request and find what keeps it from being answered; nothing is scored.
 
-    ``requests``: request_id, spec_id, context_text, state_text and optional hints model,
-    task, lang, max_len. ``specs``: spec_id, questions. ``catalog``: see ``read_catalog``.
-    Result: one row per request with route, answers (in question order), input_tokens, error
-    and error_class. The only shuffles are those of the specs table.
+    ``requests`` may carry ``error`` and ``error_class`` of an earlier step (``parse_requests``);
+    they stay, and come before anything found here. Adds ``workflow``, ``route``, ``model``,
+    ``checkpoint``, ``window``, ``asked``, ``error`` and ``error_class``.
     """
-    encode = token_ids(load_encoder)
-    for name in ("model", "task", "lang"):
+    for name in ("model", "task", "lang", "error", "error_class"):
         requests = _hint(requests, name)
-    requests = _hint(requests, "max_len", "int")
-    prepared = spec_prefixes(specs, catalog, encode)
-    # The estimate of a joined table is the product of its sides: judge by the specs alone.
-    few = bounded_specs or estimated_bytes(specs) * PREFIX_GROWTH <= BROADCAST_BYTES
-    df = lookup_join(requests, prepared, "spec_id", bounded=few)
+    requests = _hint(requests, "max_len", "int").withColumnsRenamed(
+        {"error": "given_error", "error_class": "given_class", "max_len": "asked"})
+    known = specs.select(
+        "spec_id", workflow_of(question_ids("questions")).alias("workflow"),
+        F.col("questions").isNotNull().alias("has_spec"))
+    df = lookup_join(requests, known, "spec_id", bounded=bounded_specs)
     df = route(df, "context_text", "model", "task", "lang", "workflow", options=options)
-    df = df.withColumnRenamed("max_len", "_asked").drop("model", "task", "lang", "workflow")
+    df = df.drop("model", "task", "lang")
     df = with_checkpoint(df.withColumn("model", F.col("route.model")), catalog)
     here = F.col("checkpoint")
-    window = effective_max_len(F.col("_asked"), F.lit(max_len), here["max_len"])
-    failure = F.coalesce(
-        F.when(F.col("questions").isNull(), 'missing "spec" (object of typed questions)'),
+    no_spec = ~F.coalesce("has_spec", F.lit(False))
+    found = F.coalesce(
+        F.when(no_spec, 'missing "spec" (object of typed questions)'),
         F.col("route.error"),
         F.when(
             here.isNull(), F.concat(F.lit("load "), F.col("model"), F.lit(": no checkpoint"))
         ),
-        max_len_error(F.col("_asked"), here["head_max_len"]),
+        max_len_error(F.col("asked"), here["head_max_len"]),
+    )
+    fresh_class = (
+        F.when(no_spec, BAD_REQUEST)
+        .when(here.isNull() & F.col("model").isNotNull(), UNAVAILABLE)
+        .otherwise(failure_class(found))
     )
+    given = F.col("given_error").isNotNull()
+    return seal(
+        df.withColumn("window", effective_max_len(F.col("asked"), F.lit(max_len), here["max_len"]))
+        .withColumn("error", F.coalesce("given_error", found))
+        .withColumn(
+            "error_class",
+            F.when(given, F.coalesce("given_class", F.lit(BAD_REQUEST))).otherwise(fresh_class)),
+        "window", "error", "error_class", drop=("given_error", "given_class", "has_spec"))
+
+
+def predict(
+    requests: DataFrame,
+    specs: DataFrame,
+    catalog: DataFrame,
+    load_encoder,
+    load_scorer,
+    options: RouterOptions = RouterOptions(),
+    max_len: int = 0,
+    max_tokens: int = 16384,
+    bounded_specs: bool = False,
+) -> DataFrame:
+    """Answer every question of every request.
+
+    ``requests``: request_id, spec_id, context_text, state_text and optional model, task, lang,
+    max_len, error, error_class. ``specs``: spec_id, questions. ``catalog``: see ``read_catalog``.
+    Result: one row per request with route, answers (in question order), input_tokens, error
+    and error_class; a request that came with an error keeps it and has no answers. Requests are
+    routed first, and only then meet the prefixes of their spec for their own checkpoint.
+    """
+    encode = token_ids(load_encoder)
+    df = admit(requests, specs, catalog, options, max_len, bounded_specs)
+    df = df.drop("workflow")
+    prepared = spec_prefixes(specs, catalog, encode).withColumnRenamed("prefixes", "_prefixes")
+    # The questions come with them: both are read only for rows without an error.
+    wanted = prepared.join(specs.select("spec_id", "questions"), "spec_id")
+    df = df.withColumn("_served", F.when(F.col("error").isNull(), F.col("model")))
+    wanted = wanted.withColumnRenamed("model", "_served")
+    df = lookup_join(df, wanted, ["spec_id", "_served"], bounded=bounded_specs).drop("_served")
+    here = F.col("checkpoint")
     df = (
-        df.withColumn("error", failure)
-        .withColumn("_window", window)
-        .withColumn("_prefixes", F.try_element_at("prefixes", "model"))
-        .withColumn("pad_id", here["pad_id"])
+        df.withColumn("pad_id", here["pad_id"])
         .withColumn(
             "_state",
             encode(
@@ -156,7 +183,7 @@ def predict(
             ),
         )
         .withColumn(
-            "sequences", sequences("_prefixes", "_state", here["sep_id"], F.col("_window"))
+            "sequences", sequences("_prefixes", "_state", here["sep_id"], F.col("window"))
         )
     )
     lost = F.filter(
@@ -170,14 +197,11 @@ def predict(
         here["head_max_len"].cast("string"),
     )
     df = (
-        seal(df, "error", "sequences")
-        .withColumn("error", F.coalesce("error", overflow))
+        seal(df, "sequences")
         .withColumn(
             "error_class",
-            F.when(F.col("questions").isNull(), BAD_REQUEST)
-            .when(here.isNull() & F.col("model").isNotNull(), UNAVAILABLE)
-            .otherwise(failure_class(F.col("error"))),
-        )
+            F.coalesce("error_class", F.when(F.col("error").isNull(), failure_class(overflow))))
+        .withColumn("error", F.coalesce("error", overflow))
         .withColumn("input_tokens", input_tokens("sequences"))
         .withColumn("sequences", F.when(F.col("error").isNull(), F.col("sequences")))
     )
@@ -188,7 +212,7 @@ def predict(
         ),
     )
     kept = df.withColumn("temperatures", temperatures).drop(
-        "prefixes", "_prefixes", "_state", "_asked", "_window", "checkpoint",
+        "_prefixes", "_state", "asked", "window", "checkpoint",
         "context_text", "state_text",
     )
     scored = score(kept, load_scorer, max_tokens=max_tokens)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askframe.functions import fixed
-from askframe.functions.text import first_chars
+from askframe.functions.text import col, first_chars
 
 NODE_TYPE = (
     "struct<pos:int,size:int,depth:int,key:string,kind:string,text:string,at:int,len:int>"
@@ -64,8 +64,91 @@ def _quoted(text: str) -> str:
     return json.dumps(text, ensure_ascii=False)
 
 
+_BLANK = re.compile(r"[ \t\n\r]*")
+_LITERAL = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null")
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def _decode_deep(text: str):
+    """What ``_DECODER.decode`` gives, with an explicit stack in place of recursion."""
+    def fail(message: str, at: int):
+        raise json.JSONDecodeError(message, text, at)
+
+    def skip(at: int) -> int:
+        return _BLANK.match(text, at).end()
+
+    def name_at(at: int) -> tuple[str, int]:
+        if text[at:at + 1] != '"':
+            fail("Expecting property name enclosed in double quotes", at)
+        name, at = json.decoder.scanstring(text, at + 1, True)
+        at = skip(at)
+        if text[at:at + 1] != ":":
+            fail("Expecting ':' delimiter", at)
+        return name, skip(at + 1)
+
+    root: list = []
+    stack: list[tuple] = [(root, None)]  # open containers and the key that is being read
+    at = skip(0)
+    while True:
+        ch = text[at:at + 1]
+        opened = None
+        if ch == "{":
+            at = skip(at + 1)
+            opened = {}
+            if text[at:at + 1] != "}":
+                key, at = name_at(at)
+                stack.append((opened, key))
+                continue
+        elif ch == "[":
+            at = skip(at + 1)
+            opened = []
+            if text[at:at + 1] != "]":
+                stack.append((opened, None))
+                continue
+        if opened is not None:
+            value, at = opened, at + 1
+        elif ch == '"':
+            value, at = json.decoder.scanstring(text, at + 1, True)
+        else:
+            found = _LITERAL.match(text, at)
+            if found is None:
+                fail("Expecting value", at)
+            value, at = found[0], found.end()
+            value = _WORDS[value] if value in _WORDS else _Number(value)
+        # Put the value into its container, and close what ends here.
+        while True:
+            inside, key = stack[-1]
+            if key is None:
+                inside.append(value)
+            else:
+                inside[key] = value
+            at = skip(at)
+            if len(stack) == 1:
+                if at != len(text):
+                    fail("Extra data", at)
+                return root[0]
+            ch, end = text[at:at + 1], "]" if key is None else "}"
+            if ch == ",":
+                at = skip(at + 1)
+                if key is not None:
+                    key, at = name_at(at)
+                    stack[-1] = (inside, key)
+                break
+            if ch != end:
+                fail("Expecting ',' delimiter", at)
+            stack.pop()
+            value, at = inside, at + 1
+
+
+def _decoded(text: str):
+    try:
+        return _DECODER.decode(text)
+    except RecursionError:
+        return _decode_deep(text)
+
+
 def _document(text: str) -> tuple[str, list[list]]:
-    """Canonical text and nodes of one JSON text; raises ValueError where it is not JSON."""
+    """Canonical text and nodes of one JSON text, of any depth; ValueError where it is not JSON."""
     nodes: list[list] = []
     parts: list[str] = []
     at = 0
@@ -75,26 +158,19 @@ def _document(text: str) -> tuple[str, list[list]]:
         parts.append(part)
         at += len(part)
 
-    def visit(value, key: str | None, depth: int) -> None:
+    def begin(value, key: str | None, depth: int) -> tuple | None:
+        """Write a value; of a container the opening, and return what is left of it."""
         node = [len(nodes), 1, depth, key, None, None, at, 0]
         nodes.append(node)
         if isinstance(value, dict):
             node[4] = "object"
             write("{")
-            for i, (name, child) in enumerate(value.items()):
-                name = _valid(name)
-                write((", " if i else "") + _quoted(name) + ": ")
-                visit(child, name, depth + 1)
-            write("}")
-        elif isinstance(value, list):
+            return node, iter(value.items()), "}"
+        if isinstance(value, list):
             node[4] = "array"
             write("[")
-            for i, child in enumerate(value):
-                if i:
-                    write(", ")
-                visit(child, None, depth + 1)
-            write("]")
-        elif isinstance(value, str):
+            return node, ((None, child) for child in value), "]"
+        if isinstance(value, str):
             node[4], node[5] = "string", _valid(value)
             write(_quoted(node[5]))
         elif isinstance(value, _Number):
@@ -106,10 +182,28 @@ def _document(text: str) -> tuple[str, list[list]]:
         else:
             node[4], node[5] = "bool", "true" if value else "false"
             write(node[5])
-        node[1] = len(nodes) - node[0]
         node[7] = at - node[6]
-
-    visit(_DECODER.decode(text), None, 0)
+        return None
+
+    opened = begin(_decoded(text), None, 0)
+    stack = [opened] if opened else []
+    while stack:
+        node, rest, end = stack[-1]
+        item = next(rest, None)
+        if item is None:
+            write(end)
+            node[1], node[7] = len(nodes) - node[0], at - node[6]
+            stack.pop()
+            continue
+        key, child = item
+        if len(nodes) > node[0] + 1:
+            write(", ")
+        if key is not None:
+            key = _valid(key)
+            write(_quoted(key) + ": ")
+        opened = begin(child, key, node[2] + 1)
+        if opened:
+            stack.append(opened)
     return "".join(parts), nodes
 
 
@@ -126,8 +220,6 @@ def _parse_batch(texts: list[str | None]) -> list[pa.Array]:
             problem = "trailing data after JSON value" if e.msg == "Extra data" else e.msg
         except ValueError as e:
             problem = str(e)
-        except RecursionError:
-            problem = "nested too deeply"
         invalid.append(problem)
         kinds.append(kind)
         canonicals.append(canonical)
@@ -150,17 +242,16 @@ def parse_json(df: DataFrame, json_col: str) -> DataFrame:
     subtree, its depth, key and kind, the text of a string or the literal of a number, and
     where its canonical text lies (``at``, ``len`` in code points).
     """
-    column = df.columns.index(json_col)
     parsed = T.StructType.fromDDL(PARSED_TYPE)
-    schema = T.StructType(df.schema.fields + parsed.fields)
-    names = schema.names
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            added = _parse_batch(batch.column(column).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=names)
+    @F.arrow_udf(parsed)
+    def parse(texts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(_parse_batch(texts.to_pylist()), names=parsed.names)
 
-    return df.mapInArrow(run, schema)
+    taken = {c.lower() for c in df.columns}
+    one = next(n for i in count() if (n := f"parsed_{i}") not in taken)
+    return df.withColumn(one, parse(col(json_col))).select(
+        *df.columns, *[F.col(one)[name].alias(name) for name in parsed.names])
 
 
 # --- reading nodes ----------------------------------------------------------------------------

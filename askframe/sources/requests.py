@@ -273,7 +273,7 @@ def parse_requests(
     )
     for name in fixed.HINT_FIELDS:
         df = df.withColumn(name, child(fields, name)["text"])
-    df = df.withColumn("max_len", whole_number(child(fields, "max_len")).cast("int"))
+    df = df.withColumn("max_len", whole_number(child(fields, "max_len")).try_cast("int"))
 
     has_spec = F.col("spec_node").isNotNull()
     if endpoint == "preset":

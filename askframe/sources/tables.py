@@ -5,59 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-SMALL_INPUT_BYTES_PER_CORE = 64 * 1024 * 1024
+def read_table(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame:
+    """Read ``<root>/<name>.parquet`` as it lies.
 
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Size of a DataFrame as the optimizer estimates it; very large where unknown."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def read_table(
-    spark: SparkSession, root: str, name: str, *columns: str, spread: tuple[str, ...] = ()
-) -> DataFrame:
-    """Read ``<root>/<name>.parquet``.
-
-    ``spread`` names a unique key: an input that is too small to give every core a row group
-    is hashed over the cores by it. Larger inputs are read as they lie, without a shuffle.
+    How many tasks read it is the session's matter (``spark.sql.files.maxPartitionBytes``).
     """
     df = spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
-    if columns:
-        df = df.select(*columns)
-    if spread:
-        cores = spark.sparkContext.defaultParallelism
-        if estimated_bytes(df) < cores * SMALL_INPUT_BYTES_PER_CORE:
-            df = df.repartition(cores, *spread)
-    return df
+    return df.select(*columns) if columns else df
 
 
 def lookup_join(
     rows: DataFrame,
     table: DataFrame,
-    key: str,
+    key: str | list[str],
     how: str = "left",
     bounded: bool = False,
     salts: int = 16,
-    max_broadcast: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join a lookup table whose key is unique to many rows, safe for hot keys.
 
-    A table that is bounded by construction, or small by the optimizer's estimate, is
-    broadcast. A larger one is copied once per salt and shuffled together with the rows on
-    (key, salt), so that a key with a third of all rows is spread over ``salts`` tasks. The
-    salt is a hash of the row, so a task that is run again gives its rows the same one.
+    ``bounded`` is for tables that are bounded by construction (presets, checkpoints): they are
+    broadcast. Any other table is copied once per salt and shuffled together with the rows on
+    (key, salt), so that a key with a third of all rows is spread over ``salts`` tasks; a copy
+    that turns out small at run time is broadcast by adaptive execution. The salt is a hash of
+    the row, so a task that is run again gives its rows the same one.
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup_join keeps the rows: left or inner")
-    if bounded or estimated_bytes(table) <= max_broadcast:
-        return rows.join(F.broadcast(table), key, how)
+    keys = [key] if isinstance(key, str) else list(key)
+    if bounded:
+        return rows.join(F.broadcast(table), keys, how)
+    salt = "salt"
+    while salt in rows.columns or salt in table.columns:
+        salt = "_" + salt
     hashed = [f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
     salted_rows = rows.withColumn(
-        "_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")
+        salt, F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")
     )
-    salted_table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_rows.join(salted_table, [key, "_salt"], how).drop("_salt")
+    salted_table = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted_rows.join(salted_table, [*keys, salt], how).drop(salt)
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
