@@ -8,6 +8,8 @@ values, which needs one Arrow UDF (``double_text``): the JVM text is not always
 
 from __future__ import annotations
 
+import json
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -70,6 +72,54 @@ def double_text(values: pa.Array) -> pa.Array:
     return pa.array([_shortest(v) for v in values.to_pylist()], pa.string())
 
 
+def _python_text(value, dtype: T.DataType) -> str:
+    """JSON text of a Python value of a Spark type."""
+    if value is None:
+        return "null"
+    if isinstance(dtype, T.StructType):
+        return "{" + ", ".join(
+            f"{json.dumps(f.name, ensure_ascii=False)}: {_python_text(value[f.name], f.dataType)}"
+            for f in dtype.fields) + "}"
+    if isinstance(dtype, T.ArrayType):
+        return "[" + ", ".join(_python_text(v, dtype.elementType) for v in value) + "]"
+    if isinstance(dtype, T.MapType):
+        return "{" + ", ".join(
+            f"{json.dumps(k, ensure_ascii=False)}: {_python_text(v, dtype.valueType)}"
+            for k, v in sorted(value, key=lambda kv: kv[0])) + "}"
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return _shortest(value)
+    if isinstance(dtype, T.StringType):
+        return json.dumps(value, ensure_ascii=False)
+    if isinstance(dtype, T.BooleanType):
+        return "true" if value else "false"
+    return format(value, "f") if isinstance(dtype, T.DecimalType) else str(value)
+
+
+def _whole_text(value: Column, dtype: T.DataType) -> Column:
+    """JSON text of an array or map with doubles deep inside: one Arrow call on the whole value."""
+    @F.arrow_udf(T.StringType())
+    def text(values: pa.Array) -> pa.Array:
+        return pa.array(
+            [None if v is None else _python_text(v, dtype) for v in values.to_pylist()], pa.string())
+
+    return text(value)
+
+
+def _holds_doubles(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(_holds_doubles(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _holds_doubles(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return _holds_doubles(dtype.valueType)
+    return isinstance(dtype, (T.DoubleType, T.FloatType))
+
+
+def _check_keys(dtype: T.DataType) -> None:
+    if isinstance(dtype, T.MapType) and not isinstance(dtype.keyType, T.StringType):
+        raise TypeError("JSON objects need text keys; cast the map's keys to strings")
+
+
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def double_texts(values: pa.Array) -> pa.Array:
     """``double_text`` of every element of an array; null elements become ``null``."""
@@ -88,8 +138,6 @@ def _scalar_text(value: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return value.cast("string")
     if isinstance(dtype, T.DecimalType):
-        if dtype.scale:
-            raise TypeError("decimals with a fraction have no JSON number text; cast to double")
         return value.cast("string")
     raise TypeError(f"no JSON text for {dtype.simpleString()}; cast it to a string first")
 
@@ -98,37 +146,41 @@ def json_text(value: Column | str, dtype: T.DataType) -> Column:
     """JSON text of ``value``; null becomes ``null``, struct fields keep their order.
 
     DOUBLE leaves at the top or in structs go through ``double_text``, arrays of them through
-    ``double_texts``. A Python UDF cannot be called per element, so doubles deeper inside
-    arrays or maps raise; hold such contexts as JSON text (``sources.raw_json``).
+    ``double_texts``, and an array or map with doubles deeper inside goes through Python as a
+    whole: a UDF cannot be called per element. Decimals keep their digits; maps have text keys.
     """
-    return _json(col(value), dtype, nested=False)
+    return _json(col(value), dtype)
 
 
-def _json(value: Column, dtype: T.DataType, nested: bool) -> Column:
+def _json(value: Column, dtype: T.DataType) -> Column:
+    _check_keys(dtype)
     if isinstance(dtype, T.StructType):
         parts: list[Column] = []
         for i, field in enumerate(dtype.fields):
             parts.append(F.concat(F.lit(", " if i else ""), quote(F.lit(field.name)), F.lit(": ")))
-            parts.append(_json(value[field.name], field.dataType, nested))
+            parts.append(_json(value[field.name], field.dataType))
         text = F.when(value.isNotNull(), F.concat(F.lit("{"), *parts, F.lit("}")))
     elif isinstance(dtype, T.ArrayType):
-        if isinstance(dtype.elementType, (T.DoubleType, T.FloatType)) and not nested:
+        if isinstance(dtype.elementType, (T.DoubleType, T.FloatType)):
             items = double_texts(value.cast("array<double>"))
+        elif _holds_doubles(dtype):
+            return F.coalesce(_whole_text(value, dtype), F.lit("null"))
         else:
-            items = F.transform(value, lambda x: _json(x, dtype.elementType, True))
+            items = F.transform(value, lambda x: _json(x, dtype.elementType))
         text = F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
     elif isinstance(dtype, T.MapType):
-        # Maps carry no order of their own: keys are written sorted.
+        if _holds_doubles(dtype):
+            return F.coalesce(_whole_text(value, dtype), F.lit("null"))
+        # Maps carry no order of their own: keys are written sorted. Maps have no order as values
+        # either, so the keys are sorted alone.
         items = F.transform(
-            F.array_sort(F.map_entries(value)),
-            lambda e: F.concat(
-                quote(e["key"]), F.lit(": "), _json(e["value"], dtype.valueType, True)
+            F.array_sort(F.map_keys(value)),
+            lambda k: F.concat(
+                quote(k), F.lit(": "), _json(F.element_at(value, k), dtype.valueType)
             ),
         )
         text = F.concat(F.lit("{"), F.array_join(items, ", "), F.lit("}"))
     elif isinstance(dtype, (T.DoubleType, T.FloatType)):
-        if nested:
-            raise TypeError("doubles inside arrays or maps: see json_text")
         text = double_text(value.cast("double"))
     elif isinstance(dtype, T.NullType):
         return F.lit("null")
@@ -185,8 +237,8 @@ def _string_leaves(value: Column, dtype: T.DataType, depth: int) -> Column | Non
         if _holds_strings(element, depth + 1):
             return F.flatten(
                 F.transform(
-                    F.array_sort(F.map_entries(value)),
-                    lambda e: _or_empty(_string_leaves(e["value"], element, depth + 1)),
+                    F.array_sort(F.map_keys(value)),
+                    lambda k: _or_empty(_string_leaves(F.element_at(value, k), element, depth + 1)),
                 )
             )
     return None

@@ -87,3 +87,18 @@ def round4(x: Column) -> Column:
 def round4_float(x: Column) -> Column:
     """``round4`` of a FLOAT: its 24 bits times 10^4 are exact in a double, so ``rint`` is."""
     return F.rint(x.cast("double") * F.lit(10000.0)) / F.lit(10000.0)
+
+
+#: Control characters with a letter of their own in a quoted name.
+_NAME_ESCAPES = {"\a": "a", "\b": "b", "\f": "f", "\n": "n", "\r": "r", "\t": "t", "\v": "v"}
+
+
+def quoted_name(text: Column) -> Column:
+    r"""A name in double quotes as messages show it: ``\"``, ``\\``, ``\n``, ``\x01``."""
+    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    full = plain
+    for code in (*range(0x20), 0x7F):
+        shown = _NAME_ESCAPES.get(chr(code), f"x{code:02x}")
+        full = F.replace(full, F.lit(chr(code)), F.lit("\\" + shown))
+    body = F.when(text.rlike(r"[\x00-\x1f\x7f]"), full).otherwise(plain)
+    return F.concat(F.lit('"'), body, F.lit('"'))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from askframe.functions import fixed
 from askframe.functions.detect import DETECTION_TYPE, detect
 from askframe.functions.plan import aside, seal
-from askframe.functions.text import col, fold_name, percent_text, quote_repr
+from askframe.functions.text import col, fold_name, percent_text, quote_repr, quoted_name
 from askframe.sources.tables import literal_map
 
 
@@ -50,9 +50,9 @@ def unknown_model(name: Column, options: RouterOptions = RouterOptions()) -> Col
     names = " ".join(fixed.MODEL_NAMES)
     aliases = " ".join(sorted(options.aliases()))
     return F.concat(
-        F.lit('unknown model "'),
-        name,
-        F.lit(f'"; choose one of [{names}] (or an alias: [{aliases}])'),
+        F.lit("unknown model "),
+        quoted_name(name),
+        F.lit(f'; choose one of [{names}] (or an alias: [{aliases}])'),
     )
 
 

@@ -789,7 +789,27 @@ UNION ALL SELECT event_id, 1, 'n', 'noul', '?', 'false: {fixed.NOUL_FALSE}|true:
 UNION ALL SELECT event_id, 2, 's', 'score', 'how?', 'level 0: null|level 1: {{"a": 2.5}}|level 2: top',
   'null|{{"a": 2.5}}|"top"' FROM events WHERE {_BODY} = 24
 UNION ALL SELECT event_id, 3, 'o', 'choice', '?', 'a|b: 0|c|d: ' || {_PROPS}, '' FROM events WHERE {_BODY} = 24"""
-_STANDARD = "|".join(f"{k}: {v}" for k, v in fixed.PRESETS["email"]["category"][2].items())
+
+
+def _option_texts(question: tuple, categories: str | None = None) -> str:
+    """SQL of the rendered options of a preset question, or of given categories in their place."""
+    kind, _, criteria = question
+    if categories is not None:
+        return categories
+    if kind == "choice":
+        return q("|".join(f"{k}: {v}" if v else k for k, v in criteria.items()))
+    if kind == "score":
+        return q("|".join(f"level {i}: {text}" for i, text in enumerate(criteria)))
+    texts = criteria or {"false": fixed.NOUL_FALSE, "true": fixed.NOUL_TRUE}
+    return q(f"false: {texts['false']}|true: {texts['true']}")
+
+
+def _spec_options(preset: str, categories: str | None = None) -> str:
+    return " || '; ' || ".join(
+        f"'{qid}=' || " + _option_texts(question, categories if qid == "category" else None)
+        for qid, question in fixed.PRESETS[preset].items())
+
+
 SQL["preset_requests"] = f"""WITH r AS (SELECT event_id, event_type, event_id % 4 AS p, event_id % 5 AS b FROM events),
 e AS (SELECT *, CASE WHEN b = 4 THEN 'unknown field "contex" (expected context, spec, model, lang, task, max_len; '
     || 'state/questions/categories are also accepted)'
@@ -797,8 +817,9 @@ e AS (SELECT *, CASE WHEN b = 4 THEN 'unknown field "contex" (expected context,
   WHEN p = 2 THEN 'unknown preset "nope"; available: [{" ".join(PRESET_ORDER)}]' END AS error FROM r)
 SELECT event_id, error, CASE WHEN b IN (1, 4) THEN 'bad_request' WHEN p = 2 THEN 'not_found' END AS error_class,
   CASE WHEN error IS NOT NULL THEN NULL
-    WHEN p = 1 THEN {_PLAIN_NOUL}
-    WHEN b = 0 THEN event_type || ': x|b' ELSE {q(_STANDARD)} END AS options FROM e"""
+    WHEN p = 1 THEN {_spec_options("guard")}
+    WHEN b = 0 THEN {_spec_options("email", "event_type || ': x|b'")}
+    ELSE {_spec_options("email")} END AS options FROM e"""
 SQL["failure_classes"] = f"""WITH m AS (SELECT {pick("doc_id",
     "'unknown model \"' || lang || '\"'", "'load ' || lang || ': no checkpoint'",
     "'question \"q\" options exceed head_max_len=192'", "'max_len must be positive, got -1'",
@@ -885,3 +906,41 @@ SQL["stream_requests"] = ctes(
 ) + """SELECT CASE id % 3 WHEN 0 THEN model WHEN 2 THEN 'english' END AS model,
   CASE id % 3 WHEN 0 THEN reason WHEN 2 THEN 'explicit model=''en''' END AS reason,
   id % 3 = 1 AS dead, count(*) AS n FROM routed GROUP BY ALL"""
+
+# --- raw bodies to their end ------------------------------------------------------------------
+
+_ALIASES = " ".join(sorted(fixed.ALIASES))
+_UNKNOWN = (f"unknown model \"a\\\"b\"; choose one of [{' '.join(fixed.MODEL_NAMES)}] "
+            f"(or an alias: [{_ALIASES}])")
+_BOTH = {5: _LIMITS, 6: _LIMITS, 7: _LIMITS, 8: 'field "lang" must be a string', 9: _ERRORS[9],
+         2: _UNKNOWN}
+_PREDICT = _BOTH | {
+    1: "load multilingual: no checkpoint", 11: "load multilingual: no checkpoint",
+    3: "max_len 100 is too small for head_max_len=192 "
+       "(need at least 208)",
+    10: 'missing "spec" (object of typed questions)',
+}
+
+
+def _outcomes(errors: dict[int, str]) -> str:
+    listed = " ".join(f"WHEN {i} THEN {q(m)}" for i, m in sorted(errors.items()))
+    return f"CASE event_id % 12 {listed} END"
+
+
+# Event types are single English words, which go to the default checkpoint.
+_ROUTED = ("CASE WHEN event_id % 12 IN (1, 11) THEN 'multilingual' "
+           "WHEN event_id % 12 = 4 THEN 'typed-decisions' ELSE 'english' END")
+SQL["request_predict"] = f"""WITH r AS (SELECT event_id, event_id % 12 AS i, {_outcomes(_PREDICT)} AS error,
+  {_ROUTED} AS model FROM events)
+SELECT event_id, error, CASE WHEN i IN (1, 11) THEN 'unavailable' WHEN error IS NOT NULL THEN 'bad_request' END
+  AS error_class, CASE WHEN error IS NULL THEN model END AS model,
+  CASE WHEN i = 4 THEN 8192 WHEN error IS NULL THEN 512 END::BIGINT AS "window" FROM r"""
+SQL["request_route"] = f"""SELECT event_id, {_outcomes(_BOTH)} AS error,
+  CASE WHEN {_outcomes(_BOTH)} IS NOT NULL THEN 'bad_request' END AS error_class,
+  CASE WHEN {_outcomes(_BOTH)} IS NULL THEN {_ROUTED} END AS model FROM events"""
+SQL["stream_bodies"] = f"""SELECT model, error_class, count(*) AS n FROM ({SQL["request_route"]}) GROUP BY ALL"""
+SQL["raw_json_deep"] = """SELECT conv_id, turn, NULL::VARCHAR AS invalid, 'array' AS kind,
+  1500 + turn * 500 + 1 AS n_nodes, 1500 + turn * 500 AS depth, true AS same_text FROM conversations"""
+SQL["order_contexts"] = """SELECT l_orderkey, '{"order": ' || l_orderkey || ', "items": [' || string_agg(
+  '{"l_linenumber": ' || l_linenumber || ', "price": ' || l_extendedprice || ', "more": {"rates": {"tax": ' || l_tax
+  || '}}}', ', ' ORDER BY l_linenumber, l_extendedprice, l_tax) || ']}' AS state FROM lineitem GROUP BY l_orderkey"""

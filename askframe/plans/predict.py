@@ -14,6 +14,7 @@ from askframe.operators.route import RouterOptions, route
 from askframe.operators.score import score, token_ids
 from askframe.operators.sequence import input_tokens, question_prefix, sequences
 from askframe.operators.specs import (
+    QUESTION_TYPE,
     head_text,
     option_count,
     option_texts,
@@ -54,7 +55,7 @@ def spec_prefixes(
     per_model = (
         question_rows(specs)
         .withColumn("model", F.explode(F.array(*[F.lit(m) for m in fixed.MODEL_NAMES])))
-        .join(F.broadcast(checkpoints), "model")  # one row per known model name
+        .join(F.broadcast(checkpoints.dropDuplicates(["model"])), "model")  # a row per known model
         .withColumn("_head", head_text(q, F.col("mask")))
         .withColumn(
             "_options",
@@ -90,6 +91,9 @@ def spec_prefixes(
     )
 
 
+QUESTIONS_TYPE = f"array<{QUESTION_TYPE}>"
+
+
 def _hint(df: DataFrame, name: str, dtype: str = "string") -> DataFrame:
     return df if name in df.columns else df.withColumn(name, F.lit(None).cast(dtype))
 
@@ -144,6 +148,20 @@ def admit(
         "window", "error", "error_class", drop=("given_error", "given_class", "has_spec"))
 
 
+def route_requests(requests: DataFrame, options: RouterOptions = RouterOptions()) -> DataFrame:
+    """Parsed requests with ``route``, null for those that came with an error, which they keep; a
+    routing error is added."""
+    own = question_ids(F.coalesce("questions", F.expr("array()").cast(QUESTIONS_TYPE)))
+    df = requests.withColumn("workflow", workflow_of(own))
+    df = route(df, "context_text", "model", "task", "lang", "workflow", options=options)
+    found = F.col("route.error")
+    return df.withColumn(
+        "route", F.when(F.col("error").isNull(), F.col("route"))
+    ).withColumn(
+        "error_class", F.coalesce("error_class", F.when(F.col("error").isNull(), failure_class(found)))
+    ).withColumn("error", F.coalesce("error", found)).drop("workflow")
+
+
 def predict(
     requests: DataFrame,
     specs: DataFrame,

@@ -33,11 +33,11 @@ from askframe.operators.route import (
 )
 from askframe.operators.score import score, token_ids
 from askframe.plans import doubles, inputs
-from askframe.plans.predict import decisions, intern_specs, predict
+from askframe.plans.predict import admit, decisions, intern_specs, predict, route_requests
 from askframe.sources import catalog, raw_json, requests, sinks
 from askframe.sources.session import ship_package, shared_dir
 from askframe.sources.tables import lookup_join, read_table, small_table
-from askframe.streaming.requests import write_stream
+from askframe.streaming.requests import read_stream_results, write_stream
 
 QUERIES = {}
 
@@ -1050,12 +1050,14 @@ def preset_requests(spark: SparkSession, sf: str) -> DataFrame:
     df = requests.parse_requests(
         df, endpoint="preset", preset="preset", presets=specs.presets(spark)
     )
-    first = F.element_at("questions", 1)
+    every = F.transform(
+        "questions", lambda q: F.concat(
+            q["qid"], F.lit("="), F.array_join(specs.option_texts(q), "|")))
     return df.select(
         "event_id",
         "error",
         "error_class",
-        F.when(F.col("error").isNull(), F.array_join(specs.option_texts(first), "|")).alias("options"),
+        F.when(F.col("error").isNull(), F.array_join(every, "; ")).alias("options"),
     )
 
 
@@ -1226,12 +1228,105 @@ def stream_requests(spark: SparkSession, sf: str) -> DataFrame:
     rows = route(stream, "text", "model_hint").select(
         "doc_id", "route.model", "route.reason", "route.error"
     )
-    write_stream(
-        rows, f"{base}/routed", f"{base}/checkpoint", f"{base}/quarantine"
-    ).awaitTermination()
-    routed = spark.read.parquet(f"{base}/routed")
-    dead = spark.read.parquet(f"{base}/quarantine")
+    write_stream(rows, f"{base}/routed", f"{base}/checkpoint").awaitTermination()
+    routed, dead = read_stream_results(spark, f"{base}/routed")
     both = routed.unionByName(dead)
     return both.groupBy("model", "reason", F.col("error").isNotNull().alias("dead")).agg(
         F.count(F.lit(1)).alias("n")
     )
+
+
+# --- raw bodies to their end ------------------------------------------------------------------
+
+
+def _noul(*fields) -> Column:
+    """A body with one yes/no question and these fields."""
+    parts = [F.lit(f) if isinstance(f, str) else f for f in fields]
+    return F.concat(
+        F.lit('{"spec": {"q": {"type": "noul", "instructions": "?"}}, '), *parts, F.lit("}"))
+
+
+def _outcome_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """event_id, body: events as request bodies of every outcome."""
+    df = inputs.events(spark, sf, "event_type")
+    said = F.concat(F.lit('"context": "'), F.col("event_type"), F.lit('"'))
+    return df.select("event_id", inputs.pick(
+        "event_id",
+        _noul(said, ', "model": "en"'),
+        _noul(said, ', "model": "ml"'),
+        _noul(said, ', "model": "a\\"b"'),
+        _noul(said, ', "model": "en", "max_len": 100'),
+        _noul(said, ', "model": "typed", "max_len": 8192'),
+        _noul(said, ', "max_len": 2147483648'),
+        _noul(said, ', "max_len": 9223372036854775808'),
+        _noul(said, ', "max_len": -1'),
+        _noul(said, ', "lang": 3'),
+        _noul(said, ', "bogus": 1'),
+        F.concat(F.lit("{"), said, F.lit(', "model": "en"}')),
+        _noul(said, ', "lang": "fr", "max_len": 0'),
+    ).alias("body"))
+
+
+@query
+def request_predict(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw bodies to what keeps them from an answer: 400, 503 or nothing, one row for each."""
+    parsed = requests.parse_requests(_outcome_bodies(spark, sf))
+    rows, own = intern_specs(parsed, f"{shared_dir(spark)}/specs-{uuid.uuid4().hex}")
+    known = doubles.catalog(spark).where("model <> 'multilingual'")
+    df = admit(rows, own, known)
+    return df.select(
+        "event_id", "error", "error_class",
+        F.when(F.col("error").isNull(), F.col("model")).alias("model"),
+        F.when(F.col("error").isNull(), long("window")).alias("window"))
+
+
+@query
+def request_route(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw bodies routed; a spec is optional here, faulty bodies keep their error."""
+    parsed = requests.parse_requests(_outcome_bodies(spark, sf), endpoint="route")
+    df = route_requests(parsed)
+    return df.select("event_id", "error", "error_class", "route.model")
+
+
+@query
+def raw_json_deep(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents nested thousands of levels deep parse like flat ones."""
+    depth = (F.lit(1500) + F.col("turn") * 500).cast("int")
+    df = inputs.conversations(spark, sf).select(
+        "conv_id", "turn", "text",
+        F.concat(F.repeat(F.lit("["), depth), pyjson.quote(F.col("text")), F.repeat(F.lit("]"), depth))
+        .alias("body"))
+    df = raw_json.parse_json(df, "body")
+    leaf = F.element_at("nodes", -1)
+    return df.select(
+        "conv_id", "turn", "invalid", "kind", long(F.size("nodes")).alias("n_nodes"),
+        long(leaf["depth"]).alias("depth"), (leaf["text"] == F.col("text")).alias("same_text"))
+
+
+@query
+def order_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with their line items, prices and a map of maps inside, as JSON text."""
+    lines = read_table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice", "l_tax")
+    orders = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(
+        F.struct("l_linenumber", "l_extendedprice", "l_tax"))).alias("rows"))
+    items = F.transform("rows", lambda r: F.struct(
+        r["l_linenumber"].alias("l_linenumber"), r["l_extendedprice"].alias("price"),
+        F.create_map(F.lit("rates"), F.create_map(F.lit("tax"), r["l_tax"])).alias("more")))
+    context = F.struct(F.col("l_orderkey").alias("order"), items.alias("items"))
+    df = orders.select("l_orderkey", context.alias("context"))
+    return df.select("l_orderkey", pyjson.state_text("context", df.schema["context"].dataType).alias("state"))
+
+
+@query
+def stream_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw bodies as a stream: routed rows, and dead letters with their errors."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    _outcome_bodies(spark, sf).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema("event_id long, body string").option(
+        "maxFilesPerTrigger", 64).parquet(f"{base}/in")
+    rows = route_requests(requests.parse_requests(stream, endpoint="route")).select(
+        "event_id", "error", "error_class", "route.model")
+    write_stream(rows, f"{base}/out", f"{base}/state").awaitTermination()
+    routed, dead = read_stream_results(spark, f"{base}/out")
+    return routed.unionByName(dead).groupBy("model", "error_class").agg(
+        F.count(F.lit(1)).alias("n"))

@@ -135,12 +135,16 @@ def effective_max_len(
     )
 
 
+def _per_model(catalog: DataFrame) -> DataFrame:
+    return catalog.where(F.col("model").isin(*fixed.MODEL_NAMES)).dropDuplicates(["model"])
+
+
 def with_checkpoint(df: DataFrame, catalog: DataFrame, model: str = "model") -> DataFrame:
     """Add the catalog row of each request's checkpoint as struct ``checkpoint``.
 
-    The catalog has at most one row per known model name, so it is broadcast.
+    At most one row per known model name is broadcast, whatever the catalog holds.
     """
-    rows = catalog.select(
+    rows = _per_model(catalog).select(
         F.col("model").alias(model), F.struct(*catalog.columns).alias("checkpoint")
     )
     return df.join(F.broadcast(rows), model, "left")
@@ -149,5 +153,5 @@ def with_checkpoint(df: DataFrame, catalog: DataFrame, model: str = "model") ->
 def missing_checkpoints(df: DataFrame, catalog: DataFrame, model: str = "model") -> DataFrame:
     """Models that requests are routed to but that have no checkpoint, with their counts."""
     wanted = df.groupBy(model).agg(F.count(F.lit(1)).alias("n"))
-    known = catalog.select(F.col("model").alias(model))
+    known = _per_model(catalog).select(F.col("model").alias(model))
     return wanted.join(F.broadcast(known), model, "left_anti")

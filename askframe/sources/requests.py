@@ -13,7 +13,7 @@ from askframe.functions import fixed
 from askframe.functions.calibrate import let
 from askframe.functions.plan import seal
 from askframe.functions.pyjson import ascii_escape, context_text, quote, state_text
-from askframe.functions.text import col
+from askframe.functions.text import col, quoted_name
 from askframe.operators.specs import QUESTION_TYPE, with_categories
 from askframe.sources.raw_json import (
     child,
@@ -48,7 +48,7 @@ def whole_number(node: Column) -> Column:
 
 
 def _field_error(f: Column) -> Column:
-    name = quote(f["key"])
+    name = quoted_name(f["key"])
     limit = F.coalesce(whole_number(f), F.lit(-1))
     return (
         F.when(
@@ -94,7 +94,7 @@ def body_error(body: Column, invalid: Column, kind: Column, fields: Column) -> C
 
 
 def _question_error(q: Column, kids: Column, items: Column) -> Column:
-    name = F.concat(F.lit("question "), quote(q["key"]), F.lit(": "))
+    name = F.concat(F.lit("question "), quoted_name(q["key"]), F.lit(": "))
     qtype, criteria = child(kids, "type"), child(kids, "criteria")
     has_criteria = criteria.isNotNull()
     kind = criteria["kind"]
@@ -108,7 +108,7 @@ def _question_error(q: Column, kids: Column, items: Column) -> Column:
         )
         .when(
             ~qtype["text"].isin(fixed.QTYPES),
-            F.concat(F.lit("unknown type "), quote(qtype["text"]), F.lit(" (choice|score|noul)")),
+            F.concat(F.lit("unknown type "), quoted_name(qtype["text"]), F.lit(" (choice|score|noul)")),
         )
         .when(child(kids, "instructions").isNull(), 'missing field "instructions"')
         .when(
@@ -284,10 +284,12 @@ def parse_requests(
                 n["key"].alias("key"), _described(canonical, n).alias("val")
             ),
         )
+        # One row per known preset at most, whatever the table holds.
+        known = presets.where(F.col("spec_id").isin(*fixed.PRESETS)).dropDuplicates(["spec_id"])
         df = (
             df.withColumn("_cats", pairs)
             .withColumnRenamed(preset, "spec_id")
-            .join(F.broadcast(presets), "spec_id", "left")  # five rows by construction
+            .join(F.broadcast(known), "spec_id", "left")
         )
         df = with_categories(df, "spec_id", "_cats").withColumnRenamed("spec_id", preset)
         error = F.coalesce(
@@ -298,7 +300,7 @@ def parse_requests(
         missing = F.when(
             F.col("questions").isNull(),
             F.concat(
-                F.lit("unknown preset "), quote(col(preset)), F.lit(f"; available: [{names}]")
+                F.lit("unknown preset "), quoted_name(col(preset)), F.lit(f"; available: [{names}]")
             ),
         )
         df = df.withColumn("error", F.coalesce(error, missing)).withColumn(

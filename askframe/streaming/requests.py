@@ -1,40 +1,33 @@
 """Requests as a stream: the batch functions over ``readStream``.
 
-Everything is stateless, so there is no watermark. Each micro-batch writes its routed rows
-and its dead letters under its own batch id; a batch that is run again after a failure
-replaces its own files, which makes both sinks exactly-once.
+Everything is stateless, so there is no watermark. Each micro-batch is written once, under its own
+batch id and parted into answered rows and dead letters; a batch that is run again after a failure
+replaces its own files, which makes the sink exactly-once. How much a batch holds is the source's
+matter: give ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` when reading, as a backlog is else
+one batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from askframe.sources.requests import split_valid
-
 
 def write_stream(
-    rows: DataFrame,
-    target: str,
-    checkpoint: str,
-    quarantine: str | None = None,
-    available_now: bool = True,
+    rows: DataFrame, target: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
-    """Write transformed streaming rows to ``target``.
+    """Write transformed streaming rows to ``target``, in folders by batch and by ``dead``.
 
     ``rows`` is the stream after parsing, routing or prediction, so its plan is built once and
-    not in every micro-batch. With ``quarantine``, rows whose ``error`` is set go there instead.
+    not in every micro-batch. Rows whose ``error`` is set are dead letters; without that column
+    none is.
     """
+    dead = F.col("error").isNotNull() if "error" in rows.columns else F.lit(False)
 
     def write(out: DataFrame, batch_id: int) -> None:
-        if quarantine is None:
-            _replace(out, target, batch_id)
-            return
-        out = out.persist()  # two sinks read it; lost blocks are computed again
-        valid, invalid = split_valid(out)
-        _replace(valid, target, batch_id)
-        _replace(invalid, quarantine, batch_id)
-        out.unpersist()
+        out.withColumn("dead", dead).write.mode("overwrite").partitionBy("dead").parquet(
+            f"{target}/batch_id={batch_id}")
 
     writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
@@ -42,5 +35,8 @@ def write_stream(
     return writer.start()
 
 
-def _replace(rows: DataFrame, path: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def read_stream_results(spark: SparkSession, target: str) -> tuple[DataFrame, DataFrame]:
+    """What a stream has written: rows without and with an error."""
+    rows = spark.read.parquet(target).drop("batch_id")
+    dead = F.col("dead").cast("boolean")  # a folder name
+    return rows.where(~dead).drop("dead"), rows.where(dead).drop("dead")

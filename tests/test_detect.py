@@ -112,11 +112,19 @@ def test_reasons(spark):
     assert got[1] == "non-Latin script (cyrillic, 88% of letters); the English checkpoint cannot read it"
 
 
-def test_helper_names_are_refused(spark):
-    df = texts(spark, ["x"]).withColumn("_text", F.col("t"))
-    for operator in (lambda: detect(df, "t"), lambda: with_script_counts(df, "t")):
-        with pytest.raises(ValueError, match="_text"):
-            operator()
+def test_columns_with_helper_names_stay(spark):
+    df = texts(spark, ["привет", "hello there my friend"]).withColumn("_text", F.col("t"))
+    df = df.withColumn("_model", F.lit("kept"))
+    for operator in (
+        lambda c: detect(df, c, "out"), lambda c: with_script_counts(df, c, "out"),
+        lambda c: route(df, c, out="out"),
+    ):
+        by_other, by_own = operator("t"), operator(F.col("_text"))
+        assert by_own.columns == by_other.columns == [*df.columns, "out"]
+        rows = by_own.orderBy("id").collect()
+        assert rows == by_other.orderBy("id").collect()
+        assert [r["_text"] for r in rows] == [r["t"] for r in rows]
+        assert {r["_model"] for r in rows} == {"kept"}
 
 
 def test_workflow_only_on_request(spark):
