@@ -110,14 +110,18 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         opens = (np.arange(len(words)) - before[piece]) % PASSAGE == 0
         passage = np.cumsum(opens) - 1
         n = int(opens.sum())
-        edge = words[opens]
-        counts = np.zeros((n, _N_CLASSES))
-        if n:
-            lengths = np.diff(np.append(edge, len(data)))
-            which = np.repeat(np.arange(n) * _N_CLASSES, lengths)
-            counts = np.bincount(
-                which + _CLASS[data[edge[0]:]], minlength=n * _N_CLASSES
-            ).reshape(n, _N_CLASSES).astype(float)
+        # A passage's bytes: from its first word (of the first passage, from the start of the
+        # piece) to the next passage. Pieces without words count for nobody.
+        opened = piece[opens]
+        leads = np.append(True, opened[1:] != opened[:-1])[:n]
+        mute = np.setdiff1d(np.arange(len(starts)), opened)
+        edge = np.concatenate([np.where(leads, starts[opened], words[opens]), starts[mute]])
+        row = np.concatenate([np.arange(n), np.full(len(mute), n)])
+        order = np.argsort(edge, kind="stable")
+        which = np.repeat(row[order], np.diff(np.append(edge[order], len(data))))
+        counts = np.bincount(
+            which * _N_CLASSES + _CLASS[data], minlength=(n + 1) * _N_CLASSES
+        ).reshape(n + 1, _N_CLASSES)[:n].astype(float)
         in_words = np.bincount(passage, minlength=n).astype(float)
         width = (ends - words).astype(float)
         # A word's hash: each byte by its value, weighed by its place in the word.

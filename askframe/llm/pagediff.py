@@ -2,8 +2,8 @@
 
 A page becomes lines, one per block element. Lines in menus, headers, footers, sidebars, forms,
 adverts and comments go by their markup, lines inside ``article`` or ``main`` stay by it. Lines
-with no such evidence are decided by differencing: pages of a host are sorted by URL path, each is
-paired with its neighbour, their lines are aligned by a longest common subsequence, and what both
+with no such evidence are decided by differencing: pages of a host without a marked article are
+sorted by URL path, each is paired with its neighbour, their lines are aligned by a longest common subsequence, and what both
 have in common is the site's, not the page's, and goes.
 
 Lines inside ``article`` or ``main`` are not deleted for being shared: copies and quoted passages
@@ -195,13 +195,14 @@ def _shared(pages: DataFrame) -> DataFrame:
                 [bool(e) and e[0] != MARKED for _, e in found]]
 
     read = arrow_columns(pages, ["key", "host", "path", "html"], "lines array<string>, open boolean", make)
+    # Only pages without marked articles ask, and only they tell what a site repeats.
     light = kept(
-        read.select("key", "host", "path", "open", F.transform(
+        read.where("open").select("key", "host", "path", F.transform(
             "lines", lambda x: F.xxhash64(x)).alias("lines")).dropDuplicates(["key"]),
         "page-lines")
     places = ranked(light, ["host", "path", "key"], "rank")
     other = places.select("rank", F.col("host").alias("h"), F.col("lines").alias("with"))
-    asking = places.where("open").select("key", "host", "rank", "lines")
+    asking = places.select("key", "host", "rank", "lines")
     before = other.select((F.col("rank") + 1).alias("rank"), F.col("h").alias("h1"),
                           F.col("with").alias("w1"))
     after = other.select((F.col("rank") - 1).alias("rank"), F.col("h").alias("h2"),
