@@ -94,3 +94,28 @@ def test_raw_nodes(spark, values):
         assert r["parts"] == [json.dumps(v, ensure_ascii=False) for v in inner]
         if isinstance(value, dict):
             assert [k["key"] for k in r["kids"]] == list(value)
+
+
+def test_documents_of_any_depth(spark):
+    deep = "[" * 6000 + '{"a": [1.50, "x"]}' + "]" * 6000
+    keyed = '{"k": ' * 3000 + "null" + "}" * 3000
+    bad = {"[" * 3000: "Expecting value", "[" * 3000 + "1" + "]" * 2999: "Expecting ',' delimiter",
+           '{"k" 1}': "Expecting ':' delimiter", '{"k": ' * 3000 + "1" + "}" * 3001: "trailing data after JSON value"}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([deep, keyed, *bad])], "id int, body string")
+    got = {r["id"]: r for r in raw_json.parse_json(df, "body").collect()}
+    assert got[0]["canonical"] == deep.replace("1.50", "1.5") and len(got[0]["nodes"]) == 6004
+    assert got[0]["nodes"][0]["size"] == 6004 and got[0]["nodes"][-1]["depth"] == 6002
+    assert got[1]["canonical"] == keyed and got[1]["nodes"][-1]["key"] == "k"
+    for i, message in enumerate(bad.values(), 2):
+        assert got[i]["invalid"] == message and got[i]["nodes"] == []
+
+
+def test_doubles_and_maps_deep_inside(spark):
+    df = spark.sql("""SELECT named_struct(
+        'items', array(named_struct('p', 1e21D, 'f', CAST(0.1 AS FLOAT)), named_struct('p', CAST(NULL AS DOUBLE), 'f', NULL)),
+        'd', CAST(12.30 AS DECIMAL(6, 2)),
+        'm', map('b', map('y', 2, 'x', 1), 'a', CAST(NULL AS MAP<STRING, INT>)),
+        'n', map('z', array(2.5e-7D), 'a', array()), 't', array(map('k', 'vé"'))) AS c""")
+    text = df.select(pyjson.json_text("c", df.schema["c"].dataType).alias("t")).first()["t"]
+    assert text == ('{"items": [{"p": 1e+21, "f": 0.10000000149011612}, {"p": null, "f": null}], "d": 12.30, '
+                    '"m": {"a": null, "b": {"x": 1, "y": 2}}, "n": {"a": [], "z": [2.5e-07]}, "t": [{"k": "vé\\""}]}')

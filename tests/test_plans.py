@@ -8,9 +8,10 @@ SF = "/root/testdata/sf0.001"
 PYTHON = {
     "json_numbers", "raw_json_documents", "raw_json_leaves", "request_validation", "request_questions",
     "request_quarantine", "preset_requests", "tokenize_documents", "score_sequences",
-    "predict_turns", "predict_decisions", "result_json_text",
+    "predict_turns", "predict_decisions", "result_json_text", "order_contexts", "raw_json_deep",
+    "request_predict", "request_route",
 }
-RUN_JOBS = {"write_and_read_results", "stream_requests"}
+RUN_JOBS = {"write_and_read_results", "stream_requests", "stream_bodies"}
 
 
 def plan_of(df):
@@ -28,7 +29,7 @@ def test_no_cross_join_and_no_python_where_native(spark, name):
 
 def test_scans_read_needed_columns_only(spark):
     plan = plan_of(workloads.language_agreement(spark, SF))
-    assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in plan
+    assert "ReadSchema: struct<text:string,lang:string>" in plan
     plan = plan_of(workloads.workflow_match(spark, SF))
     assert "o_totalprice" not in plan
 
@@ -40,13 +41,16 @@ def test_filters_do_not_repeat_detection(spark):
     assert plan.count("regexp_extract_all") == 1
 
 
-def test_row_wise_queries_do_not_shuffle_large_inputs(spark, monkeypatch):
-    from askframe.sources import tables
-
-    monkeypatch.setattr(tables, "SMALL_INPUT_BYTES_PER_CORE", 0)
+def test_row_wise_queries_do_not_shuffle(spark):
     for name in ("route_documents", "email_clean_threads", "json_conversations", "request_validation",
                  "tokenize_documents", "decision_rows", "question_heads", "token_usage"):
         plan = plan_of(workloads.QUERIES[name](spark, SF))
         shuffles = plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning")
         # token_usage groups the questions of the five presets, nothing else.
         assert shuffles <= (1 if name == "token_usage" else 0), name
+
+
+def test_routing_comes_before_the_prefixes(spark):
+    """The ids of questions meet a request after detection, and for its own checkpoint only."""
+    plan = plan_of(workloads.predict_turns(spark, SF))
+    assert plan.index("prefixes") < plan.index("regexp_extract_all")  # plans list the last step first

@@ -131,14 +131,36 @@ def test_requests_with_their_own_specs(spark, root, tmp_path, store):
     keyed, distinct = intern_specs(df.drop("error", "error_class"), folder)
     assert distinct.count() == 1
     out = predict(keyed, distinct, catalog.read_catalog(spark, root), TokenizerFiles(root), OnnxFiles(root))
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert ("_salt" in plan) is not store  # a stored table is small by its size, so it is broadcast
     got = out.collect()
     assert len(got) == 20
     assert all([a["qid"] for a in r["answers"]] == ["team", "late"] for r in got)
     assert got[0]["answers"][1]["legend"] == ['"no"', "2"]
 
 
+def test_errors_of_parsing_come_out_at_the_end(spark, root):
+    spec = {"q": {"type": "noul", "instructions": "?"}}
+    bodies = [
+        {"context": "hello my friend", "spec": spec}, {"context": "x", "spec": spec, "note": 1},
+        {"context": "x", "spec": spec, "lang": 3}, {"context": "x", "spec": spec, "max_len": 2**31},
+        {"context": "x", "spec": spec, "model": "nope"}, {"context": "x", "spec": spec, "max_len": 20},
+        {"context": "x"}, {"context": "x", "spec": {"q": {"type": "choice", "instructions": "?"}}},
+        {"context": "x", "spec": spec, "model": "ml"},
+    ]
+    rows = [(str(i), json.dumps(b)) for i, b in enumerate(bodies)]
+    parsed = parse_requests(spark.createDataFrame(rows, "request_id string, body string"))
+    keyed, own = intern_specs(parsed)
+    known = catalog.read_catalog(spark, root).where("model <> 'multilingual'")
+    got = {r["request_id"]: r for r in predict(
+        keyed, own, known, TokenizerFiles(root), OnnxFiles(root)).collect()}
+    assert len(got) == len(bodies)
+    assert got["0"]["error"] is None and len(got["0"]["answers"]) == 1
+    parts = {"1": "unknown field", "2": '"lang" must be a string', "3": "max_len", "4": "unknown model",
+             "5": "too small", "6": 'missing "spec"', "7": 'need "criteria"', "8": "no checkpoint"}
+    for i, part in parts.items():
+        assert part in got[i]["error"] and got[i]["answers"] is None, i
+        assert got[i]["error_class"] == ("unavailable" if i == "8" else "bad_request"), i
+
+
 def test_golden_files_and_parity(spark, tmp_path):
     answers = {
         "dep": {"type": "choice", "choice": "x", "probabilities": {"x": 0.9, "y": 0.1}, "confidence": 0.5,
