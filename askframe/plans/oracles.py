@@ -944,3 +944,8 @@ SQL["raw_json_deep"] = """SELECT conv_id, turn, NULL::VARCHAR AS invalid, 'array
 SQL["order_contexts"] = """SELECT l_orderkey, '{"order": ' || l_orderkey || ', "items": [' || string_agg(
   '{"l_linenumber": ' || l_linenumber || ', "price": ' || l_extendedprice || ', "more": {"rates": {"tax": ' || l_tax
   || '}}}', ', ' ORDER BY l_linenumber, l_extendedprice, l_tax) || ']}' AS state FROM lineitem GROUP BY l_orderkey"""
+SQL["catalog_files"] = f"""SELECT 'english' AS model, 'en' AS name, 'hub/en' AS repo, count(*) AS max_len,
+  {fixed.DEFAULT_HEAD_MAX_LEN}::BIGINT AS head_max_len, count(*) AS listed_len, '1.5|2.0|0.5' AS temperature,
+  {q(fixed.DEFAULT_GRAPH_FILE)} AS graph_file FROM documents WHERE lang = 'en'
+UNION ALL SELECT 'typed-decisions', 'td', NULL, {fixed.DEFAULT_MAX_LEN}, {fixed.DEFAULT_HEAD_MAX_LEN},
+  {fixed.DEFAULT_MAX_LEN}, '1.0|1.0|1.0', {q(fixed.DEFAULT_GRAPH_FILE)}"""

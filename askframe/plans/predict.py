@@ -29,16 +29,24 @@ from askframe.sources.requests import BAD_REQUEST, UNAVAILABLE, failure_class
 from askframe.sources.tables import lookup_join, stored
 
 
+QUESTIONS_TYPE = f"array<{QUESTION_TYPE}>"
+
+
 def intern_specs(df: DataFrame, store: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Requests that bring their own questions: (requests with spec_id, distinct specs).
 
-    Equal specs meet in the map-side aggregate already, however many requests share one. With
-    ``store`` the distinct specs are written there, so that ``predict`` knows their size and
-    broadcasts them where they are few.
+    Equal specs meet in the map-side hash aggregate already, however many requests share one;
+    they are grouped by their text and read from it again, and ``n`` counts their requests. With
+    ``store`` the distinct specs are written there.
     """
-    keyed = df.withColumn("spec_id", F.sha2(F.to_json(F.struct("questions")), 256))
-    specs = keyed.select("spec_id", "questions").filter(F.col("questions").isNotNull())
-    specs = specs.dropDuplicates(["spec_id"])
+    text = F.to_json(F.struct("questions"))
+    keyed = df.withColumn("spec_id", F.sha2(text, 256))
+    specs = (
+        keyed.filter(F.col("questions").isNotNull())
+        .groupBy("spec_id", text.alias("spec_text")).agg(F.count(F.lit(1)).alias("n"))
+        .select("spec_id", F.from_json("spec_text", f"questions {QUESTIONS_TYPE}")["questions"]
+                .alias("questions"), "n")
+    )
     return keyed.drop("questions"), stored(specs, store) if store else specs
 
 
@@ -91,9 +99,6 @@ def spec_prefixes(
     )
 
 
-QUESTIONS_TYPE = f"array<{QUESTION_TYPE}>"
-
-
 def _hint(df: DataFrame, name: str, dtype: str = "string") -> DataFrame:
     return df if name in df.columns else df.withColumn(name, F.lit(None).cast(dtype))
 

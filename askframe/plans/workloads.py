@@ -66,12 +66,16 @@ def long(c: Column | str) -> Column:
 # --- detection and routing --------------------------------------------------------------------
 
 
-def _routed_documents(spark: SparkSession, sf: str) -> DataFrame:
+def _flat_documents(spark: SparkSession, sf: str) -> DataFrame:
     df = inputs.documents(spark, sf, "text", "lang", "source", "n_chars")
     context = F.struct("source", F.col("text").alias("body"), F.struct("n_chars").alias("meta"))
     df = df.withColumn("context", context)
     text = pyjson.context_text("context", df.schema["context"].dataType)
-    return route(df.withColumn("flat", text), "flat")
+    return df.withColumn("flat", text)
+
+
+def _routed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return route(_flat_documents(spark, sf), "flat")
 
 
 @query
@@ -474,10 +478,9 @@ def interned_specs(spark: SparkSession, sf: str) -> DataFrame:
         empty.alias("levels"), empty.alias("legend"),
         none.alias("noul_false"), none.alias("noul_true"),
     )
-    keyed, distinct = intern_specs(df.withColumn("questions", F.array(q)))
-    used = keyed.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n"))
+    _, distinct = intern_specs(df.withColumn("questions", F.array(q)))
     first = F.element_at("questions", 1)
-    return used.join(distinct, "spec_id").select(
+    return distinct.select(
         F.array_join(specs.option_texts(first), "|").alias("options"), "n"
     )
 
@@ -903,9 +906,11 @@ def decision_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def labelled_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """Routing against the label table: documents per model, language and toxicity label."""
-    routed = _routed_documents(spark, sf).select("doc_id", "route.model", "route.detection.language")
+    # Only documents with a label are detected.
     marks = read_table(spark, sf, "labels", "doc_id", "toxic")
-    return routed.join(marks, "doc_id").groupBy("model", "language", long("toxic").alias("toxic")).agg(
+    routed = route(_flat_documents(spark, sf).join(marks, "doc_id"), "flat").select(
+        "route.model", "route.detection.language", "toxic")
+    return routed.groupBy("model", "language", long("toxic").alias("toxic")).agg(
         F.count(F.lit(1)).alias("n")
     )
 
@@ -1085,18 +1090,17 @@ def checkpoint_availability(spark: SparkSession, sf: str) -> DataFrame:
     routed = _routed_documents(spark, sf).select("doc_id", "route.model")
     known = small_table(spark, [("english", "hub/en"), ("typed-decisions", "")],
                         "model string, repo string")
-    missing = catalog.missing_checkpoints(routed, known)
-    here = catalog.with_checkpoint(routed, known).groupBy("model").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max(
-            F.coalesce(
-                F.nullif(F.col("checkpoint.repo"), F.lit("")),
-                default_repo(F.col("model"), RouterOptions(repo_base="owner/family")),
-            )
+    # Counted once; the three models then meet the catalog.
+    counts = catalog.with_checkpoint(
+        routed.groupBy("model").agg(F.count(F.lit(1)).alias("n")), known)
+    return counts.select(
+        "model",
+        "n",
+        F.coalesce(
+            F.nullif(F.col("checkpoint.repo"), F.lit("")),
+            default_repo(F.col("model"), RouterOptions(repo_base="owner/family")),
         ).alias("repo"),
-    )
-    return here.join(missing.withColumnRenamed("n", "unavailable"), "model", "left").select(
-        "model", "n", "repo", F.coalesce("unavailable", F.lit(0)).alias("unavailable")
+        F.when(F.col("checkpoint").isNull(), F.col("n")).otherwise(0).alias("unavailable"),
     )
 
 
@@ -1330,3 +1334,25 @@ def stream_bodies(spark: SparkSession, sf: str) -> DataFrame:
     routed, dead = read_stream_results(spark, f"{base}/out")
     return routed.unionByName(dead).groupBy("model", "error_class").agg(
         F.count(F.lit(1)).alias("n"))
+
+
+@query
+def catalog_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Configuration files written from counts of documents, read as a catalog and listed."""
+    root = f"{shared_dir(spark)}/checkpoints-{uuid.uuid4().hex}"
+    counts = inputs.documents(spark, sf, "lang").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    forms = {
+        "typed-decisions": F.concat(F.lit('{"name": "td", "max_len": 0, "temperature": [1, '),
+                                    F.col("n"), F.lit("]}")),
+        "english": F.concat(F.lit('{"name": "en", "repo": "hub/en", "encoder": "e", "max_len": '),
+                            F.col("n"), F.lit(', "temperature": [1.5, 2, 0.5]}')),
+        "unlisted": F.lit('{"name": "x"}'),
+    }
+    for (name, text), lang in zip(forms.items(), ("fr", "en", "de"), strict=True):
+        counts.where(F.col("lang") == lang).select(text).coalesce(1).write.text(f"{root}/{name}")
+    known = catalog.read_catalog(spark, root, "part-*")
+    listed = catalog.catalog_listing(known).select("name", F.col("max_len").alias("listed_len"))
+    return known.join(listed, "name").select(
+        "model", "name", "repo", long("max_len").alias("max_len"),
+        long("head_max_len").alias("head_max_len"), long("listed_len").alias("listed_len"),
+        F.array_join("temperature", "|").alias("temperature"), "graph_file")

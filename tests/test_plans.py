@@ -11,7 +11,7 @@ PYTHON = {
     "predict_turns", "predict_decisions", "result_json_text", "order_contexts", "raw_json_deep",
     "request_predict", "request_route",
 }
-RUN_JOBS = {"write_and_read_results", "stream_requests", "stream_bodies"}
+RUN_JOBS = {"write_and_read_results", "stream_requests", "stream_bodies", "catalog_files"}
 
 
 def plan_of(df):
