@@ -1351,8 +1351,9 @@ def catalog_files(spark: SparkSession, sf: str) -> DataFrame:
     for (name, text), lang in zip(forms.items(), ("fr", "en", "de"), strict=True):
         counts.where(F.col("lang") == lang).select(text).coalesce(1).write.text(f"{root}/{name}")
     known = catalog.read_catalog(spark, root, "part-*")
-    listed = catalog.catalog_listing(known).select("name", F.col("max_len").alias("listed_len"))
-    return known.join(listed, "name").select(
+    listed = catalog.catalog_listing(known).select(
+        F.col("name").alias("model"), F.col("max_len").alias("listed_len"))
+    return known.join(listed, "model").select(
         "model", "name", "repo", long("max_len").alias("max_len"),
         long("head_max_len").alias("head_max_len"), long("listed_len").alias("listed_len"),
         F.array_join("temperature", "|").alias("temperature"), "graph_file")
