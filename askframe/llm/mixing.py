@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from askframe.llm.common import col, kept, n_words
 
 PATTERN_CLASSES = 4096
-BIN_BITS = 14
+#: Bits of each of the two histogram levels that find where a cell's rest is reached.
+LEVEL_BITS = 7
 
 
 @dataclass(frozen=True)
@@ -146,6 +147,19 @@ def _name(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source))
 
 
+def _reached(rows: DataFrame, rest: DataFrame, bin_of: str) -> DataFrame:
+    """Per cell (p, s): the bin ``edge`` in which the sizes of its rows, added up in order of
+    ``bin_of``, reach ``rest``, and the words ``below`` it. ``rest`` has a row per cell."""
+    within = Window.partitionBy("p", "s").orderBy(bin_of)
+    return (
+        rows.groupBy("p", "s", bin_of).agg(F.sum("size").alias("words"))
+        .withColumn("upto", F.sum("words").over(within))
+        .join(F.broadcast(rest), ["p", "s"])
+        .where("upto - words < rest and rest <= upto")
+        .select("p", "s", F.col(bin_of).alias("edge"), (F.col("upto") - F.col("words")).alias("below"))
+    )
+
+
 def mix_documents(df: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "text",
                   source: str = "source") -> DataFrame:
     """``doc_id``, ``size`` (words), ``source_size``, ``target`` (both of its source) and ``taken``.
@@ -192,26 +206,32 @@ def mix_documents(df: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: st
     cell = spark.createDataFrame(
         plan, "p int, s string, source_size long, target double, passes int, rest long")
 
-    placed = (
+    placed = kept(
         base.join(member.select("t1", "t2", "p"), ["t1", "t2"])
-        .withColumn("h", F.xxhash64("doc_id", F.lit(mix.seed)))
-        .withColumn("bin", F.shiftrightunsigned("h", 64 - BIN_BITS).cast("int"))
-    )
-    # The bin where a cell's rest is reached: a histogram of at most 2 ** BIN_BITS rows per cell.
-    within = Window.partitionBy("p", "s").orderBy("bin")
-    edge = (
-        placed.groupBy("p", "s", "bin").agg(F.sum("size").alias("words"))
-        .withColumn("upto", F.sum("words").over(within))
-        .join(F.broadcast(cell), ["p", "s"])
-        .where("upto - words < rest and rest <= upto")
-        .groupBy("p", "s").agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("words")).alias("below")),
-                                        "bin").alias("edge"))
-    )
+        .drop("t1", "t2", "source").withColumn("h", F.xxhash64("doc_id", F.lit(mix.seed))),
+        "mix-placed")
+    level = F.lit((1 << LEVEL_BITS) - 1)
+    placed = placed.withColumns({
+        "coarse": F.shiftrightunsigned("h", 64 - LEVEL_BITS).cast("int"),
+        "fine": F.shiftrightunsigned("h", 64 - 2 * LEVEL_BITS).bitwiseAND(level).cast("int"),
+    }).withColumn("bin", F.shiftleft("coarse", LEVEL_BITS).bitwiseOR(F.col("fine")))
+    # The bin where a cell's rest is reached, by two histograms of 2 ** LEVEL_BITS rows per cell.
+    first = kept(_reached(placed, cell.select("p", "s", "rest"), "coarse"), "mix-coarse")
+    inside = first.join(cell.select("p", "s", "rest"), ["p", "s"]).select(
+        "p", "s", F.col("edge").alias("coarse"), (F.col("rest") - F.col("below")).alias("rest"))
+    second = _reached(
+        placed.join(F.broadcast(inside.select("p", "s", "coarse")), ["p", "s", "coarse"]),
+        inside.select("p", "s", "rest"), "fine")
+    edge = first.join(
+        second.select("p", "s", F.col("edge").alias("fine"), F.col("below").alias("more")), ["p", "s"]
+    ).select("p", "s", F.struct(
+        F.shiftleft("edge", LEVEL_BITS).bitwiseOR(F.col("fine")).alias("bin"),
+        (F.col("below") + F.col("more")).alias("below")).alias("edge"))
     # At most one row per cell, as bounded as the cells themselves.
     plan_table = F.broadcast(cell.join(edge, ["p", "s"], "left").select(
         "p", "s", "source_size", "target", "passes", "rest",
         F.col("edge.bin").alias("edge_bin"), F.col("edge.below").alias("below")))
-    marked = kept(placed.join(plan_table, ["p", "s"]).drop("t1", "t2"), "mix-marked")
+    marked = kept(placed.join(plan_table, ["p", "s"]), "mix-marked")
     sure = marked.where("edge_bin is null or bin <> edge_bin").withColumn(
         "extra", F.expr("if(bin < edge_bin, 1, 0)"))
     order = Window.partitionBy("p", "s").orderBy("h", "doc_id", "size").rowsBetween(
