@@ -30,7 +30,9 @@ from askframe.llm.common import arrow_columns, col
 
 PASSAGE = 64
 #: Text bytes that are encoded at once; a longer text is cut at white space near this length.
-BLOCK = 2 << 20
+BLOCK = 512 << 10
+#: Rows of an Arrow batch that are scored at once, which bounds a worker's memory.
+ROWS = 500
 
 
 @dataclass(frozen=True)
@@ -275,6 +277,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     where = docs.columns.index(text)
 
     def make(batch: pa.RecordBatch) -> list:
-        return [pa.array(model.score(_as_bytes(batch.column(where))), pa.float64())]
+        texts = batch.column(where)
+        parts = [model.score(_as_bytes(texts.slice(i, ROWS))) for i in range(0, len(texts), ROWS)]
+        return [pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())]
 
     return arrow_columns(docs, docs.columns, f"`{out}` double", make)
