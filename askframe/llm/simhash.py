@@ -147,7 +147,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     own = kept(fingerprints(df, key, text), "simhash")
     distinct = kept(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     groups = kept(linked_groups(distinct), "simhash-linked").join(distinct, "fp")
-    ids = groups.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Stored, so that the join below deals out both sides anew and a hot root can be split.
+    ids = kept(groups.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
     of_fp = kept(groups.join(ids, "root").select("fp", "component_id"), "simhash-ids")
     return own.join(of_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
