@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from askframe.llm.common import kept
 
 
-def _signature(edges: DataFrame) -> tuple:
-    """Tells two edge sets apart: their number and a sum of their hashes, two numbers in all."""
-    row = edges.agg(
-        F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node with an edge upwards has that one only, to a node that has none."""
+    ends = edges.select(F.col("hi").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("top")).unionByName(
+        edges.select(F.col("lo").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("top")))
+    counts = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("top").alias("top"))
+    open_ends = counts.agg(F.max(F.expr("up > 1 or up = 1 and top = 1")).alias("any")).first()
+    return not open_ends["any"]
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,21 +25,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     its smallest neighbour, first upwards (large star), then downwards (small star), which needs
     a number of rounds that grows with the logarithm of the longest path. A node with a third of
     all edges is a plain join key: its minimum is aggregated before the shuffle, and the join
-    can be split. Rounds are written to the shared folder; the driver sees two numbers of each.
+    can be split. Rounds are written to the shared folder; the driver sees whether one is the last.
     """
     x, y = F.col(a), F.col(b)
     now = kept(
         edges.where(x != y)
         .select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo")).distinct(), "edges")
-    before, state = None, _signature(now)
-    while state != before and state[0]:
+    while not _stars(now):
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(
             "u", F.least("u", "m").alias("m"))
         large = (
             both.where("v > u").join(least, "u")
-            .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+            .select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         )
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         pairs = F.explode(F.array(
@@ -45,6 +46,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo"))))
         small = large.join(least, "hi").select(pairs.alias("e")).select("e.hi", "e.lo")
         now = kept(small.where("hi > lo").distinct(), "edges")
-        before, state = state, _signature(now)
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(
         now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
