@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from askframe.llm.common import arrow_columns
 
-KEPT_PIECES = 300_000
+KEPT_PIECES = 150_000
 #: Texts above this many code points are cut into pieces bit by bit, in bounded memory.
 LONG_TEXT = 1_000_000
 PIECES_AT_ONCE = 65_536
@@ -66,8 +66,8 @@ class Codec:
             if token[:i] in ranks and token[i:] in ranks
         ]
         self.model = models.BPE({as_text[t]: r for t, r in ranks.items()}, merges)
-        self.of_id = {r: as_text[t] for t, r in ranks.items()}
-        self.bytes_of = {r: self.char_bytes(text) for r, text in self.of_id.items()}
+        self.bytes_of = {r: self.char_bytes(as_text[t]) for t, r in ranks.items()}
+        self.number = {r: r for r in self.bytes_of}  # one object per id for all kept pieces
         self.pattern = regex.compile(pattern)
         self.seen: dict[str, tuple[int, ...]] = {}
 
@@ -85,7 +85,7 @@ class Codec:
 
     def merge(self, piece: str) -> tuple[int, ...]:
         mapped = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.to_char)
-        return tuple(token.id for token in self.model.tokenize(mapped))
+        return tuple(self.number[token.id] for token in self.model.tokenize(mapped))
 
     def ids_of(self, pieces: list[str]) -> list[tuple[int, ...]]:
         seen = self.seen
