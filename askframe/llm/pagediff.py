@@ -1,21 +1,22 @@
-"""Main text of web pages: markup evidence and differences to the page with the nearest URL.
+"""Main text of web pages: differences to pages with near URLs, with markup as a guard.
 
-A page becomes lines, one per block element. Lines in menus, headers, footers, sidebars, forms,
-adverts and comments go by their markup, lines inside ``article`` or ``main`` stay by it. Lines
-with no such evidence are decided by differencing: pages of a host without a marked article are
-sorted by URL path, each is paired with its neighbour, their lines are aligned by a longest common subsequence, and what both
-have in common is the site's, not the page's, and goes.
+A page becomes lines, one per block element. The pages of a host are sorted by URL path, and each
+is aligned, by longest common subsequences of all their lines, with the nearest pages that are no
+near copies of it or of each other. What half of them share is the site's, not the page's, and goes.
 
-Lines inside ``article`` or ``main`` are not deleted for being shared: copies and quoted passages
-are common between pages of a host. For the same reason a page all of whose lines are shared is a
-copy, and keeps them.
+Markup guards on both sides. Lines in menus, headers, footers, sidebars, forms, adverts and
+comments are left out whether shared or not: such lines also differ from page to page. Lines inside
+``article`` or ``main`` go only if all the other pages have them inside theirs: quoted passages are
+common between pages of a host.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections import defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +59,21 @@ COMMENT_WORDS = {"comment", "comments", "commentlist", "reply", "replies", "resp
 #: Words that name the main text, where no element does.
 MAIN_WORDS = {"article", "articlebody", "post", "entry", "story", "content", "main"}
 
-UNDECIDED, NAMED, MARKED = 0, 1, 2
+RULED_OUT, UNDECIDED, NAMED, MARKED = -1, 0, 1, 2
+
+#: Pages are compared with those up to so many places away in URL order, then with samples.
+NEAR = 8
+#: Sample pages of a host, for pages whose neighbours are all their copies.
+SAMPLES = 16
+#: A page is compared with so many others at most that are no near copies of it or each other.
+OTHERS = 6
+#: Pages with more than this share of lines in common are near copies.
+COPY_SHARE = 0.8
+#: A line goes if half of the others share it, and so many where there are as many. A line of
+#: ``article`` goes only if all of them share it, and they are at least so many.
+LEAST, LEAST_MARKED = 2, 4
+#: Places in URL order that one task takes together.
+_CHUNK = 256
 
 
 def _names(attributes: str) -> set[str]:
@@ -68,11 +83,22 @@ def _names(attributes: str) -> set[str]:
 
 
 def lines_of(page: str | None) -> tuple[list[str], list[int]]:
-    """The lines of a page that its markup does not rule out, and the evidence for each.
+    """The lines of a page with the strongest evidence on it, and the evidence for each.
+
+    This is what markup alone says: lines in ``article`` or ``main``, else those in parts named as
+    content, else all that are not ruled out. ``main_text`` does not stop at it.
+    """
+    lines = [(t, e) for t, e in parsed(page) if e != RULED_OUT]
+    best = max((e for _, e in lines), default=UNDECIDED)
+    chosen = [(t, e) for t, e in lines if e == best]
+    return [t for t, _ in chosen], [e for _, e in chosen]
+
+
+def parsed(page: str | None) -> list[tuple[str, int]]:
+    """All lines of a page in order, and the evidence for each.
 
-    Only the lines with the strongest evidence on the page are returned: those in ``article`` or
-    ``main``, else those in parts named as content, else all. Character references are decoded,
-    white space inside a line is one space; empty lines are left out. Null is an empty page.
+    Character references are decoded, white space inside a line is one space; empty lines are left
+    out. Null is an empty page.
     """
     lines: list[tuple[str, int]] = []
     parts: list[str] = []
@@ -84,16 +110,15 @@ def lines_of(page: str | None) -> tuple[list[str], list[int]]:
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            lines.append((text, stack[-1][1] if stack else UNDECIDED))
+            evidence, dropped = stack[-1][1:] if stack else (UNDECIDED, "")
+            out = dropped and not (dropped == "header" and heading)
+            lines.append((text, RULED_OUT if out else evidence))
 
     page = page or ""
     at = 0
     while True:
         token = _TOKEN.search(page, at)
-        text = page[at:token.start() if token else len(page)]
-        dropped = stack[-1][2] if stack else ""
-        if text and (not dropped or (dropped == "header" and heading)):
-            parts.append(text)
+        parts.append(page[at:token.start() if token else len(page)])
         if token is None:
             break
         at = token.end()
@@ -141,8 +166,7 @@ def lines_of(page: str | None) -> tuple[list[str], list[int]]:
         stack.append((name, evidence, dropped))
     end_line()
     best = max((e for _, e in lines), default=UNDECIDED)
-    chosen = [(t, e) for t, e in lines if e == best]
-    return [t for t, _ in chosen], [e for _, e in chosen]
+    return [(t, e if e == best else RULED_OUT) for t, e in lines]
 
 
 def _row(a: list, b: list) -> np.ndarray:
@@ -187,51 +211,124 @@ def common(a: list, b: list) -> list[int]:
     return sorted(out)
 
 
+def shared(a: list, b: list) -> list[int]:
+    """``common`` of lists that have little in common: only what is in both is aligned."""
+    in_a, in_b = set(a), set(b)
+    places = [i for i, x in enumerate(a) if x in in_b]
+    return [places[i] for i in common([a[i] for i in places], [x for x in b if x in in_a])]
+
+
+def marks(lines: list[tuple[str, int]]) -> tuple[list[int], list[int]]:
+    """A number for each line, and its evidence. A line of ``article`` is equal to such lines only."""
+    return [
+        int.from_bytes(hashlib.blake2b(
+            f"{e == MARKED:d}{t}".encode("utf-8", "surrogatepass"), digest_size=8).digest(),
+            "little", signed=True)
+        for t, e in lines], [e for _, e in lines]
+
+
+def decide(own: tuple[list[int], list[int]], others: Iterable[tuple[list[int], list[int]]]) -> list[int]:
+    """Places of lines that are the site's: shared with pages that are no copies.
+
+    ``others`` are the pages to compare with, nearest first. Near copies of the page or of an
+    earlier one are passed over; without any other page nothing goes.
+    """
+    def open_lines(page: tuple) -> int:
+        return sum(e != RULED_OUT for e in page[1])
+
+    def near(page: tuple, other: tuple, places: list[int]) -> bool:
+        both = sum(page[1][i] != RULED_OUT for i in places)
+        return 2 * both > COPY_SHARE * (open_lines(page) + open_lines(other))
+
+    used: list[tuple] = []
+    votes = [0] * len(own[0])
+    for other in others:
+        places = shared(own[0], other[0])
+        if not open_lines(other) or near(own, other, places):
+            continue
+        if any(near(u, other, shared(u[0], other[0])) for u in used):
+            continue
+        used.append(other)
+        for i in places:
+            votes[i] += 1
+        if len(used) == OTHERS:
+            break
+    half = (len(used) + 1) // 2
+    least = {UNDECIDED: max(1, half, min(LEAST, len(used))), NAMED: max(half, LEAST),
+             MARKED: max(LEAST_MARKED, len(used))}
+    return [i for i, (n, e) in enumerate(zip(votes, own[1])) if e != RULED_OUT and n >= least[e]]
+
+
+def _decisions(chunk: pa.Table) -> pa.Table:
+    """``decide`` for the home pages of a chunk, against the pages near them and the samples."""
+    rows = {}
+    for row in sorted(chunk.to_pylist(), key=lambda r: (r["home"], r["sampled"])):
+        known = rows.setdefault(row["rank"], row)
+        known["home"] |= row["home"]
+        known["sampled"] |= row["sampled"]
+    samples: dict = defaultdict(list)
+    for row in rows.values():
+        if row["sampled"]:
+            samples[row["host"]].append(row["rank"])
+    out: list[tuple] = []
+    for rank, row in rows.items():
+        if not row["home"]:
+            continue
+        near = [r for r in range(rank - NEAR, rank + NEAR + 1)
+                if r in rows and rows[r]["host"] == row["host"]]
+        ranks = sorted({*near, *samples[row["host"]]} - {rank}, key=lambda r: (abs(r - rank), r))
+        gone = decide((row["lines"], row["levels"]),
+                      ((rows[r]["lines"], rows[r]["levels"]) for r in ranks))
+        if gone:
+            out.append((row["host"], row["sig"], gone))
+    columns = list(zip(*out)) or [(), (), ()]
+    return pa.table({
+        "host": pa.array(columns[0], pa.string()), "sig": pa.array(columns[1], pa.int64()),
+        "gone": pa.array(columns[2], pa.list_(pa.int32()))})
+
+
 def _shared(pages: DataFrame) -> DataFrame:
-    """``key`` and ``gone``, the places of lines to delete, for pages that need differencing."""
+    """``key`` and ``gone``, the places of lines to delete, for pages that lose any."""
     def make(batch: pa.RecordBatch) -> list:
-        found = [lines_of(p.as_py()) for p in batch.column(batch.schema.names.index("html"))]
-        return [[lines for lines, _ in found],
-                [bool(e) and e[0] != MARKED for _, e in found]]
+        found = [marks(parsed(p.as_py())) for p in batch.column(batch.schema.names.index("html"))]
+        return [[lines for lines, _ in found], [levels for _, levels in found]]
 
-    read = arrow_columns(pages, ["key", "host", "path", "html"], "lines array<string>, open boolean", make)
-    # Only pages without marked articles ask, and only they tell what a site repeats.
+    read = arrow_columns(
+        pages, ["key", "host", "path", "html"], "lines array<bigint>, levels array<int>", make)
     light = kept(
-        read.where("open").select("key", "host", "path", F.transform(
-            "lines", lambda x: F.xxhash64(x)).alias("lines")).dropDuplicates(["key"]),
-        "page-lines")
-    places = ranked(light, ["host", "path", "key"], "rank")
-    other = places.select("rank", F.col("host").alias("h"), F.col("lines").alias("with"))
-    asking = places.select("key", "host", "rank", "lines")
-    before = other.select((F.col("rank") + 1).alias("rank"), F.col("h").alias("h1"),
-                          F.col("with").alias("w1"))
-    after = other.select((F.col("rank") - 1).alias("rank"), F.col("h").alias("h2"),
-                         F.col("with").alias("w2"))
-    partner = F.when(F.col("h1") == F.col("host"), F.col("w1")).when(
-        F.col("h2") == F.col("host"), F.col("w2"))
-    pairs = (
-        asking.join(before, "rank", "left").join(after, "rank", "left")
-        .select("key", "lines", partner.alias("with")).where("with is not null")
-    )
-
-    def align(batch: pa.RecordBatch) -> list:
-        out = []
-        for own, other in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            same = common(own, other)
-            out.append(same if len(same) < len(own) else [])
-        return [out]
-
-    return kept(
-        arrow_columns(pairs, ["key", "lines", "with"], "gone array<int>", align)
-        .select("key", "gone").where("size(gone) > 0"), "page-shared")
+        read.select("key", "host", "path", "lines", "levels",
+                    F.xxhash64("lines", "levels").alias("sig")), "page-lines")
+    # Pages with the same lines count once, at the smallest path.
+    first = light.groupBy("host", "sig").agg(F.min(F.struct("path", "lines", "levels")).alias("page"))
+    places = kept(
+        ranked(first.where("size(page.lines) > 0").select("host", "sig", "page.*"),
+               ["host", "path", "sig"], "rank").select("rank", "host", "sig", "lines", "levels"),
+        "page-places")
+    chunk = F.expr(f"rank div {_CHUNK}")
+    page = ["rank", "host", "sig", "lines", "levels"]
+    near = places.withColumn("chunk", F.explode(F.array_distinct(F.array(
+        chunk, F.expr(f"greatest(rank - {NEAR}, 0) div {_CHUNK}"),
+        F.expr(f"(rank + {NEAR}) div {_CHUNK}")))))
+    near = near.select("chunk", *page, (F.col("chunk") == chunk).alias("home"),
+                       F.lit(False).alias("sampled"))
+    drawn = places.groupBy("host", F.pmod(F.xxhash64("sig"), F.lit(SAMPLES)).alias("bucket")).agg(
+        F.min(F.struct(F.xxhash64("sig", F.lit(1)).alias("draw"),
+                       *[c for c in page if c != "host"])).alias("page"))
+    far = places.select("host", chunk.alias("chunk")).distinct().join(drawn, "host").select(
+        "chunk", "page.rank", "host", "page.sig", "page.lines", "page.levels",
+        F.lit(False).alias("home"), F.lit(True).alias("sampled"))
+    gone = near.unionByName(far).groupBy("chunk").applyInArrow(
+        _decisions, "host string, sig bigint, gone array<int>")
+    gone = kept(gone, "page-shared")
+    return light.select("key", "host", "sig").distinct().join(gone, ["host", "sig"]).select("key", "gone")
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``page_id``, ``url``, ``text`` (lines joined by ``\\n``) and ``n_chars`` (code points).
 
     One row per row of ``pages``; null pages have an empty text. Pages equal in key, url and html
-    count as one when pairs are made. A null url, or one without ``://``, has an empty host and
-    path like any other host. A page alone on its host is not compared.
+    count as one when pages are compared. A null url, or one without ``://``, has an empty host and
+    path like any other host. A page without others than near copies on its host loses no line.
     """
     own = pages.select(col(key).alias("page_id"), col(url).alias("url"), col(html).alias("html"))
     keyed = own.withColumn("key", F.xxhash64("page_id", "url", "html"))
@@ -243,8 +340,9 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
         names = batch.schema.names
         out = []
         for page, cut in zip(batch.column(names.index("html")), batch.column(names.index("gone"))):
-            lines, drop = lines_of(page.as_py())[0], set(cut.as_py() or ())
-            out.append("\n".join(t for i, t in enumerate(lines) if i not in drop))
+            lines, drop = parsed(page.as_py()), set(cut.as_py() or ())
+            out.append("\n".join(
+                t for i, (t, e) in enumerate(lines) if e != RULED_OUT and i not in drop))
         return [out]
 
     joined = keyed.join(gone, "key", "left")

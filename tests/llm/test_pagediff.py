@@ -84,3 +84,14 @@ def test_long_pages():
     a = [str(i) for i in range(30_000)]
     b = a[:10_000] + ["new"] + a[15_000:]
     assert len(pagediff.common(a, b)) == 25_000
+
+
+def test_a_site_line_inside_articles_goes_and_a_quoted_one_stays(spark):
+    def body(i):
+        quoted = "<p>They said so</p>" if i < 3 else ""
+        return f"<nav>menu {i}</nav><article><p>Enjoy our offers</p><p>own {i}</p>{quoted}</article>"
+
+    rows = [(i, f"http://h.example/a/{i}", body(i)) for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in pagediff.main_text(df).collect()}
+    assert got == {i: f"own {i}" + ("\nThey said so" if i < 3 else "") for i in range(8)}
