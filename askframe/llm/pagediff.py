@@ -7,7 +7,7 @@ near copies of it or of each other. What half of them share is the site's, not t
 Markup guards on both sides. Lines in menus, headers, footers, sidebars, forms, adverts and
 comments are left out whether shared or not: such lines also differ from page to page. Lines inside
 ``article`` or ``main`` go only if all the other pages have them inside theirs: quoted passages are
-common between pages of a host.
+common between pages of a host. Strong evidence in one place takes nothing from lines elsewhere.
 """
 
 from __future__ import annotations
@@ -165,8 +165,7 @@ def parsed(page: str | None) -> list[tuple[str, int]]:
                 evidence = max(evidence, NAMED)
         stack.append((name, evidence, dropped))
     end_line()
-    best = max((e for _, e in lines), default=UNDECIDED)
-    return [(t, e if e == best else RULED_OUT) for t, e in lines]
+    return lines
 
 
 def _row(a: list, b: list) -> np.ndarray:

@@ -95,3 +95,18 @@ def test_a_site_line_inside_articles_goes_and_a_quoted_one_stays(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     got = {r.page_id: r.text for r in pagediff.main_text(df).collect()}
     assert got == {i: f"own {i}" + ("\nThey said so" if i < 3 else "") for i in range(8)}
+
+
+@pytest.mark.parametrize("named, expected", [
+    ('<div class="entry-meta">May {i}</div><div>body {i}</div>', "May {i}\nbody {i}"),
+    ('<div>body {i}</div><div class="post-date">May {i}</div>', "body {i}\nMay {i}"),
+    ('<div class="story"><p>body {i}</p></div><article><p>teaser {i}</p></article>',
+     "body {i}\nteaser {i}"),
+    ('<div class="story"><p>body {i}</p></div><article><p>the same card</p></article>', "body {i}"),
+])
+def test_evidence_in_one_place_takes_nothing_elsewhere(spark, named, expected):
+    site = "<div>Welcome to the site</div>{}<div>Call us</div>"
+    rows = [(i, f"http://h.example/a/{i}", site.format(named.format(i=i))) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pagediff.main_text(df).collect()}
+    assert got == {i: expected.format(i=i) for i in range(6)}
