@@ -5,6 +5,10 @@ takes the Hilbert index. Neighbours in space tend to lie near each other on some
 cut into blocks of equal counts; a query looks through the blocks around its own on every curve,
 and what the curves find is merged and ranked by exact distances on the original vectors.
 
+Equal vectors count once, with the smallest ids that have them. A tight group may lie in one cell
+of the grid that fills more blocks than a query looks through; queries in such a cell look through
+all its blocks, on the curve where it fills the most.
+
 Directions are drawn from a seed; centre, scale and block limits come from a sample of at most
 ``Curves.sample`` vectors. Every vector is indexed. Blocks are a share of the curve, so recall
 does not fall as the table grows; a block is cut further into tasks of bounded rows.
@@ -74,12 +78,24 @@ class Index:
         grid = np.clip(at, 0, cells - 1).astype(np.int64)
         return hilbert_index(list(grid.T), self.given.bits)
 
-    def block_of(self, vectors: np.ndarray, ties: np.ndarray) -> np.ndarray:
-        """The block of each vector (rows) on each curve (columns)."""
-        return np.column_stack([
-            np.searchsorted(part[4], self._place(vectors, part) << _TIE_BITS | ties, side="right")
-            for part in self.parts
-        ]).astype(np.int32)
+    def block_of(self, vectors: np.ndarray, ties: np.ndarray) -> list[np.ndarray]:
+        """The block of each vector (rows) on each curve (columns); first and last block to search."""
+        own, low, high = [], [], []
+        top = (1 << _TIE_BITS) - 1
+        for i, part in enumerate(self.parts):
+            cell = self._place(vectors, part) << _TIE_BITS
+            # Every curve orders the rows of a cell in its own way.
+            turned = (ties * (2 * (7919 * i + 1) + 1) + 977 * i) & top
+            own.append(np.searchsorted(part[4], cell | turned, side="right"))
+            low.append(np.searchsorted(part[4], cell, side="right"))
+            high.append(np.searchsorted(part[4], cell | top, side="right"))
+        own, low, high = (np.column_stack(c).astype(np.int32) for c in (own, low, high))
+        first = np.clip(own - self.window // 2, 0, self.blocks - self.window)
+        last = first + self.window - 1
+        rows, widest = np.arange(len(own)), np.argmax(high - low, axis=1)
+        first[rows, widest] = np.minimum(first, low)[rows, widest]
+        last[rows, widest] = np.maximum(last, high)[rows, widest]
+        return [own, first, last]
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -91,35 +107,44 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def nearest(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
-    """For each query the k nearest of ``rows`` by exact distance, ties to the smaller id.
+    """For each query the k nearest ids of ``rows`` by exact distance, ties to the smaller id.
 
-    The matrix product only preselects, with a margin above its rounding error.
+    A row is a vector and the ids that have it. The matrix product only preselects, with a margin
+    above its rounding error.
     """
     q, r = matrix(queries["v"]), matrix(rows["v"])
-    q_ids = queries["id"].to_numpy()
-    order = np.argsort(rows["id"].to_numpy(), kind="stable")
-    r, r_ids = r[order], rows["id"].to_numpy()[order]
+    ids = rows["ids"].to_pylist()
     r2 = (r ** 2).sum(axis=1)
-    out: list[list[np.ndarray]] = [[], [], []]
-    for i, (vector, own) in enumerate(zip(q, q_ids)):
+    out: list[tuple[int, int, float]] = []
+    for vector, own in zip(q, queries["vec"].to_pylist()):
         rough = r2 - 2 * (r @ vector)
-        rough[r_ids == own] = np.inf
-        if len(rough) > k:
-            edge = np.partition(rough, k - 1)[k - 1]
-            slack = 1e-9 * (abs(edge) + r2.max() + vector @ vector)
-            some = np.flatnonzero(rough <= edge + slack)
-        else:
-            some = np.arange(len(rough))
-        some = some[np.isfinite(rough[some])]
-        exact = np.sqrt(((r[some] - vector) ** 2).sum(axis=1))
-        best = np.argsort(exact, kind="stable")[:k]
-        out[0].append(np.full(len(best), own))
-        out[1].append(r_ids[some[best]])
-        out[2].append(exact[best])
-    joined = [np.concatenate(c) if c else np.zeros(0) for c in out]
+        wanted = k
+        while True:
+            if len(rough) > wanted:
+                edge = np.partition(rough, wanted - 1)[wanted - 1]
+                slack = 1e-9 * (abs(edge) + r2.max() + vector @ vector)
+                some = np.flatnonzero(rough <= edge + slack)
+            else:
+                some = np.arange(len(rough))
+            exact = np.sqrt(((r[some] - vector) ** 2).sum(axis=1))
+            best: dict[int, float] = {}
+            reached = 0.0
+            for i in np.argsort(exact, kind="stable"):
+                if len(best) >= k and exact[i] > reached:
+                    break
+                reached = float(exact[i])
+                for other in ids[some[i]]:
+                    best.setdefault(other, reached)
+            # Ids may have several vectors: then more of them are needed for k ids.
+            if len(best) >= k or len(some) == len(rough):
+                break
+            wanted *= 4
+        out += [(own, other, score) for score, other in
+                sorted((score, other) for other, score in best.items())[:k]]
+    columns = list(zip(*out)) or [(), (), ()]
     return pa.table({
-        "query_id": pa.array(joined[0].astype(np.int64)),
-        "vec_id": pa.array(joined[1].astype(np.int64)), "score": pa.array(joined[2], pa.float64()),
+        "query": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()),
+        "score": pa.array(columns[2], pa.float64()),
     })
 
 
@@ -148,42 +173,67 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, given: Curves = Cu
     most = lengths.orderBy(F.desc("rows"), "size").first()
     if most is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    good = good.where(F.size("v") == most["size"])
+    alike = kept(
+        good.where(F.size("v") == most["size"]).groupBy("id", "v").agg(F.max("asks").alias("asks")),
+        "curve-rows")
+    # A query needs k ids besides its own. A vector that many rows share is cut by the salt first.
+    need = k + 1
+    salts = ceil(most.rows / given.rows_per_task)
+    inside = Window.partitionBy("v", "salt").orderBy("id")
+    numbered = kept(
+        alike.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+        .withColumn("n", F.row_number().over(inside)).where(F.col("n") <= need)
+        .groupBy("v").agg(F.slice(F.sort_array(F.collect_set("id")), 1, need).alias("ids"))
+        .withColumn("vec", F.monotonically_increasing_id()), "curve-vectors")
+    queries = kept(
+        alike.where("asks").select("id", "v").join(numbered.select("v", "vec"), "v")
+        .select(F.col("id").alias("query_id"), F.col("vec").alias("query")), "curve-queries")
+    asking = queries.select(F.col("query").alias("vec")).distinct().withColumn("asks", F.lit(True))
+    good = numbered.join(asking, "vec", "left").select(
+        "vec", "v", "ids", F.coalesce("asks", F.lit(False)).alias("asks"), F.col("ids")[0].alias("id"))
+    total = numbered.count()
     tie = F.pmod(F.xxhash64("id"), F.lit(1 << _TIE_BITS)).cast("long")
-    sampled = good.orderBy(F.xxhash64("id", F.lit(given.seed)), "id").limit(given.sample)
+    sampled = good.orderBy(F.xxhash64("id", F.lit(given.seed)), "id", "v").limit(given.sample)
     sample = np.array([r.v for r in sampled.select("v").collect()], dtype=np.float64)
-    index = Index(sample, most.rows, given)
+    index = Index(sample, total, given)
 
     def make(batch: pa.RecordBatch) -> list:
         if not batch.num_rows:
-            return [[]]
-        found = index.block_of(matrix(batch.column(1)), batch.column(3).to_numpy())
-        return [found.tolist()]
+            return [[], [], []]
+        found = index.block_of(matrix(batch.column(1)), batch.column(4).to_numpy())
+        return [f.tolist() for f in found]
 
     placed = kept(
-        arrow_columns(good.withColumn("tie", tie), ["id", "v", "asks", "tie"], "blocks array<int>", make),
+        arrow_columns(good.withColumn("tie", tie), ["vec", "v", "ids", "asks", "tie"],
+                      "blocks array<int>, first array<int>, last array<int>", make),
         "curve-blocks")
+    asks = placed.where("asks").select(
+        "vec", "v", F.posexplode(F.arrays_zip("first", "last")).alias("curve", "range")
+    ).select("vec", "v", "curve", F.explode(F.sequence("range.first", "range.last")).alias("block"))
+    most_asking = asks.groupBy("curve", "block").count().agg(F.max("count")).first()[0] or 0
     # Both sides of a block are cut so that a task holds rows_per_task of each at most, about.
-    per_block = given.rows_per_task * index.blocks
-    row_cuts = max(1, ceil(most.rows / per_block))
-    query_cuts = max(1, ceil((most.asking or 0) * index.window / per_block))
+    row_cuts = max(1, ceil(total / (given.rows_per_task * index.blocks)))
+    query_cuts = max(1, ceil(most_asking / given.rows_per_task))
     rows = placed.select(
-        "id", "v", F.posexplode("blocks").alias("curve", "block"),
-        F.pmod(F.xxhash64("id", F.lit(1)), F.lit(row_cuts)).cast("int").alias("row_cut"),
+        "vec", "v", "ids", F.posexplode("blocks").alias("curve", "block"),
+        F.pmod(F.xxhash64("vec", F.lit(1)), F.lit(row_cuts)).cast("int").alias("row_cut"),
     ).withColumn("query_cut", F.explode(F.sequence(F.lit(0), F.lit(query_cuts - 1))))
-    first = F.greatest(F.lit(0), F.least(
-        F.col("own") - index.window // 2, F.lit(index.blocks - index.window)))
-    asks = placed.where("asks").select(
-        "id", "v", F.posexplode("blocks").alias("curve", "own"),
-        F.pmod(F.xxhash64("id", F.lit(2)), F.lit(query_cuts)).cast("int").alias("query_cut"),
-    ).withColumn("block", F.explode(F.sequence(first, first + index.window - 1))).withColumn(
-        "row_cut", F.explode(F.sequence(F.lit(0), F.lit(row_cuts - 1)))).drop("own")
+    asks = asks.withColumn(
+        "query_cut", F.pmod(F.xxhash64("vec", F.lit(2)), F.lit(query_cuts)).cast("int")
+    ).withColumn("row_cut", F.explode(F.sequence(F.lit(0), F.lit(row_cuts - 1))))
     keys = ["curve", "block", "row_cut", "query_cut"]
     found = asks.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(
-        lambda a, b: nearest(a, b, k), "query_id long, vec_id long, score double")
+        lambda a, b: nearest(a, b, need), "query long, vec_id long, score double")
+    best = Window.partitionBy("query").orderBy("score", "vec_id")
+    merged = (
+        found.groupBy("query", "vec_id").agg(F.min("score").alias("score"))
+        .withColumn("n", F.row_number().over(best)).where(F.col("n") <= need)
+    )
+    # An id with several query vectors gets the nearest over all of them.
     place = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (
-        found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        queries.join(merged, "query").where("vec_id != query_id")
+        .groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
         .withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )

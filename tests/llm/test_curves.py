@@ -64,3 +64,18 @@ def test_ties_copies_and_useless_vectors(spark):
     assert search(table(spark, [])).collect() == []
     extra = table(spark, [[1.0], [2.0]]).withColumn("id", F.lit("x")).withColumn("v", F.lit(1))
     assert found(search(extra)) == {0: [(1, 1.0)]}
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.001, 0.01])
+def test_recall_inside_a_tight_group(spark, noise):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(18_000, 16))
+    group = np.arange(0, len(x), 3)
+    x[group] = x[0] + noise * draw.normal(size=(len(group), 16))
+    x = x.astype(np.float32)
+    got, want = found(search(table(spark, x))), brute(x, np.arange(len(x)), 10)
+    inside = [q for q in want if q % 3 == 0]
+    hits = [len({v for v, _ in want[q]} & {v for v, _ in got[q]}) for q in inside]
+    assert len(inside) == 60 and np.mean(hits) >= 9.95
+    if not noise:
+        assert all([v for v, _ in got[q]] == [v for v, _ in want[q]] for q in inside)
