@@ -32,6 +32,8 @@ _TOKEN = re.compile(
     r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
+#: A self-closing tag; the slash at the end of a value without quotes is the value's.
+_CLOSED = re.compile(r"""(?<!=)(?:^|[\s"']|(?:^|\s)[^\s=]+)/\Z""")
 
 #: Elements whose content is no markup: skipped up to their end tag.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "noembed"}
@@ -125,6 +127,8 @@ def parsed(page: str | None) -> list[tuple[str, int]]:
         if token[2] is None:
             continue
         name, closing = token[2].lower(), bool(token[1])
+        if not closing and name == "svg" and _CLOSED.search(token[3]):
+            continue
         if not closing and name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)

@@ -110,3 +110,30 @@ def test_evidence_in_one_place_takes_nothing_elsewhere(spark, named, expected):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in pagediff.main_text(df).collect()}
     assert got == {i: expected.format(i=i) for i in range(6)}
+
+
+@pytest.mark.parametrize("page, lines", [
+    ("<p>a<svg/><p>b", ["a", "b"]), ('<p>a<svg class="i"/><p>b<svg hidden />c<p>d', ["a", "bc", "d"]),
+    ("<p>a<svg><text>no</text></svg><p>b", ["a", "b"]), ("<p>a<svg class=i/>no</svg><p>b", ["a", "b"]),
+])
+def test_self_closing_svg(page, lines):
+    assert pagediff.lines_of(page)[0] == lines
+
+
+@pytest.mark.parametrize("copies", [2, 3, 40])
+def test_copies_lose_the_site_and_keep_the_article(spark, copies):
+    def page(*own):
+        return "".join(f"<div>{x}</div>" for x in ("Welcome", "All about it", *own, "Call us"))
+
+    article = [f"paragraph {i}" for i in range(12)]
+    rows, want = [], {}
+    for i in range(copies):  # near copies, and an exact one of each
+        text = [*article[:5], f"corrected {i}", *article[6:]]
+        for j in (0, 1):
+            rows.append((2 * i + j, f"http://h.example/a/{i:02}?{j}", page(*text)))
+            want[2 * i + j] = "\n".join(text)
+    for i in range(6):
+        rows.append((1000 + i, f"http://h.example/b/{i}", page(f"own {i}", f"more {i}")))
+        want[1000 + i] = f"own {i}\nmore {i}"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in pagediff.main_text(df).collect()} == want
