@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askframe.llm import (
-    aliases, bpe, chat, curves, ledger, mil, mixing, pagediff, shards, simhash,
+    aliases, audit, bpe, chat, curves, ledger, mil, mixing, pagediff, shards, simhash,
 )
 from askframe.llm.common import table
 
@@ -111,6 +111,11 @@ def op10_byte_level_bpe(spark: SparkSession, sf: str) -> DataFrame:
         public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """What each of five filters removes, in every order, per language."""
+    return audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """All stages of the corpus pipeline, one after the other."""
     import corpus_pipeline
@@ -129,5 +134,6 @@ QUERIES = {
     "op8_shifted_curves": op8_shifted_curves,
     "op9_page_differencing": op9_page_differencing,
     "op10_byte_level_bpe": op10_byte_level_bpe,
+    "op12_filter_audit": op12_filter_audit,
     "pipeline": pipeline,
 }
