@@ -81,6 +81,26 @@ def arrow_columns(
     return picked.mapInArrow(run, schema)
 
 
+def arrow_rows(
+    df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[list[tuple]]], ddl: str
+) -> DataFrame:
+    """Rows of the schema ``ddl``, made per partition: ``make`` turns its batches into lists of rows."""
+    ship_package(df.sparkSession)
+    schema = T.StructType.fromDDL(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(schema)
+        for rows in make(batches):
+            columns = zip(*rows) if rows else [()] * len(target)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), f.type) for c, f in zip(columns, target, strict=True)],
+                schema=target)
+
+    return df.mapInArrow(run, schema)
+
+
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, as an array; none for null."""
     spaced = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askframe.llm import (
-    aliases, audit, bpe, chat, curves, ledger, mil, mixing, pagediff, shards, simhash,
+    aliases, audit, bpe, chat, chunked, curves, ledger, mil, mixing, pagediff, shards, simhash,
 )
 from askframe.llm.common import table
 
@@ -116,6 +116,12 @@ def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
     return audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op13_chunk_reuse_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of every text by chunks that texts share, and what they decode to, as digests."""
+    return chunked.token_digests(
+        table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """All stages of the corpus pipeline, one after the other."""
     import corpus_pipeline
@@ -135,5 +141,6 @@ QUERIES = {
     "op9_page_differencing": op9_page_differencing,
     "op10_byte_level_bpe": op10_byte_level_bpe,
     "op12_filter_audit": op12_filter_audit,
+    "op13_chunk_reuse_bpe": op13_chunk_reuse_bpe,
     "pipeline": pipeline,
 }
