@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askframe.llm import (
-    aliases, audit, bpe, chat, chunked, curves, ledger, mil, mixing, pagediff, shards, simhash,
+    aliases, audit, bpe, chat, chunked, crosstok, curves, ledger, mil, mixing, pagediff, shards,
+    simhash,
 )
 from askframe.llm.common import table
 
@@ -111,6 +112,13 @@ def op10_byte_level_bpe(spark: SparkSession, sf: str) -> DataFrame:
         public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_spill_counting(spark: SparkSession, sf: str) -> DataFrame:
+    """Links between the tokens of two tokenizers, and how they stand in the corpus."""
+    return crosstok.token_links(
+        table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
     """What each of five filters removes, in every order, per language."""
     return audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
@@ -140,6 +148,7 @@ QUERIES = {
     "op8_shifted_curves": op8_shifted_curves,
     "op9_page_differencing": op9_page_differencing,
     "op10_byte_level_bpe": op10_byte_level_bpe,
+    "op11_spill_counting": op11_spill_counting,
     "op12_filter_audit": op12_filter_audit,
     "op13_chunk_reuse_bpe": op13_chunk_reuse_bpe,
     "pipeline": pipeline,
