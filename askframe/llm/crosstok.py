@@ -25,16 +25,18 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import json
 import os
 import struct
 import uuid
 from collections.abc import Iterator
 from functools import cache
-from itertools import groupby
+from itertools import chain, groupby
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +48,12 @@ from askframe.llm.common import arrow_rows, col, kept
 RADIX, RECORDS, DOCUMENTS, FRAME = 64, 1 << 20, 8192, 4096
 #: Runs that are merged at once, and blocks that get their counts back at once.
 FAN, BACK = 256, 1024
+#: How byte-level models split texts (a fixed value), and characters outside Latin script.
+PIECES = regex.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_OTHER = regex.compile("[^\x00-\u024f]")
+#: Different pieces that a worker keeps the ids of.
+KEPT_PIECES = 150_000
 #: Documents and characters that are encoded at once.
 SLICE, CHARACTERS = 256, 1 << 20
 #: Groups with more links than this are reduced to distinct ids before they are paired.
@@ -101,6 +109,14 @@ class Pair:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
+        made = json.loads(self.a.to_str())
+        split = made["pre_tokenizer"] or {}
+        #: Whether A is a byte-level model whose pieces are those of ``PIECES``, one by one.
+        self.by_pieces = (
+            made["normalizer"] is None and split.get("type") == "ByteLevel"
+            and split["use_regex"] and not split["add_prefix_space"])
+        self.seen: dict[str, tuple[int, ...]] = {}
+        self.to_char = dict(enumerate(byte_table()))
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         to_byte = {c: bytes([i]) for i, c in enumerate(byte_table())}
         self.a_bytes = []
@@ -119,11 +135,36 @@ class Pair:
         self.texts = [f"{i}{end}" for size, ends in (
             (len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for end in ends for i in range(size)]
 
+    def ids_of(self, pieces: list[str]) -> list[int]:
+        """The ids of A for its pieces; each different one is merged once."""
+        seen = self.seen
+        try:
+            return list(chain.from_iterable(map(seen.__getitem__, pieces)))
+        except KeyError:
+            pass
+        new = [p for p in set(pieces) if p not in seen]
+        if len(seen) + len(new) > KEPT_PIECES:
+            seen.clear()
+            new = set(pieces)
+        for piece in new:
+            mapped = piece.encode().decode("latin-1").translate(self.to_char)
+            seen[piece] = tuple([t.id for t in self.a.model.tokenize(mapped)])
+        return list(chain.from_iterable(map(seen.__getitem__, pieces)))
+
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        """The ids of A. Texts of Latin letters alone go piece by piece; which characters are
+        letters, digits or spaces is fixed there, elsewhere the library's own tables decide."""
+        rest = [i for i, t in enumerate(texts) if not self.by_pieces or _OTHER.search(t)]
+        found = dict(zip(rest, self.a.encode_batch_fast(
+            [texts[i] for i in rest], add_special_tokens=False)))
+        return [found[i].ids if i in found else self.ids_of(PIECES.findall(t))
+                for i, t in enumerate(texts)]
+
     def encode(self, texts: list[str | None]) -> list[tuple[list[int], list[int]]]:
         """The ids of both sides per text; none where a side does not give the text back."""
         some = [i for i, t in enumerate(texts) if t]
         spaced = [" " + texts[i] for i in some]
-        first = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        first = self.encode_a(spaced)
         second = self.b.encode([texts[i] for i in some], num_threads=1)
         out: list[tuple[list[int], list[int]]] = [([], [])] * len(texts)
         for i, text, a, b in zip(some, spaced, first, second):
@@ -147,11 +188,11 @@ class Aligned:
         self.own = own
         self.n_a = np.array([len(a) for a, _ in encoded], np.int64)
         self.n_b = np.array([len(b) for _, b in encoded], np.int64)
-        self.a = np.array([i for a, _ in encoded for i in a], np.int64)
-        self.b = np.array([i for _, b in encoded for i in b], np.int64)
+        self.a = np.array(list(chain.from_iterable(a for a, _ in encoded)), np.int64)
+        self.b = np.array(list(chain.from_iterable(b for _, b in encoded)), np.int64)
         # Both sides of every text have the same bytes, so positions may run through all texts.
         a_end, b_end = np.cumsum(own.a_len[self.a]), np.cumsum(own.b_len[self.b])
-        common = np.intersect1d(a_end, b_end)
+        common = a_end[b_end[np.searchsorted(b_end, a_end)] == a_end] if len(a_end) else a_end
         self.a_group = np.searchsorted(common, a_end)
         self.b_group = np.searchsorted(common, b_end)
         self.a_in = np.bincount(self.a_group, minlength=len(common))

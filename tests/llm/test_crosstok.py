@@ -148,6 +148,15 @@ def test_merge_and_maxima(monkeypatch, frame):
     assert got == [(k, c, int(c == top[k >> crosstok._ID])) for k, c in sorted(want.items())]
 
 
+def test_latin_pieces_are_the_librarys_own():
+    """Every character of the piece path beside letters, digits, spaces and itself."""
+    own = crosstok.pair(A, B)
+    assert own.by_pieces
+    for c in map(chr, range(0x250)):
+        text = f"a{c} b{c}{c}1 {c}  {c}'{c}\u00e9 \n{c}"
+        assert own.encode_a([text]) == [own.a.encode(text, add_special_tokens=False).ids]
+
+
 def test_numbers_come_back():
     for values in ([], [0], [255, 256], [1 << 40, 5], list(range(1000))):
         got, _ = crosstok.unpack(crosstok.pack(np.array(values, np.int64)))
