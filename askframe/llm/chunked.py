@@ -1,12 +1,17 @@
 """BPE of texts by chunks that documents share.
 
 A rolling hash over the bytes cuts every text where its content says so, so that equal passages in
-different texts give equal chunks. Every distinct chunk is encoded once; its ids go to the texts
-that hold it. What a chunk's first and last words become depends on its neighbours, so at every
-join the last words of the one chunk and the first of the next are encoded again as one window.
-The window must agree with both chunks in a whole word at its ends; from there on their ids hold.
-A chunk without enough words belongs to the window as a whole, which so grows until both ends
-agree. Texts with a join that finds no agreement are encoded again whole.
+different texts give equal chunks. A first pass counts the chunks. A chunk that comes more than
+once is encoded once, and its ids go to the texts that hold it; what lies between such chunks is
+encoded where the text is, and a text without any is done there. What the first and last words of a
+chunk become depends on its neighbours, so at every join the last words of the one and the first of
+the next are encoded again as one window. The window must agree with both in a whole word at its
+ends; from there on their ids hold. A chunk without enough words belongs to the window as a whole,
+which so grows until both ends agree. Texts with a join that finds no agreement are encoded whole.
+
+Tasks know which chunks come more than once from a bit table of ``FILTER`` bits in all, broadcast: a
+bound that does not grow. Where two chunks share a bit, one that comes once travels like a shared
+one, which costs a shuffle of it and changes no result.
 
 Texts are known by a hash of 128 bits, chunks by another; equal texts are encoded as one.
 Null and empty texts have no ids. All rows come back, repeated rows and null ids as often as they are
@@ -22,6 +27,8 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askframe.llm.common import arrow_rows, col, kept
-from askframe.llm.skew import hot_keys
+from askframe.llm.skew import hot_keys, repeated_keys
 
 #: Bytes of a chunk: least, most, and the bits of the hash that must be zero (512 on average).
 LEAST, MOST, BITS = 128, 4096, 9
@@ -44,9 +51,16 @@ REMEMBERED = 200_000
 _WORD = re.compile(r"(?<=[ \t\n\r])\S")
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b])) for b in range(256)], np.uint32)
 
-_REFS = "chunk binary, t1 long, t2 long, seq int, text string"
+#: Bits of the table of chunks that come more than once, as a power of two (16 MB).
+FILTER = 27
+#: Texts that are encoded at once, and their characters.
+SLICE, CHARACTERS = 256, 1 << 20
+
+_REFS = "chunk binary, t1 long, t2 long, seq int"
 _CODES = ("t1 long, t2 long, seq int, ids binary, whole boolean, head string, head_n int, "
           "head_own int, tail string, tail_n int, tail_own int")
+_PARTS = ("chunk binary, text string, " + _CODES
+          + ", n_tokens long, ids_sha256 string, decoded_sha256 string")
 _DONE = "t1 long, t2 long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -186,46 +200,110 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2")]
 
 
-def text_chunks(texts: DataFrame, with_text: bool = True) -> DataFrame:
-    """The chunks of the column ``text``: where they stand, and apart from that their texts.
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, list[int]]:
+    """The bytes of all texts of a column, null as empty, and where each starts and ends."""
+    column = pa.array(column).cast(pa.large_string()).fill_null("")
+    _, offsets, raw = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)
+    return data[:at[-1] if len(at) else 0], at.tolist()
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[tuple[bytes, memoryview]]]]:
+    """(t1, t2, chunks as key and bytes) of the texts of a task, equal texts once if they are near."""
+    sent: set = set()
+    for batch in batches:
+        data, at = _bytes_of(batch.column(2))
+        places, view = cut_places(data).tolist(), memoryview(data)
+        keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        for (t1, t2), start, end in zip(keys, at, at[1:]):
+            if (t1, t2) in sent:
+                continue
+            if len(sent) >= REMEMBERED:
+                sent.clear()
+            sent.add((t1, t2))
+            own = [view[a:b] for a, b in spans(data, places, start, end)]
+            yield t1, t2, [(xxhash.xxh3_128_digest(c), c) for c in own]
 
-    A row with ``seq`` says that chunk ``chunk`` is number ``seq`` of the text (t1, t2); a row with
-    ``text`` gives the chunk itself. Both come at least once.
-    """
+
+def _keyed(texts: DataFrame) -> DataFrame:
+    return texts.select(*text_key(col("text")), col("text").alias("text"))
+
+
+def chunk_places(texts: DataFrame) -> DataFrame:
+    """Chunk ``chunk`` is number ``seq`` of the text (t1, t2) of the column ``text``."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        texts_sent: set = set()
-        chunks_sent: set = set()
-        for batch in batches:
-            column = pa.array(batch.column(2)).cast(pa.large_string()).fill_null("")
-            _, offsets, raw = column.buffers()
-            at = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
-            data = np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)
-            data = data[:at[-1]] if len(at) else data
-            places = cut_places(data).tolist()
-            view, out, size = memoryview(data), [], 0
-            for t1, t2, start, end in zip(
-                    batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                    at[:-1].tolist(), at[1:].tolist()):
-                if (t1, t2) in texts_sent:
-                    continue
-                if len(texts_sent) >= REMEMBERED:
-                    texts_sent.clear()
-                texts_sent.add((t1, t2))
-                for seq, (a, b) in enumerate(spans(data, places, start, end)):
-                    key = xxhash.xxh3_128_digest(view[a:b])
-                    out.append((key, t1, t2, seq, None))
-                    if with_text and key not in chunks_sent:
-                        if len(chunks_sent) >= REMEMBERED:
-                            chunks_sent.clear()
-                        chunks_sent.add(key)
-                        out.append((key, None, None, None, bytes(view[a:b]).decode()))
-                        size += b - a
-                    if len(out) >= 20_000 or size > BLOCK:
-                        yield out
-                        out, size = [], 0
-            yield out
+        out = []
+        for t1, t2, chunks in _cut(batches):
+            out += [(key, t1, t2, seq) for seq, (key, _) in enumerate(chunks)]
+            if len(out) >= 20_000:
+                yield out
+                out = []
+        yield out
 
-    return arrow_rows(texts.select(*text_key(col("text")), col("text").alias("text")), make, _REFS)
+    return arrow_rows(_keyed(texts), make, _REFS)
+
+
+def bit_table(repeated: DataFrame) -> bytes:
+    """One bit for the first ``FILTER`` bits of every key ``chunk``."""
+    place = F.shiftright(F.conv(F.hex(F.substring("chunk", 1, 4)), 16, 10).cast("long"), 32 - FILTER)
+    words = repeated.select(place.alias("place")).groupBy(
+        F.shiftright("place", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, int(place & 63))")).alias("bits")).toArrow()
+    table = np.zeros(1 << FILTER - 6, np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return table.tobytes()
+
+
+def text_parts(texts: DataFrame, path: str, bits: bytes) -> DataFrame:
+    """What the tasks make of their texts (t1, t2), one of four kinds of rows:
+
+    the digests of a text without repeated chunks; ``ids`` and the edges of what lies between
+    repeated chunks, as part ``seq``; which repeated ``chunk`` is part ``seq``; its ``text``.
+    """
+    known = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        own, sent, table = coder(path), set(), known.value
+
+        def repeated(key: bytes) -> bool:
+            place = int.from_bytes(key[:4], "big") >> 32 - FILTER
+            return table[place >> 3] >> (place & 7) & 1 == 1
+
+        def coded(plain: list[tuple], between: list[tuple]) -> list[tuple]:
+            found = own.tokenizer.encode_batch([t for *_, t in plain], add_special_tokens=False)
+            out = [(None, None, t1, t2, *[None] * 9, *own.digests(np.array(e.ids, own.type)))
+                   for (t1, t2, _), e in zip(plain, found)]
+            codes = own.codes([t for *_, t in between])
+            return out + [(None, None, t1, t2, seq, *code, None, None, None)
+                          for (t1, t2, seq, _), code in zip(between, codes)]
+
+        plain, between, size, out = [], [], 0, []
+        for t1, t2, chunks in _cut(batches):
+            size += sum(len(c) for _, c in chunks)
+            flags = [repeated(key) for key, _ in chunks]
+            if not any(flags):
+                plain.append((t1, t2, b"".join(c for _, c in chunks).decode()))
+            else:
+                rows = zip(flags, chunks)
+                for seq, (shared, some) in enumerate(groupby(rows, itemgetter(0))):
+                    some = [c for _, c in some]
+                    if not shared:
+                        between.append((t1, t2, seq << 16, b"".join(c for _, c in some).decode()))
+                        continue
+                    for i, (key, raw) in enumerate(some):
+                        out.append((key, None, t1, t2, (seq << 16) + i, *[None] * 11))
+                        if key not in sent:
+                            if len(sent) >= REMEMBERED:
+                                sent.clear()
+                            sent.add(key)
+                            out.append((key, bytes(raw).decode(), *[None] * 14))
+            if len(plain) + len(between) >= SLICE or size >= CHARACTERS or len(out) >= 4096:
+                yield out + coded(plain, between)
+                plain, between, size, out = [], [], 0, []
+        yield out + coded(plain, between)
+
+    return arrow_rows(_keyed(texts), make, _PARTS)
 
 
 def chunk_codes(refs: DataFrame, path: str) -> DataFrame:
@@ -297,22 +375,30 @@ def whole_texts(texts: DataFrame, path: str) -> DataFrame:
 
 def text_digests(texts: DataFrame, path: str) -> DataFrame:
     """Digests per distinct text of the column ``text``, without the empty one."""
-    hot = hot_keys(text_chunks(texts, with_text=False), ["chunk"])
+    repeated, total = repeated_keys(chunk_places(texts), ["chunk"])
+    hot = hot_keys(repeated, total)
+    parts = kept(text_parts(texts, path, bit_table(repeated)), "chunked-parts")
     every = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
     one = F.array(F.coalesce(F.expr("pmod(xxhash64(t1, t2), salts)").cast("int"), F.lit(0)))
     refs = (
-        text_chunks(texts).join(F.broadcast(hot), "chunk", "left")
+        parts.where("chunk IS NOT NULL").select("chunk", "t1", "t2", "seq", "text")
+        .join(F.broadcast(hot), "chunk", "left")
         .withColumn("salt", F.explode(F.when(F.col("text").isNull(), one).otherwise(every)))
         .repartition("chunk", "salt").sortWithinPartitions("chunk", "salt", F.col("text").isNull())
     )
-    codes = chunk_codes(refs, path).repartition("t1", "t2").sortWithinPartitions("t1", "t2", "seq")
-    done = kept(joined(codes, path), "chunked")
-    lost = done.where("n_tokens < 0").select("t1", "t2")
+    shared = chunk_codes(refs, path)
+    codes = parts.where("ids IS NOT NULL").select(*shared.columns).unionByName(shared)
+    dealt = codes.repartition("t1", "t2").sortWithinPartitions("t1", "t2", "seq")
+    columns = ["t1", "t2", "n_tokens", "ids_sha256", "decoded_sha256"]
+    joins = kept(joined(dealt, path), "chunked-joins")
+    # A text that several tasks saw is done as often.
+    done = parts.where("n_tokens IS NOT NULL").select(*columns).unionByName(
+        joins.where("n_tokens >= 0")).dropDuplicates(["t1", "t2"])
+    lost = joins.where("n_tokens < 0").select("t1", "t2")
     if lost.isEmpty():
         return done
-    keyed = texts.select(col("text").alias("text"), *text_key(col("text")))
-    again = keyed.join(lost, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
-    return done.where("n_tokens >= 0").unionByName(whole_texts(again, path))
+    again = _keyed(texts).join(lost, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
+    return done.unionByName(whole_texts(again, path))
 
 
 def token_digests(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -322,7 +408,7 @@ def token_digests(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",
     """
     done = text_digests(docs.where(F.length(col("text")) > 0), path)
     rows = docs.select(*[col(c) for c in keep], *text_key(col("text")))
-    hot = hot_keys(rows, ["t1", "t2"])
+    hot = hot_keys(*repeated_keys(rows, ["t1", "t2"]))
     order = [F.col(c) for c in keep[:1]] or [F.col("t1")]
     spread = (
         rows.join(F.broadcast(hot), ["t1", "t2"], "left")

@@ -11,18 +11,26 @@ from askframe.llm.common import kept
 SHARES = 4096
 
 
-def hot_keys(rows: DataFrame, keys: list[str], shares: int | None = None) -> DataFrame:
-    """``keys`` and ``salts`` of the keys that have more than 1/``shares`` of the rows (default ``SHARES``).
+def repeated_keys(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """``keys`` and the number ``n`` of the rows of those with more than one, and that of all rows.
 
-    Counts cover all rows and are made on the map side first. The result has at most ``shares``
-    rows whatever the input, so it may be broadcast; its salts sum up to at most twice that.
+    Counts cover all rows and are made on the map side first.
     """
-    shares = shares or SHARES
     seen = Observation()
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).observe(
         seen, F.sum("n").alias("total"))
-    often = kept(counts.where("n > 1"), "counts")
-    total = max(seen.get["total"] or 0, 1)
+    return kept(counts.where("n > 1"), "counts"), seen.get["total"] or 0
+
+
+def hot_keys(repeated: DataFrame, total: int, shares: int | None = None) -> DataFrame:
+    """Keys of ``repeated_keys`` with more than 1/``shares`` (default ``SHARES``) of the rows, and
+    the ``salts`` to spread each over.
+
+    There are at most ``shares`` of them whatever the input, so the table may be broadcast; the
+    salts sum up to at most twice that number.
+    """
+    shares = shares or SHARES
     return kept(
-        often.where(F.col("n") * shares > total)
-        .select(*keys, F.ceil(F.col("n") * shares / F.lit(total)).cast("int").alias("salts")), "hot")
+        repeated.where(F.col("n") * shares > total)
+        .withColumn("salts", F.ceil(F.col("n") * shares / F.lit(max(total, 1))).cast("int"))
+        .drop("n"), "hot")

@@ -81,16 +81,28 @@ def test_blocks_do_not_move_cuts(monkeypatch):
     assert chunked.chunks_of(text) == whole
 
 
-def test_a_chunk_is_encoded_once(spark, monkeypatch):
-    """Across documents and partitions; places get the code whatever their number."""
+def test_shared_chunks_travel_and_the_rest_stays(spark):
+    """Texts of their own are done where they are; chunks of several texts are sent once per task."""
     passage = " ".join(f"shared{i}" for i in range(900))
     texts = spark.createDataFrame(
-        [(f"start {i} " * (i % 40) + passage,) for i in range(200)], "text string").repartition(4)
-    rows = chunked.text_chunks(texts).collect()
-    distinct = {r.chunk for r in rows}
-    places = {(r.t1, r.t2, r.seq) for r in rows if r.seq is not None}
-    assert len(distinct) < len(places) / 4
-    assert {r.chunk for r in rows if r.text is not None} == distinct
+        [(f"start {i} " * (i % 40) + passage,) for i in range(200)]
+        + [(" ".join(f"own{i}w{j}" for j in range(200)),) for i in range(50)], "text string").repartition(4)
+    repeated, total = skew.repeated_keys(chunked.chunk_places(texts), ["chunk"])
+    rows = chunked.text_parts(texts, PATH, chunked.bit_table(repeated)).collect()
+    done = [r for r in rows if r.n_tokens is not None]
+    sent = [r for r in rows if r.text is not None]
+    places = [r for r in rows if r.chunk is not None and r.seq is not None]
+    assert 50 <= len(done) <= 52
+    assert {r.chunk for r in sent} == {r.chunk for r in places} == {r.chunk for r in repeated.collect()}
+    assert len(sent) <= 4 * repeated.count() and len(places) > 150 * 10
+    assert total > len(places)
+
+
+def test_full_bit_table_changes_no_result(spark, odd, plain, monkeypatch):
+    """All chunks travel then."""
+    monkeypatch.setattr(chunked, "bit_table", lambda repeated: b"\xff" * (1 << chunked.FILTER - 3))
+    for r in chunked.token_digests(odd, PATH, keep=("doc_id", "text")).collect():
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == wanted(plain, r.text)
 
 
 @pytest.mark.parametrize("shares", [4096, 4])
@@ -108,26 +120,19 @@ def test_columns_and_odd_rows(spark, odd, plain, small, monkeypatch, shares):
     assert sorted(r.doc_id or -1 for r in found) == sorted(r.doc_id or -1 for r in docs.collect())
 
 
-def test_texts_without_agreement_are_encoded_whole(spark, odd, plain, monkeypatch):
-    found = {"none": 0}
-
-    def never(self, codes):
-        return None
-
-    monkeypatch.setattr(chunked.Coder, "join", never)
+def test_whole_texts(spark, odd, plain):
     texts = odd.select("text").where("length(text) > 0")
     keyed = texts.select("text", *chunked.text_key(texts["text"])).distinct()
-    for r in chunked.whole_texts(keyed, PATH).collect():
-        found["none"] += 1
-        assert r.n_tokens >= 0
-    assert found["none"] == keyed.count()
+    want = {tuple(r[:2]): wanted(plain, r[2]) for r in keyed.select("t1", "t2", "text").collect()}
+    assert {tuple(r[:2]): tuple(r[2:]) for r in chunked.whole_texts(keyed, PATH).collect()} == want
 
 
 def test_another_tokenizer_with_a_decoder(spark, documents):
-    """Tokens that begin with their space: a window that starts after it does not agree."""
+    """Tokens that begin with their space: no chunk has an end of its own, windows grow to the text."""
     other = Tokenizer.from_file(BYTES)
     text = " ".join(f"word{i} and so on" for i in range(400))
     df = documents([(1, text), (2, text + " end"), (3, "x")])
+    assert all(code[1] for code in chunked.coder(BYTES).codes([text[:999], text[999:]]))
     for r in chunked.token_digests(df, BYTES, keep=("doc_id", "text")).collect():
         assert r.n_tokens == len(other.encode(r.text, add_special_tokens=False).ids)
         assert r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
