@@ -4,6 +4,7 @@ r"""Python-style JSON text of typed columns.
 ``json.dumps(value, ensure_ascii=False)`` does: ``", "`` and ``": "`` between parts, field
 order kept, nulls written out. Everything stays in the JVM but the shortest text of DOUBLE
 values, which needs one Arrow UDF (``double_text``): the JVM text is not always shortest.
+Types that JSON does not have are written as one stated text (``leaf_text``) or refused.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def double_text(values: pa.Array) -> pa.Array:
 
 
 def _python_text(value, dtype: T.DataType) -> str:
-    """JSON text of a Python value of a Spark type."""
+    """JSON text of a Python value whose leaves are numbers, booleans and strings (see ``_ready``)."""
     if value is None:
         return "null"
     if isinstance(dtype, T.StructType):
@@ -88,21 +89,70 @@ def _python_text(value, dtype: T.DataType) -> str:
             for k, v in sorted(value, key=lambda kv: kv[0])) + "}"
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return _shortest(value)
+    if isinstance(dtype, T.VariantType):
+        return _canonical(value)
     if isinstance(dtype, T.StringType):
         return json.dumps(value, ensure_ascii=False)
     if isinstance(dtype, T.BooleanType):
         return "true" if value else "false"
-    return format(value, "f") if isinstance(dtype, T.DecimalType) else str(value)
+    if isinstance(dtype, T.DecimalType):
+        return format(value, "f")
+    if isinstance(dtype, _WHOLE):
+        return str(value)
+    raise TypeError(_no_text(dtype))
+
+
+def _canonical(text: str) -> str:
+    """JSON text in this module's form: spaced, shortest doubles, key order as it is."""
+    return json.dumps(json.loads(text), ensure_ascii=False)
+
+
+@F.arrow_udf(T.StringType())
+def canonical_json(values: pa.Array) -> pa.Array:
+    """``_canonical`` of JSON texts."""
+    return pa.array([None if v is None else _canonical(v) for v in values.to_pylist()], pa.string())
+
+
+def _ready(value: Column, dtype: T.DataType) -> Column:
+    """``value`` with its dates, times, binaries and variants as text, so that one table of types
+    (``leaf_text``) serves the native and the Arrow path."""
+    if isinstance(dtype, T.StructType):
+        fields = [_ready(value[f.name], f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda x: _ready(x, dtype.elementType))
+    if isinstance(dtype, T.MapType):
+        return F.transform_values(value, lambda k, v: _ready(v, dtype.valueType))
+    if isinstance(dtype, T.VariantType):
+        return F.to_json(value)
+    text = leaf_text(value, dtype)
+    return value if text is None else text
+
+
+def _ready_type(dtype: T.DataType) -> T.DataType:
+    """The type of ``_ready``; a variant stays one, as its text is JSON already."""
+    if isinstance(dtype, T.StructType):
+        return T.StructType([T.StructField(f.name, _ready_type(f.dataType)) for f in dtype.fields])
+    if isinstance(dtype, T.ArrayType):
+        return T.ArrayType(_ready_type(dtype.elementType))
+    if isinstance(dtype, T.MapType):
+        return T.MapType(dtype.keyType, _ready_type(dtype.valueType))
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)):
+        return T.StringType()
+    return dtype
 
 
 def _whole_text(value: Column, dtype: T.DataType) -> Column:
-    """JSON text of an array or map with doubles deep inside: one Arrow call on the whole value."""
+    """JSON text of an array or map with doubles or variants deep inside: one Arrow call on the
+    whole value."""
+    ready = _ready_type(dtype)
+
     @F.arrow_udf(T.StringType())
     def text(values: pa.Array) -> pa.Array:
         return pa.array(
-            [None if v is None else _python_text(v, dtype) for v in values.to_pylist()], pa.string())
+            [None if v is None else _python_text(v, ready) for v in values.to_pylist()], pa.string())
 
-    return text(value)
+    return text(_ready(value, dtype))
 
 
 def _holds_doubles(dtype: T.DataType) -> bool:
@@ -112,7 +162,7 @@ def _holds_doubles(dtype: T.DataType) -> bool:
         return _holds_doubles(dtype.elementType)
     if isinstance(dtype, T.MapType):
         return _holds_doubles(dtype.valueType)
-    return isinstance(dtype, (T.DoubleType, T.FloatType))
+    return isinstance(dtype, (T.DoubleType, T.FloatType, T.VariantType))
 
 
 def _check_keys(dtype: T.DataType) -> None:
@@ -130,16 +180,45 @@ def double_texts(values: pa.Array) -> pa.Array:
     return pa.array(texts, pa.list_(pa.string()))
 
 
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _no_text(dtype: T.DataType) -> str:
+    return f"no JSON text for {dtype.simpleString()}; cast it to a string first"
+
+
+def leaf_text(value: Column, dtype: T.DataType) -> Column | None:
+    """Text of a leaf that JSON has no type for, None for a leaf that it has one for.
+
+    Dates are ``2024-05-01``; times ``2024-05-01T12:30:00``, with six digits of the second if it has
+    a fraction, and with the offset of the session's zone (``+00:00``) unless the type has no zone;
+    binaries are base64. Other types raise ``TypeError``.
+    """
+    if isinstance(dtype, T.DateType):
+        return F.date_format(value, "yyyy-MM-dd")
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        fraction = F.date_format(value, "SSSSSS")
+        zone = [F.date_format(value, "xxx")] if isinstance(dtype, T.TimestampType) else []
+        return F.concat(
+            F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss"),
+            F.when(fraction == "000000", "").otherwise(F.concat(F.lit("."), fraction)), *zone)
+    if isinstance(dtype, T.BinaryType):
+        return F.base64(value)
+    if isinstance(dtype, (T.StringType, T.VarcharType, T.CharType, T.BooleanType, T.DecimalType,
+                          T.DoubleType, T.FloatType, T.NullType, *_WHOLE)):
+        return None
+    raise TypeError(_no_text(dtype))
+
+
 def _scalar_text(value: Column, dtype: T.DataType) -> Column:
-    if isinstance(dtype, (T.StringType, T.VarcharType, T.CharType)):
-        return quote(value)
+    text = leaf_text(value, dtype)
+    if text is not None:
+        return quote(text)
     if isinstance(dtype, T.BooleanType):
         return F.when(value, "true").when(~value, "false")
-    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return value.cast("string")
-    if isinstance(dtype, T.DecimalType):
+    if isinstance(dtype, (T.DecimalType, *_WHOLE)):
         return value.cast("string")
-    raise TypeError(f"no JSON text for {dtype.simpleString()}; cast it to a string first")
+    return quote(value)
 
 
 def json_text(value: Column | str, dtype: T.DataType) -> Column:
@@ -147,7 +226,8 @@ def json_text(value: Column | str, dtype: T.DataType) -> Column:
 
     DOUBLE leaves at the top or in structs go through ``double_text``, arrays of them through
     ``double_texts``, and an array or map with doubles deeper inside goes through Python as a
-    whole: a UDF cannot be called per element. Decimals keep their digits; maps have text keys.
+    whole: a UDF cannot be called per element. Decimals keep their digits; maps have text keys;
+    variants are written as the JSON they hold. For dates, times and binaries see ``leaf_text``.
     """
     return _json(col(value), dtype)
 
@@ -184,6 +264,8 @@ def _json(value: Column, dtype: T.DataType) -> Column:
         text = double_text(value.cast("double"))
     elif isinstance(dtype, T.NullType):
         return F.lit("null")
+    elif isinstance(dtype, T.VariantType):
+        text = canonical_json(F.to_json(value))
     else:
         text = _scalar_text(value, dtype)
     return F.coalesce(text, F.lit("null"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from askframe.functions import fixed
 from askframe.functions.text import col
+from askframe.sources.raw_json import json_fields
 
 
 def decision_summary(decisions: DataFrame, *by: str) -> DataFrame:
@@ -102,3 +103,55 @@ def answer_parity(
         .otherwise("differs")
         .alias("verdict"),
     )
+
+
+def document_fields(df: DataFrame, keys: list[str], document: str) -> DataFrame:
+    """Long form of a JSON column: keys, path, kind, size, number, text. Rows without a document,
+    or with a text that is no JSON, have one row of kind ``invalid``."""
+    none = F.array(F.struct(
+        F.lit("").alias("path"), F.lit("invalid").alias("kind"), F.lit(None).cast("int").alias("size"),
+        F.lit(None).cast("double").alias("number"), col(document).alias("text")))
+    fields = F.coalesce(json_fields(col(document)), none)
+    return df.select(*keys, F.explode(fields).alias("f")).select(*keys, "f.*")
+
+
+def document_parity(
+    got: DataFrame, want: DataFrame, keys: list[str], document: str,
+    tolerance: float = fixed.SCORE_TOLERANCE,
+) -> DataFrame:
+    """Structural difference of two tables of JSON documents: keys, path, got, want, verdict.
+
+    Objects are compared field by field at any depth and must have as many fields, numbers within
+    the tolerance, anything else (arrays as a whole) as equal text. A null counts as 0 beside a
+    number and as an object without fields beside an object. A path of one side only is ``missing``
+    (wanted, not there) or ``extra``. The join key names one value, so no key is hot however
+    large a document is; ``keys`` must identify a document on each side.
+    """
+    on = [*keys, "path"]
+    sides = []
+    for df, mark in ((got, "g"), (want, "w")):
+        fields = document_fields(df, keys, document)
+        sides.append(fields.select(*on, F.struct("kind", "size", "number", "text").alias(mark)))
+    g, w = F.col("g"), F.col("w")
+    same = (
+        F.when(g["number"].isNotNull() & w["number"].isNotNull(),
+               F.abs(g["number"] - w["number"]) <= F.lit(tolerance))
+        .when(g["size"].isNotNull() & w["size"].isNotNull(), g["size"] == w["size"])
+        .otherwise((g["kind"] == w["kind"]) & g["text"].eqNullSafe(w["text"]))
+    )
+
+    def shown(side: Column) -> Column:
+        return F.coalesce(side["text"], side["number"].cast("string"), side["kind"])
+
+    return sides[0].join(sides[1], on, "full_outer").select(
+        *on, shown(g).alias("got"), shown(w).alias("want"),
+        F.when(g.isNull(), "missing").when(w.isNull(), "extra")
+        .when(same, "ok").otherwise("differs").alias("verdict"))
+
+
+def equal_documents(parity: DataFrame, keys: list[str]) -> DataFrame:
+    """Per document: values compared, how many do not agree, and whether all do."""
+    bad = F.when(F.col("verdict") != "ok", 1).otherwise(0)
+    return parity.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_values"), F.sum(bad).alias("n_bad")
+    ).withColumn("equal", F.col("n_bad") == 0)

@@ -949,3 +949,53 @@ SQL["catalog_files"] = f"""SELECT 'english' AS model, 'en' AS name, 'hub/en' AS
   {q(fixed.DEFAULT_GRAPH_FILE)} AS graph_file FROM documents WHERE lang = 'en'
 UNION ALL SELECT 'typed-decisions', 'td', NULL, {fixed.DEFAULT_MAX_LEN}, {fixed.DEFAULT_HEAD_MAX_LEN},
   {fixed.DEFAULT_MAX_LEN}, '1.0|1.0|1.0', {q(fixed.DEFAULT_GRAPH_FILE)}"""
+
+
+# --- documents as wholes ----------------------------------------------------------------------
+
+_DAY = "strftime(o_orderdate::DATE, '%Y-%m-%d')"
+_FLAT = f"""'"day": "' || {_DAY} || '", "at": "' || {_DAY} || 'T' || printf('%02d', o_orderkey % 24) || ':00:00'
+  || CASE WHEN o_orderkey % 2 = 0 THEN '.250000' ELSE '' END || '", "raw": "' || base64(o_orderstatus::BLOB) || '"'"""
+_PRICED = f"'{{' || {_FLAT} || ', \"price\": ' || o_totalprice::DOUBLE::VARCHAR || '}}'"
+_VARIANT = f"""'{{"day": "' || {_DAY} || '", "key": ' || o_orderkey || ', "tags": ["a", null, 2.5]}}'"""
+SQL["typed_leaf_texts"] = f"""SELECT o_orderkey, '{{' || {_FLAT} || '}}' AS flat,
+  '[{{' || {_FLAT} || '}}, null]' AS list, '[' || {_PRICED} || ']' AS prices,
+  '{{"k": [' || {_PRICED} || ']}}' AS map,
+  '{{"v": ' || {_VARIANT} || ', "vs": [' || {_VARIANT} || ']}}' AS variants FROM orders"""
+
+
+def _document(value: str, props: str, kind: str, pair: str, none: str, more: str) -> str:
+    return f"""('{{"id": ' || event_id || ', "v": ' || {value} || ', "p": ' || {props}
+  || ', "m": {{"type": "' || {kind} || '", "deep": {{"n": [' || {pair} || ']}}}}, "z": ' || {none} || {more} || '}}')"""
+
+
+_GOT = _document("value::VARCHAR", "props", "event_type", "user_id || ', 1.0'", "'null'", "''")
+_WANT = _document(
+    "(value + CASE event_id % 8 WHEN 1 THEN 0.0015 WHEN 2 THEN 0.01 ELSE 0 END)::VARCHAR",
+    """CASE event_id % 8 WHEN 3 THEN '{}' WHEN 4 THEN '{"x": [], ' || substr(props, 2) ELSE props END""",
+    "CASE event_id % 8 WHEN 5 THEN 'other' ELSE event_type END",
+    "CASE event_id % 8 WHEN 6 THEN '1, ' || user_id ELSE user_id || ', 1.0' END",
+    "CASE event_id % 8 WHEN 7 THEN '0.001' ELSE 'null' END",
+    """CASE event_id % 8 WHEN 0 THEN ', "more": {"a": {"b": true}}' ELSE '' END""")
+
+
+def _tree(document: str) -> str:
+    return f"""SELECT event_id, replace(substr(fullkey, 2), '.', '/') AS path, type,
+  coalesce(try_cast(t.value AS DOUBLE[])::VARCHAR, t.value::VARCHAR) AS text,
+  CASE WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN t.value::VARCHAR::DOUBLE
+    WHEN type = 'NULL' THEN 0.0 END AS number,
+  CASE WHEN type = 'OBJECT' THEN len(json_keys(t.value)) END AS size
+  FROM events, json_tree({document}::JSON) AS t WHERE NOT contains(fullkey, '[')"""
+
+
+_PARITY = f"""g AS ({_tree(_GOT)}), w AS ({_tree(_WANT)}),
+parity AS (SELECT event_id, path, CASE WHEN g.type IS NULL THEN 'missing' WHEN w.type IS NULL THEN 'extra'
+    WHEN g.number IS NOT NULL AND w.number IS NOT NULL THEN
+      CASE WHEN abs(g.number - w.number) <= 0.002 THEN 'ok' ELSE 'differs' END
+    WHEN g.type = w.type AND CASE WHEN g.size IS NULL THEN g.text = w.text ELSE g.size = w.size END THEN 'ok'
+    ELSE 'differs' END AS verdict
+  FROM g FULL JOIN w USING (event_id, path))"""
+SQL["document_parity"] = ctes(_PARITY) + "SELECT * FROM parity"
+SQL["equal_documents"] = ctes(_PARITY) + """SELECT event_id, count(*) AS n_values,
+  sum(CASE WHEN verdict <> 'ok' THEN 1 ELSE 0 END)::BIGINT AS n_bad,
+  sum(CASE WHEN verdict <> 'ok' THEN 1 ELSE 0 END) = 0 AS equal FROM parity GROUP BY event_id"""

@@ -1357,3 +1357,72 @@ def catalog_files(spark: SparkSession, sf: str) -> DataFrame:
         "model", "name", "repo", long("max_len").alias("max_len"),
         long("head_max_len").alias("head_max_len"), long("listed_len").alias("listed_len"),
         F.array_join("temperature", "|").alias("temperature"), "graph_file")
+
+
+# --- documents as wholes ----------------------------------------------------------------------
+
+
+@query
+def typed_leaf_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as contexts with dates, times, binaries and variants, beside doubles and without."""
+    orders = read_table(spark, sf, "orders", "o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus")
+    day = F.col("o_orderdate").cast("date")
+    at = day.cast("timestamp_ntz") + F.make_dt_interval(
+        hours=F.pmod("o_orderkey", F.lit(24)),
+        secs=F.when(F.col("o_orderkey") % 2 == 0, 0.25).otherwise(0).cast("decimal(8,6)"))
+    plain = F.struct(day.alias("day"), at.alias("at"), F.col("o_orderstatus").cast("binary").alias("raw"))
+    priced = F.struct(
+        day.alias("day"), at.alias("at"), F.col("o_orderstatus").cast("binary").alias("raw"),
+        F.col("o_totalprice").alias("price"))
+    variant = F.parse_json(F.concat(
+        F.lit('{"day": "'), day.cast("string"), F.lit('", "key": '), F.col("o_orderkey").cast("string"),
+        F.lit(', "tags": ["a", null, 2.5]}')))
+    df = orders.select(
+        "o_orderkey", plain.alias("flat"), F.array(plain, F.lit(None)).alias("list"),
+        F.array(priced).alias("prices"), F.create_map(F.lit("k"), F.array(priced)).alias("map"),
+        F.struct(variant.alias("v"), F.array(variant).alias("vs")).alias("variants"))
+    texts = [c for c in df.columns if c != "o_orderkey"]
+    return df.select("o_orderkey", *[
+        pyjson.json_text(c, df.schema[c].dataType).alias(c) for c in texts])
+
+
+def _documents(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Two JSON documents per event; the second differs in one of eight ways, or not at all."""
+    df = inputs.events(spark, sf, "event_type", "user_id", "value", "props")
+    case = F.pmod("event_id", F.lit(8))
+
+    def document(value: Column, props: Column, kind: Column, pair: Column, none: Column, more: Column):
+        return F.concat(
+            F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "v": '), value,
+            F.lit(', "p": '), props, F.lit(', "m": {"type": "'), kind, F.lit('", "deep": {"n": ['), pair,
+            F.lit(']}}, "z": '), none, more, F.lit("}"))
+
+    user, value = F.col("user_id").cast("string"), F.col("value").cast("string")
+    pair, swapped = F.concat(user, F.lit(", 1.0")), F.concat(F.lit("1, "), user)
+    null, nothing = F.lit("null"), F.lit("")
+    got = document(value, F.col("props"), F.col("event_type"), pair, null, nothing)
+    moved = (F.col("value") + F.when(case == 1, 0.0015).when(case == 2, 0.01).otherwise(0)).cast("string")
+    want = document(
+        moved,
+        F.when(case == 3, "{}").when(case == 4, F.concat(F.lit('{"x": [], '), F.substring("props", 2, 99)))
+        .otherwise(F.col("props")),
+        F.when(case == 5, "other").otherwise(F.col("event_type")),
+        F.when(case == 6, swapped).otherwise(pair),
+        F.when(case == 7, "0.001").otherwise(null),
+        F.when(case == 0, ', "more": {"a": {"b": true}}').otherwise(nothing))
+    return df.select("event_id", got.alias("doc")), df.select("event_id", want.alias("doc"))
+
+
+@query
+def document_parity(spark: SparkSession, sf: str) -> DataFrame:
+    """Structural difference of two documents per event: nested, missing and extra values."""
+    got, want = _documents(spark, sf)
+    return reports.document_parity(got, want, ["event_id"], "doc").select("event_id", "path", "verdict")
+
+
+@query
+def equal_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Which documents agree as a whole."""
+    got, want = _documents(spark, sf)
+    parity = reports.document_parity(got, want, ["event_id"], "doc")
+    return reports.equal_documents(parity, ["event_id"])

@@ -240,7 +240,8 @@ def parse_json(df: DataFrame, json_col: str) -> DataFrame:
 
     Empty and null texts give null in all of them. A node knows its position, the size of its
     subtree, its depth, key and kind, the text of a string or the literal of a number, and
-    where its canonical text lies (``at``, ``len`` in code points).
+    where its canonical text lies (``at``, ``len`` in code points). Columns that have one of the
+    four names are replaced; all others stay.
     """
     parsed = T.StructType.fromDDL(PARSED_TYPE)
 
@@ -250,8 +251,9 @@ def parse_json(df: DataFrame, json_col: str) -> DataFrame:
 
     taken = {c.lower() for c in df.columns}
     one = next(n for i in count() if (n := f"parsed_{i}") not in taken)
+    rest = ["`" + c.replace("`", "``") + "`" for c in df.columns if c.lower() not in parsed.names]
     return df.withColumn(one, parse(col(json_col))).select(
-        *df.columns, *[F.col(one)[name].alias(name) for name in parsed.names])
+        *rest, *[F.col(one)[name].alias(name) for name in parsed.names])
 
 
 # --- reading nodes ----------------------------------------------------------------------------
@@ -289,6 +291,57 @@ def flatten_text(nodes: Column, node: Column) -> Column:
     return first_chars(F.array_join(strings["text"], " "), fixed.DETECTION_CHARS)
 
 
+_FIELD = T.StructType([
+    T.StructField("path", T.StringType()), T.StructField("kind", T.StringType()),
+    T.StructField("size", T.IntegerType()), T.StructField("number", T.DoubleType()),
+    T.StructField("text", T.StringType())])
+
+
+def _plain(value):
+    """A decoded value with its numbers as doubles, so that 1 and 1.0 are the same."""
+    if isinstance(value, _Number):
+        return float(value.literal)
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    return [_plain(v) for v in value] if isinstance(value, list) else value
+
+
+def _field_rows(text: str) -> list[tuple]:
+    """(path, kind, size, number, text) of the root and every value that only objects lie above.
+
+    A path is a JSON pointer. Arrays are one value, written with sorted keys and double numbers.
+    """
+    out, stack = [], [("", _decoded(text))]
+    while stack:
+        path, value = stack.pop()
+        if isinstance(value, dict):
+            out.append((path, "object", len(value), None, None))
+            stack += [(f"{path}/{k.replace('~', '~0').replace('/', '~1')}", v)
+                      for k, v in value.items()]
+        elif isinstance(value, _Number):
+            out.append((path, "number", None, float(value.literal), None))
+        elif value is None:
+            out.append((path, "null", 0, 0.0, None))
+        else:
+            kind = {list: "array", str: "string", bool: "bool"}[type(value)]
+            out.append((path, kind, None, None, json.dumps(_plain(value), sort_keys=True)))
+    return out
+
+
+@F.arrow_udf(T.ArrayType(_FIELD))
+def json_fields(texts: pa.Array) -> pa.Array:
+    """Values of JSON documents by path, for comparisons; null for what is no JSON."""
+    names, out = _FIELD.names, []
+    for text in texts.to_pylist():
+        try:
+            rows = None if text is None else _field_rows(text)
+        except (ValueError, RecursionError):  # no JSON, or arrays too deep to be written as one
+            rows = None
+        out.append(None if rows is None else [dict(zip(names, r)) for r in rows])
+    types = (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.string())
+    return pa.array(out, pa.list_(pa.struct(list(zip(names, types)))))
+
+
 def leaf_rows(df: DataFrame) -> DataFrame:
     """Long form of ``nodes``: one row per node that is not an object or array."""
     rest = [c for c in df.columns if c not in ("nodes", "invalid", "kind", "canonical")]

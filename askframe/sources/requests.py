@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from askframe.functions import fixed
 from askframe.functions.calibrate import let
-from askframe.functions.plan import seal
+from askframe.functions.plan import aside, seal
 from askframe.functions.pyjson import ascii_escape, context_text, quote, state_text
 from askframe.functions.text import col, quoted_name
 from askframe.operators.specs import QUESTION_TYPE, with_categories
@@ -243,6 +243,11 @@ def typed_requests(df: DataFrame, context: str = "context") -> DataFrame:
     )
 
 
+#: Columns that ``parse_requests`` makes for itself.
+HELPERS = ("invalid", "kind", "canonical", "nodes", "_fields", "_context", "_body_error", "spec_node",
+           "_parsed", "spec_error", "_cats", "_preset")
+
+
 def parse_requests(
     df: DataFrame,
     body: str = "body",
@@ -250,7 +255,8 @@ def parse_requests(
     preset: str | None = None,
     presets: DataFrame | None = None,
 ) -> DataFrame:
-    """Typed columns of raw request bodies; all other columns are kept.
+    """Typed columns of raw request bodies; all other columns are kept, whatever their names
+    (those added here take the place of columns of the same name).
 
     ``endpoint`` is ``predict`` (a spec is required), ``route`` (a spec is optional) or
     ``preset``: then ``preset`` names the column with the preset's name and ``presets`` is the
@@ -259,6 +265,8 @@ def parse_requests(
     """
     nodes, canonical, fields = (F.col(c) for c in ("nodes", "canonical", "_fields"))
     context = F.col("_context")
+    df, (body, asked), back = aside(
+        df, HELPERS, col(body), F.lit(None) if preset is None else col(preset))
     df = parse_json(df, body)
     root = F.try_element_at(nodes, F.lit(1))
     empty = F.slice(nodes, F.lit(1), F.lit(0))
@@ -267,7 +275,7 @@ def parse_requests(
         .withColumn("_fields", F.coalesce(fields, empty))
         .withColumn("_context", _last_field(fields, fixed.CONTEXT_FIELDS))
         .withColumn("spec_node", _last_field(fields, fixed.SPEC_FIELDS))
-        .withColumn("_body_error", body_error(col(body), F.col("invalid"), F.col("kind"), fields))
+        .withColumn("_body_error", body_error(body, F.col("invalid"), F.col("kind"), fields))
         .withColumn("state_text", node_text(canonical, context))
         .withColumn("context_text", flatten_text(nodes, context))
     )
@@ -287,11 +295,10 @@ def parse_requests(
         # One row per known preset at most, whatever the table holds.
         known = presets.where(F.col("spec_id").isin(*fixed.PRESETS)).dropDuplicates(["spec_id"])
         df = (
-            df.withColumn("_cats", pairs)
-            .withColumnRenamed(preset, "spec_id")
-            .join(F.broadcast(known), "spec_id", "left")
+            df.drop("questions").withColumn("_cats", pairs).withColumn("_preset", asked)
+            .join(F.broadcast(known.withColumnRenamed("spec_id", "_preset")), "_preset", "left")
         )
-        df = with_categories(df, "spec_id", "_cats").withColumnRenamed("spec_id", preset)
+        df = with_categories(df, "_preset", "_cats")
         error = F.coalesce(
             F.col("_body_error"),
             F.when(has_spec, "presets define their own spec; use /v1/predict to pass one"),
@@ -300,14 +307,14 @@ def parse_requests(
         missing = F.when(
             F.col("questions").isNull(),
             F.concat(
-                F.lit("unknown preset "), quoted_name(col(preset)), F.lit(f"; available: [{names}]")
+                F.lit("unknown preset "), quoted_name(asked), F.lit(f"; available: [{names}]")
             ),
         )
         df = df.withColumn("error", F.coalesce(error, missing)).withColumn(
             "error_class",
             F.when(error.isNotNull(), BAD_REQUEST).when(missing.isNotNull(), NOT_FOUND),
         )
-        df = df.drop("_cats")
+        df = df.drop("_cats", "_preset")
     else:
         df = with_spec(df)
         required = F.when(~has_spec, 'missing "spec" (object of typed questions)')
@@ -320,10 +327,10 @@ def parse_requests(
     df = df.drop(
         "invalid", "kind", "canonical", "nodes", "_fields", "_context", "_body_error", "spec_node"
     )
-    return seal(
+    return back(seal(
         df, "state_text", "context_text", "questions", *fixed.HINT_FIELDS, "max_len", "error",
         "error_class",
-    )
+    ))
 
 
 def failure_class(message: Column) -> Column:
