@@ -42,6 +42,25 @@ def logit_drift(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     )
 
 
+def probability_movement(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """How far probabilities move between two graph variants, per question type.
+
+    Both sides carry ``qtype`` and the calibrated probabilities ``p``; ``keys`` identify a question
+    of a request. Per type: questions, largest and mean movement of a probability, the question
+    that moved most (ties to the smallest key), and how many have another most likely option.
+    """
+    other = right.select(*keys, F.col("p").alias("_p"))
+    top = lambda p: F.array_position(p, F.array_max(p))
+    moved = left.join(other, keys).select(
+        *keys, "qtype", largest_difference("p", "_p").alias("by"), (top("p") != top("_p")).alias("flips"))
+    most = F.struct((-F.col("by")).alias("by"), *keys)
+    return moved.groupBy("qtype").agg(
+        F.count(F.lit(1)).alias("n"), F.max("by").alias("max_movement"),
+        F.avg("by").alias("mean_movement"), F.min(most).alias("most"),
+        F.sum(F.col("flips").cast("int")).alias("n_flips"),
+    ).select("qtype", "n", "max_movement", "mean_movement", *[F.col("most")[k].alias(k) for k in keys], "n_flips")
+
+
 def answer_fields(decisions: DataFrame, keys: list[str]) -> DataFrame:
     """Flat form of decisions: keys, field, number, text; one row per filled field."""
     def entry(name, number=None, text=None):

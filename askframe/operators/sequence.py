@@ -7,11 +7,12 @@ context is tokenised once per request, not once per question.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askframe.functions import fixed
 from askframe.functions.text import col
+from askframe.sources.tables import stored
 
 
 def option_rows(options: Column | str, mask_id: Column) -> Column:
@@ -204,3 +205,54 @@ def truncation_report(df: DataFrame, *by: str) -> DataFrame:
         F.sum("dropped").alias("tokens_dropped"),
         F.max("dropped").alias("max_dropped"),
     ).withColumn("share_cut", F.col("n_cut").cast("double") / F.col("n").cast("double"))
+
+
+# --- batches across requests ------------------------------------------------------------------
+
+
+def length_batches(
+    rows: DataFrame, length: str, order: list[str], budget: int, folder: str, step: int = 32
+) -> DataFrame:
+    """Add ``batch_id``: sequences of about the same length, ``budget`` padded ids a batch.
+
+    Lengths fall into classes of ``step`` ids. A batch holds rows of one class, as many as fit if
+    each is padded to the class's upper end (at least one), in order of length and ``order``, which
+    must identify a row. Batches are numbered without gaps from 0, shortest first. Lengths are
+    those of a token window, so there are few classes.
+
+    Places are exact without a window over rows: the table is range-partitioned and sorted, written
+    to ``folder`` with the place of each row in its partition, and places are moved by the row
+    counts of the partitions before (a table of partitions and classes).
+    """
+    keys = ["_class", length, *order]
+    laid = (
+        rows.withColumn("_class", F.expr(f"cast((greatest(`{length}`, 1) - 1) div {step} as int)"))
+        .repartitionByRange(*keys).sortWithinPartitions(*keys)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    )
+    laid = stored(laid, folder)
+    counts = laid.groupBy("_class", "_part").agg(
+        F.count(F.lit(1)).alias("n"), F.min("_place").alias("first"))
+    before = Window.partitionBy("_class").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    a_batch = F.expr(f"greatest(1L, {budget}L div ((_class + 1) * {step}))")
+    classes = counts.groupBy("_class").agg(F.sum("n").alias("n")).withColumn("a_batch", a_batch)
+    lower = Window.orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)  # a row per class
+    batches = F.expr("(n + a_batch - 1) div a_batch")
+    classes = classes.select(
+        "_class", "a_batch", F.coalesce(F.sum(batches).over(lower), F.lit(0)).alias("start"))
+    cells = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(
+        F.broadcast(classes), "_class")
+    return (
+        laid.join(F.broadcast(cells.drop("n")), ["_class", "_part"])
+        .withColumn("batch_id", F.expr("start + (before + _place - first) div a_batch"))
+        .drop("_class", "_part", "_place", "first", "before", "a_batch", "start")
+    )
+
+
+def batch_report(batches: DataFrame, length: str, width: str) -> DataFrame:
+    """Per batch of ``length_batches``: rows, longest row, most options, ids before and after padding."""
+    return batches.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max(length).alias("max_ids"),
+        F.max(width).alias("max_options"), F.sum(length).alias("ids"),
+    ).withColumn("padded_ids", F.col("n_rows") * F.col("max_ids"))

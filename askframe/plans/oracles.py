@@ -999,3 +999,28 @@ SQL["document_parity"] = ctes(_PARITY) + "SELECT * FROM parity"
 SQL["equal_documents"] = ctes(_PARITY) + """SELECT event_id, count(*) AS n_values,
   sum(CASE WHEN verdict <> 'ok' THEN 1 ELSE 0 END)::BIGINT AS n_bad,
   sum(CASE WHEN verdict <> 'ok' THEN 1 ELSE 0 END) = 0 AS equal FROM parity GROUP BY event_id"""
+
+
+# --- batches and variants ---------------------------------------------------------------------
+
+_BATCHES = PRESET_SEQUENCES + """,
+classed AS (SELECT conv_id, turn, qid, len(ids)::BIGINT AS n_ids, len(markers)::BIGINT AS n_options,
+  (greatest(len(ids), 1) - 1) // 32 AS class FROM seqs),
+placed AS (SELECT *, greatest(1, 4096 // ((class + 1) * 32)) AS a_batch,
+  row_number() OVER (PARTITION BY class ORDER BY n_ids, conv_id, turn, qid) - 1 AS place FROM classed),
+starts AS (SELECT class, coalesce(sum(max(place // a_batch) + 1) OVER (
+    ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM placed GROUP BY class),
+batches AS (SELECT *, (start + place // a_batch)::BIGINT AS batch_id FROM placed JOIN starts USING (class))"""
+SQL["length_batches"] = ctes(_BATCHES) + "SELECT conv_id, turn, qid, n_ids, batch_id FROM batches"
+SQL["length_batch_report"] = ctes(_BATCHES) + """SELECT batch_id, count(*) AS n_rows, max(n_ids) AS max_ids,
+  max(n_options) AS max_options, sum(n_ids)::BIGINT AS ids, (count(*) * max(n_ids))::BIGINT AS padded_ids
+FROM batches GROUP BY batch_id"""
+SQL["probability_movement"] = ctes(
+    PROBS + ",\n" + """coarse AS (SELECT *, list_transform(z, lambda x: (floor(x::DOUBLE * 4 + 0.5) / 4)::FLOAT) AS cz
+  FROM soft_p)""", softmax("coarse", "cz", "t", "cp"),
+    """moved AS (SELECT vec_id, qtype, list_max(list_transform(list_zip(p, cp),
+    lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))) AS "by",
+  list_position(p, list_max(p)) <> list_position(cp, list_max(cp)) AS flips FROM soft_cp)""",
+) + """SELECT qtype, count(*) AS n, round(max("by"), 4) AS max_movement, round(avg("by"), 4) AS mean_movement,
+  arg_min(vec_id, {'by': -"by", 'v': vec_id}) AS vec_id, sum(CASE WHEN flips THEN 1 ELSE 0 END)::BIGINT AS n_flips
+FROM moved GROUP BY qtype"""

@@ -124,7 +124,9 @@ def admit(
     known = specs.select(
         "spec_id", workflow_of(question_ids("questions")).alias("workflow"),
         F.col("questions").isNotNull().alias("has_spec"))
-    df = lookup_join(requests, known, "spec_id", bounded=bounded_specs)
+    df = lookup_join(
+        requests, known, "spec_id", bounded=bounded_specs,
+        row_id="request_id" if "request_id" in requests.columns else None)
     df = route(df, "context_text", "model", "task", "lang", "workflow", options=options)
     df = df.drop("model", "task", "lang")
     df = with_checkpoint(df.withColumn("model", F.col("route.model")), catalog)
@@ -194,7 +196,9 @@ def predict(
     wanted = prepared.join(specs.select("spec_id", "questions"), "spec_id")
     df = df.withColumn("_served", F.when(F.col("error").isNull(), F.col("model")))
     wanted = wanted.withColumnRenamed("model", "_served")
-    df = lookup_join(df, wanted, ["spec_id", "_served"], bounded=bounded_specs).drop("_served")
+    df = lookup_join(
+        df, wanted, ["spec_id", "_served"], bounded=bounded_specs, row_id="request_id",
+        hot_by="spec_id").drop("_served")
     here = F.col("checkpoint")
     df = (
         df.withColumn("pad_id", here["pad_id"])

@@ -1426,3 +1426,40 @@ def equal_documents(spark: SparkSession, sf: str) -> DataFrame:
     got, want = _documents(spark, sf)
     parity = reports.document_parity(got, want, ["event_id"], "doc")
     return reports.equal_documents(parity, ["event_id"])
+
+
+# --- batches and variants ---------------------------------------------------------------------
+
+
+def _length_batches(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _preset_sequences(spark, sf).select("conv_id", "turn", F.explode("sequences").alias("s")).select(
+        "conv_id", "turn", "s.qid", F.size("s.ids").alias("n_ids"), F.size("s.markers").alias("n_options"))
+    folder = f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}"
+    return sequence.length_batches(rows, "n_ids", ["conv_id", "turn", "qid"], 4096, folder)
+
+
+@query
+def length_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The batch of every sequence of every turn, by length and a budget of padded ids."""
+    return _length_batches(spark, sf).select(
+        "conv_id", "turn", "qid", long("n_ids").alias("n_ids"), "batch_id")
+
+
+@query
+def length_batch_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Dimensions of these batches."""
+    report = sequence.batch_report(_length_batches(spark, sf), "n_ids", "n_options")
+    return report.select("batch_id", *[
+        long(c).alias(c) for c in ("n_rows", "max_ids", "max_options", "ids", "padded_ids")])
+
+
+@query
+def probability_movement(spark: SparkSession, sf: str) -> DataFrame:
+    """Calibrated probabilities of a graph variant with logits in steps of a quarter."""
+    left = _probabilities(spark, sf)
+    coarse = F.transform("logits", lambda x: (F.floor(x * 4 + 0.5) / 4).cast("float"))
+    right = left.withColumn("p", calibrate.scaled_softmax(coarse, F.col("t")))
+    found = reports.probability_movement(left, right, ["vec_id"])
+    return found.select(
+        "qtype", "n", F.round("max_movement", 4).alias("max_movement"),
+        F.round("mean_movement", 4).alias("mean_movement"), "vec_id", long("n_flips").alias("n_flips"))
