@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from askframe.functions import fixed
 from askframe.functions.plan import aside, seal
+from askframe.functions.pyjson import context_text, json_text
 from askframe.functions.text import col, first_chars, ltrim_space, rtrim_space, trim_space
 
 # Characters a quote header can start with; white space is more than the patterns allow.
@@ -174,17 +175,35 @@ def clean_email(
 def email_context(
     subject: Column | str, body: Column | str, sender: Column | str | None = None, extra=None
 ) -> Column:
-    """Fields of an email context in order: ARRAY<STRUCT<key, val>>, absent ones left out.
+    """Fields of an email context in order: ARRAY<STRUCT<key, val, json>>, absent ones left out.
 
-    Subject and body are always there, empty where null. ``body`` is expected to be cleaned already where cleaning is wanted; ``extra`` maps names
-    to string columns.
+    Subject and body are always there, empty where null. ``body`` is expected to be cleaned already
+    where cleaning is wanted. ``extra`` maps names to string columns, or to pairs of a column and
+    its Spark type for values of any JSON kind; null extras are left out. ``json`` is the JSON text
+    of a typed extra, and ``val`` then holds its string leaves; for strings ``json`` is null.
     """
+    none = F.lit(None).cast("string")
     fields = [
-        ("subject", F.coalesce(trim_space(col(subject)), F.lit(""))),
-        ("body", F.coalesce(col(body), F.lit(""))),
+        ("subject", F.coalesce(trim_space(col(subject)), F.lit("")), none),
+        ("body", F.coalesce(col(body), F.lit("")), none),
     ]
     if sender is not None:
-        fields.append(("from", F.nullif(col(sender), F.lit(""))))
-    fields += [(name, col(c)) for name, c in (extra or {}).items()]
-    pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("val")) for k, v in fields])
+        fields.append(("from", F.nullif(col(sender), F.lit("")), none))
+    for name, given in (extra or {}).items():
+        if not isinstance(given, tuple):
+            fields.append((name, col(given), none))
+            continue
+        value, dtype = col(given[0]), given[1]
+        there = value.isNotNull()
+        fields.append((
+            name, F.when(there, context_text(value, dtype)), F.when(there, json_text(value, dtype))))
+    pairs = F.array(*[
+        F.struct(F.lit(k).alias("key"), v.alias("val"), j.alias("json")) for k, v, j in fields])
     return F.filter(pairs, lambda f: f["val"].isNotNull())
+
+
+def email_text(fields: Column | str) -> Column:
+    """What detection reads of an email context: its texts in order, cut to the window."""
+    texts = F.transform(col(fields), lambda f: f["val"])
+    read = F.filter(texts, lambda t: t != "")
+    return first_chars(F.array_join(read, " "), fixed.DETECTION_CHARS)

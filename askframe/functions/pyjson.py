@@ -113,6 +113,14 @@ def canonical_json(values: pa.Array) -> pa.Array:
     return pa.array([None if v is None else _canonical(v) for v in values.to_pylist()], pa.string())
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def canonical_jsons(values: pa.Array) -> pa.Array:
+    """``_canonical`` of every JSON text of an array."""
+    return pa.array([
+        None if row is None else [None if v is None else _canonical(v) for v in row]
+        for row in values.to_pylist()], pa.list_(pa.string()))
+
+
 def _ready(value: Column, dtype: T.DataType) -> Column:
     """``value`` with its dates, times, binaries and variants as text, so that one table of types
     (``leaf_text``) serves the native and the Arrow path."""
@@ -279,12 +287,16 @@ def state_text(value: Column | str, dtype: T.DataType) -> Column:
 
 
 def object_text(fields: Column) -> Column:
-    """JSON object of an ARRAY<STRUCT<key, val>> of texts in array order; null values dropped."""
+    """JSON object of an ARRAY<STRUCT<key, val, json>> in array order; null values dropped.
+
+    A field is written as its JSON text, or as the string ``val`` where it has none.
+    """
     kept = F.filter(fields, lambda f: f["val"].isNotNull())
     return F.concat(
         F.lit("{"),
         F.array_join(
-            F.transform(kept, lambda f: F.concat(quote(f["key"]), F.lit(": "), quote(f["val"]))),
+            F.transform(kept, lambda f: F.concat(
+                quote(f["key"]), F.lit(": "), F.coalesce(f["json"], quote(f["val"])))),
             ", ",
         ),
         F.lit("}"),

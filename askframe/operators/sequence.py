@@ -207,6 +207,30 @@ def truncation_report(df: DataFrame, *by: str) -> DataFrame:
     ).withColumn("share_cut", F.col("n_cut").cast("double") / F.col("n").cast("double"))
 
 
+#: Size of a quantile sketch: exact up to about as many rows, then within 0.1 % of the rank.
+SKETCH = 4096
+
+
+def truncation_sketches(df: DataFrame, *by: str) -> DataFrame:
+    """Per ``by``: rows and a mergeable sketch of ``dropped``, to be rolled up later."""
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.expr(f"kll_sketch_agg_bigint(cast(dropped AS bigint), {SKETCH})").alias("sketch"))
+
+
+def truncation_percentiles(sketches: DataFrame, by: list[str], shares: tuple[float, ...]) -> DataFrame:
+    """Percentiles of dropped ids for every prefix of ``by``, totals included, from sketches.
+
+    The sketches are merged, the rows are not read again. Per level: ``by`` (null where summed up),
+    ``n`` and one column ``p<share>`` per share: the smallest value that so many rows do not exceed.
+    """
+    merged = sketches.rollup(*by).agg(
+        F.sum("n").alias("n"), F.expr(f"kll_merge_agg_bigint(sketch, {SKETCH})").alias("sketch"))
+    return merged.select(*by, "n", *[
+        F.expr(f"kll_sketch_get_quantile_bigint(sketch, {share}D)").alias(f"p{round(share * 100)}")
+        for share in shares])
+
+
 # --- batches across requests ------------------------------------------------------------------
 
 

@@ -1024,3 +1024,41 @@ SQL["probability_movement"] = ctes(
 ) + """SELECT qtype, count(*) AS n, round(max("by"), 4) AS max_movement, round(avg("by"), 4) AS mean_movement,
   arg_min(vec_id, {'by': -"by", 'v': vec_id}) AS vec_id, sum(CASE WHEN flips THEN 1 ELSE 0 END)::BIGINT AS n_flips
 FROM moved GROUP BY qtype"""
+
+SQL["email_extras_json"] = ctes(THREADS, cleaned(200)) + f"""SELECT m.id AS doc_id,
+  '{{"subject": "s", "body": ' || {quoted("c.body")}
+  || CASE WHEN m.id % 2 = 0 THEN ', "id": ' || m.id || ', "flag": true' ELSE ', "flag": false' END
+  || CASE WHEN m.id % 3 > 0 THEN ', "list": [{{"s": ' || {quoted("source")} || ', "x": '
+     || (m.id / 4)::DOUBLE::VARCHAR || '}}, null]' ELSE '' END
+  || coalesce(', "lang": ' || {quoted("lang")}, '') || '}}' AS state,
+  concat_ws(' ', 's', nullif(c.body, ''), CASE WHEN m.id % 3 > 0 THEN source END, lang)[1:4000] AS read
+FROM mails m JOIN clean c USING (id)"""
+
+_HTML = ("replace(replace(replace(replace(replace(%s, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026'), "
+         "chr(8232), '\\u2028'), chr(8233), '\\u2029')")
+SQL["compact_json"] = f"""SELECT doc_id, '{{"z":' || {_HTML % quoted("text")} || ',"a":[],"n":[1.50,-0,1e5,' || n_chars
+  || ',null,true],"\\u003ck\\u003e":{{"b":{{}},"s":"\\u003ca href=''\\u0026''\\u003e\\u2028\\u2029 \\\\ \\u0007 '
+  || chr(127) || ' é","l":' || coalesce({quoted("lang")}, 'null') || '}}}}' AS compact, true AS same FROM documents"""
+
+SQL["truncation_percentiles"] = """WITH d AS (SELECT coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+  greatest(0, len(string_split(text, ' ')) - (512 - 60 - 1))::BIGINT AS dropped FROM documents),
+s AS (SELECT source, lang, count(*) AS n, list_sort(list(dropped)) AS l FROM d GROUP BY ROLLUP (source, lang))
+SELECT source, lang, n, l[ceil(n * 0.5)::BIGINT] AS p50, l[ceil(n * 0.9)::BIGINT] AS p90,
+  l[ceil(n * 0.99)::BIGINT] AS p99 FROM s"""
+
+SQL["golden_parity"] = ctes(ANSWERS, f"""f AS (SELECT request_id, qid, q_pos, unnest(
+  ['type', 'confidence', 'act_probability']
+  || CASE qtype WHEN 'choice' THEN ['choice'] WHEN 'score' THEN ['score'] ELSE ['noul'] END
+  || coalesce(list_transform({_PROB_KEYS}, lambda x: 'probabilities'), [])
+  || CASE WHEN qtype = 'score' THEN list_transform(range(k), lambda i: 'legend') ELSE [] END) AS field FROM ans),
+places AS (SELECT DISTINCT request_id, qid, q_pos FROM ans),
+last AS (SELECT request_id, count(*) AS n FROM ans GROUP BY request_id),
+verdicts AS (
+  SELECT request_id, 'answers.' || qid || '.' || field AS field, CASE
+    WHEN request_id % 5 = 0 AND qid = 'q1' THEN 'missing'
+    WHEN request_id % 5 = 0 AND field = 'confidence' THEN 'differs' ELSE 'ok' END AS verdict FROM f
+  UNION ALL SELECT request_id, 'sequences.' || qid, CASE
+    WHEN request_id % 5 = 0 AND q_pos = 3 THEN 'missing' ELSE 'ok' END FROM places
+  UNION ALL SELECT request_id, 'usage.input_tokens', CASE WHEN request_id % 5 = 0 THEN 'differs' ELSE 'ok' END FROM last
+)""") + f"""SELECT {texts(fixed.MODEL_NAMES)}[request_id % 3 + 1] AS model, field, verdict, count(*) AS n
+FROM verdicts GROUP BY ALL"""

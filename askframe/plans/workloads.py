@@ -6,6 +6,7 @@ matching SQL under the same name.
 
 from __future__ import annotations
 
+import json
 import uuid
 from functools import wraps
 
@@ -17,6 +18,7 @@ from askframe.functions import calibrate, detect, fixed, pyjson
 from askframe.functions.email import (
     clean_email,
     email_context,
+    email_text,
     is_quote_header,
     is_quoted,
     normalise_newlines,
@@ -34,7 +36,7 @@ from askframe.operators.route import (
 from askframe.operators.score import score, token_ids
 from askframe.plans import doubles, inputs
 from askframe.plans.predict import admit, decisions, intern_specs, predict, route_requests
-from askframe.sources import catalog, raw_json, requests, sinks
+from askframe.sources import catalog, golden, raw_json, requests, sinks
 from askframe.sources.session import ship_package, shared_dir
 from askframe.sources.tables import lookup_join, read_table, small_table
 from askframe.streaming.requests import read_stream_results, write_stream
@@ -1206,7 +1208,8 @@ def write_and_read_results(spark: SparkSession, sf: str) -> DataFrame:
     """Results written by model and read back."""
     path = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
     done = _predicted(spark, sf).filter(F.col("error").isNull())
-    sinks.write_results(done.select("request_id", "model", "answers", "input_tokens"), path)
+    for _ in range(2):  # the second time replaces the files of the first
+        sinks.write_results(done.select("request_id", "model", "answers", "input_tokens"), path)
     back = spark.read.parquet(path)
     return back.groupBy("model").agg(
         F.count(F.lit(1)).alias("n"), F.sum("input_tokens").cast("bigint").alias("input_tokens")
@@ -1463,3 +1466,86 @@ def probability_movement(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         "qtype", "n", F.round("max_movement", 4).alias("max_movement"),
         F.round("mean_movement", 4).alias("mean_movement"), "vec_id", long("n_flips").alias("n_flips"))
+
+
+@query
+def email_extras_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Email contexts with extras of every JSON kind, and what detection reads of them."""
+    df = clean_email(inputs.email_threads(spark, sf), "body", "cleaned", max_chars=200)
+    even = F.col("doc_id") % 2 == 0
+    listed = F.array(F.struct(F.col("source").alias("s"), (F.col("doc_id") / 4).alias("x")), F.lit(None))
+    types = df.select(listed.alias("l")).schema
+    extra = {
+        "id": (F.when(even, F.col("doc_id")), T.LongType()),
+        "flag": (even, T.BooleanType()),
+        "list": (F.when(F.col("doc_id") % 3 > 0, listed), types["l"].dataType),
+        "lang": "lang",
+    }
+    fields = email_context(F.lit(" s "), "cleaned", None, extra)
+    return df.select(
+        "doc_id", pyjson.object_text(fields).alias("state"), email_text(fields).alias("read"))
+
+
+@query
+def compact_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as JSON with spaces, made compact, and back again to the first text."""
+    df = inputs.documents(spark, sf, "text", "lang", "n_chars")
+    special = F.lit(json.dumps("<a href='&'>\u2028\u2029 \\ \x07 \x7f é"))
+    text = F.concat(
+        F.lit('{"z": '), pyjson.quote(F.col("text")), F.lit(', "a": [ ], "n": [1.50, -0, 1e5, '),
+        F.col("n_chars").cast("string"), F.lit(', null, true], "<k>": {"b": {}, "s": '), special,
+        F.lit(', "l": '), F.coalesce(pyjson.quote(F.col("lang")), F.lit("null")), F.lit("}}"))
+    df = df.select("doc_id", text.alias("body")).withColumn("compact", raw_json.compact_json("body"))
+    first = raw_json.parse_json(df, "body").select("doc_id", "compact", F.col("canonical").alias("first"))
+    back = raw_json.parse_json(first, "compact")
+    return back.select("doc_id", "compact", (F.col("canonical") == F.col("first")).alias("same"))
+
+
+@query
+def truncation_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles of the context ids lost at a window of 512, per source and language, rolled up."""
+    df = inputs.documents(spark, sf, "text", "source", "lang")
+    dropped = sequence.dropped_tokens(
+        inputs.word_ids(F.col("text")), F.array_repeat(F.lit(1), 60), F.lit(512))
+    sketches = sequence.truncation_sketches(
+        df.select("doc_id", F.coalesce("source", F.lit("")).alias("source"),
+                  F.coalesce("lang", F.lit("")).alias("lang"), dropped.alias("dropped")), "source", "lang")
+    return sequence.truncation_percentiles(sketches, ["source", "lang"], (0.5, 0.9, 0.99))
+
+
+def _cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings as cases of four questions, with sequences as long as their options."""
+    rows = _answered(spark, sf)
+    answer = F.struct("q_pos", *[c for c in rows.columns if c not in ("request_id", "label", "q_pos")])
+    ids = F.sequence(F.lit(1), F.col("q_pos") + 3)
+    cases = rows.groupBy("request_id").agg(
+        F.sort_array(F.collect_list(F.struct("q_pos", F.struct(
+            "qid", ids.alias("ids"), F.array("q_pos").alias("markers")).alias("s")))).alias("s"),
+        F.array_sort(F.collect_list(answer), lambda a, b: a["q_pos"] - b["q_pos"]).alias("answers"))
+    return cases.select(
+        F.element_at(F.array(*[F.lit(m) for m in fixed.MODEL_NAMES]), (F.col("request_id") % 3 + 1).cast("int"))
+        .alias("model"),
+        F.col("request_id").cast("string").alias("case"),
+        F.format_string('{"n": %d}', "request_id").alias("state"), F.lit("{}").alias("questions"),
+        F.col("s.s").alias("sequences"), "answers",
+        F.aggregate("s.s", F.lit(0), lambda n, s: n + F.size(s["ids"])).alias("input_tokens"))
+
+
+@query
+def golden_parity(spark: SparkSession, sf: str) -> DataFrame:
+    """Cases recorded to files, read back and compared with a run that lost and moved some values."""
+    cases = _cases(spark, sf)
+    path = f"{shared_dir(spark)}/golden-{uuid.uuid4().hex}"
+    golden.write_golden(cases, path)
+    odd = F.col("case").cast("long") % 5 == 0
+    run = cases.withColumns({
+        "answers": F.filter(
+            F.transform("answers", lambda a: a.withField("confidence", a["confidence"] + F.when(
+                odd, 0.01).otherwise(0.001))),
+            lambda a: ~odd | (a["qid"] != "q1")),
+        "sequences": F.when(odd, F.slice("sequences", 1, 3)).otherwise(F.col("sequences")),
+        "input_tokens": F.col("input_tokens") + F.when(odd, 1).otherwise(0),
+    })
+    parity = golden.golden_parity(run, golden.read_golden(spark, path, lines=True))
+    kind = F.regexp_replace("field", r"^(answers\.[^.]*\.(?:probabilities|legend))\..*", "$1")
+    return parity.groupBy("model", kind.alias("field"), "verdict").agg(F.count(F.lit(1)).alias("n"))

@@ -291,6 +291,69 @@ def flatten_text(nodes: Column, node: Column) -> Column:
     return first_chars(F.array_join(strings["text"], " "), fixed.DETECTION_CHARS)
 
 
+#: Characters of strings that compact JSON escapes beyond what JSON asks for.
+_ESCAPED = {ord(c): f"\\u{ord(c):04x}" for c in "<>&\u2028\u2029"}
+
+
+def _compact(text: str) -> str:
+    """JSON without spaces: keys in order, numbers as written, strings safe inside HTML."""
+    def string(value: str) -> str:
+        return _quoted(_valid(value)).translate(_ESCAPED)
+
+    def simple(value) -> str | None:
+        if isinstance(value, str):
+            return string(value)
+        if isinstance(value, _Number):
+            return value.literal
+        return {None: "null", True: "true", False: "false"}.get(value) if not isinstance(
+            value, (dict, list)) else None
+
+    out: list[str] = []
+    stack: list[tuple] = []
+    value, at = _decoded(text), ""
+    while True:
+        out.append(at)
+        plain = simple(value)
+        if plain is not None:
+            out.append(plain)
+        elif isinstance(value, dict):
+            out.append("{")
+            stack.append((iter(value.items()), "}", True))
+        else:
+            out.append("[")
+            stack.append((iter(value), "]", False))
+        first = plain is None
+        while stack:
+            rest, end, keyed = stack[-1]
+            item = next(rest, stack)
+            if item is not stack:
+                break
+            out.append(end)
+            stack.pop()
+            first = False
+        else:
+            return "".join(out)
+        at = "" if first else ","
+        if keyed:
+            key, value = item
+            at += string(key) + ":"
+        else:
+            value = item
+
+
+@F.arrow_udf(T.StringType())
+def compact_json(texts: pa.Array) -> pa.Array:
+    """Compact ordered form of JSON texts, null for null and for what is no JSON. ``parse_json``
+    reads it back to the nodes of the original."""
+    out = []
+    for text in texts.to_pylist():
+        try:
+            out.append(None if text is None else _compact(text))
+        except ValueError:
+            out.append(None)
+    return pa.array(out, pa.string())
+
+
 _FIELD = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("kind", T.StringType()),
     T.StructField("size", T.IntegerType()), T.StructField("number", T.DoubleType()),

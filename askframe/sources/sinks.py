@@ -117,7 +117,17 @@ def regroup(decisions: DataFrame, key: str = "request_id") -> DataFrame:
     return decisions.groupBy(key).agg(ordered.alias("answers"))
 
 
-def write_results(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Parquet partitioned by model. Rows stay where they are: no shuffle, a file per task and
-    model."""
-    df.write.mode(mode).partitionBy("model").parquet(path)
+def write_results(df: DataFrame, path: str, batch: str = "0") -> DataFrame:
+    """Parquet by batch and model under ``path``; the manifest of what the batch wrote.
+
+    Rows of a model are brought together and cut to the session's target file size
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes``): adaptive execution splits a model that a
+    third of the rows have and joins small ones, so files follow bytes, not tasks. A batch that is
+    written again replaces its own files and leaves those of other batches. The manifest has a row
+    per model: files, rows.
+    """
+    own = f"{path.rstrip('/')}/batch={batch}"
+    df.hint("rebalance", "model").write.mode("overwrite").partitionBy("model").parquet(own)
+    written = df.sparkSession.read.schema(df.schema).parquet(own)
+    return written.groupBy("model").agg(
+        F.count_distinct(F.col("_metadata.file_path")).alias("files"), F.count(F.lit(1)).alias("rows"))
