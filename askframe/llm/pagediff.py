@@ -7,7 +7,9 @@ near copies of it or of each other. What half of them share is the site's, not t
 Markup guards on both sides. Lines in menus, headers, footers, sidebars, forms, adverts and
 comments are left out whether shared or not: such lines also differ from page to page. Lines inside
 ``article`` or ``main`` go only if all the other pages have them inside theirs: quoted passages are
-common between pages of a host. Strong evidence in one place takes nothing from lines elsewhere.
+common between pages of a host. A class or id that names a site part rules out what lies outside
+``article`` and ``main``; inside, it only takes the guard away, and the other pages decide. Strong
+evidence in one place takes nothing from lines elsewhere.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ BLOCKS = HEADINGS | SITE | {
     "figcaption", "address", "hr", "details", "summary", "center"}
 #: Elements that nest and are tracked.
 NESTED = BLOCKS - {"p", "hr"} - HEADINGS
-#: Words in class, id or role that name a part of the site.
+#: Words in class, id or role that name a part of the site (see ``_names``).
 SITE_WORDS = {
     "nav", "navbar", "navigation", "menu", "sidebar", "footer", "header", "masthead", "ad", "ads",
     "advert", "adverts", "advertisement", "banner", "promo", "sponsor", "sponsored", "cookie",
@@ -56,6 +58,12 @@ SITE_WORDS = {
     "newsletter", "subscribe", "subscription", "share", "sharing", "social", "related",
     "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager", "widget", "toolbar",
     "login", "signup", "search", "contentinfo", "complementary", "dialog"}
+#: Words that may stand beside these in the name of a site part.
+LAYOUT_WORDS = {
+    "site", "page", "global", "main", "top", "bottom", "left", "right", "primary", "secondary", "bar",
+    "box", "block", "container", "wrapper", "wrap", "inner", "outer", "panel", "section", "area", "list",
+    "item", "items", "link", "links", "button", "buttons", "icon", "icons", "form", "row", "col", "column",
+    "unit", "slot", "zone", "sticky", "fixed", "small", "large", "mobile", "desktop", "js", "is", "the"}
 COMMENT_WORDS = {"comment", "comments", "commentlist", "reply", "replies", "respond", "disqus",
                  "discussion"}
 #: Words that name the main text, where no element does.
@@ -78,10 +86,18 @@ LEAST, LEAST_MARKED = 2, 4
 _CHUNK = 256
 
 
-def _names(attributes: str) -> set[str]:
+def _names(attributes: str) -> tuple[set[str], bool]:
+    """The words of class, id and role, and whether one of the names there is that of a site part:
+    made of site words and words of layout alone. ``share-of-market`` is none, ``share-bar`` is."""
     if "=" not in attributes:
-        return set()
-    return {w for m in _ATTRIBUTE.finditer(attributes) for w in _NAME.findall(m[2].lower())}
+        return set(), False
+    words, site = set(), False
+    for m in _ATTRIBUTE.finditer(attributes):
+        for name in m[2].lower().split():
+            own = set(_NAME.findall(name))
+            words |= own
+            site = site or (bool(own & SITE_WORDS) and own <= SITE_WORDS | LAYOUT_WORDS)
+    return words, site
 
 
 def lines_of(page: str | None) -> tuple[list[str], list[int]]:
@@ -148,7 +164,7 @@ def parsed(page: str | None) -> list[tuple[str, int]]:
                     break
             continue
         evidence, dropped = (stack[-1][1], stack[-1][2]) if stack else (UNDECIDED, "")
-        words = _names(token[3])
+        words, site = _names(token[3])
         if name in ("article", "main"):
             if not words & COMMENT_WORDS and (dropped == "site" and not main_seen or not dropped):
                 evidence, dropped, main_seen = MARKED, "", True
@@ -163,7 +179,9 @@ def parsed(page: str | None) -> list[tuple[str, int]]:
                 dropped = "element"
             elif words & COMMENT_WORDS:
                 dropped = "comments"
-            elif words & SITE_WORDS:
+            elif site and evidence == MARKED:
+                evidence = UNDECIDED  # inside the article a name alone takes nothing away
+            elif site:
                 dropped = "site"
             elif words & MAIN_WORDS:
                 evidence = max(evidence, NAMED)

@@ -137,3 +137,26 @@ def test_copies_lose_the_site_and_keep_the_article(spark, copies):
         want[1000 + i] = f"own {i}\nmore {i}"
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     assert {r.page_id: r.text for r in pagediff.main_text(df).collect()} == want
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<main><div id="share-of-market"><p>a</p></div><section class="notice-period"><p>b</p></section></main>',
+     ["a", "b"]),
+    ('<article><p>a</p><div class="alert-levels"><p>b</p></div></article>', ["a", "b"]),
+    ('<article><p>a</p><div class="notice"><p>b</p></div></article>', ["a", "b"]),
+    ('<article><p>a</p></article><div class="notice">b</div><div class="share-bar left">c</div>', ["a"]),
+    ('<div class="search-results-explained"><p>a</p></div><div class="site-search">b</div>', ["a"]),
+])
+def test_names_of_site_parts(spark, page, text):
+    """A word inside a longer name says nothing, and inside the article no name takes text away."""
+    df = spark.createDataFrame([(1, "http://h.example/a", page)], "page_id long, url string, html string")
+    assert pagediff.main_text(df).first().text == "\n".join(text)
+
+
+def test_shared_notice_inside_an_article_goes(spark):
+    """Its name takes the guard of the article away; the pages of the host decide."""
+    page = '<article><p>own %d</p><p>more %d</p><p>last %d</p><div class="notice">Read our terms</div></article>'
+    rows = [(i, f"http://h.example/{i}", page % (i, i, i)) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in pagediff.main_text(df).collect():
+        assert r.text == f"own {r.page_id}\nmore {r.page_id}\nlast {r.page_id}"
