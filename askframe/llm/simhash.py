@@ -64,12 +64,16 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id`` and ``fp`` (the 64 bits as a long) of every row; a map without a shuffle."""
+    return _fingerprints(df, key, text).select("doc_id", "fp")
+
+
+def _fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
     picked = df.select(col(key).alias("doc_id"), col(text).alias("text"))
 
     def make(batch: pa.RecordBatch) -> list:
         return [[fingerprint(t.as_py()) for t in batch.column(1)]]
 
-    return arrow_columns(picked, ["doc_id", "text"], "fp long", make).select("doc_id", "fp")
+    return arrow_columns(picked, ["doc_id", "text"], "fp long", make)
 
 
 def embedding(fp: Column) -> Column:
@@ -145,26 +149,34 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     their whole component has none (component_id null). An empty table gives no rows.
     """
     own = kept(fingerprints(df, key, text), "simhash")
+    return own.join(_components(own).drop("root"), "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _components(own: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of the distinct fingerprints of ``own``."""
     distinct = kept(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     groups = kept(linked_groups(distinct), "simhash-linked").join(distinct, "fp")
     # Stored, so that the join below deals out both sides anew and a hot root can be split.
     ids = kept(groups.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
-    of_fp = kept(groups.join(ids, "root").select("fp", "component_id"), "simhash-ids")
-    return own.join(of_fp, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return kept(groups.join(ids, "root").select("fp", "root", "component_id"), "simhash-ids")
 
 
 def one_per_group(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with one row of each component: that of the smallest doc_id, one of equal ones.
+    """``df`` with exactly one row of each component: that of the smallest doc_id.
 
-    A component in which no row has a doc_id keeps all its rows.
+    Rows without a doc_id come last. Of rows with one doc_id that with the smallest hash of its text
+    stays, and of rows equal in both any one. Rows that share a doc_id, but belong to different
+    components, are different documents.
     """
-    component, = fresh(df, "component_id")
-    first = near_duplicates(df, key, text).where(
-        F.col("doc_id") == F.col("component_id")).select(
-        F.col("component_id").alias(component)).distinct()
-    nameless = df.where(col(key).isNull())
-    return (
-        df.join(first, col(key) == F.col(component), "left_semi")
-        .dropDuplicates([key]).unionByName(nameless)
-    )
+    hashed, first_id, first_hash = fresh(df, "text_hash", "first_id", "first_hash")
+    own_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    own = kept(_fingerprints(df, key, text).select("doc_id", "fp", own_hash.alias("hash")), "simhash")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    first = kept(
+        own.join(_components(own), "fp").groupBy("root").agg(F.min(order).alias("first"))
+        .select(F.col("first.doc_id").alias(first_id), F.col("first.hash").alias(first_hash)),
+        "simhash-first")
+    rows = df.withColumn(hashed, F.xxhash64(F.coalesce(col(text), F.lit(""))))
+    same = col(key).eqNullSafe(col(first_id)) & (col(hashed) == col(first_hash))
+    return rows.join(first, same, "left_semi").dropDuplicates([key, hashed]).drop(hashed)

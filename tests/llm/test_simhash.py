@@ -89,4 +89,18 @@ def test_odd_rows(odd):
     assert {r.component_id for r in got if r.doc_id in (1, 8)} == {1}
     kept = simhash.one_per_group(odd).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id) == [1, 2, 5, 6, 7]
+    assert [r.text for r in kept if r.doc_id is None] == ["a row without an id"]
     assert simhash.near_duplicates(odd.limit(0)).collect() == []
+
+
+def test_one_row_of_each_component(spark, documents):
+    """Repeated and null ids: rows are known by their component, not by their id."""
+    draw = random.Random(9)
+    texts = [" ".join(f"w{draw.randrange(900)}" for _ in range(90)) for _ in range(5)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[0]), (2, texts[0] + " end"),
+            (None, texts[2]), (None, texts[2]), (3, texts[3]), (None, texts[3] + " end"), (4, texts[4])]
+    of = linked([fingerprint(t) for _, t in rows])
+    got = [(r.doc_id, r.text) for r in simhash.one_per_group(documents(rows)).collect()]
+    assert len(got) == len({of[fingerprint(t)] for _, t in got}) == 5
+    assert sorted(got, key=str) == sorted(
+        [(1, texts[0]), (1, texts[1]), (None, texts[2]), (3, texts[3]), (4, texts[4])], key=str)
