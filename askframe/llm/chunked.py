@@ -22,20 +22,23 @@ salts: at most ``skew.SHARES`` such keys exist, which bounds the broadcast table
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
-from itertools import groupby
+from itertools import chain, groupby
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from askframe.llm.bpe import byte_table
 from askframe.llm.common import arrow_rows, col, kept
 from askframe.llm.skew import hot_keys, repeated_keys
 
@@ -49,6 +52,14 @@ REMEMBERED = 200_000
 
 #: A word's first character after plain white space: nothing is merged or normalised across it.
 _WORD = re.compile(r"(?<=[ \t\n\r])\S")
+#: Different pieces that a worker keeps the ids of.
+KEPT_PIECES = 150_000
+_OTHER = regex.compile("[^\x00-\u024f]")
+#: Steps of a tokenizer file that go piece by piece.
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+    {"type": "Lowercase"}]}
+_TO_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b])) for b in range(256)], np.uint32)
 
 #: Bits of the table of chunks that come more than once, as a power of two (16 MB).
@@ -114,6 +125,44 @@ class Coder:
         self.number = [str(i) for i in range(size)]
         self.token = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
 
+        made = json.loads(self.tokenizer.to_str())
+        #: The pieces of lower-cased texts, if that is how the file cuts them.
+        self.pieces = None
+        split = made["pre_tokenizer"] or {}
+        if made["normalizer"] == _NORMALIZER and split.get("pretokenizers", [{}])[1:] == [_TO_BYTES]:
+            first = split["pretokenizers"][0]
+            if (first["type"], first["behavior"], first["invert"]) == ("Split", "Removed", True):
+                self.pieces = regex.compile(first["pattern"]["Regex"])
+        self.added = [t["content"] for t in made["added_tokens"]]
+        self.seen: dict[str, tuple[int, ...]] = {}
+        self.to_char = dict(enumerate(byte_table()))
+
+    def ids_of(self, pieces: list[str]) -> list[int]:
+        """The ids of pieces; each different one is merged once."""
+        seen = self.seen
+        try:
+            return list(chain.from_iterable(map(seen.__getitem__, pieces)))
+        except KeyError:
+            pass
+        new = [p for p in set(pieces) if p not in seen]
+        if len(seen) + len(new) > KEPT_PIECES:
+            seen.clear()
+            new = set(pieces)
+        for piece in new:
+            mapped = piece.encode().decode("latin-1").translate(self.to_char)
+            seen[piece] = tuple([t.id for t in self.tokenizer.model.tokenize(mapped)])
+        return list(chain.from_iterable(map(seen.__getitem__, pieces)))
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """The ids of whole texts. Texts of Latin letters alone, without special tokens, go piece
+        by piece: these letters are in normal form, and which of them are letters is fixed."""
+        rest = [i for i, t in enumerate(texts)
+                if self.pieces is None or _OTHER.search(t) or any(a in t for a in self.added)]
+        found = dict(zip(rest, self.tokenizer.encode_batch(
+            [texts[i] for i in rest], add_special_tokens=False)))
+        return [found[i].ids if i in found else self.ids_of(self.pieces.findall(t.lower()))
+                for i, t in enumerate(texts)]
+
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type)
 
@@ -173,8 +222,8 @@ class Coder:
             return " ".join(map(self.token.__getitem__, ids))
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
-    def digests(self, ids: np.ndarray) -> tuple[int, str, str]:
-        listed = ids.tolist()
+    def digests(self, ids: np.ndarray | list[int]) -> tuple[int, str, str]:
+        listed = ids if isinstance(ids, list) else ids.tolist()
         joined = " ".join(map(self.number.__getitem__, listed))
         return (len(listed), hashlib.sha256(joined.encode()).hexdigest(),
                 hashlib.sha256(self.decode(listed).encode()).hexdigest())
@@ -271,9 +320,9 @@ def text_parts(texts: DataFrame, path: str, bits: bytes) -> DataFrame:
             return table[place >> 3] >> (place & 7) & 1 == 1
 
         def coded(plain: list[tuple], between: list[tuple]) -> list[tuple]:
-            found = own.tokenizer.encode_batch([t for *_, t in plain], add_special_tokens=False)
-            out = [(None, None, t1, t2, *[None] * 9, *own.digests(np.array(e.ids, own.type)))
-                   for (t1, t2, _), e in zip(plain, found)]
+            found = own.encode_all([t for *_, t in plain])
+            out = [(None, None, t1, t2, *[None] * 9, *own.digests(ids))
+                   for (t1, t2, _), ids in zip(plain, found)]
             codes = own.codes([t for *_, t in between])
             return out + [(None, None, t1, t2, seq, *code, None, None, None)
                           for (t1, t2, seq, _), code in zip(between, codes)]

@@ -120,6 +120,16 @@ def test_columns_and_odd_rows(spark, odd, plain, small, monkeypatch, shares):
     assert sorted(r.doc_id or -1 for r in found) == sorted(r.doc_id or -1 for r in docs.collect())
 
 
+def test_latin_pieces_are_the_librarys_own(plain):
+    """Every character of the piece path beside letters, digits, spaces and itself."""
+    coder = chunked.coder(PATH)
+    assert coder.pieces is not None
+    for c in map(chr, range(0x250)):
+        text = f"a{c} B{c}{c}1 {c}  {c}'{c}É \n{c}'S{c}"
+        for t in (text, text + "<|endoftext|>", text + "日"):
+            assert list(coder.encode_all([t])[0]) == plain.encode(t, add_special_tokens=False).ids
+
+
 def test_whole_texts(spark, odd, plain):
     texts = odd.select("text").where("length(text) > 0")
     keyed = texts.select("text", *chunked.text_key(texts["text"])).distinct()
