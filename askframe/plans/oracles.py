@@ -1062,3 +1062,7 @@ verdicts AS (
   UNION ALL SELECT request_id, 'usage.input_tokens', CASE WHEN request_id % 5 = 0 THEN 'differs' ELSE 'ok' END FROM last
 )""") + f"""SELECT {texts(fixed.MODEL_NAMES)}[request_id % 3 + 1] AS model, field, verdict, count(*) AS n
 FROM verdicts GROUP BY ALL"""
+
+SQL["isolated_failures"] = """SELECT event_id,
+  CASE WHEN event_id % 97 <> 5 THEN 2 * (props::JSON->>'k')::BIGINT END AS doubled,
+  event_id % 97 = 5 AS failed, CASE WHEN event_id % 97 = 5 THEN 'internal' END AS error_class FROM events"""

@@ -25,6 +25,7 @@ from askframe.functions.email import (
 )
 from askframe.functions.text import percent_text, quote_repr, round4, round4_float, trim_space
 from askframe.operators import reports, sequence, specs
+from askframe.operators.isolate import map_isolated
 from askframe.operators.route import (
     RouterOptions,
     default_repo,
@@ -1549,3 +1550,20 @@ def golden_parity(spark: SparkSession, sf: str) -> DataFrame:
     parity = golden.golden_parity(run, golden.read_golden(spark, path, lines=True))
     kind = F.regexp_replace("field", r"^(answers\.[^.]*\.(?:probabilities|legend))\..*", "$1")
     return parity.groupBy("model", kind.alias("field"), "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- faulty rows ------------------------------------------------------------------------------
+
+
+def _doubled(bodies: list[str]) -> list[int]:
+    """A batch job that fails as a whole for one poisoned body."""
+    return [2 * int(json.loads(b)["k"]) for b in bodies]
+
+
+@query
+def isolated_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch job over all events, some of them poisoned: these alone get an error."""
+    df = inputs.events(spark, sf, "props").withColumn(
+        "props", F.when(F.col("event_id") % 97 == 5, "{").otherwise(F.col("props")))
+    done = map_isolated(df, "props", _doubled, "doubled", T.LongType())
+    return done.select("event_id", "doubled", F.col("error").isNotNull().alias("failed"), "error_class")
