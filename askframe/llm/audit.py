@@ -58,7 +58,7 @@ def hashed(docs: DataFrame, part: str = "lang") -> DataFrame:
     """The columns that the audit reads: id, part, text and the text's hash ``h``."""
     text = F.coalesce(col("text"), F.lit(""))
     return docs.select(
-        col("doc_id").alias("doc_id"), F.coalesce(col(part).cast("string"), F.lit("")).alias("part"),
+        col("doc_id"), F.coalesce(col(part).cast("string"), F.lit("")).alias("part"),
         text.alias("text"), F.xxhash64(text).alias("h"))
 
 
@@ -74,8 +74,13 @@ def duplicates(rows: DataFrame) -> DataFrame:
         .select("doc_id", "part", "h", "text", salt.alias("salt"))
         .repartition("h", "salt", "text")
     )
-    smallest = dealt.groupBy("h", "salt", "text").agg(F.min("doc_id").alias("first"))
-    x, y = dealt.alias("x"), smallest.alias("y")
+    # The smallest doc_id, with its part beside it: so this side has the columns, and thereby the
+    # exchange, of the other one.
+    smallest = dealt.groupBy("h", "salt", "text").agg(
+        F.min(F.struct("doc_id", "part"))["doc_id"].alias("first"))
+    # Numbered rows: directly under a join the optimizer would replace the exchange by one of its own.
+    numbered = dealt.withColumn("place", F.monotonically_increasing_id()).where("place >= 0")
+    x, y = numbered.alias("x"), smallest.alias("y")
     same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("h", "salt", "text")]
     later = x.join(y, [*same, F.col("y.first") < F.col("x.doc_id")], "left_semi").select(
         "doc_id", "part", "h")
