@@ -4,11 +4,16 @@ A text may lie in several sources. Documents are aggregated by the set of source
 text (the membership pattern); the few numbers per pattern and source form a network from the
 sources' targets over (pattern, source) cells to the patterns, where taking a pattern's distinct
 words once is free and every further repetition costs more. The flow says how many words each
-cell gives; a seeded order picks the documents of a cell.
+cell gives.
 
-Only the cells reach the driver. Patterns are folded into ``PATTERN_CLASSES`` classes by hash, so
-that there are at most that many cells per source, whatever the corpus; targets do not depend on
-the classes, only the cost of a rare clash does. Sources are a short list by nature.
+The selection follows the flow. The texts of a pattern lie on a ring in a seeded order, and its
+sources take consecutive stretches of that ring as long as their flows: a text is taken again only
+after every other one was taken as often. Of several copies of a text in a source the first takings
+go to different copies. What whole documents leave of a source's target is settled in its largest
+cell.
+
+Only the cells reach the driver, by number of copies: at most ``Mix.cells`` rows, else the mix is
+refused. Their number follows from the sets of sources, not from the documents.
 """
 
 from __future__ import annotations
@@ -21,20 +26,22 @@ from pyspark.sql import functions as F
 
 from askframe.llm.common import col, kept, n_words
 
-PATTERN_CLASSES = 4096
-#: Bits of each of the two histogram levels that find where a cell's rest is reached.
+#: Bits of each of the two histogram levels below which running sums are taken row by row.
 LEVEL_BITS = 7
 
 
 @dataclass(frozen=True)
 class Mix:
     """Parameters: weights in turn over the sources in order, share of all words that the mix
-    has, most repetitions of a document, seed of the selection."""
+    has, most repetitions of a document, seed of the selection, most sources, and most groups of
+    texts by pattern, source and copies that the driver routes."""
 
     weights: tuple[int, ...] = (3, 1, 2)
     share: float = 1.5
     repeats: int = 2
     seed: int = 42
+    sources: int = 64
+    cells: int = 500_000
 
 
 def targets(sizes: dict[str | None, int], mix: Mix) -> dict[str | None, float]:
@@ -147,98 +154,140 @@ def _name(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source))
 
 
-def _reached(rows: DataFrame, rest: DataFrame, bin_of: str) -> DataFrame:
-    """Per cell (p, s): the bin ``edge`` in which the sizes of its rows, added up in order of
-    ``bin_of``, reach ``rest``, and the words ``below`` it. ``rest`` has a row per cell."""
-    within = Window.partitionBy("p", "s").orderBy(bin_of)
+def layers(held: list[tuple[int, int]], flow: int, repeats: int) -> tuple[int, int, int, int]:
+    """How a cell gives ``flow`` words: layers taken whole, and of the next one the least copies of
+    its texts, the words to take and its width.
+
+    ``held``: (copies, words of the texts that have so many, counted once). The k-th layer is the
+    k-th taking of every text that can be taken so often.
+    """
+    done, width = 0, sum(words for _, words in held)
+    for copies, words in sorted(held):
+        height = repeats * copies - done
+        if flow < height * width:
+            return done + flow // width, copies, flow % width, width
+        flow -= height * width
+        done, width = repeats * copies, width - words
+    return done, 0, 0, 0
+
+
+def _running(rows: DataFrame, keys: list[str], amount: str, ties: list[str]) -> DataFrame:
+    """``rows`` and ``upto``, the running sum of ``amount`` per ``keys`` in the order of the hash
+    ``h``. Two histograms give the sums below a bin, so a window only holds the rows of one bin."""
+    low = F.lit((1 << LEVEL_BITS) - 1)
+    rows = rows.withColumns({
+        "coarse": F.shiftrightunsigned("h", 64 - LEVEL_BITS).cast("int"),
+        "fine": F.shiftrightunsigned("h", 64 - 2 * LEVEL_BITS).bitwiseAND(low).cast("int"),
+    })
+    bins = rows.groupBy(*keys, "coarse", "fine").agg(F.sum(amount).alias("words"))
+    earlier = (Window.unboundedPreceding, -1)
+    upper = bins.groupBy(*keys, "coarse").agg(F.sum("words").alias("words")).select(
+        *keys, "coarse",
+        F.sum("words").over(Window.partitionBy(*keys).orderBy("coarse").rowsBetween(*earlier)).alias("above"))
+    lower = bins.withColumn(
+        "below", F.sum("words").over(Window.partitionBy(*keys, "coarse").orderBy("fine").rowsBetween(*earlier)))
+    before = lower.join(upper, [*keys, "coarse"]).select(
+        *keys, "coarse", "fine",
+        (F.coalesce("above", F.lit(0)) + F.coalesce("below", F.lit(0))).alias("before"))
+    inside = Window.partitionBy(*keys, "coarse", "fine").orderBy("h", *ties).rowsBetween(
+        Window.unboundedPreceding, 0)
     return (
-        rows.groupBy("p", "s", bin_of).agg(F.sum("size").alias("words"))
-        .withColumn("upto", F.sum("words").over(within))
-        .join(F.broadcast(rest), ["p", "s"])
-        .where("upto - words < rest and rest <= upto")
-        .select("p", "s", F.col(bin_of).alias("edge"), (F.col("upto") - F.col("words")).alias("below"))
+        rows.join(before, [*keys, "coarse", "fine"])
+        .withColumn("upto", F.col("before") + F.sum(amount).over(inside))
+        .drop("coarse", "fine", "before")
     )
 
 
+def _takings(texts: DataFrame, plan: DataFrame, mix: Mix) -> DataFrame:
+    """``times``: how often each text is taken from a source, for the cells of ``plan``.
+
+    A text belongs to the stretch of the ring that holds its middle."""
+    cells = texts.join(F.broadcast(plan), ["p", "s"])  # at most mix.cells rows
+    whole = cells.where("rest = 0 or copies < part_copies").withColumn(
+        "times", F.least(F.col("copies") * mix.repeats, "full"))
+    parted = _running(cells.where("rest > 0 and copies >= part_copies"), ["p", "s"], "once", ["t1", "t2"])
+    inside = F.expr("pmod(2 * upto - once - 2 * start, 2 * width) < 2 * rest")
+    parted = parted.withColumn("times", F.col("full") + inside.cast("long")).drop("upto")
+    return whole.unionByName(parted).select(
+        "t1", "t2", "s", "once", "copies", "times", "source_size", "target")
+
+
 def mix_documents(df: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "text",
                   source: str = "source") -> DataFrame:
     """``doc_id``, ``size`` (words), ``source_size``, ``target`` (both of its source) and ``taken``.
 
     One row per row of ``df``: a document is taken whole, 0 to ``mix.repeats`` times. A source's
-    taken words differ from its target by about half a document per pattern at most. Null texts
-    have no words and are taken as 0; a null source is a source; repeated rows count each. The
-    order inside a cell is a hash of key and seed, so reruns agree. An empty table gives no rows.
+    taken words differ from its target by about half a document, or by one per pattern where its
+    largest cell has no room to settle that. Null texts have no words and are taken as 0; a null
+    source is a source; rows equal in key, text and source count each and share what their text
+    gives. All orders are hashes of text or key and the seed, so reruns agree. An empty table gives
+    no rows. More than ``mix.sources`` sources or ``mix.cells`` cells raise ``ValueError``.
     """
-    base = kept(
-        df.select(
-            col(key).alias("doc_id"), col(source).alias("source"), n_words(col(text)).alias("size"),
-            F.xxhash64(F.coalesce(col(text), F.lit(""))).alias("t1"),
-            F.crc32(F.coalesce(col(text), F.lit(""))).alias("t2"),
-        ).withColumn("s", _name(F.col("source"))),
-        "mix-base")
-    texts = base.groupBy("t1", "t2", "s").agg(
-        F.sum("size").alias("words"), F.max("size").alias("once"))
-    member = (
-        texts.groupBy("t1", "t2")
-        .agg(F.sort_array(F.collect_set("s")).alias("pattern"), F.max("once").alias("once"))
-        .select("t1", "t2", "once",
-                F.pmod(F.xxhash64("pattern"), F.lit(PATTERN_CLASSES)).cast("int").alias("p"))
+    rows = df.select(
+        col(key).alias("doc_id"), _name(col(source)).alias("s"), n_words(col(text)).alias("size"),
+        F.xxhash64(F.coalesce(col(text), F.lit(""))).alias("t1"),
+        F.crc32(F.coalesce(col(text), F.lit(""))).alias("t2"))
+    # Equal rows meet on the map side already, however many there are.
+    entries = kept(
+        rows.groupBy("doc_id", "s", "t1", "t2", "size").agg(F.count(F.lit(1)).alias("n")), "mix-entries")
+    held = (
+        entries.groupBy("t1", "t2", "s").agg(F.sum("n").alias("copies"), F.max("size").alias("once"))
+        .groupBy("t1", "t2").agg(
+            F.sort_array(F.collect_list(F.struct("s", "copies"))).alias("held"), F.max("once").alias("once"))
     )
-    member = kept(member, "mix-patterns")
-
-    # At most one row per pattern class and source, and one per class.
-    counted = texts.join(member.select("t1", "t2", "p"), ["t1", "t2"]).groupBy("p", "s").agg(
-        F.sum("words").alias("words")).collect()
-    cells = {(r.p, r.s): r.words for r in counted}
-    distinct = {r.p: r.once for r in member.groupBy("p").agg(F.sum("once").alias("once")).collect()}
+    texts = kept(
+        held.select("t1", "t2", "once", F.xxhash64("held.s").alias("p"), F.inline("held"))
+        .withColumn("h", F.xxhash64("t1", "t2", F.lit(mix.seed))), "mix-texts")
+
+    counted = texts.groupBy("p", "s", "copies").agg(F.sum("once").alias("words")).limit(mix.cells + 1).collect()
+    if len(counted) > mix.cells:
+        raise ValueError(f"more than {mix.cells} cells of pattern, source and copies: join sources first")
+    groups: dict[tuple[int, str], list] = defaultdict(list)
+    for r in counted:
+        groups[r.p, r.s].append((r.copies, r.words))
+    cells = {c: sum(copies * words for copies, words in g) for c, g in sorted(groups.items())}
+    distinct = {p: sum(words for _, words in g) for (p, _), g in groups.items()}
     sizes: dict[str, int] = defaultdict(int)
-    for (_, s), words in cells.items():
-        sizes[s] += words
+    home: dict[str, tuple[int, str]] = {}
+    for c, words in cells.items():
+        sizes[c[1]] += words
+        if c[1] not in home or words > cells[home[c[1]]]:
+            home[c[1]] = c
+    if len(sizes) > mix.sources:
+        raise ValueError(f"{len(sizes)} sources, more than {mix.sources}: join sources first")
     plain = {s: (s[1:] if s else None) for s in sizes}
     target = targets({plain[s]: n for s, n in sizes.items()}, mix)
-    flow = route(cells, distinct, {s: round(target[plain[s]]) for s in sizes}, mix.repeats)
-
-    plan = []
-    for (p, s), words in sorted(cells.items()):
-        passes, rest = divmod(flow[p, s], words) if words else (0, 0)
-        plan.append((p, s, sizes[s], float(target[plain[s]]), passes, rest))
-    spark = df.sparkSession
-    cell = spark.createDataFrame(
-        plan, "p int, s string, source_size long, target double, passes int, rest long")
-
-    placed = kept(
-        base.join(member.select("t1", "t2", "p"), ["t1", "t2"])
-        .drop("t1", "t2", "source").withColumn("h", F.xxhash64("doc_id", F.lit(mix.seed))),
-        "mix-placed")
-    level = F.lit((1 << LEVEL_BITS) - 1)
-    placed = placed.withColumns({
-        "coarse": F.shiftrightunsigned("h", 64 - LEVEL_BITS).cast("int"),
-        "fine": F.shiftrightunsigned("h", 64 - 2 * LEVEL_BITS).bitwiseAND(level).cast("int"),
-    }).withColumn("bin", F.shiftleft("coarse", LEVEL_BITS).bitwiseOR(F.col("fine")))
-    # The bin where a cell's rest is reached, by two histograms of 2 ** LEVEL_BITS rows per cell.
-    first = kept(_reached(placed, cell.select("p", "s", "rest"), "coarse"), "mix-coarse")
-    inside = first.join(cell.select("p", "s", "rest"), ["p", "s"]).select(
-        "p", "s", F.col("edge").alias("coarse"), (F.col("rest") - F.col("below")).alias("rest"))
-    second = _reached(
-        placed.join(F.broadcast(inside.select("p", "s", "coarse")), ["p", "s", "coarse"]),
-        inside.select("p", "s", "rest"), "fine")
-    edge = first.join(
-        second.select("p", "s", F.col("edge").alias("fine"), F.col("below").alias("more")), ["p", "s"]
-    ).select("p", "s", F.struct(
-        F.shiftleft("edge", LEVEL_BITS).bitwiseOR(F.col("fine")).alias("bin"),
-        (F.col("below") + F.col("more")).alias("below")).alias("edge"))
-    # At most one row per cell, as bounded as the cells themselves.
-    plan_table = F.broadcast(cell.join(edge, ["p", "s"], "left").select(
-        "p", "s", "source_size", "target", "passes", "rest",
-        F.col("edge.bin").alias("edge_bin"), F.col("edge.below").alias("below")))
-    marked = kept(placed.join(plan_table, ["p", "s"]), "mix-marked")
-    sure = marked.where("edge_bin is null or bin <> edge_bin").withColumn(
-        "extra", F.expr("if(bin < edge_bin, 1, 0)"))
-    order = Window.partitionBy("p", "s").orderBy("h", "doc_id", "size").rowsBetween(
-        Window.unboundedPreceding, 0)
-    close = marked.where("bin = edge_bin").withColumn(
-        "upto", F.sum("size").over(order) + F.col("below")
-    ).withColumn("extra", F.expr("if(2 * upto - size <= 2 * rest, 1, 0)")).drop("upto")
-    taken = F.col("size") * (F.col("passes") + F.coalesce("extra", F.lit(0)))
-    return sure.unionByName(close).select(
-        "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    quota = {s: round(target[plain[s]]) for s in sizes}
+    flow = route(cells, distinct, quota, mix.repeats)
+
+    start, ring = {}, dict.fromkeys(distinct, 0)
+    for p, s in cells:
+        start[p, s] = ring[p]
+        if flow[p, s] < mix.repeats * distinct[p]:
+            ring[p] = (ring[p] + flow[p, s]) % distinct[p]
+
+    def planned(some: list[tuple[int, str]]) -> DataFrame:
+        return df.sparkSession.createDataFrame(
+            [(*c, sizes[c[1]], float(target[plain[c[1]]]), start[c], *layers(groups[c], flow[c], mix.repeats))
+             for c in some],
+            "p long, s string, source_size long, target double, start long, full long, part_copies long, "
+            "rest long, width long")
+
+    settled = set(home.values())
+    first = kept(_takings(texts, planned([c for c in cells if c not in settled]), mix), "mix-first")
+    given = {r.s: r.words for r in first.groupBy("s").agg(F.sum(F.expr("times * once")).alias("words")).collect()}
+    for s, c in home.items():
+        flow[c] = max(0, min(mix.repeats * cells[c], quota[s] - given.get(s, 0)))
+    times = first.unionByName(_takings(texts, planned(sorted(settled)), mix))
+
+    shared = kept(
+        entries.join(times.drop("once"), ["t1", "t2", "s"])
+        .withColumn("h", F.xxhash64("doc_id", F.lit(mix.seed))), "mix-shared")
+    odd = F.col("times") % F.col("copies")
+    even = shared.where(odd == 0).withColumn("more", F.lit(0).cast("long"))
+    parted = _running(shared.where(odd != 0), ["t1", "t2", "s"], "n", ["doc_id"])
+    parted = parted.withColumn(
+        "more", F.greatest(F.lit(0), F.least("n", odd - (F.col("upto") - F.col("n"))))).drop("upto")
+    each = even.unionByName(parted).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    taken = F.col("size") * (F.expr("times div copies") + (F.col("i") <= F.col("more")).cast("long"))
+    return each.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))

@@ -75,6 +75,116 @@ def test_mix_meets_targets_and_repeats(spark, documents):
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
 
 
+def plain_mix(spark, rows, mix):
+    """The mix by plain loops; only the hashes come from Spark. Rows: (doc_id, text, source)."""
+    made = spark.createDataFrame([(i, t, s) for i, t, s in rows], "doc_id long, text string, source string")
+    hashed = made.select(
+        "*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t1"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("t2"),
+    ).select("*", F.xxhash64("t1", "t2", F.lit(mix.seed)).alias("ht"),
+             F.xxhash64("doc_id", F.lit(mix.seed)).alias("hd")).collect()
+
+    def turn(h):
+        return h % (1 << 64)
+
+    name = {None: ""}
+    texts, once, order = defaultdict(lambda: defaultdict(list)), {}, {}
+    for r in hashed:
+        t = r.text or ""
+        texts[t][name.get(r.source, "=" + (r.source or ""))].append((turn(r.hd), r.doc_id))
+        once[t], order[t] = len(t.split()), turn(r.ht)
+    pattern = {t: tuple(sorted(by)) for t, by in texts.items()}
+    ids = {p: made.select(F.xxhash64(F.array(*[F.lit(s) for s in p]))).first()[0] for p in set(pattern.values())}
+    groups = defaultdict(list)
+    for t, by in texts.items():
+        for s, copies in by.items():
+            groups[ids[pattern[t]], s].append((len(copies), t))
+    cells = {c: sum(k * once[t] for k, t in g) for c, g in sorted(groups.items())}
+    distinct = {p: sum(once[t] for _, t in groups[p, s]) for p, s in cells}
+    sizes = defaultdict(int)
+    for (_, s), words in cells.items():
+        sizes[s] += words
+    target = mixing.targets({s[1:] if s else None: n for s, n in sizes.items()}, mix)
+    quota = {s: round(target[s[1:] if s else None]) for s in sizes}
+    flow = mixing.route(cells, distinct, quota, mix.repeats)
+    home = {s: max((c for c in cells if c[1] == s), key=lambda c: (cells[c], -c[0])) for s in sizes}
+    ring, start = defaultdict(int), {}
+    for p, s in cells:
+        start[p, s] = ring[p]
+        ring[p] += flow[p, s] if flow[p, s] < mix.repeats * distinct[p] else 0
+    times, given = {}, defaultdict(int)
+    for c in sorted(cells, key=lambda c: c == home[c[1]]):
+        left, layer = flow[c], 0
+        if c == home[c[1]]:
+            left = max(0, min(mix.repeats * cells[c], quota[c[1]] - given[c[1]]))
+        for _, t in groups[c]:
+            times[t, c[1]] = 0
+        while True:  # layer by layer
+            layer += 1
+            able = sorted((order[t], t) for k, t in groups[c] if mix.repeats * k >= layer)
+            width = sum(once[t] for _, t in able)
+            at = 0
+            for _, t in able:
+                at += once[t]
+                if left >= width or (2 * at - once[t] - 2 * start[c]) % (2 * width) < 2 * left:
+                    times[t, c[1]] += 1
+            if left <= width or not able:
+                break
+            left -= width
+        given[c[1]] += sum(times[t, c[1]] * once[t] for _, t in groups[c])
+    out = []
+    for t, by in texts.items():
+        for s, copies in by.items():
+            each, more = divmod(times[t, s], len(copies))
+            out += [(i, once[t], once[t] * (each + (n < more))) for n, (_, i) in enumerate(sorted(copies))]
+    return out
+
+
+def test_layers():
+    assert mixing.layers([(1, 10), (3, 4)], 0, 2) == (0, 1, 0, 14)
+    assert mixing.layers([(1, 10), (3, 4)], 17, 2) == (1, 1, 3, 14)
+    assert mixing.layers([(3, 4), (1, 10)], 28 + 9, 2) == (4, 3, 1, 4)
+    assert mixing.layers([(1, 10), (3, 4)], 28 + 16, 2) == (6, 0, 0, 0)
+    assert mixing.layers([(5, 0)], 0, 2) == (10, 0, 0, 0)
+
+
+def test_equals_a_plain_mix(spark, documents):
+    docs, rows = mixed(documents, 700)
+    for mix in (mixing.Mix(), mixing.Mix(weights=(1, 5), share=0.7, repeats=3, seed=7)):
+        got = sorted((r.doc_id, r.size, r.taken) for r in mixing.mix_documents(docs, mix).collect())
+        assert got == sorted(plain_mix(spark, [(r[0], r[1], r[3]) for r in rows], mix))
+
+
+def test_no_text_comes_twice_before_all_came_once(documents):
+    words = [f"{a} {a}{i} of it" for i, a in enumerate("xyz" * 200)]
+    rows = [(2 * i + k, w, "en", s, 1) for i, w in enumerate(words) for k, s in enumerate("ab")]
+    for share in (0.5, 1.0):
+        times = defaultdict(int)
+        got = mixing.mix_documents(documents(rows), mixing.Mix(weights=(1,), share=share))
+        for r in got.collect():
+            times[r.doc_id // 2] += r.taken // r.size
+        assert sorted(times.values()) == [int(2 * share)] * 600
+
+
+def test_copies_share_the_takings_of_their_text(documents):
+    rows = [(i, "one text with copies", "en", "a", 1) for i in range(50)]
+    rows += [(None, "one text with copies", "en", "a", 1)] * 30
+    got = mixing.mix_documents(documents(rows), mixing.Mix(share=1.25)).collect()
+    assert len(got) == 80 and sum(r.taken for r in got) == 100 * 4
+    assert sorted(r.taken for r in got) == [4] * 60 + [8] * 20
+
+
+def test_refuses_more_than_it_can_route(documents):
+    docs, _ = mixed(documents, 60)
+    for mix in (mixing.Mix(sources=2), mixing.Mix(cells=3)):
+        try:
+            mixing.mix_documents(docs, mix)
+        except ValueError as error:
+            assert "join sources first" in str(error)
+        else:
+            raise AssertionError("not refused")
+
+
 def test_odd_rows(spark, odd):
     got = mixing.mix_documents(odd.withColumn("s", F.lit(1)).withColumn("p", F.lit(2))).collect()
     assert len(got) == odd.count()
