@@ -11,9 +11,9 @@ that a few bad passages of a long text can decide. Model (all learned together,
 Passage features describe the make-up of the text, in any language: shares of byte classes, word
 lengths, repetition of words. Nothing but the text goes in.
 
-The fit takes a bounded sample of labelled documents (``Fit.documents``) and of each at most
-``Fit.passages`` passages, spread evenly over the document; scoring reads every passage of every
-document. The model is a few thousand numbers and travels with the task.
+The fit takes a bounded sample of labelled documents (``Fit.documents``) and every passage of each;
+scoring reads every passage of every document. The model is a few thousand numbers and travels with
+the task.
 """
 
 from __future__ import annotations
@@ -37,10 +37,9 @@ ROWS = 500
 
 @dataclass(frozen=True)
 class Fit:
-    """Parameters of the fit: bounds of the sample, sizes of the layers, steps of descent."""
+    """Parameters of the fit: bound of the sample, sizes of the layers, steps of descent."""
 
     documents: int = 4000
-    passages: int = 32
     hidden: int = 16
     gate: int = 8
     steps: int = 200
@@ -190,6 +189,24 @@ class Model:
         return self.forward(x, np.searchsorted(owner, np.arange(len(texts))))["s"]
 
 
+def gradient(model: Model, x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """The mean cross entropy's slope along every weight."""
+    p, f = model.weights, model.forward(x, starts)
+    ds = (f["s"] - y) / len(y)
+    bag = np.repeat(np.arange(len(y)), f["sizes"])
+    dz = ds[:, None] * p["c"]
+    along = (f["h"] * dz[bag]).sum(axis=1)
+    da = f["alpha"] * (along - np.repeat(np.add.reduceat(f["alpha"] * along, starts), f["sizes"]))
+    dt = da[:, None] * p["w"] * f["g"] * (1 - f["t"] ** 2)
+    dg = da[:, None] * p["w"] * f["t"] * f["g"] * (1 - f["g"])
+    dh = f["alpha"][:, None] * dz[bag] + dt @ p["V"].T + dg @ p["U"].T
+    dx = dh * (1 - f["h"] ** 2)
+    return {
+        "W": f["x"].T @ dx, "b": dx.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg,
+        "w": (f["t"] * f["g"]).T @ da, "c": f["z"].T @ ds, "d": np.array([ds.sum()]),
+    }
+
+
 def learn(bags: list[np.ndarray], labels: np.ndarray, fit: Fit) -> Model:
     """Fit a model to bags of passage features by Adam on the mean cross entropy."""
     blank = Model(np.zeros(N_FEATURES), np.ones(N_FEATURES))
@@ -212,21 +229,7 @@ def learn(bags: list[np.ndarray], labels: np.ndarray, fit: Fit) -> Model:
     p = model.weights
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     for step in range(1, fit.steps + 1):
-        f = model.forward(x, starts)
-        ds = (f["s"] - y) / len(y)
-        bag = np.repeat(np.arange(len(y)), f["sizes"])
-        dz = ds[:, None] * p["c"]
-        along = (f["h"] * dz[bag]).sum(axis=1)
-        da = f["alpha"] * (along - np.repeat(
-            np.add.reduceat(f["alpha"] * along, starts), f["sizes"]))
-        dt = da[:, None] * p["w"] * f["g"] * (1 - f["t"] ** 2)
-        dg = da[:, None] * p["w"] * f["t"] * f["g"] * (1 - f["g"])
-        dh = f["alpha"][:, None] * dz[bag] + dt @ p["V"].T + dg @ p["U"].T
-        dx = dh * (1 - f["h"] ** 2)
-        grads = {
-            "W": f["x"].T @ dx, "b": dx.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg,
-            "w": (f["t"] * f["g"]).T @ da, "c": f["z"].T @ ds, "d": np.array([ds.sum()]),
-        }
+        grads = gradient(model, x, starts, y)
         for k, grad in grads.items():
             grad = grad + fit.decay * p[k]
             first[k] = 0.9 * first[k] + 0.1 * grad
@@ -260,8 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, fit: Fit = Fit(), key:
         texts = _as_bytes(batch.column(1))
         x, owner = passages(texts)
         bags = np.split(x, np.searchsorted(owner, np.arange(1, len(texts)))) if texts else []
-        spread = [b[np.linspace(0, len(b) - 1, min(len(b), fit.passages)).astype(int)] for b in bags]
-        return [[b.tobytes() for b in spread]]
+        return [[b.tobytes() for b in bags]]
 
     rows = arrow_columns(picked, ["k", "t", "y"], "x binary", make).select("k", "y", "x").collect()
     rows.sort(key=lambda r: (r.k, bytes(r.x)))
