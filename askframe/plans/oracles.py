@@ -939,6 +939,15 @@ SQL["request_route"] = f"""SELECT event_id, {_outcomes(_BOTH)} AS error,
   CASE WHEN {_outcomes(_BOTH)} IS NOT NULL THEN 'bad_request' END AS error_class,
   CASE WHEN {_outcomes(_BOTH)} IS NULL THEN {_ROUTED} END AS model FROM events"""
 SQL["stream_bodies"] = f"""SELECT model, error_class, count(*) AS n FROM ({SQL["request_route"]}) GROUP BY ALL"""
+_ADMITTED = f"""SELECT event_id % 4 AS i, event_type, CASE event_id % 4 WHEN 1 THEN {q(_PREDICT[1])}
+  WHEN 2 THEN {q(_PREDICT[3])} WHEN 3 THEN {q(_ERRORS[9])} END AS error FROM events"""
+SQL["stream_admitted"] = f"""SELECT error, CASE i WHEN 1 THEN 'unavailable' WHEN 0 THEN NULL ELSE 'bad_request' END
+  AS error_class, CASE WHEN i = 0 THEN 'english' END AS model, CASE WHEN i = 0 THEN 512 END::BIGINT AS "window",
+  count(*) AS n FROM ({_ADMITTED}) GROUP BY ALL"""
+SQL["stream_specs"] = f"""WITH r AS ({_ADMITTED})
+SELECT DISTINCT 'is it ' || event_type || '?' AS what, 1::BIGINT AS n FROM r
+UNION ALL SELECT 'rows', count(*) FROM r UNION ALL SELECT 'dead', count(error) FROM r
+UNION ALL SELECT 'new_specs', count(DISTINCT event_type) FROM r"""
 SQL["raw_json_deep"] = """SELECT conv_id, turn, NULL::VARCHAR AS invalid, 'array' AS kind,
   1500 + turn * 500 + 1 AS n_nodes, 1500 + turn * 500 AS depth, true AS same_text FROM conversations"""
 SQL["order_contexts"] = """SELECT l_orderkey, '{"order": ' || l_orderkey || ', "items": [' || string_agg(

@@ -40,6 +40,7 @@ from askframe.plans.predict import admit, decisions, intern_specs, predict, rout
 from askframe.sources import catalog, golden, raw_json, requests, sinks
 from askframe.sources.session import ship_package, shared_dir
 from askframe.sources.tables import lookup_join, read_table, small_table
+from askframe.streaming.admit import admit_stream, read_batches, read_specs
 from askframe.streaming.requests import read_stream_results, write_stream
 
 QUERIES = {}
@@ -1340,6 +1341,46 @@ def stream_bodies(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
+def _admitted_stream(spark: SparkSession, sf: str) -> str:
+    """Events as a stream of bodies, each asking about its own type, admitted in several batches;
+    the folder of the results."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    kind = F.col("event_type")
+    more = inputs.pick("event_id", *[F.lit(x) for x in (
+        "", ', "model": "ml"', ', "model": "en", "max_len": 100', ', "bogus": 1')])
+    said = F.concat(
+        F.lit('{"context": "'), kind, F.lit('", "spec": {"q": {"type": "noul", "instructions": "is it '),
+        kind, F.lit('?"}}'), more, F.lit("}"))
+    inputs.events(spark, sf, "event_type").select("event_id", said.alias("body")).repartition(
+        4, "event_id").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema("event_id long, body string").option(
+        "maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    known = doubles.catalog(spark).where("model <> 'multilingual'")
+    admit_stream(requests.parse_requests(stream), f"{base}/out", f"{base}/state", known).awaitTermination()
+    return f"{base}/out"
+
+
+@query
+def stream_admitted(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw bodies as a stream up to admission: models, windows and errors of all batches."""
+    ok, dead = read_stream_results(spark, f"{_admitted_stream(spark, sf)}/rows")
+    fine = F.col("error").isNull()
+    return ok.unionByName(dead).groupBy(
+        "error", "error_class", F.when(fine, F.col("model")).alias("model"),
+        F.when(fine, long("window")).alias("window")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def stream_specs(spark: SparkSession, sf: str) -> DataFrame:
+    """How often a stream of bodies handed on each spec, and what its batches observed."""
+    out = _admitted_stream(spark, sf)
+    asked = read_specs(spark, out).groupBy(F.col("questions")[0]["instructions"].alias("what")).agg(
+        F.count(F.lit(1)).alias("n"))
+    seen = read_batches(spark, out).unpivot(
+        ["batch_id"], ["rows", "dead", "new_specs"], "what", "n").groupBy("what").agg(F.sum("n").alias("n"))
+    return asked.unionByName(seen)
+
+
 @query
 def catalog_files(spark: SparkSession, sf: str) -> DataFrame:
     """Configuration files written from counts of documents, read as a catalog and listed."""
