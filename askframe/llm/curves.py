@@ -9,9 +9,13 @@ Equal vectors count once, with the smallest ids that have them. A tight group ma
 of the grid that fills more blocks than a query looks through; queries in such a cell look through
 all its blocks, on the curve where it fills the most.
 
-Directions are drawn from a seed; centre, scale and block limits come from a sample of at most
-``Curves.sample`` vectors. Every vector is indexed. Blocks are a share of the curve, so recall
-does not fall as the table grows; a block is cut further into tasks of bounded rows.
+Vectors of different length have no distance: each length is searched on its own. A length with
+fewer than ``blocks`` times (k + 1) different vectors cannot fill its blocks with k candidates; all
+of it is one block, so its search is exact. Every other length has the same number of blocks.
+
+Directions are drawn from a seed; centre, scale and block limits come from a sample of about
+``Curves.sample`` vectors, shared by the lengths. Every vector is indexed. Blocks are a share of the
+curve, so recall does not fall as the table grows; a block is cut further into tasks of bounded rows.
 """
 
 from __future__ import annotations
@@ -38,7 +42,6 @@ class Curves:
     bits: int = 3
     blocks: int = 64
     window: int = 5
-    least_rows: int = 256  # of a block: small tables have fewer blocks
     sample: int = 20_000
     rows_per_task: int = 20_000
     seed: int = 42
@@ -49,14 +52,19 @@ _TIE_BITS = 16
 
 
 class Index:
-    """Projections and block limits of all curves."""
+    """Projections and block limits of all curves, for the vectors of one length.
+
+    ``rows`` is how many different vectors have the length, ``vectors`` a sample of them.
+    """
 
     def __init__(self, vectors: np.ndarray, rows: int, given: Curves):
         draw = np.random.default_rng(given.seed)
         size = vectors.shape[1]
         self.given = given
-        self.blocks = max(1, min(given.blocks, rows // given.least_rows))
+        self.blocks = given.blocks
         self.window = min(given.window, self.blocks)
+        # A block is cut so that a task holds rows_per_task of it at most, about.
+        self.row_cuts = max(1, ceil(rows / (given.rows_per_task * self.blocks)))
         m = min(given.dimensions, size)
         self.parts = []
         ties = draw.integers(0, 1 << _TIE_BITS, len(vectors))
@@ -68,7 +76,7 @@ class Index:
         for part in self.parts:
             places = np.sort(self._place(vectors, part) << _TIE_BITS | ties)
             cuts = np.linspace(0, len(places), self.blocks + 1)[1:-1].astype(int)
-            part[4] = places[cuts] if len(places) else np.zeros(0, np.int64)
+            part[4] = places[cuts]
 
     def _place(self, vectors: np.ndarray, part: list) -> np.ndarray:
         turn, centre, scale, shift, _ = part
@@ -106,6 +114,21 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def _unfold(lists: pa.Array, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the picked lists, and for each the place in ``picked`` that it comes from."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    ends = lists.offsets.to_numpy()
+    start, count = ends[picked], ends[picked + 1] - ends[picked]
+    place = np.repeat(np.arange(len(picked)), count)
+    inside = np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
+    return lists.values.to_numpy()[start[place] + inside], place
+
+
+#: Distances of one matrix product.
+_PRODUCT = 2_000_000
+
+
 def nearest(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     """For each query the k nearest ids of ``rows`` by exact distance, ties to the smaller id.
 
@@ -113,38 +136,47 @@ def nearest(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     above its rounding error.
     """
     q, r = matrix(queries["v"]), matrix(rows["v"])
-    ids = rows["ids"].to_pylist()
-    r2 = (r ** 2).sum(axis=1)
-    out: list[tuple[int, int, float]] = []
-    for vector, own in zip(q, queries["vec"].to_pylist()):
-        rough = r2 - 2 * (r @ vector)
-        wanted = k
-        while True:
-            if len(rough) > wanted:
-                edge = np.partition(rough, wanted - 1)[wanted - 1]
-                slack = 1e-9 * (abs(edge) + r2.max() + vector @ vector)
-                some = np.flatnonzero(rough <= edge + slack)
-            else:
-                some = np.arange(len(rough))
-            exact = np.sqrt(((r[some] - vector) ** 2).sum(axis=1))
-            best: dict[int, float] = {}
-            reached = 0.0
-            for i in np.argsort(exact, kind="stable"):
-                if len(best) >= k and exact[i] > reached:
-                    break
-                reached = float(exact[i])
-                for other in ids[some[i]]:
-                    best.setdefault(other, reached)
-            # Ids may have several vectors: then more of them are needed for k ids.
-            if len(best) >= k or len(some) == len(rough):
-                break
-            wanted *= 4
-        out += [(own, other, score) for score, other in
-                sorted((score, other) for other, score in best.items())[:k]]
-    columns = list(zip(*out)) or [(), (), ()]
+    own = queries["vec"].to_numpy()
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if len(q) and len(r):
+        r2 = (r ** 2).sum(axis=1)
+        step = max(1, _PRODUCT // len(r))
+        todo = [(np.arange(i, min(i + step, len(q))), k) for i in range(0, len(q), step)]
+    else:
+        todo = []
+    while todo:
+        asked, wanted = todo.pop()
+        part = q[asked]
+        rough = r2 - 2 * (part @ r.T)
+        if len(r) > wanted:
+            edge = np.partition(rough, wanted - 1, axis=1)[:, wanted - 1]
+            slack = 1e-9 * (np.abs(edge) + r2.max() + (part ** 2).sum(axis=1))
+            which, some = np.nonzero(rough <= (edge + slack)[:, None])
+        else:
+            which, some = (i.ravel() for i in np.indices(rough.shape))
+        exact = np.sqrt(((r[some] - part[which]) ** 2).sum(axis=1))
+        ids, place = _unfold(rows["ids"], some)
+        which, score = which[place], exact[place]
+        # Each id once, with its nearest vector; then the first k of each query.
+        order = np.lexsort((score, ids, which))
+        which, ids, score = which[order], ids[order], score[order]
+        new = np.ones(len(ids), bool)
+        new[1:] = (which[1:] != which[:-1]) | (ids[1:] != ids[:-1])
+        which, ids, score = which[new], ids[new], score[new]
+        order = np.lexsort((ids, score, which))
+        which, ids, score = which[order], ids[order], score[order]
+        count = np.bincount(which, minlength=len(asked))
+        # Ids may have several vectors: then more of them are needed for k ids.
+        short = (count < k) & (len(r) > wanted)
+        place = np.arange(len(which)) - (np.cumsum(count) - count)[which]
+        good = (place < k) & ~short[which]
+        found.append((own[asked[which[good]]], ids[good], score[good]))
+        if short.any():
+            todo.append((asked[short], wanted * 4))
+    vec, ids, score = (np.concatenate(c) for c in zip(*found))
     return pa.table({
-        "query": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()),
-        "score": pa.array(columns[2], pa.float64()),
+        "query": pa.array(vec, pa.int64()), "vec_id": pa.array(ids, pa.int64()),
+        "score": pa.array(score, pa.float64()),
     })
 
 
@@ -155,73 +187,112 @@ def usable(vector: Column) -> Column:
         & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _smallest_ids(rows: DataFrame, need: int, rows_per_task: int) -> DataFrame:
+    """Each vector ``v`` once, with the ``need`` smallest ``ids`` that have it.
+
+    A vector that many rows share is cut by a salt, in as many steps as keep each part near
+    ``rows_per_task`` rows.
+    """
+    cuts = ceil(rows.count() / rows_per_task)
+    left = rows.select("id", "v")
+    while cuts > 1:
+        inside = Window.partitionBy("v", "salt").orderBy("id")
+        left = (
+            left.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(cuts)))
+            .withColumn("n", F.row_number().over(inside)).where(F.col("n") <= need)
+            .select("id", "v"))
+        cuts = min(cuts - 1, ceil(cuts * need / rows_per_task))
+    first = Window.partitionBy("v").orderBy("id")
+    return (
+        left.withColumn("n", F.row_number().over(first)).where(F.col("n") <= need)
+        .groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+
+
+def _indexes(vectors: DataFrame, given: Curves, need: int) -> dict[int, Index]:
+    """The index of every length that has at least ``need`` different vectors a block."""
+    filled = {
+        r["size"]: r["count"] for r in vectors.groupBy("size").count()
+        .where(F.col("count") >= given.blocks * need).collect()}
+    out = {}
+    for size, rows in sorted(filled.items()):
+        share = min(1.0, given.sample / len(filled) / rows)
+        drawn = F.pmod(F.xxhash64(F.col("ids")[0], F.lit(given.seed)), F.lit(1 << 30)) < share * (1 << 30)
+        # Drawn by their smallest id; in its order, so that a rerun makes the same index.
+        sample = vectors.where((F.col("size") == size) & drawn).orderBy(F.col("ids")[0], "v").select("v")
+        picked = sample.collect()
+        if picked:
+            out[size] = Index(np.array([r.v for r in picked], dtype=np.float64), rows, given)
+    return out
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 10, given: Curves = Curves(),
            key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score``, the Euclidean distance.
 
-    Queries are the rows where ``is_query`` holds, candidates all rows with another id. Vectors
-    that are null, empty, zero or not finite take no part, nor do null ids and vectors whose
-    length is not the most frequent one. Rows that repeat an id count once, with the nearest of
-    their vectors. Fewer candidates than k give them all; an empty table gives no rows.
+    Queries are the rows where ``is_query`` holds, candidates all rows with another id and a
+    vector of the query's length. Vectors that are null, empty, zero or not finite take no part,
+    nor do null ids. Rows that repeat an id count once, with the nearest of their vectors. Fewer
+    candidates than k give them all; an empty table gives no rows. Lengths that fill their blocks
+    have an index each, of some hundred KB, in the tasks; the driver gets these lengths and the
+    sample.
     """
     spark = vectors.sparkSession
     ship_package(spark)
     good = vectors.where(usable(col(vector)) & col(key).isNotNull()).select(
-        col(key).cast("long").alias("id"), col(vector).alias("v"), is_query.alias("asks"))
-    lengths = good.groupBy(F.size("v").alias("size")).agg(
-        F.count("*").alias("rows"), F.sum(F.col("asks").cast("long")).alias("asking"))
-    most = lengths.orderBy(F.desc("rows"), "size").first()
-    if most is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    alike = kept(
-        good.where(F.size("v") == most["size"]).groupBy("id", "v").agg(F.max("asks").alias("asks")),
-        "curve-rows")
-    # A query needs k ids besides its own. A vector that many rows share is cut by the salt first.
+        col(key).cast("long").alias("id"), col(vector).alias("v"),
+        F.coalesce(is_query, F.lit(False)).alias("asks"))
+    alike = kept(good.groupBy("id", "v").agg(F.max("asks").alias("asks")), "curve-rows")
+    # A query needs k ids besides its own.
     need = k + 1
-    salts = ceil(most.rows / given.rows_per_task)
-    inside = Window.partitionBy("v", "salt").orderBy("id")
     numbered = kept(
-        alike.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-        .withColumn("n", F.row_number().over(inside)).where(F.col("n") <= need)
-        .groupBy("v").agg(F.slice(F.sort_array(F.collect_set("id")), 1, need).alias("ids"))
-        .withColumn("vec", F.monotonically_increasing_id()), "curve-vectors")
+        _smallest_ids(alike, need, given.rows_per_task)
+        .withColumn("vec", F.monotonically_increasing_id()).withColumn("size", F.size("v")),
+        "curve-vectors")
     queries = kept(
         alike.where("asks").select("id", "v").join(numbered.select("v", "vec"), "v")
         .select(F.col("id").alias("query_id"), F.col("vec").alias("query")), "curve-queries")
     asking = queries.select(F.col("query").alias("vec")).distinct().withColumn("asks", F.lit(True))
     good = numbered.join(asking, "vec", "left").select(
-        "vec", "v", "ids", F.coalesce("asks", F.lit(False)).alias("asks"), F.col("ids")[0].alias("id"))
-    total = numbered.count()
-    tie = F.pmod(F.xxhash64("id"), F.lit(1 << _TIE_BITS)).cast("long")
-    sampled = good.orderBy(F.xxhash64("id", F.lit(given.seed)), "id", "v").limit(given.sample)
-    sample = np.array([r.v for r in sampled.select("v").collect()], dtype=np.float64)
-    index = Index(sample, total, given)
+        "vec", "v", "ids", "size", F.coalesce("asks", F.lit(False)).alias("asks"))
+    indexes = _indexes(numbered, given, need)
+    tie = F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(1 << _TIE_BITS)).cast("long")
 
     def make(batch: pa.RecordBatch) -> list:
-        if not batch.num_rows:
-            return [[], [], []]
-        found = index.block_of(matrix(batch.column(1)), batch.column(4).to_numpy())
-        return [f.tolist() for f in found]
+        sizes, ties = batch.column(3).to_numpy(), batch.column(5).to_numpy()
+        out = [[None] * len(sizes) for _ in range(4)]
+        for size in np.unique(sizes):
+            here = np.flatnonzero(sizes == size)
+            index = indexes.get(int(size))
+            if index is None:  # one block on one curve
+                found, cuts = [np.zeros((len(here), 1), np.int32)] * 3, 1
+            else:
+                found = index.block_of(matrix(batch.column(1).take(pa.array(here))), ties[here])
+                cuts = index.row_cuts
+            for column, values in zip(out, found):
+                for i, value in zip(here, values.tolist()):
+                    column[i] = value
+            for i in here:
+                out[3][i] = cuts
+        return out
 
     placed = kept(
-        arrow_columns(good.withColumn("tie", tie), ["vec", "v", "ids", "asks", "tie"],
-                      "blocks array<int>, first array<int>, last array<int>", make),
+        arrow_columns(good.withColumn("tie", tie), ["vec", "v", "ids", "size", "asks", "tie"],
+                      "blocks array<int>, first array<int>, last array<int>, row_cuts int", make),
         "curve-blocks")
     asks = placed.where("asks").select(
-        "vec", "v", F.posexplode(F.arrays_zip("first", "last")).alias("curve", "range")
-    ).select("vec", "v", "curve", F.explode(F.sequence("range.first", "range.last")).alias("block"))
-    most_asking = asks.groupBy("curve", "block").count().agg(F.max("count")).first()[0] or 0
-    # Both sides of a block are cut so that a task holds rows_per_task of each at most, about.
-    row_cuts = max(1, ceil(total / (given.rows_per_task * index.blocks)))
+        "vec", "v", "size", "row_cuts", F.posexplode(F.arrays_zip("first", "last")).alias("curve", "range")
+    ).select("vec", "v", "size", "row_cuts", "curve",
+             F.explode(F.sequence("range.first", "range.last")).alias("block"))
+    most_asking = asks.groupBy("size", "curve", "block").count().agg(F.max("count")).first()[0] or 0
     query_cuts = max(1, ceil(most_asking / given.rows_per_task))
     rows = placed.select(
-        "vec", "v", "ids", F.posexplode("blocks").alias("curve", "block"),
-        F.pmod(F.xxhash64("vec", F.lit(1)), F.lit(row_cuts)).cast("int").alias("row_cut"),
+        "vec", "v", "ids", "size", F.posexplode("blocks").alias("curve", "block"),
+        F.pmod(F.xxhash64("vec", F.lit(1)), F.col("row_cuts")).cast("int").alias("row_cut"),
     ).withColumn("query_cut", F.explode(F.sequence(F.lit(0), F.lit(query_cuts - 1))))
     asks = asks.withColumn(
         "query_cut", F.pmod(F.xxhash64("vec", F.lit(2)), F.lit(query_cuts)).cast("int")
-    ).withColumn("row_cut", F.explode(F.sequence(F.lit(0), F.lit(row_cuts - 1))))
-    keys = ["curve", "block", "row_cut", "query_cut"]
+    ).withColumn("row_cut", F.explode(F.sequence(F.lit(0), F.col("row_cuts") - 1)))
+    keys = ["size", "curve", "block", "row_cut", "query_cut"]
     found = asks.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(
         lambda a, b: nearest(a, b, need), "query long, vec_id long, score double")
     best = Window.partitionBy("query").orderBy("score", "vec_id")

@@ -48,7 +48,7 @@ def test_small_tables_are_exact(spark, rows):
 def test_recall_on_the_hardest_vectors(spark, cut):
     x = np.random.default_rng(2).normal(size=(4000, 64))
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)  # no structure at all
-    got = found(search(table(spark, x), blocks=64, least_rows=60, rows_per_task=cut))
+    got = found(search(table(spark, x), blocks=64, rows_per_task=cut))
     want = brute(x, np.arange(len(x)), 10)
     hits = [len({v for v, _ in want[q]} & {v for v, _ in got[q]}) for q in want]
     assert np.mean(hits) >= 9.0
@@ -79,3 +79,30 @@ def test_recall_inside_a_tight_group(spark, noise):
     assert len(inside) == 60 and np.mean(hits) >= 9.95
     if not noise:
         assert all([v for v, _ in got[q]] == [v for v, _ in want[q]] for q in inside)
+
+
+def test_each_length_is_searched_on_its_own(spark):
+    draw = np.random.default_rng(5)
+    mixed = [draw.normal(size=d).astype(np.float32) for d in [8] * 1500 + [5] * 900 + [3] * 30 + [2]]
+    ids = draw.permutation(len(mixed))
+    got = found(search(table(spark, mixed, ids)))
+    hits, all_of = [], 0
+    for d in (8, 5, 3, 2):
+        here = [i for i, v in enumerate(mixed) if len(v) == d]
+        for q, w in brute([mixed[i] for i in here], [int(ids[i]) for i in here], 10).items():
+            if not w:
+                assert q not in got
+                continue
+            hits.append(len({v for v, _ in w} & {v for v, _ in got[q]}) / len(w))
+            all_of += 1
+            if d == 3:  # too few for an index: exact
+                assert [v for v, _ in got[q]] == [v for v, _ in w]
+    assert all_of == len(got) and np.mean(hits) >= 0.9
+
+
+@pytest.mark.parametrize("cut", [30, 20_000])
+def test_smallest_ids_in_steps(spark, cut):
+    rows = table(spark, [[1.0]] * 100 + [[2.0]] * 3, list(range(100, 0, -1)) + [7, 8, 9])
+    got = {tuple(r.v): r.ids for r in curves._smallest_ids(rows.select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 2, cut).collect()}
+    assert got == {(1.0,): [1, 2], (2.0,): [7, 8]}
