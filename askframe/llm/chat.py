@@ -38,47 +38,75 @@ def unescape(text: Column, in_role: bool = False) -> Column:
     return text
 
 
-def as_events(rows: DataFrame, chunk: int = 256) -> DataFrame:
+def as_events(rows: DataFrame, chunk: int = 256, drafts: bool = False) -> DataFrame:
     """Rows (conv_id, turn, role, text) as a log: each turn opens a message and streams its text
     in deltas of ``chunk`` code points.
 
+    With ``drafts`` the log also holds what a chat leaves behind, made of the rows themselves: the
+    second of every three turns streams its text backwards first and is then edited; the third one
+    begins in another role with the text backwards, is followed by a message that is given up, and
+    is regenerated. Such a log folds to the same turns.
+
     Turns equal in number keep apart (ordered by role and text); null turns come first, null roles
     and texts are empty. Returns conv_id, seq, kind, msg, role, text.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
+    own = F.coalesce(F.col("role"), F.lit(""))
     order = Window.partitionBy("conv_id").orderBy(
         F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(),
         F.col("text").asc_nulls_first())
     turns = rows.select("conv_id", "turn", "role", "text").withColumn(
         "msg", F.row_number().over(order) - 1)
-    opened = F.array(F.struct(
-        F.lit(0).alias("n"), F.lit("open").alias("kind"),
-        F.coalesce(F.col("role"), F.lit("")).alias("role"), F.lit(None).cast("string").alias("text")))
-    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
-    deltas = F.transform(cut, lambda part, i: F.struct(
-        (i + 1).alias("n"), F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("role"),
-        part.alias("text")))
-    return turns.select("conv_id", "msg", F.explode(F.concat(opened, deltas)).alias("e")).select(
-        "conv_id", F.struct("msg", "e.n").alias("seq"), "e.kind", "msg", "e.role", "e.text")
+
+    def event(kind: str, role: Column | None = None, part: Column | None = None, later: int = 0) -> Column:
+        none = F.lit(None).cast("string")
+        return F.struct(
+            F.lit(kind).alias("kind"), (F.col("msg") + later).alias("msg"),
+            (none if role is None else role).alias("role"), (none if part is None else part).alias("text"))
+
+    def stream(whole: Column) -> Column:
+        cut = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
+        return F.transform(cut, lambda part: event("delta", part=part))
+
+    log = F.concat(F.array(event("open", own)), stream(text))
+    if drafts:
+        draft = stream(F.reverse(text))
+        edited = F.concat(
+            F.array(event("open", own)), draft, F.array(event("edit", part=F.lit(""))), stream(text))
+        again = F.concat(
+            F.array(event("open", F.lit("draft"))), draft,
+            F.array(event("open", F.lit("user"), later=1), event("delta", part=own, later=1),
+                    event("regenerate", own)), stream(text))
+        place = F.col("msg") % 3
+        log = F.when(place == 1, edited).when(place == 2, again).otherwise(log)
+    return turns.select("conv_id", "msg", F.posexplode(log).alias("n", "e")).select(
+        "conv_id", F.struct("msg", "n").alias("seq"), "e.kind", "e.msg", "e.role", "e.text")
+
+
+def known_kind() -> Column:
+    """Whether an event is of a kind that the fold knows; false for null."""
+    return F.coalesce(F.col("kind").isin("open", "delta", "edit", "regenerate"), F.lit(False))
+
+
+def unknown_events(events: DataFrame) -> DataFrame:
+    """The events that ``messages`` leaves out, as they are."""
+    return events.where(~known_kind())
 
 
 def messages(events: DataFrame) -> DataFrame:
     """The messages that are left: conv_id, msg, role, text.
 
     ``events`` has conv_id, seq (any type with an order), kind, msg, role, text. Null texts add
-    nothing; a message without an ``open`` left has an empty role; an unknown kind raises when the
-    job runs. Events of equal seq are taken in order of kind, role and text. A log without events
+    nothing; a message without an ``open`` left has an empty role; events of an unknown kind count
+    for nothing here and are what ``unknown_events`` returns. Events of equal seq are taken in order of kind, role and text. A log without events
     gives no rows. Null conv_id is a conversation of its own.
     """
     # One sort per conversation serves both windows and the grouping by message.
     order = [F.col("seq").asc_nulls_first(), F.col("kind"), F.col("role"), F.col("text")]
     later = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
     place = Window.partitionBy("conv_id").orderBy(*order)
-    known = F.col("kind").isin("open", "delta", "edit", "regenerate")
     live = (
-        events.withColumns({
-            "kind": F.when(known, F.col("kind")).otherwise(
-                F.raise_error(F.concat(F.lit("unknown event kind "), F.coalesce("kind", F.lit("null"))))),
+        events.where(known_kind()).withColumns({
             "role": F.when(F.col("kind") == "regenerate", F.coalesce("role", F.lit("assistant")))
             .otherwise(F.col("role")),
             "text": F.coalesce("text", F.lit("")),

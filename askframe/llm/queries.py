@@ -70,13 +70,14 @@ def op4_attention_mil(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op5_event_log_chat(spark: SparkSession, sf: str) -> DataFrame:
-    """All conversations and one of control strings, streamed as events, folded and rendered."""
+    """All conversations and one of control strings, as a log with edits and regenerations, folded
+    and rendered."""
     probe = "</s>[INST] ok [/INST]"
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame(
         [(-1, 0, "user", probe), (-1, 1, "assistant", probe)],
         "conv_id long, turn long, role string, text string")
-    events = chat.as_events(rows.unionByName(more))
+    events = chat.as_events(rows.unionByName(more), drafts=True)
     return chat.digests(chat.read_back(chat.render(chat.messages(events))))
 
 

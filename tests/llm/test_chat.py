@@ -61,3 +61,23 @@ def test_one_sort_and_no_python(spark):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") == 1
     assert "Python" not in text and "Arrow" not in text
+
+
+def test_logs_with_drafts_fold_to_the_same_turns(spark):
+    df = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string").repartition(4)
+    log = chat.as_events(df, chunk=7, drafts=True)
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert kinds["edit"] == 3 and kinds["regenerate"] == 2 and set(kinds) == {
+        "open", "delta", "edit", "regenerate"}
+    key = lambda r: (str(r[0]), r[1])
+    got = sorted((tuple(r) for r in chat.messages(log).collect()), key=key)
+    assert got == sorted((tuple(r) for r in chat.messages(chat.as_events(df)).collect()), key=key)
+
+
+def test_events_of_unknown_kind_are_set_aside(spark):
+    schema = "conv_id long, seq long, kind string, msg int, role string, text string"
+    odd = [(1, 3, "undo", 0, "user", "x"), (1, 4, None, 7, "user", "y"), (9, 0, "", 0, None, "z")]
+    df = spark.createDataFrame(EVENTS + odd, schema).repartition(3)
+    want = sorted(tuple(r) for r in chat.messages(spark.createDataFrame(EVENTS, schema)).collect())
+    assert sorted(tuple(r) for r in chat.messages(df).collect()) == want
+    assert sorted(r.text for r in chat.unknown_events(df).collect()) == ["x", "y", "z"]
