@@ -136,7 +136,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text",
            ids: str = "ids", offsets: str | None = None) -> DataFrame:
     """``df`` and the column ``ids`` (array<int>), on request ``offsets`` of code points.
 
-    Null and empty texts give empty arrays. A map without a shuffle; repeated rows stay.
+    Null and empty texts give empty arrays; columns of ``df`` with the new names are replaced. A map without a shuffle; repeated rows stay.
     """
     where = df.columns.index(text)
 
@@ -157,7 +157,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text",
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids",
            text: str = "decoded", errors: str = "replace") -> DataFrame:
-    """``df`` and the column ``text`` made of ``ids``; null ids give an empty text.
+    """``df`` and the column ``text`` made of ``ids``; null ids give an empty text. A column of ``df`` named ``text`` is replaced.
 
     Ids are joined as bytes before they are read as UTF-8, so characters cut between tokens come
     out whole; bytes that are no UTF-8 become U+FFFD.

@@ -58,12 +58,16 @@ def arrow_columns(
 ) -> DataFrame:
     """``columns`` of ``df`` and those of the schema ``add``, made batch by batch.
 
-    ``make`` gets the batch and returns one Arrow array or list per new column. Row order and
-    number stay, so this is a map without a shuffle.
+    ``make`` gets the batch and returns one Arrow array or list per new column. A new column takes
+    the place of one that has its name, in any case of letters; ``make`` still sees the old one.
+    Row order and number stay, so this is a map without a shuffle.
     """
     ship_package(df.sparkSession)
     picked = df.select(*[col(c) for c in columns])
-    schema = T.StructType([*picked.schema.fields, *T.StructType.fromDDL(add).fields])
+    added = T.StructType.fromDDL(add).fields
+    names = {f.name.lower() for f in added}
+    stay = [i for i, f in enumerate(picked.schema.fields) if f.name.lower() not in names]
+    schema = T.StructType([*[picked.schema.fields[i] for i in stay], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -71,11 +75,12 @@ def arrow_columns(
         target = to_arrow_schema(schema)
         for batch in batches:
             new = make(batch)
-            fields = list(target)[batch.num_columns:]
+            fields = list(target)[len(stay):]
             arrays = [a if isinstance(a, pa.Array) else pa.array(a, f.type)
                       for a, f in zip(new, fields, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *[a.cast(f.type) for a, f in zip(arrays, fields)]],
+                [*[batch.column(i) for i in stay],
+                 *[a.cast(f.type) for a, f in zip(arrays, fields)]],
                 names=target.names)
 
     return picked.mapInArrow(run, schema)

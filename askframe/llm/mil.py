@@ -273,6 +273,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, fit: Fit = Fit(), key:
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` and the probability of label 1 of each whole text; null counts as empty.
+    A column of ``docs`` named ``out`` is replaced.
 
     A map without a shuffle: the model goes with the task.
     """

@@ -59,3 +59,15 @@ def test_characters_cut_between_tokens(spark):
     assert len(ids) > 1 and set(spans) == {(0, 1)}
     df = spark.createDataFrame([(ids,), (ids[:1],), (None,)], "ids array<int>")
     assert [r.decoded for r in bpe.decode(df, PATH, P.PATTERN).collect()] == ["\U000132af", "�", ""]
+
+
+def test_new_columns_take_the_place_of_old_ones(spark, odd, plain):
+    given_ = odd.selectExpr("doc_id", "text", "1 AS IDS", "'x' AS spans", "2 AS decoded")
+    done = bpe.encode(given_, PATH, P.PATTERN, offsets="spans")
+    assert done.columns == ["doc_id", "text", "decoded", "ids", "spans"]
+    back = bpe.decode(done, PATH, P.PATTERN)
+    assert back.columns == ["doc_id", "text", "ids", "spans", "decoded"]
+    for r in back.select("text", "ids", "decoded").collect():
+        assert r.ids == plain.encode_ordinary(r.text or "") and r.decoded == (r.text or "")
+    over = bpe.encode(odd.select("text"), PATH, P.PATTERN, ids="text")
+    assert over.columns == ["text"] and over.count() == odd.count()

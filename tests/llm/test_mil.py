@@ -139,3 +139,13 @@ def test_odd_rows_and_labels(spark, odd):
     rows = mil.score(odd.withColumn("s", F.lit(0)), model).collect()
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
     assert mil.score(odd.limit(0), model).collect() == []
+
+
+def test_score_takes_the_place_of_an_old_one(spark, odd):
+    labels = odd.sparkSession.createDataFrame([(1, 1), (6, 0)], "doc_id long, quality int")
+    model = mil.train(odd, labels, "quality", mil.Fit())
+    key = lambda r: str(tuple(r))
+    got = mil.score(odd.selectExpr("doc_id", "text", "'old' AS Score"), model)
+    assert got.columns == ["doc_id", "text", "score"]
+    assert sorted(got.collect(), key=key) == sorted(
+        mil.score(odd.select("doc_id", "text"), model).collect(), key=key)
