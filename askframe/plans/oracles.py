@@ -447,13 +447,14 @@ SQL["custom_categories"] = ctes(
     QUESTIONS,
     "d AS (SELECT doc_id, source, lang, " + pick("doc_id", "'email'", "'email'", "'email'", "'triage'")
     + " AS spec_id FROM documents)",
-    """c AS (SELECT d.doc_id, d.spec_id, qid, qtype, levels, noul_false, noul_true,
+    """c AS (SELECT doc_id, spec_id, q_pos, qid, qtype, levels, noul_false, noul_true,
       CASE WHEN custom THEN [source, 'other'] ELSE keys END AS keys,
       CASE WHEN custom THEN [lang, NULL] ELSE descs END AS descs
-      FROM (SELECT *, spec_id = 'email' AND doc_id % 3 = 2 AS custom FROM d) d
-      JOIN questions USING (spec_id) WHERE q_pos = 0)""",
-) + f"""SELECT doc_id, spec_id, qid, array_to_string({OPTIONS}, '|') AS options,
-  len(keys)::BIGINT AS k FROM c"""
+      FROM (SELECT *, spec_id = 'email' AND doc_id % 3 = 2 AND qid = 'category' AS custom
+        FROM d JOIN questions USING (spec_id)))""",
+    f"o AS (SELECT *, {OPTIONS} AS texts FROM c)",
+) + """SELECT doc_id, spec_id, q_pos::BIGINT AS q_pos, qid, array_to_string(texts, '|') AS options,
+  len(texts)::BIGINT AS k FROM o"""
 SQL["interned_specs"] = """SELECT 'a|' || source || ': ' || lang AS options, count(*) AS n
 FROM documents GROUP BY source, lang"""
 

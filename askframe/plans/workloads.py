@@ -458,10 +458,10 @@ def custom_categories(spark: SparkSession, sf: str) -> DataFrame:
     df = df.withColumn("cats", cats).withColumn("spec_id", preset)
     df = lookup_join(df, specs.presets(spark), "spec_id", bounded=True)
     df = specs.with_categories(df, "spec_id", "cats")
-    first = F.element_at("questions", 1)
-    return df.withColumn("q", first).select(
+    return df.select("doc_id", "spec_id", F.posexplode("questions").alias("q_pos", "q")).select(
         "doc_id",
         "spec_id",
+        long("q_pos").alias("q_pos"),
         "q.qid",
         F.array_join(specs.option_texts(F.col("q")), "|").alias("options"),
         long(specs.option_count(F.col("q"))).alias("k"),
