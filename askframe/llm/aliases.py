@@ -75,6 +75,45 @@ def fitting(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.coalesce(*found, none)
 
 
+def fit_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """``host``, ``path`` and ``fit`` (rule, verdict) for every different (host, path) of ``rows``
+    that a rule of the table ``rules`` (columns ``where`` and ``verdict``) fits, as ``fitting`` has it.
+
+    For rule tables of any size: every suffix of a host meets the lengths of the paths that the
+    rules have there, and only the prefixes of these lengths meet the rules. Two equi-joins, no
+    comparison of all rules. Rules with a null text, or a verdict other than allow and block, are
+    left out; repeated rules count once.
+    """
+    where = col("where")
+    cut = F.locate("/", where)
+    known = rules.where(where.isNotNull() & F.col("verdict").isin("allow", "block")).select(
+        where.alias("rule"), "verdict", F.substring_index(where, "/", 1).alias("suffix"),
+        F.when(cut > 0, F.substring(where, cut, F.length(where))).otherwise(F.lit("/")).alias("prefix"))
+    # The first of all rules for one host and path.
+    order = F.struct(
+        (-F.length("rule")).alias("size"), (F.col("verdict") != "allow").alias("later"), "rule", "verdict")
+    known = known.groupBy("suffix", "prefix").agg(F.min(order).alias("found"))
+    sizes = known.select("suffix", F.length("prefix").alias("n")).distinct()
+    labels = F.split("host", r"\.", -1)
+    suffixes = F.transform(
+        F.sequence(F.lit(1), F.size(labels)),
+        lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    asked = (
+        rows.select("host", "path").distinct().withColumn("suffix", F.explode(suffixes))
+        .join(sizes, "suffix").where(F.col("n") <= F.length("path"))
+        .withColumn("prefix", F.substring(F.col("path"), F.lit(1), F.col("n"))))
+    return asked.join(known, ["suffix", "prefix"]).groupBy("host", "path").agg(
+        F.min("found").alias("found")).select("host", "path", F.struct(
+            F.col("found.rule").alias("rule"), F.col("found.verdict").alias("verdict")).alias("fit"))
+
+
+def _with_fit(rows: DataFrame, rules: list[Rule] | DataFrame) -> DataFrame:
+    """``rows`` (with host and path) and ``fit``, computed once per row."""
+    if isinstance(rules, DataFrame):
+        return rows.join(fit_rules(rows, rules), ["host", "path"], "left")
+    return seal(rows.withColumn("fit", fitting(F.col("host"), F.col("path"), rules)), "fit")
+
+
 def _resolved(target: Column, url: Column) -> Column:
     """A link target as an absolute URL, relative ones against the page's URL."""
     root = F.concat(F.regexp_extract(url, "^(.*?://)", 1), host_of(url))
@@ -110,11 +149,12 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     return edges.where("a is not null and b is not null and a <> b")
 
 
-def judge(pages: DataFrame, rules: list[Rule], edges: DataFrame | None = None,
+def judge(pages: DataFrame, rules: list[Rule] | DataFrame, edges: DataFrame | None = None,
           key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``page_id``, ``url``, ``host``, ``path``, ``rule`` and ``verdict`` of every page, and
     ``inherited``, true where the verdict is an alias's block.
 
+    ``rules`` are a short list, tested in turn, or a table of any size (``fit_rules``).
     ``edges`` (a, b) are further redirects between URLs without scheme and fragment (``node_of``).
     A null url, or one without ``://``, has an empty host and path, fits no rule, and is allowed.
     Repeated pages are judged alike; an empty table gives no rows.
@@ -124,10 +164,9 @@ def judge(pages: DataFrame, rules: list[Rule], edges: DataFrame | None = None,
         found = found.unionByName(edges.select("a", "b"))
     members = components(found)
     address = F.concat(F.lit("http://"), F.col("node"))
-    decided = seal(
+    decided = _with_fit(seal(
         members.withColumns({"host": host_of(address), "path": path_of(address)}), "host", "path",
-    ).withColumn("v", fitting(F.col("host"), F.col("path"), rules).verdict)
-    decided = seal(decided, "v")
+    ), rules).select("root", F.col("fit.verdict").alias("v"))
     blocked = kept(
         decided.groupBy("root").agg(
             F.max(F.coalesce(F.col("v") == "block", F.lit(False))).alias("block"),
@@ -140,8 +179,7 @@ def judge(pages: DataFrame, rules: list[Rule], edges: DataFrame | None = None,
         path_of(F.coalesce(col(url), F.lit(""))).alias("path"), node_of(col(url)).alias("node"),
     )
     # Computed once per page: conditions and join keys below only read the columns.
-    own = seal(seal(own, "host", "path", "node")
-               .withColumn("fit", fitting(F.col("host"), F.col("path"), rules)), "fit")
+    own = _with_fit(seal(own, "host", "path", "node"), rules)
     heir = blocked.select("node", F.lit(True).alias("alias_blocked"))
     block = F.coalesce("alias_blocked", F.lit(False)) & F.col("fit").isNull()
     return own.join(heir, "node", "left").select(

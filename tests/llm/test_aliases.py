@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +70,35 @@ def test_longest_rule_wins_and_ties_allow(spark):
                                "page_id long, url string, html string")
     got = {r.page_id: (r.rule, r.verdict) for r in aliases.judge(df, rules).collect()}
     assert got == {1: ("net/xyz", "allow"), 2: ("a.net/x", "block"), 3: ("net/", "block")}
+
+
+def test_a_table_of_rules_judges_as_a_list(spark):
+    draw = random.Random(3)
+    hosts = ["", "a", "b.a", "c.b.a", "xa", "a.", ".a", "b..a", "com"]
+    paths = ["", "/", "/p", "/pq", "/pq/r", "//", "/q?"]
+    rules = [aliases.Rule(draw.choice(["allow", "block"]), h + p)
+             for h in hosts for p in paths if draw.random() < 0.35]
+    rules += [aliases.Rule("block", rules[0].where), aliases.Rule("allow", rules[0].where)]
+    table = spark.createDataFrame(
+        [(r.where, r.verdict, 1) for r in rules] + [(None, "block", 1), ("a/", "maybe", 1)],
+        "where string, verdict string, host int")
+    rows = [(f"http://{h}{p}{end}", page("http://c.b.a/pq") if draw.random() < 0.2 else None)
+            for h in [*hosts, "z.com", "A.b.A"] for p in paths for end in ("", "x", "#y")]
+    pages = spark.createDataFrame(
+        [(i, u, h) for i, (u, h) in enumerate([*rows, (None, None), ("none", None)])],
+        "page_id long, url string, html string").repartition(3)
+    key = lambda r: r.page_id
+    got = sorted(aliases.judge(pages, table).collect(), key=key)
+    assert got == sorted(aliases.judge(pages, rules).collect(), key=key)
+    assert len({r.rule for r in got}) > 8
+    assert all(r.rule is None for r in aliases.judge(pages, table.limit(0)).collect())
+    assert aliases.judge(pages.limit(0), table).collect() == []
+
+
+def test_a_table_of_rules_is_joined_by_keys(spark):
+    rules = spark.range(100_000).selectExpr("concat('h', id, '.com/p') AS where", "'block' AS verdict")
+    rows = spark.range(1000).selectExpr("concat('www.h', id * 150, '.com') AS host", "'/path' AS path")
+    found = aliases.fit_rules(rows, rules)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
+    assert found.count() == 667
