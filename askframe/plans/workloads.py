@@ -1391,9 +1391,12 @@ def catalog_files(spark: SparkSession, sf: str) -> DataFrame:
                                     F.col("n"), F.lit("]}")),
         "english": F.concat(F.lit('{"name": "en", "repo": "hub/en", "encoder": "e", "max_len": '),
                             F.col("n"), F.lit(', "temperature": [1.5, 2, 0.5]}')),
-        "unlisted": F.lit('{"name": "x"}'),
+        "unlisted": F.concat(F.lit('{"name": "x", "max_len": '), F.col("n"), F.lit("}")),
     }
-    for (name, text), lang in zip(forms.items(), ("fr", "en", "de"), strict=True):
+    # The third takes all other languages together, rows without one included.
+    form = F.when(F.col("lang").isin("fr", "en"), F.col("lang")).otherwise("other")
+    counts = counts.groupBy(form.alias("lang")).agg(F.sum("n").alias("n"))
+    for (name, text), lang in zip(forms.items(), ("fr", "en", "other"), strict=True):
         counts.where(F.col("lang") == lang).select(text).coalesce(1).write.text(f"{root}/{name}")
     known = catalog.read_catalog(spark, root, "part-*")
     listed = catalog.catalog_listing(known).select(
