@@ -39,7 +39,7 @@ from askframe.plans import doubles, inputs
 from askframe.plans.predict import admit, decisions, intern_specs, predict, route_requests
 from askframe.sources import catalog, golden, raw_json, requests, sinks
 from askframe.sources.session import ship_package, shared_dir
-from askframe.sources.tables import lookup_join, read_table, small_table
+from askframe.sources.tables import lookup_join, read_table, small_table, stream_table
 from askframe.streaming.admit import admit_stream, read_batches, read_specs
 from askframe.streaming.requests import read_stream_results, write_stream
 
@@ -1227,9 +1227,7 @@ def stream_requests(spark: SparkSession, sf: str) -> DataFrame:
          T.StructField("lang", T.StringType())]
     )
     stream = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf)
+        stream_table(spark, sf, "documents", schema)
         .withColumn("model_hint", inputs.pick("doc_id", F.lit(None).cast("string"), F.lit("nope"),
                                               F.lit("en")))
     )

@@ -16,6 +16,15 @@ def read_table(spark: SparkSession, root: str, name: str, *columns: str) -> Data
     return df.select(*columns) if columns else df
 
 
+def stream_table(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
+    """``<root>/<name>.parquet`` as a stream, be it one file or a folder of files.
+
+    A stream reads folders. A pattern that only this name fits is read as either; the name of a
+    file alone, or of files in the folder above, finds nothing where the table is a folder.
+    """
+    return spark.readStream.schema(schema).parquet(f"{root.rstrip('/')}/{name}.parque[t]")
+
+
 #: Keys above this share of the rows are hot; so many of them there are at most.
 HOT_SHARES = 64
 

@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from askframe.operators.route import route
+from askframe.plans import workloads
 from askframe.sources.requests import parse_requests
 from askframe.streaming.requests import read_stream_results, write_stream
 
@@ -39,3 +40,18 @@ def test_stream_equals_batch_and_keeps_dead_letters(spark, tmp_path):
     assert sorted(ok.unionByName(dead).collect(), key=str) == sorted(batch.collect(), key=str)
     assert dead.count() == 3 and dead.filter("error IS NULL").count() == 0
     assert ok.filter("error IS NOT NULL").count() == 0
+
+
+def test_a_table_of_many_files_streams_like_one_file(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [(i, "hello my dear friend" if i % 2 else None, "en") for i in range(12)],
+        "doc_id long, text string, lang string")
+    folder, file = tmp_path / "folder", tmp_path / "file"
+    rows.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    file.mkdir()
+    part, = (tmp_path / "one").glob("part-*.parquet")
+    (file / "documents.parquet").write_bytes(part.read_bytes())
+    many, one = (sorted(workloads.stream_requests(spark, str(p)).collect(), key=str) for p in (folder, file))
+    assert many == one and sum(r.n for r in many) == 12
+    assert sum(r.n for r in many if r.dead) == 4
