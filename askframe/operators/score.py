@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askframe.functions import fixed
+from askframe.functions.batches import pieces
 
 Encoder = Callable[[list[str]], list[list[int]]]
 Scorer = Callable[[dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]]
@@ -59,19 +60,25 @@ class TokenizerFiles:
 def token_ids(load_encoder: Callable[[str], Encoder]) -> Callable[[Column, Column], Column]:
     """UDF (text, model) -> ids without special tokens; null text or model gives null."""
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def encode(texts: pa.Array, models: pa.Array) -> pa.Array:
+    def ids_of(texts: pa.Array, models: pa.Array) -> pa.Array:
         rows: dict[str, list[int]] = {}
         given = texts.to_pylist()
         for i, (text, model) in enumerate(zip(given, models.to_pylist())):
             if text is not None and model is not None:
                 rows.setdefault(model, []).append(i)
-        out: list = [None] * len(given)
+        found: list = [None] * len(given)
         for model, wanted in rows.items():
-            found = load_encoder(model)([given[i] for i in wanted])
-            for i, ids in zip(wanted, found):
-                out[i] = ids
-        return pa.array(out, pa.list_(pa.int32()))
+            encoded = load_encoder(model)([given[i] for i in wanted])
+            for i, ids in zip(wanted, encoded):
+                found[i] = np.array(ids, np.int32)
+        return pa.array(found, pa.list_(pa.int32()))
+
+    # An encoder keeps far more per token than its id, so it sees a piece of a batch at a time.
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, models in batches:
+            for piece in pieces(texts, models):
+                yield ids_of(*piece)
 
     return encode
 
