@@ -7,7 +7,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from askframe.functions.batches import PIECE_BYTES, piece_edges, pieces
+from askframe.operators.score import token_ids
 from askframe.sources import raw_json
 
 
@@ -68,3 +71,33 @@ def test_deep_documents_come_in_pieces(spark, monkeypatch):
     got = raw_json.parse_json(df.coalesce(1), "body").selectExpr(
         "size(nodes) AS n", "nodes[size(nodes) - 1].text AS leaf").collect()
     assert {r.n for r in got} == {depth + 1} and {int(r.leaf) for r in got} == set(range(n))
+
+
+def test_an_encoder_sees_a_piece_at_a_time(spark):
+    def load(model):
+        def encode(texts):
+            if sum(len(t) for t in texts) > PIECE_BYTES:
+                raise ValueError("the whole batch at once")
+            return [[len(t), int(t[:4])] for t in texts]
+
+        return encode
+
+    df = spark.range(1000, 3000).selectExpr(
+        "id", "CASE WHEN id % 7 > 0 THEN concat(id, repeat(' word', 200)) END AS text",
+        "CASE WHEN id % 5 > 0 THEN concat('m', id % 2) END AS model")
+    ids = token_ids(load)(F.col("text"), F.col("model"))
+    got = df.coalesce(1).withColumn("ids", ids).select("id", "ids").collect()
+    assert len(got) == 2000
+    for r in got:
+        assert r.ids == ([1004, r.id] if r.id % 7 and r.id % 5 else None)
+
+
+def test_compact_texts_and_fields_come_in_pieces():
+    texts = ['{"a": [1, "%s"]}' % ("x" * 1000), None, "{", " 1 "] * 1000
+    out = list(raw_json.compact_json.func(iter([pa.array(texts)])))
+    assert len(out) > 3 and max(p.nbytes for p in out) <= PIECE_BYTES + 8 * len(texts)
+    assert [t for p in out for t in p.to_pylist()] == [
+        '{"a":[1,"%s"]}' % ("x" * 1000), None, None, "1"] * 1000
+    fields = list(raw_json.json_fields.func(iter([pa.array(texts)])))
+    assert len(fields) > 3 and sum(len(p) for p in fields) == 4000
+    assert [f["path"] for f in fields[0][0].as_py()] == ["", "/a"] and fields[0][1].as_py() is None
