@@ -36,3 +36,10 @@ def pieces(texts: pa.Array, *others: pa.Array, limit: int = PIECE_BYTES) -> Iter
     for start, stop in piece_edges(sizes, limit):
         found = [column.slice(start, stop - start) for column in (texts, *others)]
         yield tuple(found) if others else found[0]
+
+
+def even_pieces(values: pa.Array, limit: int = 16 * PIECE_BYTES) -> Iterator[pa.Array]:
+    """A column of nested values in pieces of equally many rows, of about ``limit`` bytes each."""
+    step = max(1, len(values) * limit // max(1, values.nbytes))
+    for start in range(0, max(1, len(values)), step):
+        yield values.slice(start, step)

@@ -10,13 +10,18 @@ Types that JSON does not have are written as one stated text (``leaf_text``) or
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from json.encoder import encode_basestring
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askframe.functions import fixed
+from askframe.functions.batches import even_pieces
 from askframe.functions.text import col, first_chars
 
 _SHORT_ESCAPES = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
@@ -73,33 +78,72 @@ def double_text(values: pa.Array) -> pa.Array:
     return pa.array([_shortest(v) for v in values.to_pylist()], pa.string())
 
 
-def _python_text(value, dtype: T.DataType) -> str:
-    """JSON text of a Python value whose leaves are numbers, booleans and strings (see ``_ready``)."""
-    if value is None:
-        return "null"
+def _texts(values: pa.Array, dtype: T.DataType) -> pa.Array:
+    """JSON texts of a column whose leaves are numbers, booleans and strings (see ``_ready``), level
+    by level and not value by value; ``null`` for null."""
+    if values.null_count == len(values):
+        return pa.array(["null"] * len(values), pa.string())
     if isinstance(dtype, T.StructType):
-        return "{" + ", ".join(
-            f"{json.dumps(f.name, ensure_ascii=False)}: {_python_text(value[f.name], f.dataType)}"
-            for f in dtype.fields) + "}"
-    if isinstance(dtype, T.ArrayType):
-        return "[" + ", ".join(_python_text(v, dtype.elementType) for v in value) + "]"
-    if isinstance(dtype, T.MapType):
-        return "{" + ", ".join(
-            f"{json.dumps(k, ensure_ascii=False)}: {_python_text(v, dtype.valueType)}"
-            for k, v in sorted(value, key=lambda kv: kv[0])) + "}"
+        parts: list = []
+        for i, (field, column) in enumerate(zip(dtype.fields, values.flatten())):
+            parts.append(f"{', ' if i else '{'}{encode_basestring(field.name)}: ")
+            parts.append(_texts(column, field.dataType))
+        texts = _concat(*parts, "}") if parts else pa.array(["{}"] * len(values), pa.string())
+    elif isinstance(dtype, T.ArrayType):
+        edges = values.offsets.to_numpy()
+        inside = values.values.slice(edges[0], edges[-1] - edges[0])
+        texts = _concat("[", _joined(_texts(inside, dtype.elementType), edges), "]")
+    elif isinstance(dtype, T.MapType):
+        texts = _concat("{", _joined(*_entries(values, dtype)), "}")
+    else:
+        texts = _leaf_texts(values, dtype)
+    return pc.if_else(values.is_valid(), texts, "null") if values.null_count else texts
+
+
+def _concat(*parts: pa.Array | str) -> pa.Array:
+    return pc.binary_join_element_wise(*parts, "")
+
+
+def _joined(items: pa.Array, edges: np.ndarray) -> pa.Array:
+    """The items between each two edges, joined."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(edges - edges[0], pa.int32()), items), ", ")
+
+
+def _entries(values: pa.MapArray, dtype: T.MapType) -> tuple[pa.Array, np.ndarray]:
+    """Texts of the entries of maps, those of each map by key, and the edges of the maps."""
+    edges = values.offsets.to_numpy()
+    keys, items = (c.slice(edges[0], edges[-1] - edges[0]) for c in (values.keys, values.items))
+    counts = np.diff(edges)
+    if counts.max() > 1:
+        owner = pa.array(np.repeat(np.arange(len(counts)), counts))
+        order = pc.sort_indices(
+            pa.table([owner, keys], names=["owner", "key"]),
+            sort_keys=[("owner", "ascending"), ("key", "ascending")])
+        keys, items = keys.take(order), items.take(order)
+    known = keys.dictionary_encode()
+    names = pa.array([encode_basestring(k) for k in known.dictionary.to_pylist()], pa.string())
+    return _concat(names.take(known.indices), ": ", _texts(items, dtype.valueType)), edges
+
+
+def _leaf_texts(values: pa.Array, dtype: T.DataType) -> pa.Array:
+    """``_texts`` of a column of leaves; whatever for null."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return _shortest(value)
-    if isinstance(dtype, T.VariantType):
-        return _canonical(value)
-    if isinstance(dtype, T.StringType):
-        return json.dumps(value, ensure_ascii=False)
+        doubles = values.to_numpy(zero_copy_only=False)  # nulls as NaN
+        text = repr if np.isfinite(doubles).all() else _shortest
+        return pa.array([text(v) for v in doubles.tolist()], pa.string())
     if isinstance(dtype, T.BooleanType):
-        return "true" if value else "false"
-    if isinstance(dtype, T.DecimalType):
-        return format(value, "f")
+        return pc.if_else(values, "true", "false")
     if isinstance(dtype, _WHOLE):
-        return str(value)
-    raise TypeError(_no_text(dtype))
+        return values.cast(pa.string())
+    if isinstance(dtype, T.VariantType):
+        text = _canonical
+    elif isinstance(dtype, T.StringType):
+        text = encode_basestring
+    elif isinstance(dtype, T.DecimalType):
+        text = "{:f}".format
+    else:
+        raise TypeError(_no_text(dtype))
+    return pa.array([None if v is None else text(v) for v in values.to_pylist()], pa.string())
 
 
 def _canonical(text: str) -> str:
@@ -156,9 +200,10 @@ def _whole_text(value: Column, dtype: T.DataType) -> Column:
     ready = _ready_type(dtype)
 
     @F.arrow_udf(T.StringType())
-    def text(values: pa.Array) -> pa.Array:
-        return pa.array(
-            [None if v is None else _python_text(v, ready) for v in values.to_pylist()], pa.string())
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in batches:
+            for part in even_pieces(values):
+                yield pc.if_else(part.is_valid(), _texts(part, ready), None)
 
     return text(_ready(value, dtype))
 

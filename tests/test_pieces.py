@@ -8,8 +8,10 @@ import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from askframe.functions.batches import PIECE_BYTES, piece_edges, pieces
+from askframe.functions import pyjson
+from askframe.functions.batches import PIECE_BYTES, even_pieces, piece_edges, pieces
 from askframe.operators.score import token_ids
 from askframe.sources import raw_json
 
@@ -101,3 +103,31 @@ def test_compact_texts_and_fields_come_in_pieces():
     fields = list(raw_json.json_fields.func(iter([pa.array(texts)])))
     assert len(fields) > 3 and sum(len(p) for p in fields) == 4000
     assert [f["path"] for f in fields[0][0].as_py()] == ["", "/a"] and fields[0][1].as_py() is None
+
+
+def test_nested_doubles_are_written_by_columns():
+    """One call for a column of values, whatever part of it, nulls and order of map keys."""
+    dtype = T.ArrayType(T.StructType([
+        T.StructField("n", T.IntegerType()), T.StructField("x", T.DoubleType()),
+        T.StructField("m", T.MapType(T.StringType(), T.ArrayType(T.FloatType())))]))
+    arrow = pa.list_(pa.struct([
+        ("n", pa.int32()), ("x", pa.float64()), ("m", pa.map_(pa.string(), pa.list_(pa.float32())))]))
+    rows = [
+        ([{"n": 1, "x": 1e21, "m": [("z", [0.5]), ("a\"", None), ("\uffee", []), ("😀", [None])]}],
+         '[{"n": 1, "x": 1e+21, "m": {"a\\"": null, "z": [0.5], "\uffee": [], "😀": [null]}}]'),
+        (None, "null"),
+        ([], "[]"),
+        ([None, {"n": None, "x": float("nan"), "m": None}, {"n": -2, "x": None, "m": []}],
+         '[null, {"n": null, "x": NaN, "m": null}, {"n": -2, "x": null, "m": {}}]'),
+        ([{"n": 3, "x": -0.0, "m": [("k", [1, 0.1])]}],
+         '[{"n": 3, "x": -0.0, "m": {"k": [1.0, 0.10000000149011612]}}]'),
+    ]
+    values = pa.array([v for v, _ in rows], arrow)
+    for start in range(5):
+        for n in range(6 - start):
+            got = pyjson._texts(values.slice(start, n), dtype).to_pylist()
+            assert got == [t for _, t in rows[start:start + n]]
+    many = pa.array([v for v, _ in rows] * 5000, arrow)
+    parts = list(even_pieces(many, PIECE_BYTES))
+    assert max(p.nbytes for p in parts) < 2 * PIECE_BYTES and sum(len(p) for p in parts) == 25000
+    assert [p.to_pylist() for p in even_pieces(values.slice(0, 0))] == [[]]
