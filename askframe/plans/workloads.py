@@ -41,7 +41,7 @@ from askframe.sources import catalog, golden, raw_json, requests, sinks
 from askframe.sources.session import ship_package, shared_dir
 from askframe.sources.tables import lookup_join, read_table, small_table, stream_table
 from askframe.streaming.admit import admit_stream, read_batches, read_specs
-from askframe.streaming.requests import read_stream_results, write_stream
+from askframe.streaming.requests import read_stream_results, spread, write_stream
 
 QUERIES = {}
 
@@ -1354,7 +1354,7 @@ def _admitted_stream(spark: SparkSession, sf: str) -> str:
     stream = spark.readStream.schema("event_id long, body string").option(
         "maxFilesPerTrigger", 2).parquet(f"{base}/in")
     known = doubles.catalog(spark).where("model <> 'multilingual'")
-    admit_stream(requests.parse_requests(stream), f"{base}/out", f"{base}/state", known).awaitTermination()
+    admit_stream(requests.parse_requests(spread(stream)), f"{base}/out", f"{base}/state", known).awaitTermination()
     return f"{base}/out"
 
 

@@ -14,6 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 
+def spread(stream: DataFrame) -> DataFrame:
+    """Deal the rows of every micro-batch evenly to all tasks, before a step that is dear per row.
+
+    A micro-batch is read by about one task per file, so large files would be parsed by a few tasks
+    however many cores there are. Rows are dealt in turn, as keys may be null or repeat.
+    """
+    spark = stream.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return stream.repartition(max(tasks, spark.sparkContext.defaultParallelism))
+
+
 def write_stream(
     rows: DataFrame, target: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from askframe.operators.route import route
 from askframe.plans import workloads
 from askframe.sources.requests import parse_requests
-from askframe.streaming.requests import read_stream_results, write_stream
+from askframe.streaming.requests import read_stream_results, spread, write_stream
 
 NOUL = {"q": {"type": "noul", "instructions": "?"}}
 
@@ -55,3 +55,13 @@ def test_a_table_of_many_files_streams_like_one_file(spark, tmp_path):
     many, one = (sorted(workloads.stream_requests(spark, str(p)).collect(), key=str) for p in (folder, file))
     assert many == one and sum(r.n for r in many) == 12
     assert sum(r.n for r in many if r.dead) == 4
+
+
+def test_a_batch_of_one_file_is_dealt_to_all_tasks(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(4000).selectExpr("if(id % 2 = 0, null, id) AS id").coalesce(1).write.parquet(source)
+    stream = spread(spark.readStream.schema("id long").parquet(source))
+    write_stream(stream.withColumn("task", F.spark_partition_id()), out, str(tmp_path / "state")).awaitTermination()
+    tasks = spark.read.parquet(out).groupBy("task").count().collect()
+    assert len(tasks) >= spark.sparkContext.defaultParallelism
+    assert sum(t["count"] for t in tasks) == 4000 and max(t["count"] for t in tasks) < 1000
