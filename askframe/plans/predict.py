@@ -32,22 +32,35 @@ from askframe.sources.tables import lookup_join, stored
 QUESTIONS_TYPE = f"array<{QUESTION_TYPE}>"
 
 
-def intern_specs(df: DataFrame, store: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Requests that bring their own questions: (requests with spec_id, distinct specs).
+def keyed_by_spec(df: DataFrame) -> DataFrame:
+    """Requests with ``spec_id``, the hash of their questions, and ``questions`` as the text that
+    is hashed, so that later passes over kept requests need not write it again."""
+    return df.withColumn("questions", F.to_json(F.struct("questions"))).withColumn(
+        "spec_id", F.sha2("questions", 256))
+
+
+def specs_of(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests with spec_id, distinct specs) of ``keyed_by_spec``.
 
     Equal specs meet in the map-side hash aggregate already, however many requests share one;
-    they are grouped by their text and read from it again, and ``n`` counts their requests. With
-    ``store`` the distinct specs are written there.
+    they are grouped by their text and read from it again, and ``n`` counts their requests.
     """
-    text = F.to_json(F.struct("questions"))
-    keyed = df.withColumn("spec_id", F.sha2(text, 256))
     specs = (
-        keyed.filter(F.col("questions").isNotNull())
-        .groupBy("spec_id", text.alias("spec_text")).agg(F.count(F.lit(1)).alias("n"))
-        .select("spec_id", F.from_json("spec_text", f"questions {QUESTIONS_TYPE}")["questions"]
+        keyed.filter(F.col("questions") != "{}")  # what a request without questions gives
+        .groupBy("spec_id", "questions").agg(F.count(F.lit(1)).alias("n"))
+        .select("spec_id", F.from_json("questions", f"questions {QUESTIONS_TYPE}")["questions"]
                 .alias("questions"), "n")
     )
-    return keyed.drop("questions"), stored(specs, store) if store else specs
+    return keyed.drop("questions"), specs
+
+
+def intern_specs(df: DataFrame, store: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Requests that bring their own questions: (requests with spec_id, distinct specs).
+
+    With ``store`` the distinct specs are written there.
+    """
+    rows, specs = specs_of(keyed_by_spec(df))
+    return rows, stored(specs, store) if store else specs
 
 
 def spec_prefixes(

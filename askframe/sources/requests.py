@@ -93,9 +93,9 @@ def body_error(body: Column, invalid: Column, kind: Column, fields: Column) -> C
 # --- specs ------------------------------------------------------------------------------------
 
 
-def _question_error(q: Column, kids: Column, items: Column) -> Column:
+def _question_error(q: Column, parts: Column) -> Column:
     name = F.concat(F.lit("question "), quoted_name(q["key"]), F.lit(": "))
-    qtype, criteria = child(kids, "type"), child(kids, "criteria")
+    qtype, criteria, items = parts["type"], parts["criteria"], parts["items"]
     has_criteria = criteria.isNotNull()
     kind = criteria["kind"]
     choice = qtype["text"] == "choice"
@@ -110,7 +110,7 @@ def _question_error(q: Column, kids: Column, items: Column) -> Column:
             ~qtype["text"].isin(fixed.QTYPES),
             F.concat(F.lit("unknown type "), quoted_name(qtype["text"]), F.lit(" (choice|score|noul)")),
         )
-        .when(child(kids, "instructions").isNull(), 'missing field "instructions"')
+        .when(parts["instructions"].isNull(), 'missing field "instructions"')
         .when(
             choice & (~has_criteria | (kind == "null")),
             'choice questions need "criteria" (object or array of labels)',
@@ -132,7 +132,7 @@ def _question_error(q: Column, kids: Column, items: Column) -> Column:
             score & (F.size(items) < 2), "score questions need at least two rubric levels"
         )
     )
-    return F.concat(name, problem)
+    return let(problem, lambda p: F.when(p.isNotNull(), F.concat(name, p)))
 
 
 def _described(canonical: Column, node: Column) -> Column:
@@ -140,9 +140,9 @@ def _described(canonical: Column, node: Column) -> Column:
     return F.when(node["kind"] != "null", node_text(canonical, node))
 
 
-def _question(canonical: Column, q: Column, kids: Column, items: Column) -> Column:
-    qtype, criteria = child(kids, "type")["text"], child(kids, "criteria")
-    instructions = child(kids, "instructions")
+def _question(canonical: Column, q: Column, parts: Column) -> Column:
+    qtype, criteria, items = parts["type"]["text"], parts["criteria"], parts["items"]
+    instructions = parts["instructions"]
     none = F.array().cast("array<string>")
     listed = criteria["kind"] == "array"
     labels = F.array_distinct(items["text"])
@@ -179,21 +179,26 @@ def _question(canonical: Column, q: Column, kids: Column, items: Column) -> Colu
 def parsed_questions(nodes: Column, canonical: Column, spec: Column) -> Column:
     """ARRAY<STRUCT<error, question>> of a spec node, in order."""
 
+    names = ("type", "criteria", "instructions")
+
     def one(q: Column) -> Column:
-        def with_items(kids: Column) -> Column:
-            criteria = child(kids, "criteria")
+        # Each step is bound once, as lambdas are evaluated again wherever they are named.
+        def found(kids: Column) -> Column:
+            return F.struct(*[child(kids, name).alias(name) for name in names])
+
+        def with_items(known: Column) -> Column:
             items = F.coalesce(
-                children(nodes, criteria), F.slice(nodes, F.lit(1), F.lit(0))
+                children(nodes, known["criteria"]), F.slice(nodes, F.lit(1), F.lit(0))
             )
-            return F.struct(kids.alias("kids"), items.alias("items"))
+            return F.struct(*[known[name].alias(name) for name in names], items.alias("items"))
 
-        def result(s: Column) -> Column:
+        def result(parts: Column) -> Column:
             return F.struct(
-                _question_error(q, s["kids"], s["items"]).alias("error"),
-                _question(canonical, q, s["kids"], s["items"]).alias("question"),
+                _question_error(q, parts).alias("error"),
+                _question(canonical, q, parts).alias("question"),
             )
 
-        return let(let(children(nodes, q), with_items), result)
+        return let(let(let(children(nodes, q), found), with_items), result)
 
     return F.transform(children(nodes, spec), one)
 

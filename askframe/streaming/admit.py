@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from askframe.operators.route import RouterOptions
-from askframe.plans.predict import QUESTIONS_TYPE, admit, intern_specs
+from askframe.plans.predict import QUESTIONS_TYPE, admit, keyed_by_spec, specs_of
 
 SPECS = f"spec_id string, questions {QUESTIONS_TYPE}"
 BATCHES = "rows long, dead long, new_specs long"
@@ -36,10 +36,11 @@ def admit_batch(
     def place(name: str) -> str:
         return f"{target}/{name}/batch_id={batch_id}"
 
-    # Parsing is the dear part, and specs and rows both need it. A lost part is parsed again.
-    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    # Parsing and hashing are the dear part, and specs and rows both need them, several times over.
+    # A lost part is parsed again.
+    batch = keyed_by_spec(batch).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        rows, own = intern_specs(batch)
+        rows, own = specs_of(batch)
         earlier = spark.read.schema(f"{SPECS}, batch_id long").parquet(f"{target}/specs").where(
             F.col("batch_id") < batch_id)
         new, admitted = Observation(), Observation()

@@ -119,3 +119,37 @@ def test_doubles_and_maps_deep_inside(spark):
     text = df.select(pyjson.json_text("c", df.schema["c"].dataType).alias("t")).first()["t"]
     assert text == ('{"items": [{"p": 1e+21, "f": 0.10000000149011612}, {"p": null, "f": null}], "d": 12.30, '
                     '"m": {"a": null, "b": {"x": 1, "y": 2}}, "n": {"a": [], "z": [2.5e-07]}, "t": [{"k": "vé\\""}]}')
+
+
+def test_a_document_is_read_without_an_encoder_per_string(monkeypatch):
+    texts = [
+        '{"a": "x", "b" :[1.50, -0, 1e2], "c":{ "q\\"\\u00e9" : null}}', '{"é\U0001f600": "\\ud800", "\\n": "a\\\\"}',
+        '{"": {"": [true, "\u2028"]}}', '[{"k"\t:\n"v"}, {}]', '{"\\ud83d\\ude00": "\x7f/\\/"}']
+    want = []
+    for text in texts:
+        nodes = raw_json._Nodes()
+        canonical = raw_json._document_of(raw_json._decoded(text), nodes)
+        assert canonical.count('"') == text.count('"')
+        want.append((canonical, vars(nodes)))
+
+    class Costly(json.JSONEncoder):
+        def __init__(self, *args, **more):
+            raise AssertionError("an encoder set up for a single string")
+
+    monkeypatch.setattr(json, "JSONEncoder", Costly)
+    for text, (canonical, columns) in zip(texts, want, strict=True):
+        nodes = raw_json._Nodes()
+        assert raw_json._document(text, nodes) == canonical and vars(nodes) == columns
+
+
+def test_keys_that_are_no_plain_keys():
+    for text in ('{"a" 1}', '{"a\tb": 1}', '{"a": 1,}', '{a: 1}', '{"a', '{"a"', '{"a":', '{"a\\x": 1}', '{"\0": 1}'):
+        try:
+            json.loads(text)
+            raise AssertionError(text)
+        except json.JSONDecodeError as e:
+            want = e.msg
+        found = raw_json._parse_batch([text])
+        assert found[0].to_pylist() == [want] and found[3].to_pylist() == [[]]
+    nodes = raw_json._Nodes()
+    assert raw_json._document('{"a": 1, "\\u0061": {"b": 2}}', nodes) == '{"a": {"b": 2}}' and len(nodes) == 3

@@ -82,3 +82,19 @@ def test_a_batch_run_again_ends_in_the_same_state(spark, tmp_path):
     assert state() == once
     assert [(r.rows, r.new_specs) for r in read_batches(spark, target).orderBy("batch_id").collect()] == [
         (44, 3), (4, 1), (0, 0)]
+
+
+def test_specs_are_written_and_hashed_once_per_request(spark, tmp_path, monkeypatch):
+    target, kept = str(tmp_path / "out"), []
+    batch = parse_requests(spark.createDataFrame(list(enumerate(SECOND)), "request_id long, body string"))
+    persist = type(batch).persist
+    monkeypatch.setattr(type(batch), "persist", lambda df, *a: kept.append(df) or persist(df, *a))
+    spark.createDataFrame([], "spec_id string").write.parquet(f"{target}/specs/batch_id=-1")
+    admit_batch(batch, 0, target, doubles.catalog(spark))
+    assert len(kept) == 1 and dict(kept[0].dtypes)["questions"] == "string"  # not written again by each pass
+    rows, own = intern_specs(batch)
+    ids = {r.request_id: r.spec_id for r in kept[0].collect()}
+    assert ids == {r.request_id: r.spec_id for r in rows.collect()}
+    found = {r.spec_id: r.n for r in own.collect()}
+    assert sorted(found.values()) == [1, 2] and found.keys() < set(ids.values())
+    assert {r.spec_id for r in read_specs(spark, target).collect()} == found.keys()
